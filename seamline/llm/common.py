@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch that a Python stage holds at a time.
-BATCH_ROWS = 1000
+BATCH_ROWS = 256
 
 _PACKAGE = Path(__file__).resolve().parents[1]
 
