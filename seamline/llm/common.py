@@ -72,3 +72,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_bytes(col: str = "text"):
     """UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(F.encode(F.col(col).cast("string"), "UTF-8"), F.lit(b""))
+
+
+def local_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small driver-made table as a local relation (no Python tasks to read it)."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    kind = to_arrow_schema(_parse_datatype_string(schema))
+    columns = list(zip(*rows)) if rows else [()] * len(kind)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kind.types)], schema=kind), schema)

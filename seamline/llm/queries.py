@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, quality, toxicity
+from . import exact_dedup, html_text, licenses, mixing, quality, toxicity
 from .common import table
 
 
@@ -35,10 +35,20 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.license_spans(table(spark, sf_dir, "documents")))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.by_weight(table(spark, sf_dir, "documents"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_mixing": op5_mixing,
+    "op9_html_text": op9_html_text,
     "op10_license_scan": op10_license_scan,
 }
 
