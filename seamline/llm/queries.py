@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, licenses, mixing, quality, toxicity
+from . import exact_dedup, html_text, licenses, mixing, packing, quality, sharding, toxicity
 from .common import table
 
 
@@ -39,6 +40,16 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.by_weight(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), digest={"ids_crc32": F.crc32("ids")})
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -48,6 +59,8 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_mixing": op5_mixing,
+    "op6_packing": op6_packing,
+    "op7_sharding": op7_sharding,
     "op9_html_text": op9_html_text,
     "op10_license_scan": op10_license_scan,
 }
