@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, licenses, mixing, packing, quality, sharding, toxicity
+from . import exact_dedup, html_text, licenses, mixing, neighbours, packing, quality, sharding, toxicity
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.license_spans(table(spark, sf_dir, "documents")))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.by_weight(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_neighbours": op4_neighbours,
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
     "op7_sharding": op7_sharding,
