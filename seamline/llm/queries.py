@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, licenses, mixing, neighbours, packing, quality, sharding, toxicity
+from . import exact_dedup, html_text, licenses, mixing, near_dedup, neighbours, packing, quality, sharding, toxicity
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
     "op7_sharding": op7_sharding,
+    "op8_near_dedup": op8_near_dedup,
     "op9_html_text": op9_html_text,
     "op10_license_scan": op10_license_scan,
 }
