@@ -294,7 +294,7 @@ def q3_critical_machines(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_HEALTH} SELECT equipment_id, equipment_type, severity, round(temp_trend_c_per_hour, 3) AS trend_c_per_hour, round(recent_avg_temp_c, 1) AS avg_temp_c, round(recent_max_temp_c, 1) AS max_temp_c,
+    f"""WITH {_HEALTH} SELECT equipment_id, equipment_type, severity, round(temp_trend_c_per_hour, 3) + 0 AS trend_c_per_hour, round(recent_avg_temp_c, 1) AS avg_temp_c, round(recent_max_temp_c, 1) AS max_temp_c,
         round(recent_avg_temp_c + temp_trend_c_per_hour * {_WINDOW}, 1) AS projected_temp_c, readings_in_window
         FROM flags WHERE temp_trend_c_per_hour IS NOT NULL QUALIFY rank() OVER (ORDER BY temp_trend_c_per_hour DESC) <= 15"""
 )

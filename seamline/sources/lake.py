@@ -57,8 +57,11 @@ class Lake:
         return bool(self._fs.exists(self._path(key)))
 
     def read_bytes(self, key: str) -> bytes:
-        rows = self.spark.read.format("binaryFile").load(self.uri(key)).select("content").collect()
-        return bytes(rows[0][0])
+        stream = self._fs.open(self._path(key))
+        try:
+            return bytes(stream.readAllBytes())
+        finally:
+            stream.close()
 
     def write_bytes(self, key: str, data: bytes) -> None:
         stream = self._fs.create(self._path(key), True)
