@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 
@@ -36,20 +37,29 @@ END_TOKEN = 2
 SLACK = 0.002
 FAN_IN = 8
 CARRY = 4096
-#: Distinct words whose tokens a worker remembers.
-MEMORY = 400_000
+#: Distinct words, and spans between blanks, whose tokens a worker remembers.
+MEMORY = 500_000
 
 #: The pre-tokeniser's split, for texts of the characters that ``_PLAIN`` allows: a fixed value.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _PLAIN = re.compile("[\t\n\r\x20-\x7e¡-§«¬°±´¶·»¿-ʯΑ-ΡΣ-ώЀ-ҁҊ-ԯ‐-‧‰-⁞€]*")
 
 
+def _byte_letters() -> list[str]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable ones for themselves."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    spare = iter(range(0x100, 0x200))
+    return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
+
+
 class WordTokenizer:
     """A byte-level BPE tokenizer with its words remembered.
 
     Merges never cross the pre-tokeniser's words, so a text's ids are its words' ids in a
-    row.  Texts with characters outside of the plain set, or with the tokenizer's special
-    strings, go to the tokenizer whole.
+    row.  Words are remembered singly, and so is what stands between two blanks: where no
+    blank is doubled or ends the text, every blank begins a word.  Texts with characters
+    outside of the plain set, or with the tokenizer's special strings, go to the tokenizer
+    whole.
     """
 
     def __init__(self, path: str):
@@ -57,35 +67,42 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
+        self.model = self.inner.model
         self.special = [t.content for t in self.inner.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > MEMORY:
-            self.known.clear()
-        for word, encoded in zip(words, self.inner.encode_batch_fast(words, add_special_tokens=False)):
-            self.known[word] = np.array(encoded.ids, "<u4").tobytes()
+        self.letters = _byte_letters()
+        self.words: dict[str, bytes] = {}
+        self.spans: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            if len(self.words) >= MEMORY:
+                self.words.clear()
+            tokens = self.model.tokenize("".join(map(self.letters.__getitem__, word.encode())))
+            ids = self.words[word] = array("I", [t.id for t in tokens]).tobytes()
+        return ids
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self._word, _SPLIT.findall(text)))
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers."""
+        if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
+            return np.array(self.inner.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if "  " in text or text.endswith(" "):
+            return self._plain(text)
+        first, *rest = text.split(" ")
+        found = list(map(self.spans.get, rest))
+        if len(self.spans) >= MEMORY:
+            self.spans.clear()
+        at = -1
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            found[at] = self.spans[rest[at]] = self._plain(" " + rest[at])
+        return self._plain(first) + b"".join(found)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split: list[list[str] | None] = []
-        for text in texts:
-            plain = _PLAIN.fullmatch(text) and not any(s in text for s in self.special)
-            split.append(_SPLIT.findall(text) if plain else None)
-        out: list[bytes] = []
-        for text, words in zip(texts, split):
-            if words is None:
-                out.append(np.array(self.inner.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-                continue
-            known = self.known
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            if new:
-                self._learn(new)
-                missing = [w for w in dict.fromkeys(words) if w not in known]
-                if missing:  # the memory was cleared meanwhile
-                    self._learn(missing)
-            out.append(b"".join(map(known.__getitem__, words)))
-        return out
+        return [self.encode(t) for t in texts]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
