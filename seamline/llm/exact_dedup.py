@@ -78,7 +78,8 @@ class RadixTrie:
 
     def __init__(self, budget: int = TRIE_BYTES, spill: bool = True):
         self.root, self.held, self.budget, self.spill = Node(b""), 0, budget, spill
-        self.spilled: list[tuple[bytes, str]] = []
+        self.spilled: dict[bytes, tuple] = {}  # prefix -> open file and its path
+        self.files = 0
         self.folder: tempfile.TemporaryDirectory | None = None
 
     def insert(self, data: bytes, entry: Entry) -> Entry | None:
@@ -137,14 +138,33 @@ class RadixTrie:
                 break
         if node is self.root:
             return
+        # The node keeps the first byte of its label: all texts that begin so go to the file.
+        prefix, cut = prefix[: len(prefix) - len(node.label) + 1], node.label[1:]
         self.folder = self.folder or tempfile.TemporaryDirectory(prefix="trie-")
-        path = os.path.join(self.folder.name, str(len(self.spilled)))
+        self.files += 1
+        path = os.path.join(self.folder.name, str(self.files))
         file = open(path, "wb")
-        for suffix, entry in self._walk(node, b""):
+        for suffix, entry in self._walk(node, cut):
             pickle.dump((suffix, entry.smallest, entry.largest, entry.count, entry.owners), file)
+        # what a part of this subtree spilled before moves into the new file
+        for before in [p for p in self.spilled if p.startswith(prefix)]:
+            below, old = self.spilled.pop(before)
+            below.close()
+            for suffix, *rest in self._records(old):
+                pickle.dump((before[len(prefix) :] + suffix, *rest), file)
+            os.unlink(old)
         self.held -= weight[id(node)]
-        node.children, node.entry, node.file = {}, None, file
-        self.spilled.append((prefix, path))
+        node.label, node.children, node.entry, node.file = node.label[:1], {}, None, file
+        self.spilled[prefix] = (file, path)
+
+    @staticmethod
+    def _records(path: str) -> Iterator[tuple]:
+        with open(path, "rb") as file:
+            while True:
+                try:
+                    yield pickle.load(file)
+                except EOFError:
+                    return
 
     @staticmethod
     def _walk(top: Node, prefix: bytes) -> Iterator[tuple[bytes, Entry]]:
@@ -155,28 +175,15 @@ class RadixTrie:
                 yield text, node.entry
             stack.extend((c, text + c.label) for c in node.children.values() if c.file is None)
 
-    def _close(self) -> None:
-        stack = [self.root]
-        while stack:
-            node = stack.pop()
-            if node.file is not None:
-                node.file.close()
-            stack.extend(node.children.values())
-
     def items(self) -> Iterator[tuple[bytes, Entry]]:
         """All texts with their entries; spilled subtrees follow, each by a trie of its own."""
-        self._close()
         yield from self._walk(self.root, b"")
         self.root = Node(b"")
-        for prefix, path in self.spilled:
+        for prefix, (file, path) in self.spilled.items():
+            file.close()
             below = RadixTrie(self.budget, self.spill)
-            with open(path, "rb") as file:
-                while True:
-                    try:
-                        suffix, *rest = pickle.load(file)
-                    except EOFError:
-                        break
-                    below.insert(suffix, Entry(*rest))
+            for suffix, *rest in self._records(path):
+                below.insert(suffix, Entry(*rest))
             os.unlink(path)
             for suffix, entry in below.items():
                 yield prefix + suffix, entry

@@ -1,14 +1,14 @@
-"""Best-fit packing of tokenised documents by hierarchical residual merging.
+"""Best-fit packing of tokenised documents by hierarchical residual packing.
 
 Every input partition tokenises its documents, cuts only those longer than a sequence
 (into full pieces; the first piece takes the remainder) and packs its pieces best-fit,
-longest first.  Bins that are nearly full are final.  Underfull bins become items of their
-own: groups of partitions merge them by best-fit again, emit what is nearly full and pass
-the rest up a tree, until one group is left.  A group passes at most ``CARRY`` bins up;
-those that are fullest, which hardly any other bin fits into, are final as they stand, so
-the root's work is bounded whatever the input.
+longest first.  Bins that are nearly full are final.  What lies in underfull bins stays
+as items: groups of partitions pack them best-fit again, emit what is nearly full and pass
+the rest up a tree, until one group is left.  A group passes the items of its emptiest
+bins, at most ``CARRY``; its other bins are final as they stand, so the root's work is
+bounded whatever the input.
 
-Pieces are written once to the shared folder; merging moves only (bin, fill) rows.
+Pieces are written once to the shared folder; merging moves only (item, length) rows.
 
 Cases.  Null text is packed as empty text: the end token alone.  Very long texts are cut
 as said, losing no token.  Repeated rows are packed row by row; a null doc_id stays null.
@@ -36,7 +36,7 @@ END_TOKEN = 2
 #: A bin with at most this share free is final.
 SLACK = 0.002
 FAN_IN = 8
-CARRY = 4096
+CARRY = 8192
 #: Distinct words, and spans between blanks, whose tokens a worker remembers.
 MEMORY = 500_000
 
@@ -163,17 +163,22 @@ _PIECES_DDL = "doc_id long, piece int, start long, length long, ids binary, part
 GROUP_BYTES = 48 << 20
 
 
-def _pack_locally(path: str, capacity: int, end: int):
+def _pack_locally(path: str, capacity: int, end: int, least: int):
     def emit(rows: list[tuple], part: int, first_bin: int) -> tuple[list[pa.RecordBatch], int]:
-        where, place, fill = best_fit([r[3] for r in rows], capacity)
+        lengths = np.array([r[3] for r in rows], np.int64)
+        where, place, fill = best_fit(lengths, capacity)
+        # pieces of underfull bins become items: bins of their own, for the tree to pack
         filled = np.asarray(fill, np.int64)
+        (loose,) = np.nonzero(filled[where] < least)
+        where[loose], place[loose] = len(fill) + np.arange(len(loose)), 0
+        filled = np.concatenate((filled, lengths[loose]))
         batches = []
         for a in range(0, len(rows), 4096):
             columns = [pa.array(c, t) for c, t in zip(zip(*rows[a : a + 4096]), _PIECES.types)]
             w = where[a : a + 4096]
             more = [np.full(len(w), part), w + first_bin, place[a : a + 4096], filled[w]]
             batches.append(pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.int64()) for x in more)], schema=_PIECES))
-        return batches, first_bin + len(fill)
+        return batches, first_bin + len(filled)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, inner = TaskContext.get().partitionId(), tokenizer(path)
@@ -195,29 +200,33 @@ def _pack_locally(path: str, capacity: int, end: int):
     return run
 
 
-_BINS_DDL = "bin long, sequence_id long, shift long, fill long, part long, final boolean"
+_ITEMS_DDL = "bin long, sequence_id long, shift long, fill long, part long, final boolean"
 
 
-def _merge(capacity: int, least: int, carry: int):
-    """Bins (with the sequences that lower levels gave them) of one group, packed again."""
+def _merge(capacity: int, least: int, carry: int, root: bool):
+    """Items of one group, packed again: final with a sequence and a place, or passed up."""
 
     def run(table: pa.Table) -> pa.Table:
-        heads = table.to_pydict()
-        where, place, fill = best_fit(heads["fill"], capacity)
-        first: dict[int, int] = {}
-        for b, w in zip(heads["bin"], where.tolist()):
-            first.setdefault(w, b)
-        open_ = sorted((f, w) for w, f in enumerate(fill) if f < least)
-        keep = {w for _, w in open_[:carry]}
-        w = where.tolist()
+        items = table.to_pydict()
+        where, place, fill = best_fit(items["fill"], capacity)
+        filled, size = np.asarray(fill, np.int64), np.bincount(where, minlength=len(fill))
+        passed = np.zeros(len(fill), bool)
+        if not root:
+            order = np.argsort(filled, kind="stable")
+            passed[order[np.cumsum(size[order]) <= carry]] = True
+            passed &= filled < least
+        final = ~passed[where]
+        first = np.zeros(len(fill), np.int64)
+        own = np.asarray(items["bin"], np.int64)
+        first[where[::-1]] = own[::-1]
         return pa.table(
             {
-                "bin": pa.array(heads["bin"], pa.int64()),
-                "sequence_id": pa.array([first[x] for x in w], pa.int64()),
-                "shift": pa.array(place, pa.int64()),
-                "fill": pa.array([fill[x] for x in w], pa.int64()),
-                "part": pa.array(heads["part"], pa.int64()),
-                "final": pa.array([x not in keep for x in w], pa.bool_()),
+                "bin": pa.array(own),
+                "sequence_id": pa.array(np.where(final, first[where], own)),
+                "shift": pa.array(np.where(final, place, 0)),
+                "fill": pa.array(items["fill"], pa.int64()),
+                "part": pa.array(items["part"], pa.int64()),
+                "final": pa.array(final),
             }
         )
 
@@ -233,13 +242,13 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: in
     """
     spark = docs.sparkSession
     common.prepare(spark)
+    least = int(capacity * (1 - slack))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"))
-    pieces = source.mapInArrow(_pack_locally(tokenizer_path, capacity, end), _PIECES_DDL)
+    pieces = source.mapInArrow(_pack_locally(tokenizer_path, capacity, end, least), _PIECES_DDL)
     output = ["ids"] if digest is None else list(digest)
     if digest is not None:
         pieces = pieces.select("*", *(c.alias(n) for n, c in digest.items())).drop("ids")
     pieces = common.materialise(pieces, "pack-pieces")
-    least = int(capacity * (1 - slack))
     bins = pieces.where((F.col("fill") < least) & (F.col("place") == 0)).select("bin", "fill", "part")
     plan = merge_tree(bins, capacity, least)
     joined = pieces.join(plan, "bin", "left")
@@ -248,25 +257,21 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: in
     return joined.select("doc_id", "piece", "start", "length", *output, sequence, offset)
 
 
-def merge_tree(bins: DataFrame, capacity: int, least: int, carry: int = CARRY, fan_in: int = FAN_IN) -> DataFrame:
-    """Rounds of best-fit over (bin, fill, part): bin, sequence_id, shift."""
-    spark = bins.sparkSession
-    heads = bins.select("bin", "fill", F.floor(F.col("part") / fan_in).alias("part"))
-    moved: DataFrame | None = None  # bin -> sequence, shift so far
-    highest = bins.agg(F.max("part")).first()[0]
+def merge_tree(items: DataFrame, capacity: int, least: int, carry: int = CARRY, fan_in: int = FAN_IN) -> DataFrame:
+    """Rounds of best-fit over items (bin, fill, part): bin, sequence_id, shift."""
+    spark = items.sparkSession
+    highest = items.agg(F.max("part")).first()[0]
     if highest is None:
         return common.local_frame(spark, [], "bin long, sequence_id long, shift long")
-    groups = highest // fan_in + 1
+    groups, done = highest // fan_in + 1, []
+    heads = items.select("bin", "fill", F.floor(F.col("part") / fan_in).alias("part"))
     while True:
-        merged = common.materialise(heads.groupBy("part").applyInArrow(_merge(capacity, least, carry), _BINS_DDL), "pack-merge")
-        step = merged.select(F.col("bin").alias("_head"), F.col("sequence_id").alias("_to"), F.col("shift").alias("_by"))
-        if moved is None:
-            moved = step.select(F.col("_head").alias("bin"), F.col("_to").alias("sequence_id"), F.col("_by").alias("shift"))
-        else:
-            joined = moved.join(step, F.col("sequence_id") == F.col("_head"), "left")
-            moved = joined.select("bin", F.coalesce("_to", "sequence_id").alias("sequence_id"), (F.col("shift") + F.coalesce("_by", F.lit(0))).alias("shift"))
+        merged = common.materialise(heads.groupBy("part").applyInArrow(_merge(capacity, least, carry, groups == 1), _ITEMS_DDL), "pack-merge")
+        done.append(merged.where("final").select("bin", "sequence_id", "shift"))
         if groups == 1:
-            return moved
-        open_ = merged.where(~F.col("final") & (F.col("shift") == 0)).select(F.col("sequence_id").alias("bin"), "fill", F.floor(F.col("part") / fan_in).alias("part"))
-        heads, groups = open_, (groups - 1) // fan_in + 1
-
+            break
+        heads, groups = merged.where("NOT final").select("bin", "fill", F.floor(F.col("part") / fan_in).alias("part")), (groups - 1) // fan_in + 1
+    plan = done[0]
+    for level in done[1:]:
+        plan = plan.unionByName(level)
+    return plan

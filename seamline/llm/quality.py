@@ -92,7 +92,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tup
 
     ``patterns`` holds votes (-1, 0, 1) by row, ``counts`` how many documents have them.
     """
-    votes_, counts = np.asarray(patterns, int).reshape(len(counts), -1) + 1, np.asarray(counts, float)
+    votes_, counts = np.asarray(patterns, int).reshape(len(counts), len(LABELLERS)) + 1, np.asarray(counts, float)
     if not len(counts):
         return np.zeros(0), np.zeros((2, 0, 3)), 0.5
     # labellers are built to be precise where they object: one objection starts a pattern as bad

@@ -2,9 +2,10 @@
 
 Documents that share a group (here: equal texts) are linked.  Rounds of joins move them
 towards the shard where most of their group's bytes lie: votes are summed by (group, shard),
-each linked document asks for its group's leading shard, and a shard admits as much as its
-room allows, in the order of a hash of the group, so members of a group move together and
-a group too large for one shard fills several.  After the rounds unlinked documents, and
+each linked document asks for the leading shard of its group that has room left, unless
+more of the group is where it is, and a shard admits as much as its room allows, in the
+order of a hash of the group, so members of a group move together and a group too large
+for one shard fills one after the other.  After the rounds unlinked documents, and
 only if they don't suffice linked ones, move from shards over their share to shards under
 it.  Admission and balancing work on histograms of hash buckets: shards times buckets rows
 reach the driver, whatever the input.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SHARDS = 8
-ROUNDS = 4
+ROUNDS = 6
 BUCKETS = 4096
 #: Room over an even share that propagation may use before the final balancing.
 EASE = 0.02
@@ -42,9 +43,14 @@ def by_label_propagation(rows: DataFrame, shards: int = SHARDS, rounds: int = RO
     settled = state.where(F.col("group").isNull())
     for k in range(rounds):
         votes = linked.groupBy("group", "shard").agg(F.sum("size").alias("votes"))
-        # the leading shard of a group; ties go by a hash, which spreads them evenly
-        lead = votes.groupBy("group").agg(F.max(F.struct("votes", F.xxhash64("group", "shard").alias("tie"), "shard")).alias("lead"))
-        asked = linked.join(lead.select("group", F.col("lead.shard").alias("goal")), "group")
+        loads = {r["shard"]: r["load"] for r in votes.groupBy("shard").agg(F.sum("votes").alias("load")).collect()}
+        open_ = [i for i in range(shards) if loads.get(i, 0) < share * (1 + EASE / 2)]
+        # the leading open shard of a group; ties go by a hash, which spreads them evenly
+        best = F.struct("votes", F.xxhash64("group", "shard").alias("tie"), "shard")
+        lead = votes.groupBy("group").agg(F.max(F.when(F.col("shard").isin(open_), best)).alias("lead"))
+        rated = linked.join(votes.withColumn("tie", F.xxhash64("group", "shard")), ["group", "shard"]).join(lead, "group")
+        ahead = F.struct("votes", "tie") < F.struct(F.col("lead.votes").alias("votes"), F.col("lead.tie").alias("tie"))
+        asked = rated.withColumn("goal", F.when(ahead, F.col("lead.shard")).otherwise(F.col("shard"))).drop("votes", "tie", "lead")
         bucket = F.pmod(F.xxhash64(F.lit(k), "group"), F.lit(BUCKETS)).cast("int")
         finer = F.pmod(F.xxhash64(F.lit(k), "key"), F.lit(BUCKETS)).cast("int")
         asked = common.materialise(asked.withColumn("bucket", bucket).withColumn("finer", finer), f"shard-ask-{k}")
