@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import conform as c
 from ..operators import cleaning, gold, windows
-from . import serving, warehouse
+from ..sources import lake as lakes
+from ..sources import telemetry
+from ..sources.lake import Lake
+from . import etl, serving, warehouse
 from .standins import SILVER_SQL, bronze, rounded, silver, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -407,6 +411,50 @@ def r8_reasons(spark, sf_dir):
     return serving.reasons(spark.table("fleet_health_flags"))
 
 
+# The lake
+
+
+@query(
+    f"""WITH {_COPIES} SELECT CAST(ts AS DATE) AS dt, count(*) AS rows_in, count(*) FILTER (WHERE reject_reason IS NULL AND nth = 1) AS rows_out,
+        count(*) FILTER (WHERE reject_reason IS NOT NULL) AS rows_quarantined, count(*) FILTER (WHERE reject_reason IS NULL AND nth > 1) AS duplicates_removed
+        FROM keyed GROUP BY 1"""
+)
+def k2_bronze_to_silver(spark, sf_dir):
+    """Land dated bronze, build silver and quarantine partitions, and count what each holds."""
+    lake = Lake(spark, lakes.scratch(spark, "etl"))
+    dated = bronze(spark, sf_dir, dated=True)
+    dated.drop("event_id").repartition("dt").write.partitionBy("dt").parquet(lake.uri(lakes.BRONZE))
+    summary = etl.build_silver(spark, lake.root, at=_AT)
+    landed = lake.read_partitioned(lakes.BRONZE, schemas.BRONZE).groupBy("dt").agg(F.count("*").alias("rows_in"))
+    kept = lake.read_partitioned(lakes.SILVER, schemas.SILVER).groupBy("dt").agg(F.count("*").alias("rows_out"))
+    refused = lake.read_partitioned(lakes.QUARANTINE, schemas.QUARANTINE) if summary["rows_quarantined"] else lake.read([], schemas.QUARANTINE).withColumn("dt", F.lit(None).cast("date"))
+    df = landed.join(kept, "dt", "left").join(refused.groupBy("dt").agg(F.count("*").alias("rows_quarantined")), "dt", "left").na.fill(0)
+    return df.withColumn("duplicates_removed", F.col("rows_in") - F.col("rows_out") - F.col("rows_quarantined"))
+
+
+@query(
+    """WITH silver AS ({silver}) SELECT event_date AS dt, count(*) AS readings, count(DISTINCT equipment_id) AS machines
+       FROM silver WHERE event_date > (SELECT max(event_date) FROM silver) - 7 GROUP BY 1"""
+)
+def s6_lookback_scan(spark, sf_dir):
+    """A dt-partitioned copy read over its newest seven partitions, pruned by directory."""
+    lake = Lake(spark, lakes.scratch(spark, "lookback"))
+    s = silver(spark, sf_dir).withColumns({"dt": F.col("event_date"), "_ingest_batch_id": F.lit("b"), "_ingested_at_utc": F.col("event_time"), "_silver_processed_at_utc": F.col("event_time")})
+    s.select(*(f.name for f in schemas.SILVER), "dt").repartition("dt").write.partitionBy("dt").parquet(lake.uri(lakes.SILVER))
+    recent = lakes.lookback(lake.read_partitioned(lakes.SILVER, schemas.SILVER), 7)
+    return recent.groupBy("dt").agg(F.count("*").alias("readings"), F.count_distinct("equipment_id").alias("machines"))
+
+
+@query()
+def g1_simulated_fleet(spark, sf_dir):
+    """A simulated day of forty machines, by type: the source has no SQL form."""
+    view(spark, sf_dir)
+    start = datetime(2026, 8, 20, tzinfo=timezone.utc)
+    raw = telemetry.simulate(spark, telemetry.FleetConfig(fleet_size=40, seed=7), start, start + timedelta(hours=24))
+    clean = cleaning.clean(raw.drop("event_time"), _AT).silver
+    return clean.groupBy("equipment_type").agg(F.count_distinct("equipment_id").alias("machines"), F.count("*").alias("readings"), F.round(F.avg("coolant_temp_c"), 6).alias("avg_coolant_temp_c"))
+
+
 # Other operators on the star schema
 
 

@@ -32,6 +32,7 @@ SILVER_SQL = """
 
 
 def view(spark: SparkSession, sf_dir: str, *names: str) -> None:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # the time functions expect it
     for n in names:
         spark.read.parquet(f"{sf_dir}/{n}.parquet").createOrReplaceTempView(n)
 
@@ -41,13 +42,16 @@ def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SILVER_SQL)
 
 
-def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bronze(spark: SparkSession, sf_dir: str, dated: bool = False) -> DataFrame:
     """Raw readings with every repairable and unrepairable kind of dirt, by event_id; ``event_id`` stays.
 
+    ``dated`` adds the directory date ``dt``.
+
     Times come in four spellings or broken, types perturbed or unknown, sensors in range,
     out of range or missing; every tenth reading is sent twice in its batch, every
     fifteenth again in a later one.
     """
+    view(spark, sf_dir)
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     i, at = F.col("event_id"), F.date_trunc("second", F.col("ts").cast("timestamp"))
     iso = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
@@ -73,6 +77,7 @@ def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("b"), (i % 6).cast("string")).alias("_ingest_batch_id"),
         F.timestamp_seconds(F.lit(1_800_000_000) + i % 6).alias("_ingested_at_utc"),
         "event_id",
+        *([F.to_date("ts").alias("dt")] if dated else []),
     )
     later = first.where("event_id % 15 = 0").withColumns({"_ingest_batch_id": F.lit("late"), "_ingested_at_utc": F.timestamp_seconds(F.lit(1_800_009_999))})
     return first.unionByName(first.where("event_id % 10 = 0")).unionByName(later)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 from collections.abc import Iterable
 from datetime import date
@@ -108,6 +109,15 @@ class Lake:
         return self.spark.read.schema(schema).parquet(self.uri(key)).count()
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A folder of its own that all executors see, removed when the application ends."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="seamline-")
+    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def bronze_partitions(lake: Lake) -> dict[date, list[str]]:
     """Bronze files by the date of their directory; others are left out."""
     found: dict[date, list[str]] = {}
