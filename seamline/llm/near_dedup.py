@@ -11,9 +11,11 @@ the threshold: similarity = aligned / (shingles of both - aligned), at least 0.8
 Scale.  Equal texts collapse to one node first.  A bucket of agreeing nodes isn't expanded
 into pairs: its members are aligned with the bucket's hub, the node that shares most
 buckets with others (the likely original of its copies).  Members that the hub does not
-match, and that no other link joins to it, go on: they meet the members that were matched
-(their strongest) and choose a new hub among themselves, until each bucket is one class or
-all its members have been hubs.  Links become classes by iterated joins, never on the driver.
+match choose a hub among themselves, ``HUB_ROUNDS`` times in all.  Members then still
+outside of the class of their bucket's hub meet every member of another class in the
+bucket, but for pairs that cannot reach the threshold: shingles that no other member has
+bound what two texts can share, and an edited copy too far from its original has too many
+of them.  Links become classes by iterated joins, never on the driver.
 
 Cases.  Null text counts as empty.  Texts of fewer than five words are one shingle; texts
 without words are near only to equal texts.  Very long texts are read whole.  Repeated rows
@@ -36,8 +38,8 @@ from . import common
 WORDS = 5
 BANDS, ELL = 16, 4
 LEAST = 0.8
-#: Hub rounds before the members that are left meet all matched members of their bucket.
-HUB_ROUNDS = 3
+#: Times that the members of a bucket which no hub matched choose a hub.
+HUB_ROUNDS = 2
 
 _TO_WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -88,23 +90,17 @@ def order_minhash(found: np.ndarray, bands: int = BANDS, ell: int = ELL) -> np.n
     n = len(found)
     if not n:
         return np.zeros(0, np.int64)
-    order = np.argsort(found, kind="stable")
-    ranked = found[order]
-    fresh = np.concatenate(([True], ranked[1:] != ranked[:-1]))
-    first = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    occurrence = np.empty(n, np.uint64)
-    occurrence[order] = (np.arange(n) - first).astype(np.uint64)
-    labelled = mixed(found + occurrence * np.uint64(0xA0761D6478BD642F))
+    held = labelled(found)
     keys = np.zeros(bands, np.uint64)
     take = min(ell, n)
     step = max(1, (1 << 20) // n)  # keeps the matrix of very long texts small
     for a in range(0, bands, step):
-        h = labelled[None, :] * _SALTS[a : min(bands, a + step), None]
+        h = held[None, :] * _SALTS[a : min(bands, a + step), None]
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
         least = np.argpartition(h, take - 1, axis=1)[:, :take] if take < n else np.broadcast_to(np.arange(n), h.shape)
-        picked = labelled[np.sort(least, axis=1)]
+        picked = held[np.sort(least, axis=1)]
         for k in range(take):
             keys[a : a + len(picked)] = mixed(keys[a : a + len(picked)] * np.uint64(0x9FB21C651E98DF25) + picked[:, k])
     return keys.view(np.int64)
@@ -169,6 +165,26 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], schema=_SIGNED)
 
 
+def labelled(found: np.ndarray) -> np.ndarray:
+    """Shingles with their occurrence numbers hashed in: a text's multiset as a set."""
+    order = np.argsort(found, kind="stable")
+    ranked = found[order]
+    fresh = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+    first = np.maximum.accumulate(np.where(fresh, np.arange(len(found)), 0))
+    occurrence = np.empty(len(found), np.uint64)
+    occurrence[order] = (np.arange(len(found)) - first).astype(np.uint64)
+    return mixed(found + occurrence * np.uint64(0xA0761D6478BD642F))
+
+
+def _list(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, body) to (node, labelled shingles)."""
+    for batch in batches:
+        found = [labelled(x) if len(x := shingles(b.as_py())) else x for b in batch.column(1)]
+        ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        values = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["node", "shingles"])
+
+
 def _verify(least: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
@@ -234,48 +250,60 @@ class NearDuplicates:
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
         return common.materialise(both.mapInArrow(_verify(self.least), "a long, b long, similarity double"), "near-aligned")
 
-    def _link(self) -> DataFrame:
-        members = self._buckets()
+    def _bodies(self, members: DataFrame) -> DataFrame:
+        """(node, body) of the nodes that have candidates."""
         wanted = members.select("node").distinct().join(self.nodes.select("node", "doc_id", "key"), "node")
         s, w = self.source.alias("s"), wanted.alias("w")
         found = s.join(w, (F.col("s.key") == F.col("w.key")) & F.col("s.doc_id").eqNullSafe(F.col("w.doc_id"))).select("w.node", "s.body").dropDuplicates(["node"])
-        bodies = common.materialise(found, "near-bodies")
-        tested: DataFrame | None = None
-        active, matched = members, None
-        rounds = 0
-        while True:
+        return common.materialise(found, "near-bodies")
+
+    def _link(self) -> DataFrame:
+        """Verified links (a, b, similarity) between nodes."""
+        members = self._buckets()
+        bodies = self._bodies(members)
+        active, tested = members, None
+        for _ in range(self.hub_rounds):
             hubs = active.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("node")).alias("m"))).alias("hub"), F.count("*").alias("n")).where("n > 1")
-            paired = active.join(hubs.select("bucket", (-F.col("hub.m")).alias("hub")), "bucket").where("node != hub")
-            wish = paired.select("bucket", "node", F.col("hub").alias("other"), F.lit(True).alias("by_hub"))
-            if matched is not None:
-                # the strongest member matched so far, and after the hub rounds all of them
-                if rounds <= self.hub_rounds:
-                    best = matched.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("node")).alias("m"))).alias("m")).select("bucket", (-F.col("m.m")).alias("other"))
-                else:
-                    best = matched.select("bucket", F.col("node").alias("other"))
-                wish = wish.unionByName(active.join(best, "bucket").select("bucket", "node", "other", F.lit(False).alias("by_hub")))
-            wish = common.materialise(wish.withColumn("a", F.least("node", "other")).withColumn("b", F.greatest("node", "other")), "near-wishes")
-            pairs = wish.select("a", "b").distinct()
+            met = active.join(hubs.select("bucket", (-F.col("hub.m")).alias("hub")), "bucket").where("node != hub")
+            met = common.materialise(met.withColumns({"a": F.least("node", "hub"), "b": F.greatest("node", "hub")}), "near-met")
+            pairs = met.select("a", "b").distinct()
             if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+                pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
             new = self._aligned(pairs, bodies)
             tested = new if tested is None else tested.unionByName(new)
-            links = tested.where("similarity > 0")
-            comps = components(links)
-            # a member goes on unless it shares a component with a hub or a matched member of its bucket
-            joined = wish.join(comps.withColumnRenamed("comp", "c1"), "node", "left").join(comps.select(F.col("node").alias("other"), F.col("comp").alias("c2")), "other", "left")
-            joined = joined.withColumn("met", F.coalesce(F.col("c1") == F.col("c2"), F.lit(False)))
-            done = joined.groupBy("bucket", "node").agg(F.max("met").alias("met"))
-            scored = done.join(members, ["bucket", "node"])
-            left_over = common.materialise(scored.where(~F.col("met")).select("bucket", "node", "score"), "near-left")
-            rounds += 1
-            if left_over.isEmpty() or rounds > self.hub_rounds + 1:
-                return common.materialise(links, "near-links")
-            now = scored.where("met").select("bucket", "node", "score")
-            old_hubs = paired.select("bucket", F.col("hub").alias("node")).distinct().join(members, ["bucket", "node"])
-            now = now.unionByName(old_hubs)
-            matched = common.materialise(now if matched is None else matched.unionByName(now), "near-matched")
-            active = left_over
+            active = met.join(tested.where("similarity > 0").select("a", "b"), ["a", "b"], "left_anti").select("bucket", "node", "score")
+            active = common.materialise(active, "near-left")
+        links = tested.where("similarity > 0")
+        new = self._aligned(self._feasible(members, active, links, bodies).join(tested.select("a", "b"), ["a", "b"], "left_anti"), bodies)
+        return common.materialise(links.unionByName(new.where("similarity > 0")), "near-links")
+
+    def _feasible(self, members: DataFrame, left: DataFrame, links: DataFrame, bodies: DataFrame) -> DataFrame:
+        """Pairs (a, b) of ``left`` members and members of their buckets in other classes that may be near.
+
+        With c common shingles, similarity is at most c / (n_a + n_b - c); and c is at most
+        the number of a text's shingles that some other member of these buckets has.
+        """
+        comps = components(links)
+        comp = F.coalesce("comp", "node").alias("comp")
+        of = lambda df: df.join(comps, "node", "left").select("bucket", "node", comp)
+        placed = common.materialise(of(members.select("bucket", "node").join(left.select("bucket").distinct(), "bucket", "left_semi")), "near-placed")
+        several = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("bucket")
+        placed = placed.join(several, "bucket", "left_semi")
+        mates = bodies.join(placed.select("node").distinct(), "node", "left_semi")
+        listed = common.materialise(mates.mapInArrow(_list, "node long, shingles array<long>"), "near-listed")
+        each = listed.select("node", F.explode("shingles").alias("shingle"))
+        common_ = each.groupBy("shingle").agg(F.count("*").alias("texts"), F.min("node").alias("node"))
+        alone = common_.where("texts = 1").groupBy("node").agg(F.count("*").alias("alone"))
+        sizes = listed.select("node", F.size("shingles").alias("n")).join(alone, "node", "left")
+        sizes = common.materialise(sizes.select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared")), "near-sizes")
+        # a text whose own shared shingles are too few for any partner goes before pairs are made
+        hopeful = placed.join(sizes.where(F.col("shared") >= self.least * F.col("n")), "node")
+        x = left.select("bucket", "node").join(hopeful, ["bucket", "node"]).select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("node", "comp", "n", "shared")))
+        y = hopeful.select("bucket", *(F.col(c).alias(f"y_{c}") for c in ("node", "comp", "n", "shared")))
+        most = F.least("x_shared", "y_shared")
+        near = most * (1 + self.least) >= self.least * (F.col("x_n") + F.col("y_n")) - 1e-9
+        pairs = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("x_comp") != F.col("y_comp")) & near)
+        return pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
     def classes(self) -> DataFrame:
         """One row per row: doc_id, class_id, group_size, kept, links."""
