@@ -249,12 +249,13 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: in
     if digest is not None:
         pieces = pieces.select("*", *(c.alias(n) for n, c in digest.items())).drop("ids")
     pieces = common.materialise(pieces, "pack-pieces")
-    bins = pieces.where((F.col("fill") < least) & (F.col("place") == 0)).select("bin", "fill", "part")
-    plan = merge_tree(bins, capacity, least)
-    joined = pieces.join(plan, "bin", "left")
-    sequence = F.coalesce("sequence_id", "bin").alias("sequence_id")
-    offset = (F.col("place") + F.coalesce("shift", F.lit(0))).alias("offset")
-    return joined.select("doc_id", "piece", "start", "length", *output, sequence, offset)
+    loose = F.col("fill") < least
+    plan = merge_tree(pieces.where(loose).select("bin", "fill", "part"), capacity, least)
+    names = ["doc_id", "piece", "start", "length", *output]
+    # Only items of the tree need its verdict: the rest, most pieces, stay where they were packed.
+    packed = pieces.where(~loose).select(*names, F.col("bin").alias("sequence_id"), F.col("place").alias("offset"))
+    placed = pieces.where(loose).join(plan, "bin").select(*names, "sequence_id", F.col("shift").alias("offset"))
+    return packed.unionByName(placed)
 
 
 def merge_tree(items: DataFrame, capacity: int, least: int, carry: int = CARRY, fan_in: int = FAN_IN) -> DataFrame:
