@@ -15,7 +15,7 @@ match choose a hub among themselves, ``HUB_ROUNDS`` times in all.  Members then
 outside of the class of their bucket's hub meet every member of another class in the
 bucket, but for pairs that cannot reach the threshold: shingles that no other member has
 bound what two texts can share, and an edited copy too far from its original has too many
-of them.  Links become classes by iterated joins, never on the driver.
+of them, or plainly shares too few.  Links become classes by iterated joins, never on the driver.
 
 Cases.  Null text counts as empty.  Texts of fewer than five words are one shingle; texts
 without words are near only to equal texts.  Very long texts are read whole.  Repeated rows
@@ -30,7 +30,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -216,11 +215,10 @@ def components(edges: DataFrame) -> DataFrame:
         heard = both.join(labels, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg(F.min("comp").alias("heard"))
         lower = labels.join(heard, "node").select("node", F.col("comp").alias("old"), F.least("comp", "heard").alias("comp"))
         lower = common.materialise(lower, "near-labels")
-        jump = lower.join(lower.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp")
-        new = common.materialise(jump.select("node", "old", F.least("comp", "root").alias("comp")), "near-labels")
-        labels = new.select("node", "comp")
-        if new.where("comp != old").isEmpty():
+        if lower.where("comp != old").isEmpty():
             return labels
+        jump = lower.select("node", "comp").join(lower.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp")
+        labels = common.materialise(jump.select("node", F.least("comp", "root").alias("comp")), "near-labels")
 
 
 class NearDuplicates:
@@ -234,6 +232,7 @@ class NearDuplicates:
         self.signed = common.materialise(signed, "near-signed")
         nodes = self.signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
         self.nodes = common.materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+        self.comps: DataFrame | None = None  # of the links, where already known
         self.links = self._link()
 
     def _buckets(self) -> DataFrame:
@@ -274,16 +273,19 @@ class NearDuplicates:
             active = met.join(tested.where("similarity > 0").select("a", "b"), ["a", "b"], "left_anti").select("bucket", "node", "score")
             active = common.materialise(active, "near-left")
         links = tested.where("similarity > 0")
-        new = self._aligned(self._feasible(members, active, links, bodies).join(tested.select("a", "b"), ["a", "b"], "left_anti"), bodies)
-        return common.materialise(links.unionByName(new.where("similarity > 0")), "near-links")
+        self.comps = components(links)
+        new = self._aligned(self._feasible(members, active, bodies).join(tested.select("a", "b"), ["a", "b"], "left_anti"), bodies).where("similarity > 0")
+        if not new.isEmpty():
+            links, self.comps = links.unionByName(new), None
+        return links
 
-    def _feasible(self, members: DataFrame, left: DataFrame, links: DataFrame, bodies: DataFrame) -> DataFrame:
+    def _feasible(self, members: DataFrame, left: DataFrame, bodies: DataFrame) -> DataFrame:
         """Pairs (a, b) of ``left`` members and members of their buckets in other classes that may be near.
 
         With c common shingles, similarity is at most c / (n_a + n_b - c); and c is at most
         the number of a text's shingles that some other member of these buckets has.
         """
-        comps = components(links)
+        comps = self.comps
         comp = F.coalesce("comp", "node").alias("comp")
         of = lambda df: df.join(comps, "node", "left").select("bucket", "node", comp)
         placed = common.materialise(of(members.select("bucket", "node").join(left.select("bucket").distinct(), "bucket", "left_semi")), "near-placed")
@@ -297,17 +299,19 @@ class NearDuplicates:
         sizes = listed.select("node", F.size("shingles").alias("n")).join(alone, "node", "left")
         sizes = common.materialise(sizes.select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared")), "near-sizes")
         # a text whose own shared shingles are too few for any partner goes before pairs are made
-        hopeful = placed.join(sizes.where(F.col("shared") >= self.least * F.col("n")), "node")
-        x = left.select("bucket", "node").join(hopeful, ["bucket", "node"]).select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("node", "comp", "n", "shared")))
-        y = hopeful.select("bucket", *(F.col(c).alias(f"y_{c}") for c in ("node", "comp", "n", "shared")))
-        most = F.least("x_shared", "y_shared")
-        near = most * (1 + self.least) >= self.least * (F.col("x_n") + F.col("y_n")) - 1e-9
+        hopeful = placed.join(sizes.where(F.col("shared") >= self.least * F.col("n")), "node").join(listed, "node")
+        names = ("node", "comp", "n", "shared", "shingles")
+        x = left.select("bucket", "node").join(hopeful, ["bucket", "node"]).select("bucket", *(F.col(c).alias(f"x_{c}") for c in names))
+        y = hopeful.select("bucket", *(F.col(c).alias(f"y_{c}") for c in names))
+        reach = lambda c: c * (1 + self.least) >= self.least * (F.col("x_n") + F.col("y_n")) - 1e-9
+        # the cheap bound first; where it leaves a pair open, the shingles that the two do share
+        near = reach(F.least("x_shared", "y_shared")) & reach(F.size(F.array_intersect("x_shingles", "y_shingles")))
         pairs = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("x_comp") != F.col("y_comp")) & near)
         return pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
     def classes(self) -> DataFrame:
         """One row per row: doc_id, class_id, group_size, kept, links."""
-        comps = components(self.links)
+        comps = components(self.links) if self.comps is None else self.comps
         degree = self.links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
         placed = self.nodes.select("node", "key").join(comps, "node", "left").join(degree, "node", "left")
         placed = placed.select("key", F.coalesce("comp", "node").alias("comp"), F.coalesce("links", F.lit(0)).alias("links"))
