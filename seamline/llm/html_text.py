@@ -223,7 +223,7 @@ def _table(element: Element, depth: int) -> list[str]:
                 elif not cell.hidden:
                     span = attributes_of(cell.attributes).get("colspan", "1") if cell.attributes and "colspan" in cell.attributes.lower() else "1"
                     cells.append(_render(cell, depth + 1))
-                    cells.extend([] for _ in range(min(int(span), 1000) - 1 if span.isdigit() and int(span) else 0))
+                    cells.extend([] for _ in range(min(int(span), 1000) - 1 if re.fullmatch("[0-9]{1,9}", span) else 0))
             if cells:
                 rows.append(cells)
         elif child.tag in ("td", "th"):

@@ -26,6 +26,7 @@ def test_broken_markup_keeps_text():
     assert render("<table>loose<tr><td>a") == "loose\na"
     assert "deep" in render("<div>" * 5000 + "deep")
     assert "x" in render("<table><tr><td>" * 300 + "x")
+    assert render("<table><tr><td colspan='²'>a<td colspan=0>b<td colspan=99999999999>c</table>") == "a  b  c"
 
 
 def test_odd_rows(spark):
