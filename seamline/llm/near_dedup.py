@@ -11,11 +11,11 @@ the threshold: similarity = aligned / (shingles of both - aligned), at least 0.8
 Scale.  Equal texts collapse to one node first.  A bucket of agreeing nodes isn't expanded
 into pairs: its members are aligned with the bucket's hub, the node that shares most
 buckets with others (the likely original of its copies).  Members that the hub does not
-match choose a hub among themselves, ``HUB_ROUNDS`` times in all.  Members then still
-outside of the class of their bucket's hub meet every member of another class in the
-bucket, but for pairs that cannot reach the threshold: shingles that no other member has
-bound what two texts can share, and an edited copy too far from its original has too many
-of them, or plainly shares too few.  Links become classes by iterated joins, never on the driver.
+match choose a hub among themselves, ``HUB_ROUNDS`` times in all.  Members whose class is
+then not that of their bucket's first hub, later hubs and their matches among them, meet
+every member of another class in the bucket, but for pairs that cannot reach the
+threshold: shingles that no other class has bound what two texts can share, and an edited
+copy too far from its original has too many of them, or plainly shares too few.  Links become classes by iterated joins, never on the driver.
 
 Cases.  Null text counts as empty.  Texts of fewer than five words are one shingle; texts
 without words are near only to equal texts.  Very long texts are read whole.  Repeated rows
@@ -260,11 +260,12 @@ class NearDuplicates:
         """Verified links (a, b, similarity) between nodes."""
         members = self._buckets()
         bodies = self._bodies(members)
-        active, tested = members, None
+        active, tested, followers = members, None, None
         for _ in range(self.hub_rounds):
             hubs = active.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("node")).alias("m"))).alias("hub"), F.count("*").alias("n")).where("n > 1")
             met = active.join(hubs.select("bucket", (-F.col("hub.m")).alias("hub")), "bucket").where("node != hub")
             met = common.materialise(met.withColumns({"a": F.least("node", "hub"), "b": F.greatest("node", "hub")}), "near-met")
+            followers = met if followers is None else followers
             pairs = met.select("a", "b").distinct()
             if tested is not None:
                 pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
@@ -274,39 +275,43 @@ class NearDuplicates:
             active = common.materialise(active, "near-left")
         links = tested.where("similarity > 0")
         self.comps = components(links)
-        new = self._aligned(self._feasible(members, active, bodies).join(tested.select("a", "b"), ["a", "b"], "left_anti"), bodies).where("similarity > 0")
+        new = self._aligned(self._feasible(followers, bodies).join(tested.select("a", "b"), ["a", "b"], "left_anti"), bodies).where("similarity > 0")
         if not new.isEmpty():
             links, self.comps = links.unionByName(new), None
         return links
 
-    def _feasible(self, members: DataFrame, left: DataFrame, bodies: DataFrame) -> DataFrame:
-        """Pairs (a, b) of ``left`` members and members of their buckets in other classes that may be near.
+    def _feasible(self, followers: DataFrame, bodies: DataFrame) -> DataFrame:
+        """Pairs (a, b) of one bucket, in different classes, that may be near.
 
-        With c common shingles, similarity is at most c / (n_a + n_b - c); and c is at most
-        the number of a text's shingles that some other member of these buckets has.
+        ``followers`` (bucket, node, hub) are all members but the bucket's first hub, which
+        has met them all.  One of a pair is outside of that hub's class.  With c common
+        shingles, similarity is at most c / (n_a + n_b - c); and c is at most the number of
+        a text's shingles that some text of another class has.
         """
-        comps = self.comps
-        comp = F.coalesce("comp", "node").alias("comp")
-        of = lambda df: df.join(comps, "node", "left").select("bucket", "node", comp)
-        placed = common.materialise(of(members.select("bucket", "node").join(left.select("bucket").distinct(), "bucket", "left_semi")), "near-placed")
+        placed = followers.select("bucket", "node", "hub").join(self.comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        led = self.comps.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
+        placed = placed.join(led, "hub", "left").select("bucket", "node", "comp", (F.col("comp") == F.coalesce("hub_comp", "hub")).alias("led"))
+        placed = common.materialise(placed, "near-placed")
         several = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("bucket")
-        placed = placed.join(several, "bucket", "left_semi")
-        mates = bodies.join(placed.select("node").distinct(), "node", "left_semi")
-        listed = common.materialise(mates.mapInArrow(_list, "node long, shingles array<long>"), "near-listed")
-        each = listed.select("node", F.explode("shingles").alias("shingle"))
-        common_ = each.groupBy("shingle").agg(F.count("*").alias("texts"), F.min("node").alias("node"))
-        alone = common_.where("texts = 1").groupBy("node").agg(F.count("*").alias("alone"))
-        sizes = listed.select("node", F.size("shingles").alias("n")).join(alone, "node", "left")
-        sizes = common.materialise(sizes.select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared")), "near-sizes")
+        placed = common.materialise(placed.join(several, "bucket", "left_semi"), "near-several")
+        mates = placed.select("node", "comp").distinct()
+        listed = bodies.join(mates, "node", "left_semi").mapInArrow(_list, "node long, shingles array<long>")
+        listed = common.materialise(listed.join(mates, "node"), "near-listed")
+        each = listed.select("node", "comp", F.explode("shingles").alias("shingle"))
+        abroad = each.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("shingle")
+        shared = each.join(abroad, "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("shared"))
+        sizes = listed.select("node", F.size("shingles").alias("n"), "shingles").join(shared, "node")
         # a text whose own shared shingles are too few for any partner goes before pairs are made
-        hopeful = placed.join(sizes.where(F.col("shared") >= self.least * F.col("n")), "node").join(listed, "node")
-        names = ("node", "comp", "n", "shared", "shingles")
-        x = left.select("bucket", "node").join(hopeful, ["bucket", "node"]).select("bucket", *(F.col(c).alias(f"x_{c}") for c in names))
+        sizes = common.materialise(sizes.where(F.col("shared") >= self.least * F.col("n") - 1e-9), "near-sizes")
+        hopeful = placed.join(sizes, "node")
+        names = ("node", "comp", "led", "n", "shared", "shingles")
+        x = hopeful.where("NOT led").select("bucket", *(F.col(c).alias(f"x_{c}") for c in names))
         y = hopeful.select("bucket", *(F.col(c).alias(f"y_{c}") for c in names))
+        once = F.col("y_led") | (F.col("x_node") < F.col("y_node"))
         reach = lambda c: c * (1 + self.least) >= self.least * (F.col("x_n") + F.col("y_n")) - 1e-9
         # the cheap bound first; where it leaves a pair open, the shingles that the two do share
         near = reach(F.least("x_shared", "y_shared")) & reach(F.size(F.array_intersect("x_shingles", "y_shingles")))
-        pairs = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("x_comp") != F.col("y_comp")) & near)
+        pairs = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("x_comp") != F.col("y_comp")) & once & near)
         return pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
     def classes(self) -> DataFrame:

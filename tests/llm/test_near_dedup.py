@@ -1,8 +1,11 @@
 import random
 
 import numpy as np
+import pytest
 from conftest_llm import ODD, prose
+from pyspark.sql import functions as F
 
+from seamline.llm import common
 from seamline.llm import near_dedup as n
 
 
@@ -58,6 +61,25 @@ def test_hot_group_of_edited_copies(make):
     assert sum(r["kept"] for r in rows) == len({r["class_id"] for r in rows})
 
 
+class OneBucket(n.NearDuplicates):
+    """All nodes in one bucket, led by the smaller doc_ids."""
+
+    def _buckets(self):
+        return common.materialise(self.nodes.select(F.lit(0).cast("long").alias("bucket"), "node", (-F.col("doc_id")).alias("score")), "near-buckets")
+
+
+@pytest.mark.parametrize("families,length", [(1, 3), (5, 4)])
+def test_chains_that_the_first_hub_does_not_match(make, families, length):
+    texts = {}
+    for f in range(families):
+        words = prose(f * 50, 100, 3).split()[:60]
+        for k in range(length):  # each near the one before, no two steps apart
+            texts[len(texts)] = " ".join(words)
+            words[10 + 15 * k] = f"zz{f}x{k}"
+    rows = OneBucket(make([(i, t, "s") for i, t in texts.items()])).classes().collect()
+    assert {r["doc_id"]: r["class_id"] for r in rows} == brute(texts) == {i: i - i % length for i in texts}
+
+
 def test_similarity_against_plain_alignment():
     rng = random.Random(3)
     for _ in range(300):
