@@ -3,12 +3,12 @@
 Every input partition tokenises its documents, cuts only those longer than a sequence
 (into full pieces; the first piece takes the remainder) and packs its pieces best-fit,
 longest first.  Bins that are nearly full are final.  What lies in underfull bins stays
-as items: groups of partitions pack them best-fit again, emit what is nearly full and pass
-the rest up a tree, until one group is left.  A group passes the items of its emptiest
-bins, at most ``CARRY``; its other bins are final as they stand, so the root's work is
-bounded whatever the input.
+as items.  Partitions pass up how many items of each length they have, at most
+``CAPACITY`` numbers each; the root packs all items at once by their counts, best-fit
+again, and its plan deals the places of a length to the items of that length by rank.
+Nothing but counts goes up, so the root's work is bounded and no item is left out.
 
-Pieces are written once to the shared folder; merging moves only (item, length) rows.
+Pieces are written once to the shared folder; dealing moves only (item, length) rows.
 
 Cases.  Null text is packed as empty text: the end token alone.  Very long texts are cut
 as said, losing no token.  Repeated rows are packed row by row; a null doc_id stays null.
@@ -26,7 +26,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -35,8 +35,8 @@ CAPACITY = 1024
 END_TOKEN = 2
 #: A bin with at most this share free is final.
 SLACK = 0.002
-FAN_IN = 8
-CARRY = 8192
+#: Planned sequences are numbered from here, above the bins of any partition.
+PLANNED = 1 << 62
 #: Distinct words, and spans between blanks, whose tokens a worker remembers.
 MEMORY = 500_000
 
@@ -167,7 +167,7 @@ def _pack_locally(path: str, capacity: int, end: int, least: int):
     def emit(rows: list[tuple], part: int, first_bin: int) -> tuple[list[pa.RecordBatch], int]:
         lengths = np.array([r[3] for r in rows], np.int64)
         where, place, fill = best_fit(lengths, capacity)
-        # pieces of underfull bins become items: bins of their own, for the tree to pack
+        # pieces of underfull bins become items: bins of their own, for the plan to pack
         filled = np.asarray(fill, np.int64)
         (loose,) = np.nonzero(filled[where] < least)
         where[loose], place[loose] = len(fill) + np.arange(len(loose)), 0
@@ -200,35 +200,68 @@ def _pack_locally(path: str, capacity: int, end: int, least: int):
     return run
 
 
-_ITEMS_DDL = "bin long, sequence_id long, shift long, fill long, part long, final boolean"
-
-
-def _merge(capacity: int, least: int, carry: int, root: bool):
-    """Items of one group, packed again: final with a sequence and a place, or passed up."""
-
-    def run(table: pa.Table) -> pa.Table:
-        items = table.to_pydict()
-        where, place, fill = best_fit(items["fill"], capacity)
-        filled, size = np.asarray(fill, np.int64), np.bincount(where, minlength=len(fill))
-        passed = np.zeros(len(fill), bool)
-        if not root:
-            order = np.argsort(filled, kind="stable")
-            passed[order[np.cumsum(size[order]) <= carry]] = True
-            passed &= filled < least
-        final = ~passed[where]
-        first = np.zeros(len(fill), np.int64)
-        own = np.asarray(items["bin"], np.int64)
-        first[where[::-1]] = own[::-1]
-        return pa.table(
-            {
-                "bin": pa.array(own),
-                "sequence_id": pa.array(np.where(final, first[where], own)),
-                "shift": pa.array(np.where(final, place, 0)),
-                "fill": pa.array(items["fill"], pa.int64()),
-                "part": pa.array(items["part"], pa.int64()),
-                "final": pa.array(final),
-            }
-        )
+def best_fit_counts(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
+    """``best_fit`` over counts of lengths: (number of bins, items of each length in one such bin).
+
+    Bins that are alike stay one entry; a length splits at most two entries, so there are
+    few whatever the counts.
+    """
+    waiting: dict[int, list[tuple[int, dict[int, int]]]] = {}  # by free room
+    rooms: list[int] = []
+
+    def put(room: int, bins: int, held: dict[int, int]) -> None:
+        if bins:
+            if room not in waiting:
+                insort(rooms, room)
+            waiting.setdefault(room, []).append((bins, held))
+
+    for n, left in sorted(counts.items(), reverse=True):
+        # bins that took this length have less room than it needs, or have the last of it
+        while left:
+            at = bisect_left(rooms, n)
+            if at < len(rooms):
+                room = rooms[at]
+                bins, held = waiting[room].pop()
+                if not waiting[room]:
+                    del waiting[room], rooms[at]
+            else:
+                room, held = capacity, {}
+                bins = -(-left // (capacity // n))
+            each = room // n
+            whole = min(bins, left // each)
+            left -= whole * each
+            put(room - each * n, whole, {**held, n: each})
+            if whole < bins and left:
+                put(room - left * n, 1, {**held, n: left})
+                left, whole = 0, whole + 1
+            put(room, bins - whole, held)
+    return [entry for entries in waiting.values() for entry in entries]
+
+
+#: Bits of an item's rank among the items of its length.
+_RANK = 48
+
+
+def _deal(plan: list[tuple[int, dict[int, int]]]):
+    """(bin, fill, rank) to (bin, sequence_id, shift) by the plan."""
+    taken: dict[int, int] = {}
+    runs, first = [], PLANNED
+    for bins, held in plan:
+        shift = 0
+        for n, each in held.items():
+            runs.append(((n << _RANK) + taken.get(n, 0), each, first, shift))
+            taken[n] = taken.get(n, 0) + bins * each
+            shift += n * each
+        first += bins
+    start, each, sequence, shift = np.array(sorted(runs), np.int64).reshape(-1, 4).T
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fill, rank = (batch.column(i).to_numpy() for i in (1, 2))
+            key = (fill << _RANK) + rank
+            at = np.searchsorted(start, key, "right") - 1
+            nth, place = np.divmod(key - start[at], each[at])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sequence[at] + nth), pa.array(shift[at] + place * fill)], names=["bin", "sequence_id", "shift"])
 
     return run
 
@@ -250,29 +283,28 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: in
         pieces = pieces.select("*", *(c.alias(n) for n, c in digest.items())).drop("ids")
     pieces = common.materialise(pieces, "pack-pieces")
     loose = F.col("fill") < least
-    plan = merge_tree(pieces.where(loose).select("bin", "fill", "part"), capacity, least)
+    plan = merge_tree(pieces.where(loose).select("bin", "fill", "part"), capacity)
     names = ["doc_id", "piece", "start", "length", *output]
-    # Only items of the tree need its verdict: the rest, most pieces, stay where they were packed.
+    # Only items need the plan: the rest, most pieces, stay where they were packed.
     packed = pieces.where(~loose).select(*names, F.col("bin").alias("sequence_id"), F.col("place").alias("offset"))
     placed = pieces.where(loose).join(plan, "bin").select(*names, "sequence_id", F.col("shift").alias("offset"))
     return packed.unionByName(placed)
 
 
-def merge_tree(items: DataFrame, capacity: int, least: int, carry: int = CARRY, fan_in: int = FAN_IN) -> DataFrame:
-    """Rounds of best-fit over items (bin, fill, part): bin, sequence_id, shift."""
+def merge_tree(items: DataFrame, capacity: int, least: int | None = None, carry: int | None = None, fan_in: int | None = None) -> DataFrame:
+    """All items (bin, fill, part) packed best-fit at once: bin, sequence_id, shift.
+
+    ``least``, ``carry`` and ``fan_in`` bounded an earlier tree; counts need no bounds, so
+    they change nothing.
+    """
     spark = items.sparkSession
-    highest = items.agg(F.max("part")).first()[0]
-    if highest is None:
+    counts = common.materialise(items.groupBy("part", "fill").agg(F.count("*").alias("n")), "pack-counts")
+    total = {r["fill"]: r["n"] for r in counts.groupBy("fill").agg(F.sum("n").alias("n")).collect()}
+    if not total:
         return common.local_frame(spark, [], "bin long, sequence_id long, shift long")
-    groups, done = highest // fan_in + 1, []
-    heads = items.select("bin", "fill", F.floor(F.col("part") / fan_in).alias("part"))
-    while True:
-        merged = common.materialise(heads.groupBy("part").applyInArrow(_merge(capacity, least, carry, groups == 1), _ITEMS_DDL), "pack-merge")
-        done.append(merged.where("final").select("bin", "sequence_id", "shift"))
-        if groups == 1:
-            break
-        heads, groups = merged.where("NOT final").select("bin", "fill", F.floor(F.col("part") / fan_in).alias("part")), (groups - 1) // fan_in + 1
-    plan = done[0]
-    for level in done[1:]:
-        plan = plan.unionByName(level)
-    return plan
+    before = F.sum("n").over(Window.partitionBy("fill").orderBy("part")) - F.col("n")
+    nth = F.row_number().over(Window.partitionBy("part", "fill").orderBy("bin")) - 1
+    ranked = items.select("bin", "fill", "part", nth.alias("nth")).join(counts.select("part", "fill", before.alias("before")), ["part", "fill"])
+    ranked = ranked.select("bin", F.col("fill").cast("long").alias("fill"), (F.col("before") + F.col("nth")).alias("rank"))
+    plan = best_fit_counts(total, capacity)
+    return common.materialise(ranked.mapInArrow(_deal(plan), "bin long, sequence_id long, shift long"), "pack-plan")

@@ -91,3 +91,20 @@ def test_merge_tree_bounds_what_goes_up(spark):
             assert shift == at
             at += length
         assert at <= 100
+
+
+def test_best_fit_by_counts_is_best_fit():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        lengths = rng.integers(1, rng.integers(2, 102), rng.integers(1, 300))
+        plan = packing.best_fit_counts(dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)))), 100)
+        fills = sorted(sum(n * k for n, k in held.items()) for bins, held in plan for _ in range(bins))
+        assert fills == sorted(packing.best_fit(lengths, 100)[2])
+
+
+def test_items_of_far_partitions_meet_whatever_their_number(spark):
+    n = 20_000  # lengths that fit only together, in partitions that no small group holds both of
+    items = spark.range(2 * n).selectExpr("id AS bin", "IF(id < {0}, 600L, 400L) AS fill".format(n), "IF(id < {0}, id % 8, 8 + id % 8) AS part".format(n))
+    plan = packing.merge_tree(items, 1024, 1021)
+    by = plan.join(items, "bin").groupBy("sequence_id").agg(F.sum("fill").alias("fill"), F.count("*").alias("items"), F.max("shift").alias("shift")).collect()
+    assert len(by) == n and all((r["fill"], r["items"], r["shift"]) == (1000, 2, 600) for r in by)
