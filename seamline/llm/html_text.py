@@ -56,6 +56,12 @@ IMPLIED = {
     "option": (("option",), ("select", "optgroup")),
     "body": (("head",), ()),
 }
+#: Hidden elements whose end tag may be left out, and the start tags that leave them open.
+#: Any other start tag, and text that is not blank, closes them.
+HIDDEN_OPEN = {
+    "head": frozenset("base basefont bgsound link meta title noscript noframes style script template".split()),
+    "colgroup": frozenset(("col", "template")),
+}
 SCOPE = frozenset("table td th caption button object html body template".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -107,6 +113,19 @@ def _close_implied(stack: list[Element], tag: str) -> None:
                 break
 
 
+def _leave_hidden(stack: list[Element], tag: str | None = None) -> None:
+    """Close an open head or colgroup that a start tag, or text, shows to be over."""
+    while len(stack) > 1 and stack[-1].tag in HIDDEN_OPEN and tag not in HIDDEN_OPEN[stack[-1].tag]:
+        stack.pop()
+
+
+def _add_text(stack: list[Element], source: str) -> None:
+    text = html.unescape(source)
+    if stack[-1].tag in HIDDEN_OPEN and text.strip(" \t\n\r\f"):
+        _leave_hidden(stack)
+    stack[-1].children.append(text)
+
+
 def parse(page: str) -> Element:
     """The element tree of a page."""
     root = Element("html")
@@ -114,16 +133,17 @@ def parse(page: str) -> Element:
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
-            stack[-1].children.append(html.unescape(page[at:]))
+            _add_text(stack, page[at:])
             break
         if m.start() > at:
-            stack[-1].children.append(html.unescape(page[at : m.start()]))
+            _add_text(stack, page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
         if m[1]:
             if tag == "br":
+                _leave_hidden(stack, tag)
                 stack[-1].children.append(Element("br"))
                 continue
             for i in range(len(stack) - 1, 0, -1):
@@ -135,6 +155,7 @@ def parse(page: str) -> Element:
             continue
         if tag == "html":
             continue
+        _leave_hidden(stack, tag)
         _close_implied(stack, tag)
         element = Element(tag, m[3])
         stack[-1].children.append(element)

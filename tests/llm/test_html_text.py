@@ -11,6 +11,18 @@ def test_implied_tags_and_lists():
     assert render("<p>a<p>b<ul><li>c<li>d<ol start=3><li>e<li>f</ol></ul>g") == "a\n\nb\n\n- c\n- d\n  3. e\n  4. f\n\ng"
 
 
+def test_head_without_end_tag():
+    assert render("<html><head><title>t</title><h1>Hello</h1><p>text") == "Hello\n\ntext"
+    assert render("<head>\n<meta charset=x><style>s</style>\n<noscript><img alt=n>no</noscript><script>z</script>plain <b>bold</b>") == "plain bold"
+    assert render("<head><title>t</title><link rel=x></head><body>b") == "b"
+
+
+def test_colgroup_without_end_tag():
+    assert render("<table><colgroup><col><col><tr><td>a<td>b</table>c") == "a  b\n\nc"
+    assert render("<table><colgroup><col><colgroup><col>\n<tbody><tr><td>a</table>") == "a"
+    assert render("<table><colgroup><col>loose<tr><td>a</table>") == "loose\na"
+
+
 def test_tables_are_aligned():
     page = "<table><caption>Cap</caption><tr><th>name<th>n<tr><td>日本<td>1<tr><td>abcdef<td>22<td>x</table>"
     assert render(page) == "Cap\nname    n\n日本    1\nabcdef  22  x"
