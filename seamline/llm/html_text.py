@@ -7,7 +7,10 @@ with markers and indentation, preformatted text as it is, and tables with cells
 in columns.  Hidden are comments, head matter, scripts, styles, templates, elements with
 the ``hidden`` attribute, with ``aria-hidden="true"`` kept visible (it still shows on
 screen), with ``display:none`` or ``visibility:hidden`` in a style attribute, hidden
-inputs, and the content of closed alternatives such as ``noscript``.
+inputs, and the content of closed alternatives such as ``noscript``.  Formulas of MathML show
+their text without annotations; drawings of SVG show their ``text`` and ``foreignObject``
+elements, but not what only a ``use`` would draw; a ``select`` shows all its options, a line
+each, as ``innerText`` does.
 
 Cases.  Null and empty pages give an empty text.  Broken markup never fails: stray end tags
 are dropped, open elements are closed at the end, an unfinished tag is text.  Nesting is
@@ -35,7 +38,7 @@ MAX_DEPTH = 200
 #: Element classes of the HTML standard: fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noframes iframe".split())
-NEVER_SHOWN = frozenset("head script style template noscript title meta link noframes iframe object audio video canvas svg math datalist colgroup select".split())
+NEVER_SHOWN = frozenset("head script style template noscript title meta link noframes iframe object audio video canvas datalist colgroup annotation annotation-xml".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table caption thead tbody tfoot tr ul".split()
@@ -54,6 +57,7 @@ IMPLIED = {
     "tbody": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption"), ("table",)),
     "tfoot": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption"), ("table",)),
     "option": (("option",), ("select", "optgroup")),
+    "optgroup": (("option", "optgroup"), ("select",)),
     "body": (("head",), ()),
 }
 #: Hidden elements whose end tag may be left out, and the start tags that leave them open.
@@ -62,10 +66,18 @@ HIDDEN_OPEN = {
     "head": frozenset("base basefont bgsound link meta title noscript noframes style script template".split()),
     "colgroup": frozenset(("col", "template")),
 }
+FOREIGN = frozenset(("svg", "math"))
+SVG_UNSEEN = frozenset("defs symbol clippath mask marker pattern desc metadata".split())
+#: Start tags that end an open drawing, as the HTML standard lists them.
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre "
+    "ruby s small span strong strike sub sup table tt u ul var".split()
+)
 SCOPE = frozenset("table td th caption button object html body template".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_UNQUOTED_END = re.compile(r"=\s*[^\s\"'>]+\Z")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -119,6 +131,25 @@ def _leave_hidden(stack: list[Element], tag: str | None = None) -> None:
         stack.pop()
 
 
+def _break_out(stack: list[Element]) -> None:
+    """Close the drawings that an HTML start tag shows to be over."""
+    outer = 0
+    for i in range(len(stack) - 1, 0, -1):
+        if stack[i].tag in ("foreignobject", "desc"):
+            break
+        if stack[i].tag == "svg":
+            outer = i
+    if outer:
+        del stack[outer:]
+
+
+def _self_closed(stack: list[Element], tag: str, source: str) -> bool:
+    """Whether a start tag of a formula or drawing is its own end: HTML's are not."""
+    if not source.endswith("/") or _UNQUOTED_END.search(source):
+        return False
+    return tag in FOREIGN or next((e.tag in FOREIGN for e in reversed(stack) if e.tag in FOREIGN or e.tag == "foreignobject"), False)
+
+
 def _add_text(stack: list[Element], source: str) -> None:
     text = html.unescape(source)
     if stack[-1].tag in HIDDEN_OPEN and text.strip(" \t\n\r\f"):
@@ -156,10 +187,12 @@ def parse(page: str) -> Element:
         if tag == "html":
             continue
         _leave_hidden(stack, tag)
+        if tag in BREAKS_OUT:
+            _break_out(stack)
         _close_implied(stack, tag)
         element = Element(tag, m[3])
         stack[-1].children.append(element)
-        if tag in VOID:
+        if tag in VOID or _self_closed(stack, tag, m[3]):
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
@@ -271,7 +304,25 @@ def _render(element: Element, depth: int = 0) -> list[str]:
     return out.done
 
 
+def _fill_drawing(out: Lines, element: Element, depth: int) -> None:
+    for child in element.children:
+        if isinstance(child, str) or child.hidden or child.tag in SVG_UNSEEN:
+            continue
+        if child.tag == "text":
+            out.text(" ")
+            _fill(out, child, depth + 1, False)
+            out.text(" ")
+        elif child.tag == "foreignobject":
+            out.line()
+            _fill(out, child, depth + 1, False)
+            out.line()
+        else:
+            _fill_drawing(out, child, depth + 1)
+
+
 def _fill(out: Lines, element: Element, depth: int, pre: bool) -> None:
+    if element.tag == "svg":
+        return _fill_drawing(out, element, depth)
     number = None
     if element.tag == "ol":
         start = attributes_of(element.attributes).get("start", "1") if element.attributes else "1"
@@ -332,6 +383,14 @@ def _fill(out: Lines, element: Element, depth: int, pre: bool) -> None:
             out.line()
             _fill(out, child, depth + 1, pre)
             out.line()
+        elif tag in ("option", "optgroup"):
+            out.line()
+            label = attributes_of(child.attributes).get("label", "") if child.attributes else ""
+            out.text(label)
+            if tag == "optgroup" or not label:
+                out.line()
+                _fill(out, child, depth + 1, pre)
+            out.line()
         elif tag in ("td", "th"):  # outside of a table
             out.text(" ")
             _fill(out, child, depth + 1, pre)

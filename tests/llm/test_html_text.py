@@ -23,6 +23,15 @@ def test_colgroup_without_end_tag():
     assert render("<table><colgroup><col>loose<tr><td>a</table>") == "loose\na"
 
 
+def test_formulas_drawings_and_options():
+    assert render("<p>so <math><semantics><mrow><mi>a</mi><mspace/><mo>+</mo><mn>1</mn></mrow><annotation>a+1</annotation></semantics></math> holds") == "so a+1 holds"
+    icons = "<path d='M0'/>" * 300
+    assert render(f"<p>x<svg viewBox='0'><title>t</title><defs><text>no</text></defs>{icons}raw<text>la<tspan>bel</tspan></text><g><text>two</text></g></svg>y") == "x label two y"
+    assert render("<svg><foreignObject><div>in<div/>side</div></foreignObject></svg>") == "in\nside"
+    assert render("<svg><path d=M0><p>after") == "after"
+    assert render("<select><option>one<option selected>two<optgroup label=G><option label=three>3</select>z") == "one\ntwo\nG\nthree\nz"
+
+
 def test_tables_are_aligned():
     page = "<table><caption>Cap</caption><tr><th>name<th>n<tr><td>日本<td>1<tr><td>abcdef<td>22<td>x</table>"
     assert render(page) == "Cap\nname    n\n日本    1\nabcdef  22  x"
