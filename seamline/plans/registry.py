@@ -447,10 +447,10 @@ def s6_lookback_scan(spark, sf_dir):
 
 @query()
 def g1_simulated_fleet(spark, sf_dir):
-    """A simulated day of forty machines, by type: the source has no SQL form."""
+    """The simulator's own fleet over its own 72 hours, by type: the source has no SQL form."""
     view(spark, sf_dir)
     start = datetime(2026, 8, 20, tzinfo=timezone.utc)
-    raw = telemetry.simulate(spark, telemetry.FleetConfig(fleet_size=40, seed=7), start, start + timedelta(hours=24))
+    raw = telemetry.simulate(spark, telemetry.FleetConfig(), start, start + timedelta(hours=72))
     clean = cleaning.clean(raw.drop("event_time"), _AT).silver
     return clean.groupBy("equipment_type").agg(F.count_distinct("equipment_id").alias("machines"), F.count("*").alias("readings"), F.round(F.avg("coolant_temp_c"), 6).alias("avg_coolant_temp_c"))
 

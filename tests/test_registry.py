@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from seamline.plans import registry
+from seamline.sources import telemetry
 
 
 def _rows(rows, columns):
@@ -24,6 +25,12 @@ def test_query_matches_sql(spark, small, name):
     assert _rows([tuple(r) for r in df.collect()], df.columns) == _rows(want.fetchall(), want.columns)
 
 
+def test_simulated_fleet_is_whole(spark, small):
+    rows = registry.QUERIES["g1_simulated_fleet"](spark, small).collect()
+    assert sum(r["machines"] for r in rows) == telemetry.FleetConfig().fleet_size
+    assert sum(r["readings"] for r in rows) > 0.9 * 500 * 72 * 12  # a reading each 5 minutes, but for dropouts
+
+
 def test_entry_without_corpus_operators(spark):
     import __spark_entry__ as entry
 
