@@ -6,7 +6,8 @@ shuffled (a text that a third of all rows share leaves each partition once).  Ow
 dealt by (length, content hash) and inserted into final tries, whose terminal nodes hold
 the smallest and largest identifier and the count.  Members then fetch the verdict of
 their local owner by an even join on the owner's key.  A final trie over its memory
-budget spills its heaviest subtree to the task's temporary folder and finishes it later.
+budget spills heavy subtrees to the task's temporary folder (read by that task alone, so a
+lost executor only redoes the task) and finishes them later.
 
 Cases.  Null text counts as empty text.  Empty and very long texts are texts like others.
 Null doc_id sorts below every identifier; a group of only null identifiers keeps null.
@@ -20,7 +21,9 @@ import hashlib
 import os
 import pickle
 import tempfile
+from collections import OrderedDict
 from collections.abc import Iterable, Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -58,7 +61,7 @@ class Node:
         self.label = label
         self.children: dict[int, Node] = {}
         self.entry: Entry | None = None
-        self.file = None  # open spill file: the subtree below lives there
+        self.file: str | None = None  # path of a spill file: all texts that reach this node are there
 
 
 def shared_length(label: bytes, data: bytes, at: int) -> int:
@@ -73,21 +76,77 @@ def shared_length(label: bytes, data: bytes, at: int) -> int:
     return low
 
 
-class RadixTrie:
-    """A compressed trie over byte strings, with spill by subtree."""
+def joined(link: tuple | None) -> bytes:
+    """The bytes of a path of labels, given from its end."""
+    parts = []
+    while link is not None:
+        link, label = link
+        parts.append(label)
+    return b"".join(reversed(parts))
+
+
+class Spills:
+    """Files of (suffix, entry) records in a temporary folder, few of them open at a time."""
+
+    OPEN = 32
 
-    def __init__(self, budget: int = TRIE_BYTES, spill: bool = True):
-        self.root, self.held, self.budget, self.spill = Node(b""), 0, budget, spill
-        self.spilled: dict[bytes, tuple] = {}  # prefix -> open file and its path
+    def __init__(self):
+        self.folder = tempfile.TemporaryDirectory(prefix="trie-")
+        self.handles: OrderedDict[str, BinaryIO] = OrderedDict()
         self.files = 0
-        self.folder: tempfile.TemporaryDirectory | None = None
+
+    def new(self) -> str:
+        self.files += 1
+        return os.path.join(self.folder.name, str(self.files))
+
+    def put(self, path: str, suffix: bytes, entry: Entry) -> None:
+        handle = self.handles.pop(path, None) or open(path, "ab")
+        self.handles[path] = handle
+        if len(self.handles) > self.OPEN:
+            self.handles.popitem(last=False)[1].close()
+        pickle.dump((suffix, entry.smallest, entry.largest, entry.count, entry.owners), handle)
+
+    def records(self, path: str) -> Iterator[tuple[bytes, Entry]]:
+        handle = self.handles.pop(path, None)
+        if handle is not None:
+            handle.close()
+        with open(path, "rb") as file:
+            while True:
+                try:
+                    suffix, *rest = pickle.load(file)
+                except EOFError:
+                    return
+                yield suffix, Entry(*rest)
+
+    def drop(self, path: str) -> None:
+        handle = self.handles.pop(path, None)
+        if handle is not None:
+            handle.close()
+        os.unlink(path)
+
+
+class RadixTrie:
+    """A compressed trie over byte strings, with spill by subtree.
+
+    A spilled node keeps one byte of its label; what lies below it is read back when the
+    texts in memory are done, first what all its texts have in common, then the rest by a
+    trie of its own, which may spill again.  Such tries divide the texts of their file at
+    least in two, and a file of one text needs none, so texts may be longer than the budget.
+    """
+
+    def __init__(self, budget: int = TRIE_BYTES, spill: bool = True, spills: Spills | None = None):
+        self.root, self.held, self.budget, self.spill, self.spills = Node(b""), 0, budget, spill, spills
+
+    @property
+    def files(self) -> int:
+        return self.spills.files if self.spills else 0
 
     def insert(self, data: bytes, entry: Entry) -> Entry | None:
         """Add a text; returns its terminal entry, or None if it went to a spill file."""
         node, at = self.root, 0
         while True:
             if node.file is not None:
-                pickle.dump((data[at:], entry.smallest, entry.largest, entry.count, entry.owners), node.file)
+                self.spills.put(node.file, data[at:], entry)
                 return None
             if at == len(data):
                 break
@@ -112,7 +171,7 @@ class RadixTrie:
             node.entry.absorb(entry)
         found = node.entry
         if self.spill and self.held > self.budget:
-            self._spill_heaviest()
+            self._spill()
         return found
 
     def _weights(self) -> dict[int, int]:
@@ -126,69 +185,74 @@ class RadixTrie:
             weight[id(node)] = len(node.label) + NODE_COST + sum(weight[id(c)] for c in node.children.values())
         return weight
 
-    def _spill_heaviest(self) -> None:
-        weight, node, prefix = self._weights(), self.root, b""
+    def _spill(self) -> None:
+        """Spill heavy subtrees until half of the budget is free, or nothing is left to spill."""
+        while self.held > self.budget // 2 and self._spill_heaviest():
+            pass
+
+    def _spill_heaviest(self) -> bool:
+        weight, node, above = self._weights(), self.root, self.root
         while True:
-            open_children = [c for c in node.children.values() if c.file is None]
-            if not open_children:
+            below = [c for c in node.children.values() if c.file is None]
+            if not below:
                 break
-            best = max(open_children, key=lambda c: weight[id(c)])
-            node, prefix = best, prefix + best.label
-            if weight[id(best)] <= 0.6 * self.held:
+            above, node = node, max(below, key=lambda c: weight[id(c)])
+            if weight[id(node)] <= 0.6 * self.held:
+                if weight[id(node)] < 0.1 * self.held and above is not self.root:
+                    node = above  # many small ones: all of them
                 break
         if node is self.root:
-            return
-        # The node keeps the first byte of its label: all texts that begin so go to the file.
-        prefix, cut = prefix[: len(prefix) - len(node.label) + 1], node.label[1:]
-        self.folder = self.folder or tempfile.TemporaryDirectory(prefix="trie-")
-        self.files += 1
-        path = os.path.join(self.folder.name, str(self.files))
-        file = open(path, "wb")
-        for suffix, entry in self._walk(node, cut):
-            pickle.dump((suffix, entry.smallest, entry.largest, entry.count, entry.owners), file)
+            return False
+        self.spills = self.spills or Spills()
+        path = self.spills.new()
+        for suffix, entry in self._walk(node, None, moved := []):
+            self.spills.put(path, suffix[1:], entry)
         # what a part of this subtree spilled before moves into the new file
-        for before in [p for p in self.spilled if p.startswith(prefix)]:
-            below, old = self.spilled.pop(before)
-            below.close()
-            for suffix, *rest in self._records(old):
-                pickle.dump((before[len(prefix) :] + suffix, *rest), file)
-            os.unlink(old)
-        self.held -= weight[id(node)]
-        node.label, node.children, node.entry, node.file = node.label[:1], {}, None, file
-        self.spilled[prefix] = (file, path)
-
-    @staticmethod
-    def _records(path: str) -> Iterator[tuple]:
-        with open(path, "rb") as file:
-            while True:
-                try:
-                    yield pickle.load(file)
-                except EOFError:
-                    return
+        for link, old in moved:
+            prefix = joined(link)[1:]
+            for suffix, entry in self.spills.records(old):
+                self.spills.put(path, prefix + suffix, entry)
+            self.spills.drop(old)
+        self.held -= weight[id(node)] - NODE_COST - 1
+        node.label, node.children, node.entry, node.file = node.label[:1], {}, None, path
+        return True
 
     @staticmethod
-    def _walk(top: Node, prefix: bytes) -> Iterator[tuple[bytes, Entry]]:
-        stack = [(top, prefix)]
+    def _walk(top: Node, link: tuple | None, spilled: list) -> Iterator[tuple[bytes, Entry]]:
+        """Texts below ``link`` with their entries; spilled nodes are listed as (path of labels, file)."""
+        stack = [(top, link)]
         while stack:
-            node, text = stack.pop()
+            node, above = stack.pop()
+            here = (above, node.label)
+            if node.file is not None:
+                spilled.append((here, node.file))
             if node.entry is not None:
-                yield text, node.entry
-            stack.extend((c, text + c.label) for c in node.children.values() if c.file is None)
+                yield joined(here), node.entry
+            stack.extend((c, here) for c in node.children.values())
 
     def items(self) -> Iterator[tuple[bytes, Entry]]:
-        """All texts with their entries; spilled subtrees follow, each by a trie of its own."""
-        yield from self._walk(self.root, b"")
-        self.root = Node(b"")
-        for prefix, (file, path) in self.spilled.items():
-            file.close()
-            below = RadixTrie(self.budget, self.spill)
-            for suffix, *rest in self._records(path):
-                below.insert(suffix, Entry(*rest))
-            os.unlink(path)
-            for suffix, entry in below.items():
-                yield prefix + suffix, entry
-        if self.folder is not None:
-            self.folder.cleanup()
+        """All texts with their entries; spilled subtrees follow, file by file."""
+        pending: list[tuple] = []
+        yield from self._walk(self.root, None, pending)
+        self.root, self.held = Node(b""), 0
+        while pending:
+            link, path = pending.pop()
+            records = self.spills.records(path)
+            first, merged = next(records)
+            common_, alone = len(first), True
+            for suffix, entry in records:
+                common_ = min(common_, shared_length(first, suffix, 0))
+                alone = alone and common_ == len(first) == len(suffix)
+                if alone:
+                    merged.absorb(entry)
+            if alone:
+                yield joined((link, first)), merged
+            else:
+                below, link = RadixTrie(self.budget, self.spill, self.spills), (link, first[:common_])
+                for suffix, entry in self.spills.records(path):
+                    below.insert(suffix[common_:], entry)
+                yield from self._walk(below.root, link, pending)
+            self.spills.drop(path)
 
 
 _LOCAL = pa.schema([("doc_id", pa.int64()), ("owner", pa.int64()), ("body", pa.binary()), ("smallest", pa.int64()), ("largest", pa.int64()), ("copies", pa.int64())])

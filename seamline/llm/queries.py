@@ -80,7 +80,7 @@ ORACLE_SQL = {
         SELECT doc_id,
                max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
                count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
-               doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
+               doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents
     """,

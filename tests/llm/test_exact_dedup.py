@@ -53,9 +53,49 @@ def test_trie_spills_and_returns_everything():
         data = bytes(rng.choice(b"ab") for _ in range(rng.randrange(12)))
         want[data].append(i)
         trie.insert(data, x.Entry(i, i, 1, [i]))
-    assert trie.spilled
+    assert trie.files
     found = {}
     for data, e in trie.items():
         assert data not in found
         found[data] = (e.smallest, e.largest, e.count, sorted(e.owners))
     assert found == {d: (min(v), max(v), len(v), v) for d, v in want.items()}
+
+
+def drained(trie):
+    found = {}
+    for data, e in trie.items():
+        assert data not in found
+        found[data] = (e.smallest, e.largest, e.count, sorted(e.owners))
+    return found
+
+
+@pytest.mark.parametrize("length", [1, 3, 50])
+def test_texts_longer_than_the_budget(length):
+    budget = 1_000
+    base = bytes(i * 7919 % 251 for i in range(length * budget))
+    texts = [base, base + b"tail", base[:-1] + b"!", b"x" + base, base[: len(base) // 2], base[: len(base) // 2] + b"?", b"", b"x"] * 3
+    trie, want = x.RadixTrie(budget), defaultdict(list)
+    for i, data in enumerate(texts):
+        want[data].append(i)
+        trie.insert(data, x.Entry(i, i, 1, [i]))
+    assert trie.files and trie.held <= budget
+    assert drained(trie) == {d: (min(v), max(v), len(v), v) for d, v in want.items()}
+
+
+def test_nested_spills_of_a_caterpillar():
+    rng = random.Random(3)
+    spine = bytes(rng.randrange(256) for _ in range(12_000))
+    trie, want = x.RadixTrie(2_000), defaultdict(list)
+    for i in range(500):  # texts that leave a long common one anywhere, some twice
+        cut = rng.randrange(len(spine))
+        data = spine[:cut] + bytes([rng.randrange(4)]) * rng.randrange(3)
+        want[data].append(i)
+        trie.insert(data, x.Entry(i, i, 1, [i]))
+    assert drained(trie) == {d: (min(v), max(v), len(v), v) for d, v in want.items()}
+    assert trie.files > 5
+
+
+def test_long_texts_through_the_operator(make):
+    long = "abcdefghij" * 3_000
+    rows = list(enumerate([long, long + "x", long, "short", long[:-1], None, long + "x", long]))
+    assert got(x.exact_groups(make([(i, t, "s") for i, t in rows]).repartition(3), trie_bytes=10_000)) == brute(rows)
