@@ -10,12 +10,13 @@ the threshold: similarity = aligned / (shingles of both - aligned), at least 0.8
 
 Scale.  Equal texts collapse to one node first.  A bucket of agreeing nodes isn't expanded
 into pairs: its members are aligned with the bucket's hub, the node that shares most
-buckets with others (the likely original of its copies).  Members that the hub does not
-match choose a hub among themselves, ``HUB_ROUNDS`` times in all.  Members whose class is
-then not that of their bucket's first hub, later hubs and their matches among them, meet
-every member of another class in the bucket, but for pairs that cannot reach the
-threshold: shingles that no other class has bound what two texts can share, and an edited
-copy too far from its original has too many of them, or plainly shares too few.  Links become classes by iterated joins, never on the driver.
+buckets with others (the likely original of its copies).  Links become classes by iterated
+joins, never on the driver.  Where members of a bucket are then in several classes, an
+exact search finds every pair across classes that may still be near.  Shingles that no other
+class has bound what a text can share, and drop most texts.  The rest are joined on prefixes:
+two texts near enough share one of their rarest shingles, so many of them as the threshold
+and both lengths leave open.  Around each shingle only texts outside of its commonest class
+meet the others, so a large class never meets itself.
 
 Cases.  Null text counts as empty.  Texts of fewer than five words are one shingle; texts
 without words are near only to equal texts.  Very long texts are read whole.  Repeated rows
@@ -25,6 +26,7 @@ null class_id.  Extra columns are ignored.  An empty table gives an empty result
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -37,8 +39,8 @@ from . import common
 WORDS = 5
 BANDS, ELL = 16, 4
 LEAST = 0.8
-#: Times that the members of a bucket which no hub matched choose a hub.
-HUB_ROUNDS = 2
+#: Lengths of texts are told apart in steps of this ratio, for the prefixes that they need.
+STEP = 1.05
 
 _TO_WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -134,6 +136,8 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> float:
         common_ = np.intersect1d(x, y)
         if not len(common_):
             return done / (total - done) if done >= needed else 0.0
+        if done + min(int(np.isin(x, common_).sum()), int(np.isin(y, common_).sum())) < needed:
+            return 0.0
         masks: dict[int, int] = {}
         for i, s in enumerate(x.tolist()):
             masks[s] = masks.get(s, 0) | (1 << i)
@@ -224,13 +228,13 @@ def components(edges: DataFrame) -> DataFrame:
 class NearDuplicates:
     """Nodes (different texts), verified links and classes of a table of documents."""
 
-    def __init__(self, docs: DataFrame, least: float = LEAST, hub_rounds: int = HUB_ROUNDS):
-        self.spark, self.least, self.hub_rounds = docs.sparkSession, least, hub_rounds
+    def __init__(self, docs: DataFrame, least: float = LEAST):
+        self.spark, self.least = docs.sparkSession, least
         common.prepare(self.spark)
         self.source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("body")).withColumn("key", F.unhex(F.sha2("body", 256)))
         signed = self.source.select("doc_id", "key", "body").mapInArrow(_sign, "doc_id long, key binary, bands array<long>")
         self.signed = common.materialise(signed, "near-signed")
-        nodes = self.signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+        nodes = self.signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
         self.nodes = common.materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
         self.comps: DataFrame | None = None  # of the links, where already known
         self.links = self._link()
@@ -238,7 +242,8 @@ class NearDuplicates:
     def _buckets(self) -> DataFrame:
         """(bucket, node, score) of the buckets with several nodes."""
         posted = self.nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("bucket"))
-        shared = posted.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+        # written before it is joined, so that adaptive execution can split a bucket with many members
+        shared = common.materialise(posted.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "near-shared")
         members = common.materialise(posted.join(shared, "bucket"), "near-posted")
         score = members.groupBy("node").agg(F.sum("n").alias("score"))
         return common.materialise(members.select("bucket", "node").join(score, "node"), "near-buckets")
@@ -246,13 +251,13 @@ class NearDuplicates:
     def _aligned(self, pairs: DataFrame, bodies: DataFrame) -> DataFrame:
         """Similarities of the pairs (a, b), a < b; 0 below the threshold."""
         left, right = bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), bodies.select(F.col("node").alias("b"), F.col("body").alias("y"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+        both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y")
         return common.materialise(both.mapInArrow(_verify(self.least), "a long, b long, similarity double"), "near-aligned")
 
     def _bodies(self, members: DataFrame) -> DataFrame:
         """(node, body) of the nodes that have candidates."""
         wanted = members.select("node").distinct().join(self.nodes.select("node", "doc_id", "key"), "node")
-        s, w = self.source.alias("s"), wanted.alias("w")
+        s, w = self.source.alias("s"), wanted.alias("w").hint("merge")
         found = s.join(w, (F.col("s.key") == F.col("w.key")) & F.col("s.doc_id").eqNullSafe(F.col("w.doc_id"))).select("w.node", "s.body").dropDuplicates(["node"])
         return common.materialise(found, "near-bodies")
 
@@ -260,69 +265,77 @@ class NearDuplicates:
         """Verified links (a, b, similarity) between nodes."""
         members = self._buckets()
         bodies = self._bodies(members)
-        active, tested, followers = members, None, None
-        for _ in range(self.hub_rounds):
-            hubs = active.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("node")).alias("m"))).alias("hub"), F.count("*").alias("n")).where("n > 1")
-            met = active.join(hubs.select("bucket", (-F.col("hub.m")).alias("hub")), "bucket").where("node != hub")
-            met = common.materialise(met.withColumns({"a": F.least("node", "hub"), "b": F.greatest("node", "hub")}), "near-met")
-            followers = met if followers is None else followers
-            pairs = met.select("a", "b").distinct()
-            if tested is not None:
-                pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-            new = self._aligned(pairs, bodies)
-            tested = new if tested is None else tested.unionByName(new)
-            active = met.join(tested.where("similarity > 0").select("a", "b"), ["a", "b"], "left_anti").select("bucket", "node", "score")
-            active = common.materialise(active, "near-left")
+        hubs = members.groupBy("bucket").agg(F.max(F.struct("score", (-F.col("node")).alias("m"))).alias("hub"))
+        hubs = common.materialise(hubs.select("bucket", (-F.col("hub.m")).alias("hub")), "near-hubs")
+        met = common.materialise(members.select("bucket", "node").join(hubs, "bucket").where("node != hub"), "near-met")
+        pairs = met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        tested = self._aligned(pairs, bodies)
         links = tested.where("similarity > 0")
         self.comps = components(links)
-        new = self._aligned(self._feasible(followers, bodies).join(tested.select("a", "b"), ["a", "b"], "left_anti"), bodies).where("similarity > 0")
+        pairs = self._feasible(self._mates(met), bodies).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        new = self._aligned(pairs, bodies).where("similarity > 0")
         if not new.isEmpty():
             links, self.comps = links.unionByName(new), None
         return links
 
-    def _feasible(self, followers: DataFrame, bodies: DataFrame) -> DataFrame:
-        """Pairs (a, b) of one bucket, in different classes, that may be near.
-
-        ``followers`` (bucket, node, hub) are all members but the bucket's first hub, which
-        has met them all.  One of a pair is outside of that hub's class.  With c common
-        shingles, similarity is at most c / (n_a + n_b - c); and c is at most the number of
-        a text's shingles that some text of another class has.
-        """
-        placed = followers.select("bucket", "node", "hub").join(self.comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        led = self.comps.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
-        placed = placed.join(led, "hub", "left").select("bucket", "node", "comp", (F.col("comp") == F.coalesce("hub_comp", "hub")).alias("led"))
+    def _mates(self, met: DataFrame) -> DataFrame:
+        """(node, comp) of the nodes that share a bucket, besides its hub, with another class."""
+        placed = met.select("bucket", "node").join(self.comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         placed = common.materialise(placed, "near-placed")
         several = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("bucket")
-        placed = common.materialise(placed.join(several, "bucket", "left_semi"), "near-several")
-        mates = placed.select("node", "comp").distinct()
-        listed = bodies.join(mates, "node", "left_semi").mapInArrow(_list, "node long, shingles array<long>")
+        several = common.materialise(several, "near-several")
+        return common.materialise(placed.join(several, "bucket", "left_semi").select("node", "comp").distinct(), "near-mates")
+
+    def _feasible(self, mates: DataFrame, bodies: DataFrame) -> DataFrame:
+        """Every pair (a, b) of ``mates`` (node, comp) in different classes that may be near.
+
+        With c common shingles (labelled, so that repeats count), similarity is at most
+        c / (n_a + n_b - c); so c is at least ``needed``.  A pair's common shingles are
+        among those that another class has; in the order of their number of texts, the
+        first common one stands among the first (shared - needed + 1) of either text.
+        """
+        share = self.least / (1 + self.least)
+        step = math.log(STEP)
+        listed = bodies.join(mates.select("node"), "node", "left_semi").mapInArrow(_list, "node long, shingles array<long>")
         listed = common.materialise(listed.join(mates, "node"), "near-listed")
-        each = listed.select("node", "comp", F.explode("shingles").alias("shingle"))
-        abroad = each.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("shingle")
-        shared = each.join(abroad, "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("shared"))
-        sizes = listed.select("node", F.size("shingles").alias("n"), "shingles").join(shared, "node")
-        # a text whose own shared shingles are too few for any partner goes before pairs are made
-        sizes = common.materialise(sizes.where(F.col("shared") >= self.least * F.col("n") - 1e-9), "near-sizes")
-        hopeful = placed.join(sizes, "node")
-        names = ("node", "comp", "led", "n", "shared", "shingles")
-        x = hopeful.where("NOT led").select("bucket", *(F.col(c).alias(f"x_{c}") for c in names))
-        y = hopeful.select("bucket", *(F.col(c).alias(f"y_{c}") for c in names))
-        once = F.col("y_led") | (F.col("x_node") < F.col("y_node"))
-        reach = lambda c: c * (1 + self.least) >= self.least * (F.col("x_n") + F.col("y_n")) - 1e-9
-        # the cheap bound first; where it leaves a pair open, the shingles that the two do share
-        near = reach(F.least("x_shared", "y_shared")) & reach(F.size(F.array_intersect("x_shingles", "y_shingles")))
-        pairs = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("x_comp") != F.col("y_comp")) & once & near)
-        return pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+        each = listed.select("node", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+        abroad = each.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("texts"))
+        abroad = common.materialise(abroad.where("low != high").select("shingle", "texts"), "near-abroad")
+        ranked = each.join(abroad.hint("merge"), "shingle").groupBy("node", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("texts", "shingle"))).alias("rare"))
+        # a text whose shared shingles are too few for any partner has no prefix and goes here
+        ranked = ranked.withColumn("shared", F.size("rare")).where(F.col("shared") >= self.least * F.col("n") - 1e-9)
+        bin_of = lambda n: F.floor(F.log(n) / F.lit(step) + 1e-9).cast("int")
+        ranked = ranked.withColumn("bin", bin_of(F.col("n"))).withColumn("other", F.explode(F.sequence(bin_of(F.col("n") * self.least), bin_of(F.col("n") / self.least))))
+        least_other = F.exp(F.col("other") * step) * (1 - 1e-6)
+        needed = F.ceil(share * (F.col("n") + F.greatest(least_other, F.col("n") * self.least)) - 1e-6)
+        ranked = ranked.withColumn("prefix", (F.col("shared") - needed + 1).cast("int")).where("prefix > 0")
+        posted = ranked.select("node", "comp", "n", "shared", "bin", F.least("bin", "other").alias("low"), F.greatest("bin", "other").alias("high"), F.explode(F.slice("rare", 1, F.col("prefix"))).alias("r"))
+        key = ["shingle", "low", "high"]
+        posted = common.materialise(posted.withColumn("shingle", F.col("r.shingle")).drop("r"), "near-prefixes")
+        homes = posted.groupBy(*key, "comp").agg(F.count("*").alias("texts")).groupBy(*key)
+        homes = homes.agg(F.max(F.struct("texts", "comp"))["comp"].alias("home"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
+        homes = common.materialise(homes, "near-homes")
+        met = common.materialise(posted.join(homes.hint("merge"), key), "near-prefixes-met")
+        names = ("node", "comp", "n", "shared", "bin")
+        x = met.where("comp != home").select(*key, *(F.col(c).alias(f"x_{c}") for c in names))
+        y = met.select(*key, "home", *(F.col(c).alias(f"y_{c}") for c in names))
+        apart = (F.col("x_comp") != F.col("y_comp")) & ((F.col("y_comp") == F.col("home")) | (F.col("x_node") < F.col("y_node")))
+        facing = (F.col("x_bin") != F.col("y_bin")) | (F.col("low") == F.col("high"))
+        near = F.least("x_shared", "y_shared") >= share * (F.col("x_n") + F.col("y_n")) - 1e-6
+        pairs = x.join(y.hint("merge"), key).where(apart & facing & near)
+        return common.materialise(pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct(), "near-feasible")
 
     def classes(self) -> DataFrame:
         """One row per row: doc_id, class_id, group_size, kept, links."""
         comps = components(self.links) if self.comps is None else self.comps
         degree = self.links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-        placed = self.nodes.select("node", "key").join(comps, "node", "left").join(degree, "node", "left")
-        placed = placed.select("key", F.coalesce("comp", "node").alias("comp"), F.coalesce("links", F.lit(0)).alias("links"))
-        rows = common.materialise(self.signed.select("doc_id", "key").join(placed, "key").drop("key"), "near-rows")
-        groups = rows.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("group_size"))
-        out = rows.join(groups, "comp")
+        placed = self.nodes.select("node", "key", "doc_id", "copies").join(comps, "node", "left").join(degree, "node", "left")
+        placed = placed.select("key", "doc_id", "copies", F.coalesce("comp", "node").alias("comp"), F.coalesce("links", F.lit(0)).alias("links"))
+        placed = common.materialise(placed, "near-nodes-placed")
+        # written before they are joined, so that adaptive execution can split a large class or group of copies
+        groups = common.materialise(placed.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("group_size")), "near-groups")
+        known = common.materialise(placed.drop("doc_id", "copies").join(groups, "comp").drop("comp"), "near-known")
+        out = self.signed.select("doc_id", "key").join(known, "key")
         return out.select("doc_id", "class_id", "group_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "links")
 
 

@@ -80,6 +80,41 @@ def test_chains_that_the_first_hub_does_not_match(make, families, length):
     assert {r["doc_id"]: r["class_id"] for r in rows} == brute(texts) == {i: i - i % length for i in texts}
 
 
+@pytest.mark.parametrize("kind", ["edits", "window"])
+def test_drifting_copies(make, kind):
+    """Chains of ten texts, each an edit, or a move by 30 words, of the one before; hubs take members from one another."""
+    rng, texts = random.Random(5), {}
+    for c in range(25):
+        pool = [f"w{rng.randrange(10**7)}" for _ in range(700)]
+        words = pool[:300]
+        for k in range(10):
+            texts[len(texts)] = " ".join(words if kind == "edits" else pool[30 * k : 30 * k + 300])
+            words = [f"e{rng.randrange(10**7)}" if i in spots else w for spots in [set(rng.sample(range(300), 5))] for i, w in enumerate(words)]
+    want = {}
+    for c in range(25):
+        want |= brute({i: texts[i] for i in range(10 * c, 10 * c + 10)})
+    rows = n.near_classes(make([(i, t, "s") for i, t in texts.items()])).collect()
+    assert {r["doc_id"]: r["class_id"] for r in rows} == want
+
+
+def test_feasible_pairs_hold_every_near_pair(make):
+    """The search across classes misses no pair, whatever its lengths, and leaves most others out."""
+    rng, texts = random.Random(6), {}
+    for g in range(12):
+        base = prose(g * 29, rng.randrange(40, 200), 3).split()
+        for _ in range(8):
+            a = rng.randrange(len(base) // 8)
+            texts[len(texts)] = " ".join(edited(base[a:], rng, rng.randrange(1 + len(base) // 50)))
+    near = OneBucket(make([(i, t, "s") for i, t in texts.items()]))
+    ids = {r["node"]: r["doc_id"] for r in near.nodes.collect()}
+    mates = near.nodes.select("node", F.col("node").alias("comp"))  # every text a class of its own
+    pairs = {(ids[r["a"]], ids[r["b"]]) for r in near._feasible(mates, near._bodies(mates)).collect()}
+    pairs = {(min(p), max(p)) for p in pairs}
+    s = {i: n.shingles(t.encode()) for i, t in texts.items()}
+    true = {(a, b) for a in texts for b in texts if a < b and texts[a] != texts[b] and n.similarity(s[a], s[b]) >= n.LEAST}
+    assert len(true) > 20 and true <= pairs and len(pairs) < len(texts) ** 2 / 8
+
+
 def test_similarity_against_plain_alignment():
     rng = random.Random(3)
     for _ in range(300):
