@@ -7,9 +7,12 @@ features whose ratio the sample doesn't support (a likelihood-ratio screen) have
 A logistic regression over these values gives the score.
 
 The fit uses at most ``max_rows`` labelled rows, taken by a hash of doc_id, of at most
-``max_bytes`` bytes each (a documented bound of the fit alone); the model, a vector of
-2^18 floats, is of fixed size.  Scoring streams over every document, whole, without a
-shuffle.
+``max_bytes`` bytes each (a documented bound of the fit alone).  Executors read them: what
+reaches the driver is the number of texts of each class that hold a hashed n-gram (2^18
+rows at most) and, of every text, the places of the n-grams that the screen left (at most
+``MAX_FEATURES``: 16 KB a text, 160 MB for a full sample; some hundreds of bytes a text on
+the test tables).  The model, a vector of 2^18 floats, is of fixed size.  Scoring streams
+over every document, whole, without a shuffle.
 
 Cases.  Null and empty texts have no features and get the score of the bias.  Documents
 without a label are scored like others; rows with a null label, or with both labels, are
@@ -24,6 +27,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +37,8 @@ ORDERS = (3, 4, 5, 6)
 BITS = 18
 MAX_ROWS = 10_000
 MAX_BYTES = 32_768
+#: Features that a model may have: those with the highest statistic.
+MAX_FEATURES = 4_096
 #: Likelihood-ratio statistic that a feature needs (chi-square, one degree: p of about 1e-4).
 SCREEN = 15.0
 
@@ -60,7 +66,6 @@ class Model:
 
     def __init__(self, weights: np.ndarray, bias: float, orders=ORDERS, bits: int = BITS):
         self.weights, self.bias, self.orders, self.bits = weights, bias, tuple(orders), bits
-        self.seen = np.full(1 << bits, -1, np.int64)
 
     def score(self, body: bytes) -> float:
         x = features(body, self.orders, self.bits)
@@ -73,53 +78,60 @@ class Model:
         return 1.0 / (1.0 + float(np.exp(-np.clip(total, -500, 500))))
 
 
-def fit(bodies: list[bytes], labels: np.ndarray, orders=ORDERS, bits: int = BITS, alpha: float = 1.0, ridge: float = 1e-3, steps: int = 300) -> Model:
-    """The classifier of labelled texts (label 1: toxic)."""
-    labels = np.asarray(labels, np.float64)
-    size, toxic = len(labels), float(labels.sum())
-    prior = (toxic + 1.0) / (size + 2.0)
-    weights = np.zeros(1 << bits, np.float32)
-    flat = Model(weights, float(np.log(prior / (1 - prior))), orders, bits)
-    if not 0 < toxic < size:
-        return flat
-    count = np.zeros((2, 1 << bits))
+def presence(bodies: Iterable[bytes], labels: Iterable[int], orders=ORDERS, bits: int = BITS) -> np.ndarray:
+    """Number of texts of each class (clean, toxic) that hold a hashed n-gram."""
+    count = np.zeros((2, 1 << bits), np.int64)
     for body, label in zip(bodies, labels):
         count[int(label), np.unique(features(body, orders, bits))] += 1
+    return count
+
+
+def screened(count: np.ndarray, clean: float, toxic: float, alpha: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Features that the sample supports, and the log-count ratios of all."""
     p, q = alpha + count[1], alpha + count[0]
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     # likelihood ratio of presence against the label, from the two-by-two table
-    statistic = np.zeros(1 << bits)
-    present = count.sum(0)
-    for row, held in ((1, toxic), (0, size - toxic)):
+    statistic, present, size = np.zeros(count.shape[1]), count.sum(0), clean + toxic
+    for row, held in ((1, toxic), (0, clean)):
         for cell, marginal in ((count[row], present), (held - count[row], size - present)):
             expected = np.maximum(marginal * held / size, 1e-12)
             statistic += 2 * cell * np.log(np.maximum(cell, 1e-12) / expected)
-    (kept,) = np.nonzero(statistic >= SCREEN)
-    if not len(kept):
-        return flat
-    place = np.full(1 << bits, -1, np.int64)
-    place[kept] = np.arange(len(kept))
-    rows, cols = [], []
-    for i, body in enumerate(bodies):
-        c = place[np.unique(features(body, orders, bits))]
-        c = c[c >= 0]
-        rows.append(np.full(len(c), i))
-        cols.append(c)
-    rows, cols = np.concatenate(rows), np.concatenate(cols)
-    value = ratio[kept][cols]
-    w, bias = np.zeros(len(kept)), float(np.log(prior / (1 - prior)))
+    kept = np.flatnonzero(statistic >= SCREEN)
+    best = kept[np.argsort(-statistic[kept], kind="stable")[:MAX_FEATURES]]
+    return np.sort(best), ratio
+
+
+def places(body: bytes, place: np.ndarray, orders=ORDERS, bits: int = BITS) -> np.ndarray:
+    """The kept features of a text, by their place among them."""
+    found = place[features(body, orders, bits)]
+    return np.unique(found[found >= 0])
+
+
+def regress(kept: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, ridge: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression over present features, each worth its ratio."""
+    size, toxic = len(labels), float(labels.sum())
+    prior = (toxic + 1.0) / (size + 2.0)
+    rows = np.repeat(np.arange(size), [len(c) for c in kept])
+    cols = np.concatenate(kept)
+    value = ratio[cols]
+    w, bias = np.zeros(len(ratio)), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, steps + 1):  # Adam over the whole sample: no order of rows to depend on
         z = np.bincount(rows, value * w[cols], size) + bias
         error = 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))) - labels
-        grad = np.bincount(cols, value * error[rows], len(kept)) / size + ridge * w
+        grad = np.bincount(cols, value * error[rows], len(ratio)) / size + ridge * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         mb, vb = 0.9 * mb + 0.1 * error.mean(), 0.999 * vb + 0.001 * error.mean() ** 2
         rate = 0.05 / (1 + step / 200)
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         bias -= rate * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.999**step)) + 1e-8)
-    weights[kept] = (ratio[kept] * w).astype(np.float32)
-    return Model(weights, bias, orders, bits)
+    return ratio * w, bias
+
+
+def prior_model(clean: int, toxic: int) -> Model:
+    """What is known without both classes, or without any supported feature."""
+    prior = (toxic + 1.0) / (clean + toxic + 2.0)
+    return Model(np.zeros(1 << BITS, np.float32), float(np.log(prior / (1 - prior))))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_bytes: int) -> DataFrame:
@@ -131,11 +143,53 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int,
     return source.join(F.broadcast(picked), "doc_id").where(F.octet_length("body") <= max_bytes).select("doc_id", "body", "label")
 
 
+def _presence(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(body, label) to the counts of a partition: feature, clean, toxic."""
+    count = np.zeros((2, 1 << BITS), np.int64)
+    for batch in batches:
+        count += presence((b.as_py() for b in batch.column(0)), batch.column(1).to_pylist())
+    held = np.flatnonzero(count.sum(0))
+    for a in range(0, len(held), 65_536):
+        part = held[a : a + 65_536]
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(count[0, part]), pa.array(count[1, part])], names=["feature", "clean", "toxic"])
+
+
+def _places(shared):
+    """(doc_id, body, label) to doc_id, label and the text's kept features."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([places(b.as_py(), shared.value).astype(np.int32) for b in batch.column(1)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), found], names=["doc_id", "label", "kept"])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
-    """Fit on labelled documents; the driver holds at most max_rows * max_bytes bytes."""
-    common.prepare(docs.sparkSession)
-    rows = training_rows(docs, labels, label, max_rows, max_bytes).toArrow().sort_by("doc_id")
-    return fit(rows.column("body").to_pylist(), rows.column("label").to_numpy())
+    """Fit on labelled documents; texts stay with the executors."""
+    spark = docs.sparkSession
+    common.prepare(spark)
+    rows = common.materialise(training_rows(docs, labels, label, max_rows, max_bytes), "toxic-training")
+    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
+    if not clean or not toxic:
+        return prior_model(clean, toxic)
+    counted = rows.select("body", "label").mapInArrow(_presence, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    count = np.zeros((2, 1 << BITS))
+    count[:, counted.column("feature").to_numpy()] = counted.column("clean").to_numpy(), counted.column("toxic").to_numpy()
+    kept, ratio = screened(count, clean, toxic)
+    if not len(kept):
+        return prior_model(clean, toxic)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[kept] = np.arange(len(kept))
+    shared = spark.sparkContext.broadcast(place)
+    held = rows.select("doc_id", "body", "label").mapInArrow(_places(shared), "doc_id long, label int, kept array<int>").toArrow().sort_by("doc_id")
+    lists = held.column("kept").combine_chunks()
+    texts = np.split(lists.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(lists).to_numpy())[:-1])
+    fitted, bias = regress(texts, held.column("label").to_numpy().astype(np.float64), ratio[kept])
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[kept] = fitted
+    return Model(weights, bias)
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
