@@ -8,8 +8,8 @@
    shape n-grams (letters, capitals, digits and other bytes folded to classes).
 4. The scorer reads every document; those that it holds likelier bad than good are rejected.
 
-Cases.  Null and empty texts have no votes and no features: they get the score of the
-bias alone and are rejected, as there is nothing to keep.  Very long texts are read whole.
+Cases.  Null texts, and those of white space alone, have nothing to keep: they get the
+score 0 and are rejected, and neither vote nor train.  Very long texts are read whole.
 Repeated rows repeat their result; a null doc_id stays null.  Extra columns are ignored.
 An empty table gives an empty result (and a scorer that knows only its prior).
 """
@@ -20,6 +20,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -139,19 +140,13 @@ def features(body: bytes, orders=ORDERS, bits: int = BITS) -> np.ndarray:
     return total
 
 
-def fit(bodies: list[bytes], targets: np.ndarray, orders=ORDERS, bits: int = BITS, ridge: float = 1e-4, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Logistic regression with soft targets: weights and bias."""
+def fit(texts: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, bits: int = BITS, ridge: float = 1e-4, steps: int = 150) -> tuple[np.ndarray, float]:
+    """Logistic regression of soft targets on features (places, values) of texts: weights and bias."""
     targets = np.asarray(targets, np.float64)
     if not len(targets):
         return np.zeros(1 << bits, np.float32), 0.0
-    rows, cols, values = [], [], []
-    for i, body in enumerate(bodies):
-        x = features(body, orders, bits)
-        (c,) = np.nonzero(x)
-        rows.append(np.full(len(c), i, np.int32))
-        cols.append(c.astype(np.int32))
-        values.append(x[c])
-    rows, cols, values = np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
+    rows = np.repeat(np.arange(len(texts), dtype=np.int32), [len(c) for c, _ in texts])
+    cols, values = np.concatenate([c for c, _ in texts]), np.concatenate([x for _, x in texts])
     w, bias = np.zeros(1 << bits), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, steps + 1):
@@ -174,8 +169,10 @@ def _patterns(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counted: dict[tuple, int] = {}
     for batch in batches:
         for body in batch.column(0):
-            key = tuple(votes(body.as_py()))
-            counted[key] = counted.get(key, 0) + 1
+            data = body.as_py()
+            if data.strip():
+                key = tuple(votes(data))
+                counted[key] = counted.get(key, 0) + 1
     if counted:
         yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in counted], pa.list_(pa.int32())), pa.array(list(counted.values()), pa.int64())], names=["votes", "n"])
 
@@ -187,15 +184,41 @@ class Model:
         self.likelihood, self.prior, self.weights, self.bias = likelihood, prior, weights, bias
 
     def accuracies(self) -> dict[str, tuple[float, float]]:
-        """P(objects | bad) and P(does not object | good), by labeller."""
+        """P(objects | bad) and P(does not object | good), by labeller; none without documents."""
+        if self.likelihood is None or not self.likelihood.size:
+            return {}
         return {name: (float(self.likelihood[0][j][0]), 1 - float(self.likelihood[1][j][0])) for j, name in enumerate(LABELLERS)}
 
 
+def _training(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, body) to doc_id, votes and sparse features of the texts that have words."""
+    for batch in batches:
+        ids, voted, places, values = [], [], [], []
+        for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+            data = body.as_py()
+            if data.strip():
+                x = features(data)
+                (held,) = np.nonzero(x)
+                ids.append(doc_id)
+                voted.append(votes(data))
+                places.append(held.astype(np.int32))
+                values.append(x[held])
+        columns = [pa.array(ids, pa.int64()), pa.array(voted, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "votes", "places", "values"])
+
+
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    flat = column.combine_chunks()
+    return np.split(flat.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(flat).to_numpy())[:-1])
+
+
 def train(docs: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
     """Estimate labellers over all documents; fit the scorer on at most ``max_rows`` of them.
 
     The sample is the ``max_rows`` rows with the smallest hash of doc_id, of at most
-    ``max_bytes`` bytes each, so the driver holds at most their product.
+    ``max_bytes`` bytes each.  Their texts stay with the executors; a text's features are
+    at most 2^BITS pairs of 8 bytes, so a full sample takes the driver 400 MB at the very
+    most (on the test tables 14 KB a text, 80 MB).
     """
     common.prepare(docs.sparkSession)
     source = _source(docs)
@@ -206,13 +229,12 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES)
     ids = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"))
     last = ids.orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
     rows = source.where((F.xxhash64("doc_id") <= F.lit(last if last is not None else 0)) & (F.octet_length("body") <= max_bytes))
-    rows = rows.orderBy(F.xxhash64("doc_id")).limit(max_rows).toArrow().sort_by("doc_id")
-    bodies = [b for b in rows.column("body").to_pylist() if b.strip()]
-    targets = [by_pattern.get(tuple(votes(b)), prior) for b in bodies]
-    return Model(likelihood, prior, *fit(bodies, np.array(targets)))
-
-
-_OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("votes", pa.list_(pa.int32()))])
+    # few rows: dealt anew, as the limit leaves them in one partition
+    rows = rows.orderBy(F.xxhash64("doc_id")).limit(max_rows).repartition(32).mapInArrow(_training, "doc_id long, votes array<int>, places array<int>, values array<float>").toArrow().sort_by("doc_id")
+    if not rows.num_rows:
+        return Model(likelihood, prior, *fit([], np.zeros(0)))
+    targets = [by_pattern.get(tuple(v), prior) for v in rows.column("votes").to_pylist()]
+    return Model(likelihood, prior, *fit(list(zip(_lists(rows.column("places")), _lists(rows.column("values")))), np.array(targets)))
 
 
 def _scores(shared):
