@@ -11,7 +11,8 @@
    cut-off leaves open goes to the largest remaining document that still fits.
 
 Only patterns, quotas and histogram cut-offs (their number is that of patterns, not of
-documents) reach the driver; more than ``MAX_PATTERNS`` patterns raise an error.
+documents: some hundreds of bytes each) reach the driver; tables made from them are
+broadcast up to ``BROADCAST_ROWS`` rows only.
 
 Cases.  Null text has size 0 (as empty text has) and is taken 0 words.  A null source is a
 source of its own, last in order.  Repeated rows count and are taken as rows of their own,
@@ -21,7 +22,6 @@ empty result.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MAX_PATTERNS = 100_000
+#: Rows of driver-made tables up to which they are broadcast; larger ones are joined by shuffles.
+BROADCAST_ROWS = 20_000
 REPEATS = 3
 #: Bits of the seeded hash that one histogram resolves, and how many histograms refine it.
 LEVEL_BITS, LEVELS = 10, 5
@@ -59,58 +60,87 @@ def targets(sizes: Sequence[int], weights: Sequence[float], total: float | None
 def min_cost_flow(patterns: Sequence[tuple[Sequence[int], int]], quotas: Sequence[int], repeats: int = REPEATS) -> dict[tuple[int, int], int]:
     """Tokens routed from pattern i to source s, for (sources, size) patterns and source quotas.
 
-    Successive cheapest paths with potentials over start -> pattern (an arc of the pattern's
-    size for each repetition, costing 1, 3, 5, ...) -> source -> end.
+    A pattern offers its size once for each repetition, costing 1, 3, 5, ...; all else is
+    free.  So a path costs what its first arc costs, cheapest paths first means one
+    repetition after the other, and each of these rounds is a maximum flow from what is
+    routed already, by blocking flows (pattern -> source, and back where something flows).
     """
-    n_p, n_s = len(patterns), len(quotas)
-    start, end = n_p + n_s, n_p + n_s + 1
-    to: list[int] = []
-    room: list[int] = []
-    cost: list[int] = []
-    arcs: list[list[int]] = [[] for _ in range(n_p + n_s + 2)]
-
-    def arc(a: int, b: int, capacity: int, price: int) -> int:
-        for x, y, c, p in ((a, b, capacity, price), (b, a, 0, -price)):
-            arcs[x].append(len(to))
-            to.append(y)
-            room.append(c)
-            cost.append(p)
-        return len(to) - 2
-
-    routes: dict[tuple[int, int], int] = {}
-    for i, (sources, size) in enumerate(patterns):
-        for k in range(repeats):
-            arc(start, i, int(size), 2 * k + 1)
-        for s in sources:
-            routes[i, s] = arc(i, n_p + s, int(size) * repeats, 0)
-    for s, quota in enumerate(quotas):
-        arc(n_p + s, end, int(quota), 0)
-    height = [0] * len(arcs)
-    while True:
-        far = [float("inf")] * len(arcs)
-        by, far[start], heap = [-1] * len(arcs), 0, [(0, start)]
-        while heap:
-            d, a = heapq.heappop(heap)
-            if d > far[a]:
+    flow: list[dict[int, int]] = [{} for _ in patterns]
+    users: list[set[int]] = [set() for _ in quotas]  # patterns that flow into a source
+    left = [int(q) for q in quotas]
+    wants = [[s for s in dict.fromkeys(sources)] for sources, _ in patterns]
+    supply = [0] * len(patterns)
+    for _ in range(repeats):
+        for i, (_, size) in enumerate(patterns):
+            supply[i] += int(size)
+        while _blocking_flow(wants, supply, left, flow, users):
+            pass
+    return {(i, s): amount for i, routed in enumerate(flow) for s, amount in routed.items() if amount > 0}
+
+
+def _blocking_flow(wants, supply, left, flow, users) -> int:
+    """Route along shortest paths until none of their length is left; returns what was routed."""
+    level_p, level_s = {i: 0 for i, n in enumerate(supply) if n > 0 and wants[i]}, {}
+    front, depth, open_ = list(level_p), 0, False
+    while front and not open_:  # patterns and sources by turns
+        reached = []
+        for i in front:
+            for s in wants[i]:
+                if s not in level_s:
+                    level_s[s] = depth + 1
+                    reached.append(s)
+                    open_ = open_ or left[s] > 0
+        front = []
+        if not open_:
+            for s in reached:
+                for i in users[s]:
+                    if i not in level_p:
+                        level_p[i] = depth + 2
+                        front.append(i)
+        depth += 2
+    if not open_:
+        return 0
+    routed, next_s = 0, {i: 0 for i in level_p}
+    next_p: dict[int, list[int]] = {s: list(users[s]) for s in level_s}
+    for start in [i for i, d in level_p.items() if d == 0]:
+        path = [start]  # pattern, source, pattern, ..., from the start on
+        while path and supply[start] > 0:
+            if len(path) % 2:  # at a pattern
+                i = path[-1]
+                while next_s[i] < len(wants[i]) and level_s.get(wants[i][next_s[i]]) != level_p[i] + 1:
+                    next_s[i] += 1
+                if next_s[i] < len(wants[i]):
+                    path.append(wants[i][next_s[i]])
+                else:
+                    path.pop()
+                    if path:
+                        next_p[path[-1]].pop()  # this pattern leads nowhere any more
                 continue
-            for e in arcs[a]:
-                if room[e] > 0 and (x := d + cost[e] + height[a] - height[to[e]]) < far[to[e]]:
-                    far[to[e]], by[to[e]] = x, e
-                    heapq.heappush(heap, (x, to[e]))
-        if far[end] == float("inf"):
-            break
-        for a, d in enumerate(far):
-            if d < float("inf"):
-                height[a] += d
-        amount, a = float("inf"), end
-        while a != start:
-            amount, a = min(amount, room[by[a]]), to[by[a] ^ 1]
-        a = end
-        while a != start:
-            room[by[a]] -= amount
-            room[by[a] ^ 1] += amount
-            a = to[by[a] ^ 1]
-    return {route: room[e ^ 1] for route, e in routes.items() if room[e ^ 1] > 0}
+            s = path[-1]
+            if left[s] > 0:
+                amount = min([supply[start], left[s]] + [flow[path[k + 1]][path[k]] for k in range(1, len(path) - 1, 2)])
+                for k in range(0, len(path), 2):  # forward into the source; back out of it for the next pattern
+                    i, into = path[k], path[k + 1]
+                    flow[i][into] = flow[i].get(into, 0) + amount
+                    users[into].add(i)
+                    if k:
+                        before = path[k - 1]
+                        flow[i][before] -= amount
+                        if not flow[i][before]:
+                            users[before].discard(i)
+                supply[start] -= amount
+                left[s] -= amount
+                routed += amount
+                path = [start]
+                continue
+            while next_p[s] and (level_p.get(next_p[s][-1]) != level_s[s] + 1 or not flow[next_p[s][-1]].get(s)):
+                next_p[s].pop()
+            if next_p[s]:
+                path.append(next_p[s][-1])
+            else:
+                path.pop()
+                next_s[path[-1]] += 1
+    return routed
 
 
 def word_count(text: str = "text"):
@@ -131,9 +161,7 @@ def mix(docs: DataFrame, members: str = "members", size: str = "size", quotas: d
     # The seeded order hashes what the row holds, so that a rerun over other partitions agrees.
     base = base.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"), F.col("pattern")), 64 - HASH_BITS))
     base = common.materialise(base, "mix-sizes")
-    found = base.groupBy("pattern").agg(F.sum("size").alias("size"), F.first("members").alias("members")).orderBy("pattern").limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    found = base.groupBy("pattern").agg(F.sum("size").alias("size"), F.first("members").alias("members")).orderBy("pattern").collect()
     names = sorted({m for r in found for m in (r["members"] or [])}, key=lambda m: (m is None, m or ""))
     place = {m: i for i, m in enumerate(names)}
     wanted = [max(0, round((quotas or {}).get(m, 0))) for m in names]
@@ -147,6 +175,12 @@ def mix(docs: DataFrame, members: str = "members", size: str = "size", quotas: d
     return select_seeded(base, plan).select("doc_id", "members", "size", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def _small(spark, rows: list[tuple], schema: str) -> DataFrame:
+    """A driver-made table, to be broadcast if its size allows."""
+    frame = common.local_frame(spark, rows, schema)
+    return F.broadcast(frame) if len(rows) <= BROADCAST_ROWS else common.materialise(frame, "mix-plan").hint("merge")
+
+
 def select_seeded(base: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows of ``base`` (pattern, size, h) with ``copies``: ``whole``, and one more in seeded order up to ``rest``.
 
@@ -162,8 +196,8 @@ def select_seeded(base: DataFrame, plan: DataFrame) -> DataFrame:
         opened = [(p, low, rest) for p, (_, rest, low) in state.items() if rest > 0]
         if not opened:
             break
-        at = common.local_frame(spark, opened, "pattern string, low long, rest long")  # one row a pattern: at most MAX_PATTERNS
-        inside = base.join(F.broadcast(at), "pattern").where((F.col("h") >= F.col("low")) & (F.col("h") < F.col("low") + F.lit(1 << (span + LEVEL_BITS))))
+        at = _small(spark, opened, "pattern string, low long, rest long")  # one row a pattern
+        inside = base.join(at, "pattern").where((F.col("h") >= F.col("low")) & (F.col("h") < F.col("low") + F.lit(1 << (span + LEVEL_BITS))))
         summed = inside.groupBy("pattern", "low", "rest", F.shiftright(F.col("h") - F.col("low"), span).alias("bucket")).agg(F.sum("size").alias("size"))
         below = summed.withColumn("upto", F.sum("size").over(W.partitionBy("pattern").orderBy("bucket")))
         fits = F.col("upto") <= F.col("rest")
@@ -172,8 +206,8 @@ def select_seeded(base: DataFrame, plan: DataFrame) -> DataFrame:
             s = state[r["pattern"]]
             s[1] -= r["filled"] or 0
             s[2] += (1 << (span + LEVEL_BITS)) if r["next"] is None else r["next"] << span
-    cut = common.local_frame(spark, [(p, whole, low, rest) for p, (whole, rest, low) in state.items()], "pattern string, whole long, cut long, rest long")
-    chosen = base.join(F.broadcast(cut), "pattern").withColumn("copies", F.col("whole") + (F.col("h") < F.col("cut")).cast("long"))
+    cut = _small(spark, [(p, whole, low, rest) for p, (whole, rest, low) in state.items()], "pattern string, whole long, cut long, rest long")
+    chosen = base.join(cut, "pattern").withColumn("copies", F.col("whole") + (F.col("h") < F.col("cut")).cast("long"))
     # What the cut-off leaves open goes to the largest later document that fits, again and
     # again while a pattern misses more than MISS of its share (it holds one row a pattern).
     share = {r["pattern"]: r["rest"] for r in asked}
@@ -182,10 +216,10 @@ def select_seeded(base: DataFrame, plan: DataFrame) -> DataFrame:
         opened = [(p, low, rest) for p, (_, rest, low) in state.items() if rest > MISS * share[p]]
         if not opened:
             break
-        at = common.local_frame(spark, opened, "pattern string, cut long, rest long")
-        used = common.local_frame(spark, extra, "pattern string, h long, size long")
-        free = base.join(F.broadcast(at), "pattern").where((F.col("h") >= F.col("cut")) & (F.col("size") <= F.col("rest")) & (F.col("size") > 0))
-        free = free.join(F.broadcast(used), ["pattern", "h", "size"], "left_anti")
+        at = _small(spark, opened, "pattern string, cut long, rest long")
+        used = _small(spark, extra, "pattern string, h long, size long")
+        free = base.join(at, "pattern").where((F.col("h") >= F.col("cut")) & (F.col("size") <= F.col("rest")) & (F.col("size") > 0))
+        free = free.join(used, ["pattern", "h", "size"], "left_anti")
         best = free.groupBy("pattern", "size", "h").agg(F.sum("size").alias("all"), F.first("rest").alias("rest")).where("all <= rest")
         found = best.groupBy("pattern").agg(F.max(F.struct("all", "size", "h")).alias("pick")).collect()
         if not found:
@@ -193,8 +227,8 @@ def select_seeded(base: DataFrame, plan: DataFrame) -> DataFrame:
         for r in found:
             extra.append((r["pattern"], r["pick"]["h"], r["pick"]["size"]))
             state[r["pattern"]][1] -= r["pick"]["all"]
-    one_more = common.local_frame(spark, [(*x, 1) for x in extra], "pattern string, h long, size long, more long")
-    filled = chosen.join(F.broadcast(one_more), ["pattern", "h", "size"], "left")
+    one_more = _small(spark, [(*x, 1) for x in extra], "pattern string, h long, size long, more long")
+    filled = chosen.join(one_more, ["pattern", "h", "size"], "left")
     return filled.withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0))).drop("more")
 
 
@@ -206,14 +240,12 @@ def by_weight(docs: DataFrame, cycle: Sequence[int] = (1, 2, 3), repeats: int =
     spark = docs.sparkSession
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"))
     sized = common.materialise(sized, "mix-words")
-    found = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} sources")
+    found = sized.groupBy("source").agg(F.sum("size").alias("size")).collect()
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [int(r["size"]) for r in found]
     aims = targets(sizes, [cycle[i % len(cycle)] for i in range(len(sizes))], most=repeats)
     quotas = {r["source"]: t for r, t in zip(found, aims)}
     taken = mix(sized.withColumn("members", F.array("source")), quotas=quotas, repeats=repeats, seed=seed).withColumn("source", F.col("members")[0])
-    aim = common.local_frame(spark, [(r["source"], s, t) for r, s, t in zip(found, sizes, aims)], "_source string, source_size long, target double")
-    joined = taken.join(F.broadcast(aim), F.col("source").eqNullSafe(F.col("_source")))
+    aim = _small(spark, [(r["source"], s, t) for r, s, t in zip(found, sizes, aims)], "_source string, source_size long, target double")
+    joined = taken.join(aim, F.col("source").eqNullSafe(F.col("_source")))
     return joined.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")

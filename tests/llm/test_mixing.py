@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import pytest
 from conftest_llm import ODD, prose
@@ -41,6 +42,33 @@ def test_flow_is_cheapest():
         assert cost(found, patterns, quotas, 2) == best
 
 
+def test_flow_of_many_patterns():
+    """Twice as many patterns as sources can be told apart by eye, overlapping and alone: met quotas, linear time."""
+    rng = random.Random(3)
+    n = 200_000
+    patterns = [([s], rng.randrange(1, 50)) for s in range(n)]
+    began = time.perf_counter()
+    flow = mixing.min_cost_flow(patterns, [2 * size for _, size in patterns])
+    assert all(flow[s, s] == 2 * size for s, (_, size) in enumerate(patterns)) and time.perf_counter() - began < 20
+    patterns = [(sorted(rng.sample(range(300), rng.randrange(1, 5))), rng.randrange(1, 100)) for _ in range(20_000)]
+    whole = sum(size for _, size in patterns)
+    quotas = [whole // 300] * 300
+    flow = mixing.min_cost_flow(patterns, quotas)
+    assert sum(flow.values()) == sum(quotas)
+    routed = [0] * len(patterns)
+    for (i, s), amount in flow.items():
+        assert s in patterns[i][0]
+        routed[i] += amount
+    assert all(r <= 3 * size for r, (_, size) in zip(routed, patterns)) and time.perf_counter() - began < 60
+
+
+def test_plans_that_are_not_broadcast(make, monkeypatch):
+    rows = [(i, prose(i, 1 + i % 40), f"s{i % 30}") for i in range(600)]
+    want = sorted(map(tuple, mixing.by_weight(make(rows)).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 5)
+    assert sorted(map(tuple, mixing.by_weight(make(rows)).collect())) == want
+
+
 def test_mix_comes_near_targets(make):
     rng = random.Random(1)
     rows = [(i, prose(i, rng.randrange(1, 90)), "hot" if i % 3 == 0 else f"s{i % 5}") for i in range(1500)]
