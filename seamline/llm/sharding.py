@@ -42,13 +42,16 @@ def by_label_propagation(rows: DataFrame, shards: int = SHARDS, rounds: int = RO
     linked = state.where(F.col("group").isNotNull())
     settled = state.where(F.col("group").isNull())
     for k in range(rounds):
-        votes = linked.groupBy("group", "shard").agg(F.sum("size").alias("votes"))
+        # written before they are joined, so that adaptive execution can split a large group
+        votes = common.materialise(linked.groupBy("group", "shard").agg(F.sum("size").alias("votes")), f"shard-votes-{k}")
         loads = {r["shard"]: r["load"] for r in votes.groupBy("shard").agg(F.sum("votes").alias("load")).collect()}
         open_ = [i for i in range(shards) if loads.get(i, 0) < share * (1 + EASE / 2)]
         # the leading open shard of a group; ties go by a hash, which spreads them evenly
         best = F.struct("votes", F.xxhash64("group", "shard").alias("tie"), "shard")
         lead = votes.groupBy("group").agg(F.max(F.when(F.col("shard").isin(open_), best)).alias("lead"))
-        rated = linked.join(votes.withColumn("tie", F.xxhash64("group", "shard")), ["group", "shard"]).join(lead, "group")
+        # a row for each group and shard that has some of it, with the shard that leads
+        rated = common.materialise(votes.withColumn("tie", F.xxhash64("group", "shard")).join(lead, "group"), f"shard-rated-{k}")
+        rated = linked.join(rated, ["group", "shard"])
         ahead = F.struct("votes", "tie") < F.struct(F.col("lead.votes").alias("votes"), F.col("lead.tie").alias("tie"))
         asked = rated.withColumn("goal", F.when(ahead, F.col("lead.shard")).otherwise(F.col("shard"))).drop("votes", "tie", "lead")
         bucket = F.pmod(F.xxhash64(F.lit(k), "group"), F.lit(BUCKETS)).cast("int")
@@ -137,7 +140,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     # Placement hashes doc_id and text, which a rerun repeats; row numbers only tell rows apart.
     small = common.materialise(small, "shard-rows")
     counts = small.groupBy("text_key").agg(F.count("*").alias("n"))
-    linked = counts.where("n > 1").select("text_key", F.xxhash64("text_key").alias("group"))
+    # written before it is joined, so that adaptive execution can split a large group of copies
+    linked = common.materialise(counts.where("n > 1").select("text_key", F.xxhash64("text_key").alias("group")), "shard-linked")
     keyed = small.join(linked, "text_key", "left").withColumn("row", F.monotonically_increasing_id())
     keyed = common.materialise(keyed.select("row", "doc_id", "size", "text_crc32", "group"), "shard-keyed")
     placed = by_label_propagation(keyed.select("row", F.xxhash64("doc_id", "text_crc32").alias("key"), "group", "size"), shards, rounds)

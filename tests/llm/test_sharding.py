@@ -47,6 +47,21 @@ def test_hot_group_fills_few_shards(make):
     assert sum(n for _, n in hot.most_common(4)) > 0.9 * 500
 
 
+def test_links_cut_against_brute_force(make):
+    """Groups of all sizes that fit a shard: at most one is cut for evenness, and reruns agree."""
+    rng = random.Random(8)
+    texts = [prose(9000 + g, 30) for g in range(40) for _ in range(2 + g)] + [prose(i, rng.randrange(20, 50)) for i in range(700)]
+    rng.shuffle(texts)
+    docs = make([(i, t, "s") for i, t in enumerate(texts)])
+    rows = sharding.shard_documents(docs).collect()
+    check(rows, len(texts))
+    shard = {r["doc_id"]: r["shard"] for r in rows}
+    cut = sum(1 for a in range(len(texts)) for b in range(a) if texts[a] == texts[b] and shard[a] != shard[b])
+    links = sum(1 for a in range(len(texts)) for b in range(a) if texts[a] == texts[b])
+    assert cut <= 0.05 * links
+    assert sorted(sharding.shard_documents(docs.repartition(5)).select("doc_id", "shard").collect()) == sorted((i, s) for i, s in shard.items())
+
+
 def test_odd_rows(odd, make):
     rows = sharding.shard_documents(odd).collect()
     check(rows, len(ODD))
