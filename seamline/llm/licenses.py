@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -74,10 +75,18 @@ def _compiled(notices: tuple) -> list:
 def scan_words(words: bytes, base=BASE, notices=NOTICES) -> list[tuple[str, int, int, int, bool]]:
     """Spans in text given as words joined by single blanks: (label, first word, words, edits, is base)."""
     padded, found = b" " + words + b" ", []
+    blanks: np.ndarray | None = None  # places of the blanks, once a span asks for a word's number
+
+    def word_at(place: int) -> int:
+        nonlocal blanks
+        if blanks is None:
+            blanks = np.flatnonzero(np.frombuffer(words, np.uint8) == 0x20)
+        return int(np.searchsorted(blanks, place))
+
     for phrase, label in base:
         wanted, at = b" " + phrase.encode() + b" ", -1
         while (at := padded.find(wanted, at + 1)) >= 0:
-            found.append((label, padded.count(b" ", 0, at), phrase.count(" ") + 1, 0, True))
+            found.append((label, word_at(at), phrase.count(" ") + 1, 0, True))
     exact = {(label, start) for label, start, *_ in found}
     for label, length, edits, parts, pattern in _compiled(notices):
         windows = set()
@@ -90,13 +99,12 @@ def scan_words(words: bytes, base=BASE, notices=NOTICES) -> list[tuple[str, int,
             # widened to whole words, so that the word-boundary conditions see real neighbours
             low = words.rfind(b" ", 0, low) + 1
             high = words.find(b" ", high)
-            match = pattern.search(words, low, len(words) if high < 0 else high)
-            if match:
+            for match in pattern.finditer(words, low, len(words) if high < 0 else high, overlapped=True):
                 spans.add((match.start(), match.end(), sum(match.fuzzy_counts)))
         for start, end, errors in sorted(spans):
-            first = words.count(b" ", 0, start)
+            first = word_at(start)
             if (label, first) not in exact:
-                found.append((label, first, words.count(b" ", start, end) + 1, errors, False))
+                found.append((label, first, word_at(end) - first + 1, errors, False))
     return found
 
 

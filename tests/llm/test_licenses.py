@@ -1,4 +1,5 @@
 import re
+import time
 
 from conftest_llm import ODD, prose
 
@@ -60,6 +61,17 @@ def test_pigeonhole_pieces_find_every_bounded_error():
         assert any(s[0] == "gpl" for s in spans), "".join(t)
 
 
+def test_many_hits_in_one_text_take_linear_time():
+    began = time.perf_counter()
+    spans = licenses.scan_words(b" ".join([b"mit license"] * 40_000))
+    assert [s[1] for s in spans] == list(range(0, 80_000, 2)) and time.perf_counter() - began < 10
+
+
+def test_neighbouring_notices_are_all_found():
+    spans = licenses.scan_words(b"mit licence mit license mit licens apache licence")
+    assert sorted((label, first, exact) for label, first, _, _, exact in spans) == [("apache", 6, False), ("mit", 0, False), ("mit", 2, True), ("mit", 4, False)]
+
+
 def test_odd_rows(odd, make):
     assert licenses.license_spans(odd).count() == len(ODD)
     assert licenses.license_spans(make([])).isEmpty()

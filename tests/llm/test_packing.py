@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -108,3 +109,36 @@ def test_items_of_far_partitions_meet_whatever_their_number(spark):
     plan = packing.merge_tree(items, 1024, 1021)
     by = plan.join(items, "bin").groupBy("sequence_id").agg(F.sum("fill").alias("fill"), F.count("*").alias("items"), F.max("shift").alias("shift")).collect()
     assert len(by) == n and all((r["fill"], r["items"], r["shift"]) == (1000, 2, 600) for r in by)
+
+
+def fewest(lengths, capacity):
+    """Bins that the best of all placements needs."""
+    best = len(lengths)
+
+    def place(at, rooms):
+        nonlocal best
+        if len(rooms) >= best and at < len(lengths):
+            return
+        if at == len(lengths):
+            best = min(best, len(rooms))
+            return
+        for i in range(len(rooms)):
+            if rooms[i] >= lengths[at] and rooms[i] not in rooms[:i]:
+                place(at + 1, [*rooms[:i], rooms[i] - lengths[at], *rooms[i + 1 :]])
+        place(at + 1, [*rooms, capacity - lengths[at]])
+
+    place(0, [])
+    return best
+
+
+def test_best_fit_against_the_optimum():
+    rng = random.Random(7)
+    more = 0
+    for _ in range(300):
+        lengths = sorted((rng.randrange(1, 61) for _ in range(rng.randrange(1, 10))), reverse=True)
+        where, offset, fill = packing.best_fit(lengths, 60)
+        planned = sum(bins for bins, _ in packing.best_fit_counts(dict(Counter(lengths)), 60))
+        optimum = fewest(lengths, 60)
+        assert sum(fill) == sum(lengths) and max(fill) <= 60 and len(fill) <= optimum * 11 / 9 + 6 / 9 and planned <= optimum * 11 / 9 + 6 / 9
+        more += (len(fill) > optimum) + (planned > optimum)
+    assert more <= 12  # best-fit decreasing is seldom more than the optimum
