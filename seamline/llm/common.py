@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -36,7 +37,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one if unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset a session of one machine gets a temporary folder; on a cluster, whose
+    executors would not see that, it is an error.
+    """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
@@ -44,6 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
         if current.isDefined():
             found = current.get()
         else:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             found = "file://" + tempfile.mkdtemp(prefix="seamline-shared-")
             sc.setCheckpointDir(found)
     return found.rstrip("/")

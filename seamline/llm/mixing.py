@@ -149,15 +149,21 @@ def word_count(text: str = "text"):
     return F.length(F.regexp_replace(one, r"[\x20\x09-\x0D]+", "")).cast("long")
 
 
-def mix(docs: DataFrame, members: str = "members", size: str = "size", quotas: dict | None = None, repeats: int = REPEATS, seed: int = 0) -> DataFrame:
+def text_hash(text: str = "text"):
+    """A hash that tells the texts of one identifier apart; null and empty text are alike."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def mix(docs: DataFrame, members: str = "members", size: str = "size", quotas: dict | None = None, repeats: int = REPEATS, seed: int = 0, also: Sequence[str] = ()) -> DataFrame:
     """Choose documents for source quotas.
 
     ``docs``: doc_id, an array of source names, a size.  ``quotas``: tokens by source name
-    (None is a name).  Returns doc_id, members, size, copies, taken; one row per row.
+    (None is a name).  Returns doc_id, members, size, copies, taken and the columns that
+    ``also`` names; one row per row.
     """
     spark = docs.sparkSession
     key = F.to_json(F.struct(F.array_sort(F.array_distinct(F.coalesce(F.col(members), F.array().cast("array<string>")))).alias("p")), {"ignoreNullFields": "false"})
-    base = docs.select("doc_id", F.col(members).alias("members"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"), key.alias("pattern"))
+    base = docs.select("doc_id", *also, F.col(members).alias("members"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"), key.alias("pattern"))
     # The seeded order hashes what the row holds, so that a rerun over other partitions agrees.
     base = base.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"), F.col("pattern")), 64 - HASH_BITS))
     base = common.materialise(base, "mix-sizes")
@@ -172,7 +178,7 @@ def mix(docs: DataFrame, members: str = "members", size: str = "size", quotas: d
         routed[i] += amount
     rows = [(r["pattern"], routed[i] // s if s else 0, routed[i] % s if s else 0) for i, (r, (_, s)) in enumerate(zip(found, patterns))]
     plan = common.local_frame(spark, rows, "pattern string, whole long, rest long")
-    return select_seeded(base, plan).select("doc_id", "members", "size", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return select_seeded(base, plan).select("doc_id", *also, "members", "size", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def _small(spark, rows: list[tuple], schema: str) -> DataFrame:
@@ -235,17 +241,29 @@ def select_seeded(base: DataFrame, plan: DataFrame) -> DataFrame:
 def by_weight(docs: DataFrame, cycle: Sequence[int] = (1, 2, 3), repeats: int = REPEATS, seed: int = 0) -> DataFrame:
     """Mix rows of (doc_id, text, source): sources in code-point order, null last, weigh 1, 2, 3, 1, ...
 
-    Returns doc_id, source, size, source_size, target, copies, taken.
+    Returns doc_id, text_hash, source, size, source_size, target, copies, taken.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"), text_hash().alias("text_hash"))
     sized = common.materialise(sized, "mix-words")
     found = sized.groupBy("source").agg(F.sum("size").alias("size")).collect()
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [int(r["size"]) for r in found]
     aims = targets(sizes, [cycle[i % len(cycle)] for i in range(len(sizes))], most=repeats)
     quotas = {r["source"]: t for r, t in zip(found, aims)}
-    taken = mix(sized.withColumn("members", F.array("source")), quotas=quotas, repeats=repeats, seed=seed).withColumn("source", F.col("members")[0])
+    taken = mix(sized.withColumn("members", F.array("source")), quotas=quotas, repeats=repeats, seed=seed, also=["text_hash"]).withColumn("source", F.col("members")[0])
     aim = _small(spark, [(r["source"], s, t) for r, s, t in zip(found, sizes, aims)], "_source string, source_size long, target double")
     joined = taken.join(aim, F.col("source").eqNullSafe(F.col("_source")))
-    return joined.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    return joined.select("doc_id", "text_hash", "source", "size", "source_size", "target", "copies", "taken")
+
+
+def take(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that ``by_weight`` takes, each as often as it takes it, with all their columns.
+
+    Rows are told by doc_id, text and source; rows alike in these are taken alike.
+    """
+    copies = by_weight(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_from"))
+    copies = common.materialise(copies.agg(F.max("copies").cast("int").alias("_copies")), "mix-copies")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_hash() == F.col("_hash")) & F.col("source").cast("string").eqNullSafe(F.col("_from"))
+    joined = docs.join(copies.hint("merge"), same)
+    return joined.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)

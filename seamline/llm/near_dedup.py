@@ -325,19 +325,41 @@ class NearDuplicates:
         pairs = x.join(y.hint("merge"), key).where(apart & facing & near)
         return common.materialise(pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct(), "near-feasible")
 
-    def classes(self) -> DataFrame:
-        """One row per row: doc_id, class_id, group_size, kept, links."""
+    def _placed(self) -> DataFrame:
+        """Nodes with their class: key, doc_id, copies, comp, links."""
         comps = components(self.links) if self.comps is None else self.comps
         degree = self.links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
         placed = self.nodes.select("node", "key", "doc_id", "copies").join(comps, "node", "left").join(degree, "node", "left")
         placed = placed.select("key", "doc_id", "copies", F.coalesce("comp", "node").alias("comp"), F.coalesce("links", F.lit(0)).alias("links"))
-        placed = common.materialise(placed, "near-nodes-placed")
+        return common.materialise(placed, "near-nodes-placed")
+
+    def classes(self) -> DataFrame:
+        """One row per row: doc_id, class_id, group_size, kept, links."""
+        placed = self._placed()
         # written before they are joined, so that adaptive execution can split a large class or group of copies
         groups = common.materialise(placed.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("group_size")), "near-groups")
         known = common.materialise(placed.drop("doc_id", "copies").join(groups, "comp").drop("comp"), "near-known")
         out = self.signed.select("doc_id", "key").join(known, "key")
         return out.select("doc_id", "class_id", "group_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "links")
 
+    def representatives(self) -> DataFrame:
+        """One text of each class, told by its smallest identifier (nulls last) and its digest: doc_id, key."""
+        first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")
+        return self._placed().groupBy("comp").agg(F.min(first).alias("r")).select("r.doc_id", "r.key")
+
+
+def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """One row of each near-duplicate class of ``docs``, with all its columns: that of the smallest doc_id.
+
+    Rows are told by doc_id and text, so an identifier that comes with several texts is
+    several documents; of rows alike in both one stays.
+    """
+    kept = NearDuplicates(docs, least).representatives()
+    kept = common.materialise(kept.select(F.col("doc_id").alias("_kept_id"), F.col("key").alias("_kept_key")), "near-kept")
+    key = F.unhex(F.sha2(common.text_bytes(), 256))
+    here = docs.withColumn("_key", key).join(kept, (F.col("_key") == F.col("_kept_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")))
+    return here.dropDuplicates(["_kept_key"]).select(docs.columns)
+
 
 def near_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """Near-duplicate classes of ``docs`` (doc_id, text), one row per row.

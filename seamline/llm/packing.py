@@ -287,16 +287,12 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: in
     names = ["doc_id", "piece", "start", "length", *output]
     # Only items need the plan: the rest, most pieces, stay where they were packed.
     packed = pieces.where(~loose).select(*names, F.col("bin").alias("sequence_id"), F.col("place").alias("offset"))
-    placed = pieces.where(loose).join(plan, "bin").select(*names, "sequence_id", F.col("shift").alias("offset"))
+    placed = pieces.where(loose).join(plan.hint("merge"), "bin").select(*names, "sequence_id", F.col("shift").alias("offset"))
     return packed.unionByName(placed)
 
 
-def merge_tree(items: DataFrame, capacity: int, least: int | None = None, carry: int | None = None, fan_in: int | None = None) -> DataFrame:
-    """All items (bin, fill, part) packed best-fit at once: bin, sequence_id, shift.
-
-    ``least``, ``carry`` and ``fan_in`` bounded an earlier tree; counts need no bounds, so
-    they change nothing.
-    """
+def merge_tree(items: DataFrame, capacity: int) -> DataFrame:
+    """All items (bin, fill, part) packed best-fit at once: bin, sequence_id, shift."""
     spark = items.sparkSession
     counts = common.materialise(items.groupBy("part", "fill").agg(F.count("*").alias("n")), "pack-counts")
     total = {r["fill"]: r["n"] for r in counts.groupBy("fill").agg(F.sum("n").alias("n")).collect()}

@@ -80,7 +80,7 @@ def test_best_fit_never_overfills():
 def test_merge_tree_bounds_what_goes_up(spark):
     rng = random.Random(1)
     rows = [(i, rng.randrange(1, 90), i % 70) for i in range(700)]
-    plan = packing.merge_tree(spark.createDataFrame(rows, "bin long, fill long, part long"), 100, 99, carry=3, fan_in=3).collect()
+    plan = packing.merge_tree(spark.createDataFrame(rows, "bin long, fill long, part long"), 100).collect()
     fill = {b: f for b, f, _ in rows}
     assert sorted(r["bin"] for r in plan) == sorted(fill)
     by = {}

@@ -51,3 +51,52 @@ def test_empty_input(spark, make):
         out = stage(spark, docs, "")
         assert out.columns == docs.columns and out.isEmpty()
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").isEmpty()
+
+
+def test_odd_rows_through_every_stage(spark, make):
+    rows = [(None, good(1), "a"), (None, good(40), None), (5, good(80), "a"), (5, good(120), "b"), (5, good(120), "b"), (6, good(120), None)]
+    rows += [(1, None, "a"), (2, "", "b"), (3, " \t\n", None), (7, good(200, 6_000), "c"), (8, good(300) + " extra", "c"), (9, good(300), "c")]
+    docs = make(rows)
+    stages, texts = dict(corpus_pipeline.STAGES), {}
+    step = docs
+    for name in ("quality", "exact_dedup", "near_dedup", "mixing"):
+        step = stages[name](spark, step, "")
+        assert step.columns == docs.columns
+        texts[name] = sorted((r["doc_id"] or 0, r["text"]) for r in step.collect())
+    full = [(i or 0, t) for i, t, _ in rows if t and t.strip()]
+    assert texts["quality"] == sorted(full)
+    assert texts["exact_dedup"] == sorted({(0, good(1)), (0, good(40)), (5, good(80)), (6, good(120)), (7, good(200, 6_000)), (8, good(300) + " extra"), (9, good(300))})
+    assert texts["near_dedup"] == [x for x in texts["exact_dedup"] if x[0] != 9]
+    assert set(texts["mixing"]) <= set(texts["near_dedup"]) and texts["mixing"]
+    pieces = stages["packing"](spark, step, "").collect()
+    assert sorted({r["doc_id"] or 0 for r in pieces}) == sorted({i for i, _ in texts["mixing"]})
+
+
+def test_run_is_its_stages(spark, small):
+    """The pipeline over the smallest table, against its stages applied one after the other and packed anew."""
+    pieces = corpus_pipeline.run(spark, small).collect()
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, small)
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = sorted((r["doc_id"], t.encode(r["text"], add_special_tokens=False).ids + [2]) for r in docs.collect())
+    copies = {}
+    for r in pieces:  # copies of a document are alike: its pieces come as often
+        copies.setdefault((r["doc_id"], r["piece"]), []).append(r)
+    whole = []
+    for i, ids in want:
+        if i not in {x for x, _ in whole}:
+            parts = [copies[i, k] for k in range(sum(1 for d, _ in copies if d == i))]
+            joined = np.concatenate([np.frombuffer(p[0]["ids"], "<u4") for p in parts]).tolist()
+            assert joined == ids
+            whole += [(i, joined)] * len(parts[0])
+    assert sorted(whole) == want
+    held = {}
+    for r in pieces:
+        held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for spans in held.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 1024
