@@ -4,8 +4,13 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes i
 Parquet under the shared folder and hands the reread table to the next stage.  All but the
 last return the columns of documents.
 
-Rows that are repeated, or whose doc_id is null, pass by their content: the exact stage
-keeps one row of equal texts, so later stages see each text once.
+Cases.  Null and empty texts, and texts of white space, are rejected by the quality stage.
+Rows are told by doc_id and text, so a null doc_id, and an identifier that comes with
+several texts, pass like others; of rows alike in both, and of equal texts, one passes the
+exact stage, and later stages see each text once.  Ties go to the largest doc_id in the exact
+stage, to the smallest in the near one.  Very long texts pass whole.  Extra columns stay until
+packing, whatever their names (but for names that begin with an underscore, which the stages
+use).  An empty table passes every stage as an empty table.
 """
 
 from __future__ import annotations
@@ -22,13 +27,6 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
-def _chosen(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the doc_ids of ``kept``, one for each; null matches null."""
-    one = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
-    joined = docs.join(one, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return joined
-
-
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays: the one with the largest doc_id."""
     groups = common.materialise(exact_dedup.exact_groups(docs, keep="largest").select("doc_id", "kept", "text_sha256"), "exact-groups")
@@ -47,15 +45,15 @@ def _repeats(groups: DataFrame) -> bool:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays: the one with the smallest doc_id."""
-    return _chosen(docs, near_dedup.near_classes(docs).where("kept"))
+    return near_dedup.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources come near their targets: documents that are not taken go, repeats come again."""
-    copies = mixing.by_weight(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies"))
-    joined = docs.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    repeated = joined.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return repeated.select(docs.columns)
+    """Sources come near their targets: documents that are not taken go, repeats come again.
+
+    A document without words has nothing to give and goes.
+    """
+    return mixing.take(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
