@@ -27,7 +27,7 @@ def daily_equipment_summary(silver: DataFrame) -> DataFrame:
     shuffle than theirs.
     """
     df = w.settled(silver)
-    df = w.level_change(df, "fuel_level_pct", ["equipment_id", "event_date"], out="_fuel_change")
+    df = w.level_change(df, "fuel_level_pct", within="event_date", out="_fuel_change")
     temp = F.when(F.col("settled"), F.col("coolant_temp_c"))
     oil = F.when(F.col("is_under_load"), F.col("oil_pressure_psi"))
     daily = df.groupBy("equipment_id", F.col("event_date").alias("day")).agg(
@@ -44,7 +44,7 @@ def daily_equipment_summary(silver: DataFrame) -> DataFrame:
         w.consumed(F.col("_fuel_change")).alias("fuel_consumed_pct"),
         w.refuels(F.col("_fuel_change")).alias("refuel_events"),
         F.count_if("has_fault").alias("fault_code_count"),
-        F.count_distinct("fault_code").alias("distinct_fault_codes"),
+        w.distinct_count(F.col("fault_code")).alias("distinct_fault_codes"),
         w.last_known_pair(F.col("gps_lat"), F.col("gps_lon"), F.col("event_time")).alias("_gps"),
     )
     hours = _non_negative(F.col("engine_hours_end") - F.col("engine_hours_start"))
@@ -94,7 +94,7 @@ def machine_health(silver: DataFrame, window_hours: int = s.DEFAULT_WINDOW_HOURS
         F.percentile(oil, s.OIL_PRESSURE_PERCENTILE).alias("recent_min_oil_psi"),
         F.when(F.count(temp) >= s.MIN_UNDER_LOAD_READINGS, F.regr_slope(temp, F.when(temp.isNotNull(), hours))).alias("temp_trend_c_per_hour"),
         F.count(code).alias("recent_fault_count"),
-        F.count_distinct(code).alias("distinct_fault_codes"),
+        w.distinct_count(code).alias("distinct_fault_codes"),
         w.last_known_pair(F.col("gps_lat"), F.col("gps_lon"), F.col("event_time")).alias("_gps"),
     )
     top = w.top_by_frequency(recent.withColumn("_code", code), ["equipment_id"], "_code").select("equipment_id", F.col("top_value").alias("top_fault_code"), F.col("top_count").alias("_top_count"))

@@ -12,21 +12,27 @@ from ..schemas import REFUEL_DELTA_PCT, WARMUP_READINGS
 def settled(df: DataFrame, key: str = "equipment_id", time: str = "event_time", running: str = "is_under_load", warmup: int = WARMUP_READINGS, out: str = "settled") -> DataFrame:
     """Mark rows after ``warmup`` readings of an uninterrupted running spell.
 
-    Both windows are dealt by the machine, so the second reuses the first one's shuffle.
+    Every window has one partitioning and order, so one shuffle and one sort serve all.
     Filter first where the spell should begin with the filter's window.
     """
     on = F.coalesce(F.col(running), F.lit(False))
     upto = W.partitionBy(key).orderBy(time).rowsBetween(W.unboundedPreceding, W.currentRow)
-    cycle = df.withColumn("_cycle", F.sum(F.when(on, 0).otherwise(1)).over(upto))
-    spell = W.partitionBy(key, "_cycle").orderBy(time).rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = cycle.withColumn("_rank", F.sum(F.when(on, 1).otherwise(0)).over(spell))
-    return ranked.withColumn(out, on & (F.col("_rank") > warmup)).drop("_cycle", "_rank")
+    counted = df.withColumn("_on", F.sum(F.when(on, 1).otherwise(0)).over(upto))
+    before = F.coalesce(F.max(F.when(~on, F.col("_on"))).over(upto), F.lit(0))  # readings of earlier spells
+    return counted.withColumn(out, on & (F.col("_on") - before > warmup)).drop("_on")
 
 
-def level_change(df: DataFrame, level: str, keys: list[str], time: str = "event_time", out: str = "level_change") -> DataFrame:
-    """Difference to the last known level within ``keys``; null for unknown levels and the first."""
-    before = F.last(level, ignorenulls=True).over(W.partitionBy(*keys).orderBy(time).rowsBetween(W.unboundedPreceding, -1))
-    return df.withColumn(out, F.col(level) - before)
+def level_change(df: DataFrame, level: str, key: str = "equipment_id", time: str = "event_time", within: str | None = None, out: str = "level_change") -> DataFrame:
+    """Difference to the machine's last known level; null for unknown levels and the first.
+
+    ``within`` (a column that follows the time, as its date does) forgets the level where it
+    changes; it is compared rather than partitioned by, which spares a sort.
+    """
+    known = F.when(F.col(level).isNotNull(), F.struct(F.col(level).alias("level"), (F.col(within) if within else F.lit(None)).alias("within")))
+    before = F.last(known, ignorenulls=True).over(W.partitionBy(key).orderBy(time).rowsBetween(W.unboundedPreceding, -1))
+    df = df.withColumn("_before", before)
+    same = F.col("_before.within").eqNullSafe(F.col(within)) if within else F.lit(True)
+    return df.withColumn(out, F.when(same, F.col(level) - F.col("_before.level"))).drop("_before")
 
 
 def consumed(change: Column) -> Column:
@@ -50,6 +56,15 @@ def top_by_frequency(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return best.select(*keys, F.col("_best.v").alias("top_value"), (-F.col("_best.n")).alias("top_count"))
 
 
+def distinct_count(value: Column) -> Column:
+    """Number of different known values, for columns that have few of them in a group.
+
+    A set in the aggregation's buffer: a distinct aggregate would group the rows twice and
+    carry the buffers of all other aggregates from one grouping to the other.
+    """
+    return F.size(F.collect_set(value)).cast("long")
+
+
 def weighted_mean(value: Column, weight: Column) -> Column:
     """Mean over rows whose value and weight are known and whose weight is positive."""
     ok = value.isNotNull() & (weight > 0)

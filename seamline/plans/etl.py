@@ -6,6 +6,7 @@ import argparse
 import hashlib
 import json
 import sys
+import uuid
 from collections.abc import Iterable
 from datetime import date, datetime, timezone
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..config import get_settings
 from ..operators import cleaning, gold
 from ..session import get_session
 from ..sources import lake as lakes
@@ -28,13 +30,13 @@ def fingerprint(keys: Iterable[str]) -> str:
     return hashlib.sha256("\n".join(sorted(keys)).encode()).hexdigest()
 
 
-def manifest_key(day: date) -> str:
-    return f"{lakes.SILVER}/dt={day}/{MANIFEST}"
+def manifest_key(day: date, silver: str = lakes.SILVER) -> str:
+    return f"{silver}/dt={day}/{MANIFEST}"
 
 
 def is_current(lake: Lake, day: date, keys: list[str]) -> bool:
     """Whether silver was built from exactly these files; an unreadable manifest means no."""
-    key = manifest_key(day)
+    key = manifest_key(day, lake.silver)
     if not lake.exists(key):
         return False
     try:
@@ -42,7 +44,7 @@ def is_current(lake: Lake, day: date, keys: list[str]) -> bool:
         whole = found["version"] == MANIFEST_VERSION and found["bronze_fingerprint"] == fingerprint(keys)
     except (ValueError, KeyError, TypeError):
         return False
-    return whole and bool(lake.list_keys(f"{lakes.SILVER}/dt={day}"))
+    return whole and bool(lake.list_keys(f"{lake.silver}/dt={day}"))
 
 
 def _counts(conformed: DataFrame) -> dict[date, dict]:
@@ -62,39 +64,60 @@ def _counts(conformed: DataFrame) -> dict[date, dict]:
     return found
 
 
-def build_silver(spark: SparkSession, root: str, dates: Iterable[date] | None = None, full_refresh: bool = False, at: datetime | None = None) -> dict:
+def _check_written(lake: Lake, folder: str, counts: dict[date, dict]) -> None:
+    """Raise unless the written silver holds the audited rows and no null where none may be."""
+    if not any(c["rows_out"] for c in counts.values()):
+        return
+    written = lake.read_partitioned(folder, schemas.SILVER)
+    refused = schemas.null_violations(written, schemas.SILVER)
+    if refused:
+        raise ValueError(f"silver would hold nulls where none may be: {refused}")
+    rows = {r["dt"]: r["count"] for r in written.groupBy("dt").count().collect()}  # a row a day
+    for day, c in counts.items():
+        if rows.get(day, 0) != c["rows_out"]:
+            raise ValueError(f"dt={day}: {rows.get(day, 0)} rows written, {c['rows_out']} audited")
+
+
+def build_silver(spark: SparkSession, root: str | Lake, dates: Iterable[date] | None = None, full_refresh: bool = False, at: datetime | None = None) -> dict:
     """Rebuild the silver partitions whose bronze files changed, all in one job; returns a summary."""
-    lake, stamp = Lake(spark, root), at or datetime.now(timezone.utc)
+    lake, stamp = lakes.as_lake(spark, root), at or datetime.now(timezone.utc)
     found = lakes.bronze_partitions(lake)
     wanted = {d: k for d, k in found.items() if dates is None or d in set(dates)}
     stale = {d: k for d, k in wanted.items() if full_refresh or not is_current(lake, d, k)}
     summary = {"partitions_found": len(wanted), "partitions_built": len(stale), "partitions_skipped": len(wanted) - len(stale), "partitions": {}}
     if not stale:
         return summary
-    bronze = lake.with_source(lake.read_partitioned(lakes.BRONZE, schemas.BRONZE)).where(F.col("dt").isin(sorted(stale)))
+    bronze = lake.with_source(lake.read_partitioned(lake.bronze, schemas.BRONZE)).where(F.col("dt").isin(sorted(stale)))
     result = cleaning.clean(bronze, stamp)
-    # Rows are written first under new names and published by partition; each partition is
-    # reconciled before its manifest, the mark of completeness, is written.
+    # Rows are written aside and checked whole before anything of the lake is touched: a day
+    # that doesn't reconcile, or a null where none may be, leaves every day as it was.
+    aside = f"_tmp/{uuid.uuid4().hex}"
     result.conformed.persist()
     try:
         counts = _counts(result.conformed)
         for day in stale:
             cleaning.reconcile(counts[day])
-            lake.delete_prefix(f"{lakes.SILVER}/dt={day}")
-            lake.delete_prefix(f"{lakes.QUARANTINE}/dt={day}")
-        ordered = result.silver.repartition("dt").sortWithinPartitions("dt", "event_time", "equipment_id")
-        ordered.write.mode("append").partitionBy("dt").option("compression", "zstd").parquet(lake.uri(lakes.SILVER))
+        ordered = lakes.dealt_for_writing(result.silver, "dt").sortWithinPartitions("dt", "event_time", "equipment_id")
+        ordered.write.partitionBy("dt").option("compression", "zstd").parquet(lake.uri(f"{aside}/silver"))
         if any(c["rows_quarantined"] for c in counts.values()):
-            result.quarantine.repartition("dt").write.mode("append").partitionBy("dt").option("compression", "zstd").parquet(lake.uri(lakes.QUARANTINE))
+            lakes.dealt_for_writing(result.quarantine, "dt").write.partitionBy("dt").option("compression", "zstd").parquet(lake.uri(f"{aside}/quarantine"))
+        _check_written(lake, f"{aside}/silver", counts)
+        # From here on a stop leaves days without a manifest, which the next run builds again.
+        for day in stale:
+            for folder, written in ((lake.silver, "silver"), (lake.quarantine, "quarantine")):
+                lake.delete_prefix(f"{folder}/dt={day}")
+                if lake.exists(f"{aside}/{written}/dt={day}"):
+                    lake.rename(f"{aside}/{written}/dt={day}", f"{folder}/dt={day}")
     finally:
         result.conformed.unpersist()
+        lake.delete_prefix(aside)
     for day, keys in stale.items():
         c = counts[day]
         manifest = {
             "version": MANIFEST_VERSION,
             "partition_date": str(day),
-            "silver_key": f"{lakes.SILVER}/dt={day}",
-            "quarantine_key": f"{lakes.QUARANTINE}/dt={day}" if c["rows_quarantined"] else None,
+            "silver_key": f"{lake.silver}/dt={day}",
+            "quarantine_key": f"{lake.quarantine}/dt={day}" if c["rows_quarantined"] else None,
             "rows_in": c["rows_in"],
             "rows_out": c["rows_out"],
             "rows_quarantined": c["rows_quarantined"],
@@ -104,52 +127,53 @@ def build_silver(spark: SparkSession, root: str, dates: Iterable[date] | None =
             "bronze_keys": sorted(keys),
             "processed_at_utc": stamp.isoformat(),
         }
-        lake.write_bytes(manifest_key(day), json.dumps(manifest, indent=2).encode())
+        lake.write_bytes(manifest_key(day, lake.silver), json.dumps(manifest, indent=2).encode())
         summary["partitions"][str(day)] = c
     for name in ("rows_in", "rows_out", "rows_quarantined", "duplicates_removed"):
         summary[name] = sum(c[name] for c in counts.values())
     return summary
 
 
-def build_gold(spark: SparkSession, root: str, window_hours: int = schemas.DEFAULT_WINDOW_HOURS, lookback_days: int = schemas.DEFAULT_LOOKBACK_DAYS, at: datetime | None = None) -> dict:
+def build_gold(spark: SparkSession, root: str | Lake, window_hours: int = schemas.DEFAULT_WINDOW_HOURS, lookback_days: int = schemas.DEFAULT_LOOKBACK_DAYS, at: datetime | None = None) -> dict:
     """Rebuild the three marts from the lookback of silver; each is swapped in whole."""
-    lake, stamp = Lake(spark, root), at or datetime.now(timezone.utc)
-    if not lake.list_keys(lakes.SILVER):
-        raise FileNotFoundError(f"no silver under {lake.uri(lakes.SILVER)}: build silver first")
-    silver = lakes.lookback(lake.read_partitioned(lakes.SILVER, schemas.SILVER), lookback_days)
+    lake, stamp = lakes.as_lake(spark, root), at or datetime.now(timezone.utc)
+    if not lake.list_keys(lake.silver):
+        raise FileNotFoundError(f"no silver under {lake.uri(lake.silver)}: build silver first")
+    silver = lakes.lookback(lake.read_partitioned(lake.silver, schemas.SILVER), lookback_days)
     silver = silver.persist()
     try:
-        read = lambda name: lake.read([gold_key(name)], GOLD_TABLES[name])
-        rows = {"daily_equipment_summary": lake.swap_single(gold.daily_equipment_summary(silver), gold_key("daily_equipment_summary"), schemas.DAILY)}
-        rows["fleet_health_flags"] = lake.swap_single(gold.fleet_health_flags(silver, window_hours, stamp), gold_key("fleet_health_flags"), schemas.FLAGS)
+        read = lambda name: lake.read([gold_key(name, lake.gold)], GOLD_TABLES[name])
+        rows = {"daily_equipment_summary": lake.swap_single(gold.daily_equipment_summary(silver), gold_key("daily_equipment_summary", lake.gold), schemas.DAILY)}
+        rows["fleet_health_flags"] = lake.swap_single(gold.fleet_health_flags(silver, window_hours, stamp), gold_key("fleet_health_flags", lake.gold), schemas.FLAGS)
         fleet = gold.fleet_summary_by_type(silver, read("daily_equipment_summary"), read("fleet_health_flags"), stamp)
-        rows["fleet_summary_by_type"] = lake.swap_single(fleet, gold_key("fleet_summary_by_type"), schemas.FLEET)
+        rows["fleet_summary_by_type"] = lake.swap_single(fleet, gold_key("fleet_summary_by_type", lake.gold), schemas.FLEET)
         reasons = read("fleet_health_flags").select(F.explode(F.split("flag_reasons", ",")).alias("reason")).groupBy("reason").count()
         return {"silver_rows": silver.count(), "rows": rows, "reasons": {r["reason"]: r["count"] for r in reasons.orderBy("reason").collect()}, "generated_at_utc": stamp.isoformat()}
     finally:
         silver.unpersist()
 
 
-def gold_key(name: str) -> str:
-    return f"{lakes.GOLD}/{name}.parquet"
+def gold_key(name: str, folder: str = lakes.GOLD) -> str:
+    return f"{folder}/{name}.parquet"
 
 
-def run_etl(spark: SparkSession, root: str, **options) -> dict:
+def run_etl(spark: SparkSession, root: str | Lake, **options) -> dict:
     """Silver, then gold; an error in silver stops before gold."""
     silver_options = {k: options[k] for k in ("dates", "full_refresh", "at") if k in options}
     gold_options = {k: options[k] for k in ("window_hours", "lookback_days", "at") if k in options}
     return {"silver": build_silver(spark, root, **silver_options), "gold": build_gold(spark, root, **gold_options)}
 
 
-def main(argv: list[str] | None = None) -> int:
+def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(description="Build silver and gold of a telemetry lake")
-    parser.add_argument("root")
+    parser.add_argument("root", nargs="?", help="default: the lake that the environment names")
     parser.add_argument("--date", action="append", type=date.fromisoformat, dest="dates")
     parser.add_argument("--full-refresh", action="store_true")
     parser.add_argument("--window-hours", type=int, default=schemas.DEFAULT_WINDOW_HOURS)
     parser.add_argument("--lookback-days", type=int, default=schemas.DEFAULT_LOOKBACK_DAYS)
     args = vars(parser.parse_args(argv))
-    print(json.dumps(run_etl(get_session("seamline-etl"), args.pop("root"), **args), default=str))
+    spark = spark or get_session("seamline-etl")
+    print(json.dumps(run_etl(spark, lakes.configured(spark, get_settings(), args.pop("root")), **args), default=str))
     return 0
 
 

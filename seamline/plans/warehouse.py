@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import argparse
-import os
 import re
 import sys
+import time
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..config import get_settings
 from ..session import get_session
 from ..sources import lake as lakes
 from ..sources.lake import Lake
@@ -22,6 +23,8 @@ CATALOGUE = Path(__file__).with_name("catalogue.sql")
 LAYERS = ("bronze", "silver", "gold")
 BUILD_COMMAND = {"bronze": "python -m seamline.sources.telemetry ROOT", "silver": "python -m seamline.plans.etl ROOT", "gold": "python -m seamline.plans.etl ROOT"}
 MAX_ROWS, MAX_CELL = 50, 44
+#: Columns that a pivot may have.
+MAX_TYPES = 1_000
 
 
 class MissingLayerError(RuntimeError):
@@ -52,23 +55,23 @@ def load_queries(path: str | Path = CATALOGUE) -> dict[str, Query]:
     return found
 
 
-def register_views(spark: SparkSession, root: str, layers=LAYERS) -> list[str]:
+def register_views(spark: SparkSession, root: str | Lake, layers=LAYERS) -> list[str]:
     """Temporary views of the chosen layers; raises MissingLayerError for one without files."""
-    lake, made = Lake(spark, root), []
+    lake, made = lakes.as_lake(spark, root), []
 
     def need(layer: str, prefix: str) -> None:
         if not lake.list_keys(prefix):
             raise MissingLayerError(f"the {layer} layer has no data at {lake.uri(prefix)}; build it with: {BUILD_COMMAND[layer]}")
 
-    for layer, folder, view, schema in (("bronze", lakes.BRONZE, "bronze_telemetry", schemas.BRONZE), ("silver", lakes.SILVER, "silver_telemetry", schemas.SILVER)):
+    for layer, folder, view, schema in (("bronze", lake.bronze, "bronze_telemetry", schemas.BRONZE), ("silver", lake.silver, "silver_telemetry", schemas.SILVER)):
         if layer in layers:
             need(layer, folder)
             lake.read_partitioned(folder, schema).createOrReplaceTempView(view)
             made.append(view)
     if "gold" in layers:
         for name, schema in GOLD_TABLES.items():
-            need("gold", gold_key(name))
-            lake.read([gold_key(name)], schema).createOrReplaceTempView(name)
+            need("gold", gold_key(name, lake.gold))
+            lake.read([gold_key(name, lake.gold)], schema).createOrReplaceTempView(name)
             made.append(name)
         fleet_hours_by_type(spark.table("daily_equipment_summary")).createOrReplaceTempView("fleet_hours_by_type")
         made.append("fleet_hours_by_type")
@@ -76,8 +79,12 @@ def register_views(spark: SparkSession, root: str, layers=LAYERS) -> list[str]:
 
 
 def fleet_hours_by_type(daily: DataFrame) -> DataFrame:
-    """Operating hours by day, a column for each equipment type of the contract."""
-    return daily.groupBy("day").pivot("equipment_type", sorted(schemas.EQUIPMENT_TYPES)).agg(F.round(F.sum("operating_hours"), 1))
+    """Operating hours by day, a column for each equipment type that the table holds."""
+    known = daily.where(F.col("equipment_type").isNotNull()).select("equipment_type").distinct()
+    types = sorted(r[0] for r in known.limit(MAX_TYPES + 1).collect())
+    if len(types) > MAX_TYPES:
+        raise ValueError(f"more than {MAX_TYPES} equipment types: too many for columns")
+    return daily.groupBy("day").pivot("equipment_type", types or list(schemas.EQUIPMENT_TYPES)).agg(F.round(F.sum("operating_hours"), 1))
 
 
 def materialised_objects(spark: SparkSession) -> list[str]:
@@ -85,7 +92,7 @@ def materialised_objects(spark: SparkSession) -> list[str]:
     return [t.name for t in spark.catalog.listTables() if t.tableType != "TEMPORARY" or spark.catalog.isCached(t.name)]
 
 
-def get_warehouse(root: str, layers=LAYERS, spark: SparkSession | None = None) -> SparkSession:
+def get_warehouse(root: str | Lake, layers=LAYERS, spark: SparkSession | None = None) -> SparkSession:
     spark = spark or get_session("seamline-warehouse")
     register_views(spark, root, layers)
     return spark
@@ -100,10 +107,14 @@ def explain(spark: SparkSession, query: Query) -> str:
     return "\n".join(r[0] for r in spark.sql(f"EXPLAIN FORMATTED {query.sql}").collect())
 
 
-def files_read(df: DataFrame) -> int:
-    """Run a frame and sum the files its scans opened (the scans' ``numFiles`` metric)."""
-    df.collect()
-    plan, total = df._jdf.queryExecution().executedPlan(), 0
+def files_read(df: DataFrame) -> tuple[int, int]:
+    """Run a frame and sum the files its scans opened (the scans' ``numFiles`` metric): files, rows.
+
+    The plan is executed and its rows are counted where they are: no result comes to the driver.
+    """
+    execution = df._jdf.queryExecution()
+    rows = execution.toRdd().count()
+    plan, total = execution.executedPlan(), 0
     stack = [plan]
     while stack:
         node = stack.pop()
@@ -117,7 +128,15 @@ def files_read(df: DataFrame) -> int:
         stack.extend(children.apply(i) for i in range(children.size()))
         if node.getClass().getSimpleName().endswith("QueryStageExec"):
             stack.append(node.plan())
-    return total
+    return total, rows
+
+
+def analyze(spark: SparkSession, query: Query) -> str:
+    """The query's executed plan, and what running it read and returned."""
+    df, began = statement(spark, query), time.perf_counter()
+    files, rows = files_read(df)
+    took = time.perf_counter() - began
+    return f"{df._jdf.queryExecution().executedPlan().toString()}\nfiles read: {files}  rows: {rows}  seconds: {took:.3f}"
 
 
 def render_table(df: DataFrame) -> str:
@@ -134,11 +153,12 @@ def render_table(df: DataFrame) -> str:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     """0: all ran; 1: a missing layer, a failure, or an empty result with --require-rows; 2: unknown query."""
     parser = argparse.ArgumentParser(description="Run catalogue queries over a telemetry lake")
-    parser.add_argument("root", nargs="?", default=os.environ.get("LAKE_ROOT", "data/lake"))
+    parser.add_argument("root", nargs="?", help="default: the lake that the environment names")
     parser.add_argument("--query", action="append")
     parser.add_argument("--list", action="store_true")
     parser.add_argument("--limit", type=int)
-    parser.add_argument("--explain", action="store_true")
+    parser.add_argument("--explain", action="store_true", help="the plan, without running the query")
+    parser.add_argument("--analyze", action="store_true", help="the executed plan with the files and rows it read and returned")
     parser.add_argument("--require-rows", action="store_true")
     args = parser.parse_args(argv)
     queries = load_queries()
@@ -150,11 +170,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if unknown:
         print(f"unknown query: {', '.join(unknown)}; known: {', '.join(queries)}", file=sys.stderr)
         return 2
+    spark = spark or get_session("seamline-warehouse")
+    before = set(materialised_objects(spark))
     try:
-        spark = get_warehouse(args.root, spark=spark)
+        get_warehouse(lakes.configured(spark, get_settings(), args.root), spark=spark)
     except MissingLayerError as missing:
         print(missing, file=sys.stderr)
         return 1
+    made = sorted(set(materialised_objects(spark)) - before)
+    if made:
+        print(f"the warehouse holds copies of data, not views of files: {', '.join(made)}", file=sys.stderr)
+        return 1
     failed = False
     for name in args.query or queries:
         print(f"\n## {name}: {queries[name].question}")
@@ -162,6 +188,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             if args.explain:
                 print(explain(spark, queries[name]))
                 continue
+            if args.analyze:
+                print(analyze(spark, queries[name]))
+                continue
             df = statement(spark, queries[name], args.limit)
             print(render_table(df))
             if args.require_rows and df.isEmpty():

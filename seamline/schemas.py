@@ -6,42 +6,121 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, DoubleType, LongType, StringType, StructField, StructType, TimestampType
 
-_TYPES = {"s": StringType(), "d": DoubleType(), "l": LongType(), "b": BooleanType(), "t": TimestampType(), "D": DateType()}
+_TYPES = {"STRING": StringType(), "DOUBLE": DoubleType(), "BIGINT": LongType(), "BOOLEAN": BooleanType(), "TIMESTAMP": TimestampType(), "DATE": DateType()}
 
 
-def _schema(text: str) -> StructType:
-    """``name:type`` words; a trailing ! marks a column that is never null."""
+def _schema(ddl: str) -> StructType:
+    """A schema from column definitions in SQL, a line each."""
     fields = []
-    for word in text.split():
-        name, kind = word.rstrip("!").split(":")
-        fields.append(StructField(name, _TYPES[kind], not word.endswith("!")))
+    for line in filter(None, (x.strip().rstrip(",") for x in ddl.splitlines())):
+        name, kind, *rest = line.split()
+        fields.append(StructField(name, _TYPES[kind], rest != ["NOT", "NULL"]))
     return StructType(fields)
 
 
 SENSORS = ("engine_hours", "fuel_level_pct", "coolant_temp_c", "oil_pressure_psi", "gps_lat", "gps_lon")
-_SENSORS = " ".join(f"{c}:d" for c in SENSORS)
 
-BRONZE = _schema(f"equipment_id:s equipment_type:s timestamp:s {_SENSORS} fault_code:s _ingest_batch_id:s! _ingested_at_utc:t!")
-SILVER = _schema(
-    f"equipment_id:s! equipment_type:s! event_time:t! event_date:D! {_SENSORS} fault_code:s has_fault:b! is_under_load:b! "
-    "quality_flags:s _ingest_batch_id:s _ingested_at_utc:t _silver_processed_at_utc:t!"
-)
-QUARANTINE = _schema("equipment_id:s equipment_type:s timestamp:s reject_reason:s! _ingest_batch_id:s _quarantined_at_utc:t!")
-DAILY = _schema(
-    "equipment_id:s! equipment_type:s! day:D! readings_count:l! under_load_readings:l! avg_coolant_temp_c:d max_coolant_temp_c:d "
-    "p95_coolant_temp_c:d avg_oil_pressure_psi:d min_oil_pressure_psi:d engine_hours_start:d engine_hours_end:d operating_hours:d "
-    "fuel_consumed_pct:d fuel_burn_pct_per_hour:d refuel_events:l! fault_code_count:l! distinct_fault_codes:l! last_gps_lat:d last_gps_lon:d"
-)
-FLAGS = _schema(
-    "equipment_id:s! equipment_type:s! severity:s! health_score:d! flag_reasons:s! temp_trend_c_per_hour:d recent_avg_temp_c:d "
-    "recent_max_temp_c:d recent_min_oil_psi:d recent_fault_count:l! distinct_fault_codes:l! top_fault_code:s readings_in_window:l! "
-    "hours_since_last_reading:d last_seen_utc:t last_gps_lat:d last_gps_lon:d window_hours:l! generated_at_utc:t!"
-)
-FLEET = _schema(
-    "equipment_type:s! machine_count:l! active_machines_24h:l! avg_coolant_temp_c:d max_coolant_temp_c:d avg_oil_pressure_psi:d "
-    "total_operating_hours:d avg_fuel_burn_pct_per_hour:d total_fault_codes:l! machines_flagged:l! pct_flagged:d! critical_count:l! "
-    "warning_count:l! days_covered:l! generated_at_utc:t!"
-)
+BRONZE = _schema("""
+    equipment_id STRING,
+    equipment_type STRING,
+    timestamp STRING,
+    engine_hours DOUBLE,
+    fuel_level_pct DOUBLE,
+    coolant_temp_c DOUBLE,
+    oil_pressure_psi DOUBLE,
+    gps_lat DOUBLE,
+    gps_lon DOUBLE,
+    fault_code STRING,
+    _ingest_batch_id STRING NOT NULL,
+    _ingested_at_utc TIMESTAMP NOT NULL
+""")
+SILVER = _schema("""
+    equipment_id STRING NOT NULL,
+    equipment_type STRING NOT NULL,
+    event_time TIMESTAMP NOT NULL,
+    event_date DATE NOT NULL,
+    engine_hours DOUBLE,
+    fuel_level_pct DOUBLE,
+    coolant_temp_c DOUBLE,
+    oil_pressure_psi DOUBLE,
+    gps_lat DOUBLE,
+    gps_lon DOUBLE,
+    fault_code STRING,
+    has_fault BOOLEAN NOT NULL,
+    is_under_load BOOLEAN NOT NULL,
+    quality_flags STRING,
+    _ingest_batch_id STRING,
+    _ingested_at_utc TIMESTAMP,
+    _silver_processed_at_utc TIMESTAMP NOT NULL
+""")
+QUARANTINE = _schema("""
+    equipment_id STRING,
+    equipment_type STRING,
+    timestamp STRING,
+    reject_reason STRING NOT NULL,
+    _ingest_batch_id STRING,
+    _quarantined_at_utc TIMESTAMP NOT NULL
+""")
+DAILY = _schema("""
+    equipment_id STRING NOT NULL,
+    equipment_type STRING NOT NULL,
+    day DATE NOT NULL,
+    readings_count BIGINT NOT NULL,
+    under_load_readings BIGINT NOT NULL,
+    avg_coolant_temp_c DOUBLE,
+    max_coolant_temp_c DOUBLE,
+    p95_coolant_temp_c DOUBLE,
+    avg_oil_pressure_psi DOUBLE,
+    min_oil_pressure_psi DOUBLE,
+    engine_hours_start DOUBLE,
+    engine_hours_end DOUBLE,
+    operating_hours DOUBLE,
+    fuel_consumed_pct DOUBLE,
+    fuel_burn_pct_per_hour DOUBLE,
+    refuel_events BIGINT NOT NULL,
+    fault_code_count BIGINT NOT NULL,
+    distinct_fault_codes BIGINT NOT NULL,
+    last_gps_lat DOUBLE,
+    last_gps_lon DOUBLE
+""")
+FLAGS = _schema("""
+    equipment_id STRING NOT NULL,
+    equipment_type STRING NOT NULL,
+    severity STRING NOT NULL,
+    health_score DOUBLE NOT NULL,
+    flag_reasons STRING NOT NULL,
+    temp_trend_c_per_hour DOUBLE,
+    recent_avg_temp_c DOUBLE,
+    recent_max_temp_c DOUBLE,
+    recent_min_oil_psi DOUBLE,
+    recent_fault_count BIGINT NOT NULL,
+    distinct_fault_codes BIGINT NOT NULL,
+    top_fault_code STRING,
+    readings_in_window BIGINT NOT NULL,
+    hours_since_last_reading DOUBLE,
+    last_seen_utc TIMESTAMP,
+    last_gps_lat DOUBLE,
+    last_gps_lon DOUBLE,
+    window_hours BIGINT NOT NULL,
+    generated_at_utc TIMESTAMP NOT NULL
+""")
+FLEET = _schema("""
+    equipment_type STRING NOT NULL,
+    machine_count BIGINT NOT NULL,
+    active_machines_24h BIGINT NOT NULL,
+    avg_coolant_temp_c DOUBLE,
+    max_coolant_temp_c DOUBLE,
+    avg_oil_pressure_psi DOUBLE,
+    total_operating_hours DOUBLE,
+    avg_fuel_burn_pct_per_hour DOUBLE,
+    total_fault_codes BIGINT NOT NULL,
+    machines_flagged BIGINT NOT NULL,
+    pct_flagged DOUBLE NOT NULL,
+    critical_count BIGINT NOT NULL,
+    warning_count BIGINT NOT NULL,
+    days_covered BIGINT NOT NULL,
+    generated_at_utc TIMESTAMP NOT NULL
+""")
 
 EQUIPMENT_TYPES = ("excavator", "dozer", "loader", "generator_engine")
 #: Slugs of other spellings and the type they mean.

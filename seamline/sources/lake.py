@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 import tempfile
 import uuid
@@ -12,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..schemas import conform
+from ..schemas import conform, null_violations
 
+_LOG = logging.getLogger(__name__)
 _PARTITION = re.compile(r"(?:^|/)dt=(\d{4}-\d{2}-\d{2})(?:/|$)")
 BRONZE, SILVER, QUARANTINE, GOLD = "raw", "silver", "silver/_quarantine", "gold"
 
@@ -28,10 +30,11 @@ def partition_date(key: str) -> date | None:
 
 
 class Lake:
-    """Objects by POSIX-like keys relative to a root."""
+    """Objects by POSIX-like keys relative to a root, and where its layers are."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, bronze: str = BRONZE, silver: str = SILVER, gold: str = GOLD):
         self.spark, self.root = spark, root.rstrip("/")
+        self.bronze, self.silver, self.gold, self.quarantine = bronze, silver, gold, f"{silver}/_quarantine"
         self._jvm = spark.sparkContext._jvm
         self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -77,6 +80,12 @@ class Lake:
         self._fs.delete(self._path(prefix), True)
         return count
 
+    def rename(self, prefix: str, target: str) -> None:
+        """Move a folder; the target must not exist, its parents are made."""
+        self._fs.mkdirs(self._path(target).getParent())
+        if not self._fs.rename(self._path(prefix), self._path(target)):
+            raise OSError(f"cannot move {self.uri(prefix)} to {self.uri(target)}")
+
     def read(self, keys: Iterable[str], schema: StructType) -> DataFrame:
         """Files by name of their columns; no keys give an empty frame."""
         paths = [self.uri(k) for k in keys]
@@ -93,10 +102,16 @@ class Lake:
         return df.select("*", F.col("_metadata.file_path").alias("_source_file"), F.col("_metadata.row_index").alias("_source_row"))
 
     def swap_single(self, df: DataFrame, key: str, schema: StructType) -> int:
-        """Write one file aside and rename it over ``key``: readers see the old or the new one."""
+        """Write one file aside and rename it over ``key``: readers see the old or the new one.
+
+        Nulls in columns that the schema says are never null refuse the file; the old one stays.
+        """
         aside = f"_tmp/{uuid.uuid4().hex}"
-        ordered = conform(df, schema)
-        ordered.coalesce(1).write.option("compression", "zstd").parquet(self.uri(aside))
+        conform(df, schema).coalesce(1).write.option("compression", "zstd").parquet(self.uri(aside))
+        refused = null_violations(self.spark.read.parquet(self.uri(aside)), schema)
+        if refused:
+            self.delete_prefix(aside)
+            raise ValueError(f"{key} would hold nulls where none may be: {refused}")
         part = next(k for k in self.list_keys(aside) if k.rsplit("/", 1)[1].startswith("part-"))
         target = self._path(key)
         self._fs.mkdirs(target.getParent())
@@ -109,33 +124,59 @@ class Lake:
         return self.spark.read.schema(schema).parquet(self.uri(key)).count()
 
 
+def as_lake(spark: SparkSession, place: str | Lake) -> Lake:
+    """A lake, given as one or by its root."""
+    return place if isinstance(place, Lake) else Lake(spark, place)
+
+
+def configured(spark: SparkSession, settings, root: str | None = None) -> Lake:
+    """The lake of the settings, or the one at ``root`` with their layer names."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for name, value in settings.storage.items():
+        hadoop.set(name.removeprefix("spark.hadoop."), value)
+    return Lake(spark, root or settings.root, **settings.prefixes())
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A folder of its own that all executors see, removed when the application ends."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="seamline-")
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir")
+    if not base and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="seamline-")
     path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(target)
     return path
 
 
 def bronze_partitions(lake: Lake) -> dict[date, list[str]]:
-    """Bronze files by the date of their directory; others are left out."""
+    """Bronze files by the date of their directory; others are left out, with a warning."""
     found: dict[date, list[str]] = {}
-    for key in lake.list_keys(BRONZE):
+    for key in lake.list_keys(lake.bronze):
         day = partition_date(key)
-        if day is not None:
+        if day is None:
+            _LOG.warning("%s has no dt= date in its key and is left out", key)
+        else:
             found.setdefault(day, []).append(key)
     return dict(sorted(found.items()))
 
 
 def lookback(silver: DataFrame, days: int) -> DataFrame:
     """The newest ``days`` partitions' dates of silver, by a pruning predicate on dt."""
-    silver.createOrReplaceTempView("_lookback_silver")
-    spark = silver.sparkSession
-    return spark.sql(f"SELECT * FROM _lookback_silver WHERE dt >= date_sub((SELECT max(dt) FROM _lookback_silver), {int(days) - 1})")
+    newest = silver.select(F.max("dt")).scalar()
+    return silver.where(F.col("dt") >= F.date_sub(newest, int(days) - 1))
+
+
+def dealt_for_writing(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of one partition together, but for those of a large one: adaptive execution splits it by size.
+
+    So a day takes as many tasks and files as its bytes ask for, and a small one a single file.
+    """
+    return df.hint("rebalance", *keys)
 
 
 def land(df: DataFrame, lake: Lake, time: str = "event_time") -> None:
     """Append bronze readings under the date of their own event."""
     dated = df.withColumn("dt", F.to_date(time)).drop(time)
-    dated.repartition("dt").write.mode("append").partitionBy("dt").option("compression", "zstd").parquet(lake.uri(BRONZE))
+    dealt_for_writing(dated, "dt").write.mode("append").partitionBy("dt").option("compression", "zstd").parquet(lake.uri(lake.bronze))

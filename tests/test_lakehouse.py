@@ -53,7 +53,22 @@ def test_resumed_hour_meters_go_on(spark, root):
     state = telemetry.load_state(Lake(spark, root), FLEET)
     more = telemetry.readings(spark, FLEET, START + timedelta(hours=60), START + timedelta(hours=61), state)
     low = {r["equipment_id"]: r["h"] for r in more.groupBy("equipment_id").agg(F.min("engine_hours").alias("h")).collect()}
-    assert all(low[k] >= s["hours"] - 1e-9 for k, s in state.items())
+    saved = state.collect()
+    assert len(saved) == FLEET.fleet_size and all(low[r["equipment_id"]] >= r["hours"] - 1e-9 for r in saved)
+
+
+def test_dirt_is_drawn_by_row(spark):
+    """About one row in a hundred loses one field, three in a thousand get an impossible one; none loses two."""
+    fleet = telemetry.FleetConfig(fleet_size=300, seed=3)
+    clean = telemetry.readings(spark, fleet, START, START + timedelta(hours=24))
+    bronze = telemetry.dirty(clean, fleet)
+    n = bronze.count()
+    lost = sum((F.col(c).isNull().cast("int") for c in schemas.SENSORS), F.lit(0))
+    stray = sum((F.col(c).isin(*v).cast("int") for c, v in telemetry.IMPOSSIBLE.items()), F.lit(0))
+    row = bronze.select(lost.alias("l"), F.coalesce(stray, F.lit(0)).alias("s"), ((F.col("gps_lat") == 0) & (F.col("gps_lon") == 0)).alias("z"))
+    row = row.agg(F.max("l").alias("most"), F.avg("l").alias("lost"), F.avg("s").alias("stray"), F.avg(F.coalesce("z", F.lit(False)).cast("int")).alias("zero")).first()
+    assert row["most"] == 1 and 0.008 < row["lost"] < 0.012
+    assert 0.0017 < row["stray"] < 0.0029 and 0.0004 < row["zero"] < 0.0012 and n > 80_000
 
 
 def test_silver(spark, root, built):
@@ -118,6 +133,9 @@ def test_warehouse(spark, root, built, capsys):
     assert warehouse.main([root, "--require-rows", "--query", "fault_code_pareto", "--query", "data_quality_report", "--query", "fleet_utilisation"], spark) == 0
     assert "vital few" in capsys.readouterr().out
     assert warehouse.main(["file:///nowhere/at/all"], spark) == 1
+    assert warehouse.main([root, "--analyze", "--query", "partition_pruning_demo"], spark) == 0
+    out = capsys.readouterr().out
+    assert "files read: " in out and "rows: 2" in out and "isFinalPlan=true" in out
     assert warehouse.materialised_objects(spark) == []
     for q in warehouse.load_queries().values():
         warehouse.statement(spark, q, 5).collect()
@@ -128,9 +146,9 @@ def test_warehouse(spark, root, built, capsys):
 
 def test_partition_predicates_open_fewer_files(spark, root, built):
     warehouse.register_views(spark, root)
-    every = warehouse.files_read(spark.sql("SELECT count(*) FROM bronze_telemetry"))
-    one = warehouse.files_read(spark.sql("SELECT count(*) FROM bronze_telemetry WHERE dt = DATE '2026-08-19'"))
-    assert 0 < one < every
+    every, rows = warehouse.files_read(spark.sql("SELECT * FROM bronze_telemetry"))
+    one, fewer = warehouse.files_read(spark.sql("SELECT * FROM bronze_telemetry WHERE dt = DATE '2026-08-19'"))
+    assert 0 < one < every and 0 < fewer < rows == spark.table("bronze_telemetry").count()
 
 
 def test_serving(spark, root, built):
@@ -167,12 +185,75 @@ def test_storage(spark, tmp_path):
 
 def test_config(tmp_path, monkeypatch):
     monkeypatch.chdir(tmp_path)
-    assert config.get_settings({}).root == f"file://{tmp_path}/data/lake"
+    assert config.get_settings({}).root == f"file://{tmp_path}/data"
+    assert config.get_settings({"LAKE_LOCAL_ROOT": "hdfs://n/lake/"}).root == "hdfs://n/lake/"
     with pytest.raises(ValueError):
         config.get_settings({"LAKE_BACKEND": "azure"})
-    assert config.get_settings({"LAKE_BACKEND": "azure", "AZURE_ACCOUNT": "a", "AZURE_CONTAINER": "c"}).root == "abfss://c@a.dfs.core.windows.net"
-    with pytest.raises(ValueError):
-        config.get_settings({"LAKE_BACKEND": "ftp"})
+    azure = {"LAKE_BACKEND": "azure", "AZURE_STORAGE_CONNECTION_STRING": "DefaultEndpointsProtocol=https;AccountName=a;AccountKey=k==;EndpointSuffix=core.windows.net", "AZURE_BLOB_CONTAINER": "c"}
+    found = config.get_settings(azure)
+    assert found.root == "abfss://c@a.dfs.core.windows.net" and found.storage == {"spark.hadoop.fs.azure.account.key.a.dfs.core.windows.net": "k=="}
+    for bad in ({"LAKE_BACKEND": "ftp"}, {"FLEET_SIZE": "many"}, {"FLEET_SIZE": "0"}):
+        with pytest.raises(ValueError):
+            config.get_settings(bad)
+    named = config.get_settings({"BRONZE_PREFIX": "/b/", "SILVER_PREFIX": "s", "GOLD_PREFIX": "g", "FLEET_SIZE": "7", "GENERATOR_SEED": "3"})
+    assert named.prefixes() == {"bronze": "b", "silver": "s", "gold": "g"} and (named.fleet_size, named.seed) == (7, 3)
+
+
+def test_commands_use_the_settings(spark, tmp_path, monkeypatch, capsys):
+    for name, value in {"LAKE_LOCAL_ROOT": str(tmp_path), "BRONZE_PREFIX": "b", "SILVER_PREFIX": "s/v", "GOLD_PREFIX": "g", "FLEET_SIZE": "12", "GENERATOR_SEED": "9"}.items():
+        monkeypatch.setenv(name, value)
+    assert telemetry.main(["--hours", "6", "--end", "2026-08-18T12:00:00+00:00"], spark) == 0
+    assert etl.main([], spark) == 0
+    assert warehouse.main(["--query", "fleet_utilisation", "--require-rows"], spark) == 0
+    out = capsys.readouterr().out
+    assert '"machines": 12' in out and "fleet_hours" in out
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith("_")) == ["b", "g", "s"]
+
+
+def test_a_day_that_fails_leaves_every_day_as_it_was(spark, root, built, tmp_path, monkeypatch):
+    lake = Lake(spark, root)
+    copy = Lake(spark, "file://" + str(tmp_path))
+    lake.read_partitioned(lakes.BRONZE, schemas.BRONZE).write.partitionBy("dt").parquet(copy.uri(lakes.BRONZE))
+    etl.build_silver(spark, copy.root, at=AT)
+    files = {k: copy.read_bytes(k) for k in copy.list_keys(lakes.SILVER, "")}
+    days, seen = len(lakes.bronze_partitions(copy)), []
+
+    def second_fails(audit):
+        seen.append(audit)
+        if len(seen) == 2:
+            raise ValueError("does not reconcile")
+
+    monkeypatch.setattr(etl.cleaning, "reconcile", second_fails)
+    with pytest.raises(ValueError, match="reconcile"):
+        etl.build_silver(spark, copy.root, full_refresh=True, at=AT)
+    monkeypatch.undo()
+    monkeypatch.setattr(schemas, "null_violations", lambda df, schema: {"event_time": 1})
+    with pytest.raises(ValueError, match="nulls"):
+        etl.build_silver(spark, copy.root, full_refresh=True, at=AT)
+    monkeypatch.undo()
+    assert days > 2 and {k: copy.read_bytes(k) for k in copy.list_keys(lakes.SILVER, "")} == files and not copy.list_keys("_tmp", "")
+
+
+def test_gold_with_nulls_is_refused(spark, tmp_path):
+    lake = Lake(spark, "file://" + str(tmp_path))
+    good = spark.createDataFrame([("dozer", 3)], "equipment_type string, machine_count long").select("*", *(F.lit(0).alias(f.name) for f in schemas.FLEET if f.name not in ("equipment_type", "machine_count", "generated_at_utc")), F.current_timestamp().alias("generated_at_utc"))
+    assert lake.swap_single(good, "gold/x.parquet", schemas.FLEET) == 1
+    with pytest.raises(ValueError, match="machine_count"):
+        lake.swap_single(good.withColumn("machine_count", F.lit(None)), "gold/x.parquet", schemas.FLEET)
+    assert lake.read(["gold/x.parquet"], schemas.FLEET).first()["machine_count"] == 3
+
+
+def test_a_large_day_takes_several_files(spark, tmp_path):
+    lake = Lake(spark, "file://" + str(tmp_path))
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        rows = spark.range(0, 40_000, 1, 8).select(F.sha2(F.col("id").cast("string"), 256).alias("_ingest_batch_id"), F.when(F.col("id") < 39_000, F.lit("2026-08-18")).otherwise("2026-08-19").cast("timestamp").alias("event_time"))
+        lakes.land(rows, lake)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert len(lake.list_keys("raw/dt=2026-08-18")) > 3 and len(lake.list_keys("raw/dt=2026-08-19")) == 1
+    assert lake.read_partitioned("raw", schemas.BRONZE).count() == 40_000
 
 
 def test_streaming_matches_batch_keys(spark, root, built, tmp_path):
