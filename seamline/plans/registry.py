@@ -38,28 +38,43 @@ def query(sql: str | None = None):
 
 # Cleaning
 
+#: Every bronze row of the stand-in, what is wrong with it, and its place among the copies of its reading.
+_COPIES = """copies AS (
+    SELECT event_id, user_id, ts, event_type, value, 0 AS late FROM events
+    UNION ALL SELECT event_id, user_id, ts, event_type, value, 0 FROM events WHERE event_id % 10 = 0
+    UNION ALL SELECT event_id, user_id, ts, event_type, value, 1 FROM events WHERE event_id % 15 = 0
+), judged AS (
+    SELECT *, CASE WHEN event_id % 60 = 59 THEN 'missing_equipment_id' WHEN event_id % 50 = 49 THEN 'unparseable_timestamp'
+                   WHEN event_id % 40 = 39 THEN 'unknown_equipment_type' END AS reject_reason FROM copies
+), keyed AS (
+    SELECT *, row_number() OVER (PARTITION BY user_id, floor(epoch(ts)), reject_reason ORDER BY late, event_id % 6) AS nth,
+           first_value(CASE WHEN late = 1 THEN 'late' ELSE 'b' || CAST(event_id % 6 AS STRING) END) OVER (PARTITION BY user_id, floor(epoch(ts)), reject_reason ORDER BY late, event_id % 6) AS winner,
+           CASE WHEN late = 1 THEN 'late' ELSE 'b' || CAST(event_id % 6 AS STRING) END AS batch
+    FROM judged
+)"""
+
 
 @query(
-    """SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS at_seconds, event_id % 4 = 2 AS assumed_utc
-       FROM events WHERE event_id % 50 <> 49"""
+    f"""WITH {_COPIES} SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS at_seconds, event_id % 4 = 2 AS assumed_utc
+       FROM copies WHERE event_id % 50 <> 49"""
 )
 def c2_event_time(spark, sf_dir):
     t = c.event_time(F.col("timestamp"))
-    df = bronze(spark, sf_dir).where("_ingest_batch_id <> 'late'").dropDuplicates(["event_id"]).select("event_id", t.alias("t"))
+    df = bronze(spark, sf_dir).select("event_id", t.alias("t"))
     return df.where("t.at IS NOT NULL").select("event_id", F.unix_timestamp("t.at").alias("at_seconds"), F.col("t.assumed_utc").alias("assumed_utc"))
 
 
 @query(
-    """SELECT event_id, CASE WHEN event_id % 40 = 39 THEN NULL WHEN event_id % 5 = 0 THEN 'excavator' WHEN event_id % 5 = 1 THEN 'dozer'
-              WHEN event_id % 5 = 2 THEN 'loader' ELSE 'generator_engine' END AS equipment_type FROM events"""
+    f"""WITH {_COPIES} SELECT event_id, CASE WHEN event_id % 40 = 39 THEN NULL WHEN event_id % 5 = 0 THEN 'excavator' WHEN event_id % 5 = 1 THEN 'dozer'
+              WHEN event_id % 5 = 2 THEN 'loader' ELSE 'generator_engine' END AS equipment_type FROM copies"""
 )
 def c5_equipment_type(spark, sf_dir):
-    df = bronze(spark, sf_dir).where("_ingest_batch_id <> 'late'").dropDuplicates(["event_id"])
+    df = bronze(spark, sf_dir)
     return df.select("event_id", c.equipment_type(F.col("equipment_type")).alias("equipment_type"))
 
 
 @query(
-    """SELECT event_id,
+    f"""WITH {_COPIES} SELECT event_id,
               CASE WHEN event_id % 9 < 2 THEN NULL ELSE CAST(event_id % 101 AS DOUBLE) END AS fuel_level_pct,
               CASE WHEN value * 3 > 200 THEN NULL ELSE round(value * 3, 8) END AS coolant_temp_c,
               CASE WHEN event_id % 8 = 1 THEN NULL WHEN event_id % 8 = 0 THEN CAST(5 AS DOUBLE) ELSE CAST(event_id % 50 AS DOUBLE) END AS oil_pressure_psi,
@@ -68,30 +83,15 @@ def c5_equipment_type(spark, sf_dir):
               nullif(concat_ws(',', CASE WHEN event_id % 9 = 0 THEN 'fuel_level_pct_out_of_range' END, CASE WHEN value * 3 > 200 THEN 'coolant_temp_c_out_of_range' END,
                      CASE WHEN event_id % 8 = 1 THEN 'oil_pressure_psi_out_of_range' END, CASE WHEN event_id % 12 > 1 AND event_id % 100 < 20 THEN 'gps_lat_out_of_range' END,
                      CASE WHEN event_id % 12 <> 0 AND event_id % 100 > 80 THEN 'gps_lon_out_of_range' END, CASE WHEN event_id % 12 = 0 THEN 'gps_null_island' END), '') AS quality_flags
-       FROM events"""
+       FROM copies"""
 )
 def c8_ranges_and_flags(spark, sf_dir):
-    df = cleaning.apply_ranges(bronze(spark, sf_dir).where("_ingest_batch_id <> 'late'").dropDuplicates(["event_id"]))
+    df = cleaning.apply_ranges(bronze(spark, sf_dir))
     flags = {n.removeprefix("_flag_"): F.col(n) for n in df.columns if n.startswith("_flag_")}
     kept = df.select("event_id", "fuel_level_pct", "coolant_temp_c", "oil_pressure_psi", "gps_lat", "gps_lon", c.joined_flags(flags).alias("quality_flags"))
     return rounded(kept)
 
 
-_COPIES = """copies AS (
-    SELECT event_id, user_id, ts, event_type, value, 0 AS late FROM events
-    UNION ALL SELECT event_id, user_id, ts, event_type, value, 0 FROM events WHERE event_id % 10 = 0
-    UNION ALL SELECT event_id, user_id, ts, event_type, value, 1 FROM events WHERE event_id % 15 = 0
-), judged AS (
-    SELECT *, CASE WHEN event_id % 60 = 59 THEN 'missing_equipment_id' WHEN event_id % 50 = 49 THEN 'unparseable_timestamp'
-                   WHEN event_id % 40 = 39 THEN 'unknown_equipment_type' END AS reject_reason FROM copies
-), keyed AS (
-    SELECT *, row_number() OVER (PARTITION BY user_id, floor(epoch(ts)), reject_reason ORDER BY late, event_id % 6) AS nth,
-           first_value(CASE WHEN late = 1 THEN 'late' ELSE 'b' || CAST(event_id % 6 AS STRING) END) OVER (PARTITION BY user_id, floor(epoch(ts)), reject_reason ORDER BY late, event_id % 6) AS winner,
-           CASE WHEN late = 1 THEN 'late' ELSE 'b' || CAST(event_id % 6 AS STRING) END AS batch
-    FROM judged
-)"""
-
-
 @query(f"WITH {_COPIES} SELECT reject_reason, count(*) AS n FROM keyed WHERE reject_reason IS NOT NULL GROUP BY reject_reason")
 def c7_quarantine(spark, sf_dir):
     return cleaning.clean(bronze(spark, sf_dir), _AT).quarantine.groupBy("reject_reason").agg(F.count("*").alias("n"))
@@ -127,6 +127,52 @@ def c14_audit(spark, sf_dir):
     return counts.unpivot([], list(counts.columns), "metric", "n")
 
 
+_FIRED = {
+    "assumed_utc": "event_id % 4 = 2",
+    "engine_hours_out_of_range": "event_id / 100.0 > 200000",
+    "fuel_level_pct_out_of_range": "event_id % 9 = 0",
+    "coolant_temp_c_out_of_range": "value * 3 > 200 OR value * 3 < -50",
+    "oil_pressure_psi_out_of_range": "event_id % 8 = 1",
+    "gps_lat_out_of_range": "event_id % 12 > 1 AND event_id % 100 < 20",
+    "gps_lon_out_of_range": "event_id % 12 <> 0 AND event_id % 100 > 80",
+    "gps_null_island": "event_id % 12 = 0",
+}
+_KEPT = "FROM keyed WHERE reject_reason IS NULL AND nth = 1"
+_NULLED = {n: f"({_FIRED[f'{n}_out_of_range']})" + (" OR event_id % 12 = 0" if n.startswith("gps") else "") for n in schemas.VALID_RANGES}
+
+
+@query(
+    f"WITH {_COPIES} "
+    + " UNION ALL ".join(f"SELECT 'flag {n}' AS metric, count(*) FILTER (WHERE {sql}) AS n {_KEPT}" for n, sql in _FIRED.items())
+    + " UNION ALL "
+    + " UNION ALL ".join(f"SELECT 'nulled {n}', count(*) FILTER (WHERE {sql}) {_KEPT}" for n, sql in _NULLED.items())
+    + " UNION ALL "
+    + " UNION ALL ".join(f"SELECT 'reject {r}', count(*) FROM keyed WHERE reject_reason = '{r}'" for r in schemas.REJECT_REASONS)
+    + f" UNION ALL SELECT 'rows_in', count(*) FROM keyed UNION ALL SELECT 'rows_out', count(*) {_KEPT}"
+    " UNION ALL SELECT 'rows_quarantined', count(*) FROM keyed WHERE reject_reason IS NOT NULL"
+    " UNION ALL SELECT 'duplicates_removed', count(*) FROM keyed WHERE reject_reason IS NULL AND nth > 1"
+)
+def c14_audit_flags(spark, sf_dir):
+    """The audit a cleaning run reports: flags that fired, values nulled, reasons to refuse, and that it reconciles."""
+    audit = cleaning.clean(bronze(spark, sf_dir), _AT).audit()
+    cleaning.reconcile(audit)
+    rows = [(f"flag {n}", v) for n, v in audit["flags"].items()] + [(f"nulled {n}", v) for n, v in audit["values_nulled"].items()] + [(f"reject {n}", v) for n, v in audit["reject_reasons"].items()]
+    rows += [(n, audit[n]) for n in ("rows_in", "rows_out", "rows_quarantined", "duplicates_removed")]
+    return spark.createDataFrame(rows, "metric string, n long")
+
+
+@query(
+    f"""WITH {_COPIES} SELECT 'M-' || lpad(CAST(user_id AS STRING), 6, '0') AS equipment_id, CAST(floor(epoch(ts)) AS BIGINT) AS at_seconds, CAST(ts AS DATE) AS event_date,
+        CASE WHEN event_type = 'error' THEN 'F1' END AS fault_code, event_type = 'error' AS has_fault, event_id % 8 > 1 AND event_id % 50 > 5 AS is_under_load,
+        nullif(concat_ws(',', {", ".join(f"CASE WHEN {sql} THEN '{n}' END" for n, sql in _FIRED.items())}), '') AS quality_flags,
+        CAST(1706745600 AS BIGINT) AS processed_seconds {_KEPT}"""
+)
+def c11_derived(spark, sf_dir):
+    clean = cleaning.clean(bronze(spark, sf_dir), _AT).silver
+    times = [F.unix_timestamp("event_time").alias("at_seconds"), F.unix_timestamp("_silver_processed_at_utc").alias("processed_seconds")]
+    return clean.select("equipment_id", *times, "event_date", "fault_code", "has_fault", "is_under_load", "quality_flags")
+
+
 # Windows and gold
 
 _SETTLED = """cycles AS (
@@ -184,13 +230,15 @@ recent AS (SELECT s.*, a - INTERVAL {_WINDOW} HOUR AS start FROM silver s, ancho
            avg(coolant_temp_c) FILTER (WHERE settled) AS recent_avg_temp_c, max(coolant_temp_c) FILTER (WHERE settled) AS recent_max_temp_c,
            quantile_cont(coolant_temp_c, 0.95) FILTER (WHERE settled) AS p95, quantile_cont(oil_pressure_psi, 0.05) FILTER (WHERE is_under_load) AS recent_min_oil_psi,
            CASE WHEN count(coolant_temp_c) FILTER (WHERE settled) >= 12 THEN regr_slope(coolant_temp_c, date_diff('microsecond', start, event_time) / 3.6e9) FILTER (WHERE settled AND coolant_temp_c IS NOT NULL) END AS temp_trend_c_per_hour,
-           count(fault_code) FILTER (WHERE has_fault) AS recent_fault_count, count(DISTINCT fault_code) FILTER (WHERE has_fault) AS distinct_fault_codes
+           count(fault_code) FILTER (WHERE has_fault) AS recent_fault_count, count(DISTINCT fault_code) FILTER (WHERE has_fault) AS distinct_fault_codes,
+           arg_max(gps_lat, event_time) FILTER (WHERE gps_lat IS NOT NULL AND gps_lon IS NOT NULL) AS last_gps_lat,
+           arg_max(gps_lon, event_time) FILTER (WHERE gps_lat IS NOT NULL AND gps_lon IS NOT NULL) AS last_gps_lon
     FROM settled GROUP BY equipment_id
 ), base AS (
     SELECT u.equipment_id, u.equipment_type, coalesce(s.readings_in_window, 0) AS readings_in_window, coalesce(n_settled, 0) AS n_settled, coalesce(n_loaded, 0) AS n_loaded,
            recent_avg_temp_c, recent_max_temp_c, p95, recent_min_oil_psi, temp_trend_c_per_hour, coalesce(recent_fault_count, 0) AS recent_fault_count,
            coalesce(s.distinct_fault_codes, 0) AS distinct_fault_codes, k.fault_code AS top_fault_code, coalesce(k.n, 0) AS top_n,
-           date_diff('microsecond', u.seen, a) / 3.6e9 AS hours_since_last_reading
+           date_diff('microsecond', u.seen, a) / 3.6e9 AS hours_since_last_reading, epoch_us(u.seen) AS seen_us, last_gps_lat, last_gps_lon
     FROM (SELECT equipment_id, min(equipment_type) AS equipment_type, max(event_time) AS seen FROM silver GROUP BY 1) u CROSS JOIN anchor
     LEFT JOIN stats s ON s.equipment_id = u.equipment_id LEFT JOIN codes k ON k.equipment_id = u.equipment_id AND k.place = 1
 ), rules AS (
@@ -203,17 +251,23 @@ recent AS (SELECT s.*, a - INTERVAL {_WINDOW} HOUR AS start FROM silver s, ancho
            concat_ws(',', CASE WHEN r1 THEN 'temp_trending_up' END, CASE WHEN r2 THEN 'temp_high' END, CASE WHEN r3 THEN 'temp_critical' END, CASE WHEN r4 THEN 'oil_pressure_low' END,
                      CASE WHEN r5 THEN 'oil_pressure_critical' END, CASE WHEN r6 THEN 'repeated_faults' END, CASE WHEN r7 THEN 'fault_storm' END, CASE WHEN r8 THEN 'recurring_fault_code' END, CASE WHEN r9 THEN 'stale_telemetry' END) AS flag_reasons,
            round(temp_trend_c_per_hour, 8) AS temp_trend_c_per_hour, round(recent_avg_temp_c, 8) AS recent_avg_temp_c, round(recent_max_temp_c, 8) AS recent_max_temp_c, round(recent_min_oil_psi, 8) AS recent_min_oil_psi,
-           recent_fault_count, distinct_fault_codes, top_fault_code, readings_in_window, round(hours_since_last_reading, 5) AS hours_since_last_reading
+           recent_fault_count, distinct_fault_codes, top_fault_code, readings_in_window, round(hours_since_last_reading, 5) AS hours_since_last_reading,
+           seen_us, round(last_gps_lat, 8) AS last_gps_lat, round(last_gps_lon, 8) AS last_gps_lon, CAST(""" + str(_WINDOW) + """ AS BIGINT) AS window_hours, CAST(1706745600 AS BIGINT) AS generated_seconds
     FROM rules WHERE r1 OR r2 OR r3 OR r4 OR r5 OR r6 OR r7 OR r8 OR r9
 )"""
 )
 
 
+def _flag_rows(flags):
+    """Whole rows of health flags, times as numbers."""
+    flags = flags.withColumn("hours_since_last_reading", F.round("hours_since_last_reading", 5))
+    times = {"seen_us": F.unix_micros("last_seen_utc"), "generated_seconds": F.unix_timestamp("generated_at_utc")}
+    return rounded(flags.withColumns(times).drop("last_seen_utc", "generated_at_utc"))
+
+
 @query(f"WITH {_HEALTH} SELECT * FROM flags")
 def h_health_flags(spark, sf_dir):
-    flags = gold.fleet_health_flags(silver(spark, sf_dir), _WINDOW, _AT)
-    flags = flags.withColumn("hours_since_last_reading", F.round("hours_since_last_reading", 5))
-    return rounded(flags.drop("last_seen_utc", "last_gps_lat", "last_gps_lon", "window_hours", "generated_at_utc"))
+    return _flag_rows(gold.fleet_health_flags(silver(spark, sf_dir), _WINDOW, _AT))
 
 
 @query(
@@ -248,6 +302,21 @@ def f_fleet_summary(spark, sf_dir):
     return rounded(fleet.drop("generated_at_utc"), 6)
 
 
+@query(
+    """WITH silver AS ({silver}), anchor AS (SELECT max(event_time) AS a FROM silver)
+       SELECT equipment_type, count(DISTINCT equipment_id) AS machine_count, count(DISTINCT equipment_id) FILTER (WHERE is_under_load AND event_time >= a - INTERVAL 24 HOUR) AS active_machines_24h,
+              CAST(NULL AS DOUBLE) AS avg_coolant_temp_c, CAST(NULL AS DOUBLE) AS max_coolant_temp_c, CAST(NULL AS DOUBLE) AS avg_oil_pressure_psi, CAST(NULL AS DOUBLE) AS total_operating_hours,
+              CAST(NULL AS DOUBLE) AS avg_fuel_burn_pct_per_hour, CAST(0 AS BIGINT) AS total_fault_codes, CAST(0 AS BIGINT) AS machines_flagged, CAST(0 AS DOUBLE) AS pct_flagged,
+              CAST(0 AS BIGINT) AS critical_count, CAST(0 AS BIGINT) AS warning_count, CAST(0 AS BIGINT) AS days_covered
+       FROM silver, anchor GROUP BY 1"""
+)
+def f10_empty_branches(spark, sf_dir):
+    """The fleet without any daily row or flag: types stay, with zeros and nulls."""
+    s = silver(spark, sf_dir)
+    empty = lambda schema: spark.createDataFrame([], schema)
+    return rounded(gold.fleet_summary_by_type(s, empty(schemas.DAILY), empty(schemas.FLAGS), _AT).drop("generated_at_utc"), 6)
+
+
 # The SQL catalogue over gold made from the stand-in
 
 
@@ -258,7 +327,6 @@ def _views(spark, sf_dir):
     flags = gold.fleet_health_flags(s, _WINDOW, _AT)
     flags.createOrReplaceTempView("fleet_health_flags")
     gold.fleet_summary_by_type(s, daily, flags, _AT).createOrReplaceTempView("fleet_summary_by_type")
-    warehouse.fleet_hours_by_type(daily).createOrReplaceTempView("fleet_hours_by_type")
     s.createOrReplaceTempView("silver_telemetry")
     b = bronze(spark, sf_dir)
     b.withColumn("dt", F.to_date(c.event_time(F.col("timestamp"))["at"])).createOrReplaceTempView("bronze_telemetry")
@@ -266,7 +334,10 @@ def _views(spark, sf_dir):
 
 def _catalogue(spark, sf_dir, name):
     _views(spark, sf_dir)
-    return warehouse.statement(spark, warehouse.load_queries()[name])
+    query_ = warehouse.load_queries()[name]
+    if query_.pivot:  # its columns are found by reading the table
+        warehouse.fleet_hours_by_type(spark.table("daily_equipment_summary")).createOrReplaceTempView(query_.pivot)
+    return warehouse.statement(spark, query_)
 
 
 @query(
@@ -318,15 +389,16 @@ def q5_fleet_utilisation(spark, sf_dir):
 
 
 @query(
-    """WITH counts AS (SELECT event_type AS fault_code, count(*) AS occurrences, count(DISTINCT user_id) AS machines_affected FROM events GROUP BY 1),
+    """WITH counts AS (SELECT event_type AS fault_code, count(*) AS occurrences, count(DISTINCT user_id) AS machines_affected, max(epoch_us(ts)) AS last_seen_us FROM events GROUP BY 1),
        ranked AS (SELECT row_number() OVER (ORDER BY occurrences DESC, fault_code) AS pareto_rank, *, round(100.0::DOUBLE * occurrences / sum(occurrences) OVER (), 2) AS pct_of_faults,
        round(100.0::DOUBLE * sum(occurrences) OVER (ORDER BY occurrences DESC, fault_code ROWS UNBOUNDED PRECEDING) / sum(occurrences) OVER (), 2) AS cumulative_pct FROM counts)
-       SELECT CAST(pareto_rank AS INTEGER) AS pareto_rank, fault_code, occurrences, machines_affected, pct_of_faults, cumulative_pct, CASE WHEN cumulative_pct - pct_of_faults < 80 THEN 'vital few' ELSE 'trivial many' END AS pareto_class FROM ranked"""
+       SELECT CAST(pareto_rank AS INTEGER) AS pareto_rank, fault_code, occurrences, machines_affected, pct_of_faults, cumulative_pct, CASE WHEN cumulative_pct - pct_of_faults < 80 THEN 'vital few' ELSE 'trivial many' END AS pareto_class, last_seen_us FROM ranked"""
 )
 def q6_fault_code_pareto(spark, sf_dir):
     view(spark, sf_dir, "events")
     spark.sql("SELECT event_type AS fault_code, user_id AS equipment_id, ts AS event_time FROM events").createOrReplaceTempView("silver_telemetry")
-    return warehouse.statement(spark, warehouse.load_queries()["fault_code_pareto"]).drop("last_seen")
+    pareto = warehouse.statement(spark, warehouse.load_queries()["fault_code_pareto"])
+    return pareto.withColumn("last_seen_us", F.unix_micros(F.col("last_seen").cast("timestamp"))).drop("last_seen")
 
 
 @query(
@@ -346,11 +418,13 @@ def q7_data_quality_report(spark, sf_dir):
 @query(
     f"""WITH {_COPIES}, dated AS (SELECT *, CASE WHEN event_id % 50 <> 49 THEN CAST(ts AS DATE) END AS dt FROM keyed)
         SELECT dt AS partition_date, count(*) AS readings, count(DISTINCT CASE WHEN event_id % 60 = 59 THEN '  ' ELSE ' M-' || lpad(CAST(user_id AS STRING), 6, '0') END) AS machines,
-        count(*) FILTER (WHERE event_type IN ('error', 'view')) AS fault_readings, count(DISTINCT batch) AS ingest_batches
+        count(*) FILTER (WHERE event_type IN ('error', 'view')) AS fault_readings, count(DISTINCT batch) AS ingest_batches,
+        min(CASE WHEN late = 1 THEN 1800009999 ELSE 1800000000 + event_id % 6 END) AS first_ingest, max(CASE WHEN late = 1 THEN 1800009999 ELSE 1800000000 + event_id % 6 END) AS last_ingest
         FROM dated WHERE dt >= (SELECT max(dt) FROM dated) - 1 GROUP BY dt"""
 )
 def q8_partition_pruning(spark, sf_dir):
-    return _catalogue(spark, sf_dir, "partition_pruning_demo").drop("first_ingest_utc", "last_ingest_utc")
+    df = _catalogue(spark, sf_dir, "partition_pruning_demo")
+    return df.withColumns({f"{n}_ingest": F.unix_timestamp(f"{n}_ingest_utc") for n in ("first", "last")}).drop("first_ingest_utc", "last_ingest_utc")
 
 
 # Serving statements
@@ -359,11 +433,11 @@ def q8_partition_pruning(spark, sf_dir):
 @query(
     f"""WITH {_HEALTH} SELECT CAST((SELECT count(DISTINCT equipment_id) FROM silver) AS BIGINT) AS fleet_size, count(*) AS machines_flagged, count(*) FILTER (WHERE severity = 'critical') AS critical_count,
         count(*) FILTER (WHERE severity = 'warning') AS warning_count,
-        (SELECT max(n) FROM (SELECT count(DISTINCT event_date) AS n FROM silver GROUP BY equipment_type)) AS days_covered FROM flags"""
+        (SELECT max(n) FROM (SELECT count(DISTINCT event_date) AS n FROM silver GROUP BY equipment_type)) AS days_covered, CAST(1706745600 AS BIGINT) AS generated_seconds FROM flags"""
 )
 def r1_fleet_totals(spark, sf_dir):
     _views(spark, sf_dir)
-    return serving.fleet_totals(spark).drop("generated_at_utc")
+    return serving.fleet_totals(spark).withColumn("generated_seconds", F.unix_timestamp("generated_at_utc")).drop("generated_at_utc")
 
 
 @query(ORACLE_SQL["f_fleet_summary"].replace(", coalesce(d, 0) AS days_covered", ""))
@@ -372,10 +446,10 @@ def r2_fleet_by_type(spark, sf_dir):
     return rounded(serving.fleet_by_type(spark), 6)
 
 
-@query(f"WITH {_HEALTH} SELECT equipment_id, severity, health_score FROM flags WHERE equipment_type = 'dozer' ORDER BY severity = 'critical' DESC, health_score, equipment_id LIMIT 20")
+@query(f"WITH {_HEALTH} SELECT * FROM flags WHERE equipment_type = 'dozer' ORDER BY severity = 'critical' DESC, health_score, equipment_id LIMIT 20")
 def r3_health_flags(spark, sf_dir):
     _views(spark, sf_dir)
-    return serving.health_flags(spark, " Dozer ", None, 20).select("equipment_id", "severity", "health_score")
+    return _flag_rows(serving.health_flags(spark, " Dozer ", None, 20))
 
 
 @query(
@@ -399,10 +473,10 @@ def r6_history(spark, sf_dir):
     return rounded(serving.equipment_days(spark, "M-000007", 14))
 
 
-@query(f"WITH {_HEALTH} SELECT equipment_id, severity, health_score, flag_reasons FROM flags WHERE equipment_id = 'M-000007'")
+@query(f"WITH {_HEALTH} SELECT * FROM flags WHERE equipment_id = 'M-000007'")
 def r7_flag(spark, sf_dir):
     _views(spark, sf_dir)
-    return serving.equipment_flag(spark, "M-000007").select("equipment_id", "severity", "health_score", "flag_reasons")
+    return _flag_rows(serving.equipment_flag(spark, "M-000007"))
 
 
 @query(f"WITH {_HEALTH} SELECT equipment_id, unnest(string_split(flag_reasons, ',')) AS reason FROM flags")
@@ -423,7 +497,7 @@ def k2_bronze_to_silver(spark, sf_dir):
     """Land dated bronze, build silver and quarantine partitions, and count what each holds."""
     lake = Lake(spark, lakes.scratch(spark, "etl"))
     dated = bronze(spark, sf_dir, dated=True)
-    dated.drop("event_id").repartition("dt").write.partitionBy("dt").parquet(lake.uri(lakes.BRONZE))
+    lakes.dealt_for_writing(dated.drop("event_id"), "dt").write.partitionBy("dt").parquet(lake.uri(lakes.BRONZE))
     summary = etl.build_silver(spark, lake.root, at=_AT)
     landed = lake.read_partitioned(lakes.BRONZE, schemas.BRONZE).groupBy("dt").agg(F.count("*").alias("rows_in"))
     kept = lake.read_partitioned(lakes.SILVER, schemas.SILVER).groupBy("dt").agg(F.count("*").alias("rows_out"))
@@ -440,11 +514,109 @@ def s6_lookback_scan(spark, sf_dir):
     """A dt-partitioned copy read over its newest seven partitions, pruned by directory."""
     lake = Lake(spark, lakes.scratch(spark, "lookback"))
     s = silver(spark, sf_dir).withColumns({"dt": F.col("event_date"), "_ingest_batch_id": F.lit("b"), "_ingested_at_utc": F.col("event_time"), "_silver_processed_at_utc": F.col("event_time")})
-    s.select(*(f.name for f in schemas.SILVER), "dt").repartition("dt").write.partitionBy("dt").parquet(lake.uri(lakes.SILVER))
+    s.select(*(f.name for f in schemas.SILVER), "dt").hint("rebalance", "dt").write.partitionBy("dt").parquet(lake.uri(lakes.SILVER))
     recent = lakes.lookback(lake.read_partitioned(lakes.SILVER, schemas.SILVER), 7)
     return recent.groupBy("dt").agg(F.count("*").alias("readings"), F.count_distinct("equipment_id").alias("machines"))
 
 
+@query(f"WITH {_DAILY} SELECT {_DAILY_LIST} FROM daily")
+def k3_swapped_gold(spark, sf_dir):
+    """A mart swapped in twice, first with other rows: readers see the second whole, through one file."""
+    lake = Lake(spark, lakes.scratch(spark, "swap"))
+    daily = gold.daily_equipment_summary(silver(spark, sf_dir))
+    key = etl.gold_key("daily_equipment_summary")
+    lake.swap_single(daily.where("day = (SELECT max(CAST(ts AS DATE)) FROM events)"), key, schemas.DAILY)
+    lake.swap_single(daily, key, schemas.DAILY)
+    return rounded(lake.read(lake.list_keys(lake.gold), schemas.DAILY))
+
+
+@query(
+    f"""WITH {_COPIES} SELECT CAST(ts AS DATE) AS dt, count(*) AS readings, count(DISTINCT batch) AS batches, CAST(1 AS BIGINT) AS dates_in_key
+        FROM keyed WHERE event_id % 50 <> 49 GROUP BY 1"""
+)
+def k5_landed_bronze(spark, sf_dir):
+    """Readings landed under the date of their own event, and found again by the dates of their files."""
+    lake = Lake(spark, lakes.scratch(spark, "land"))
+    b = bronze(spark, sf_dir).drop("event_id").withColumn("at", c.event_time(F.col("timestamp"))["at"]).where("at IS NOT NULL")
+    lakes.land(b, lake, "at")
+    days = spark.createDataFrame([(d, len({lakes.partition_date(k) for k in keys})) for d, keys in lakes.bronze_partitions(lake).items()], "dt date, dates_in_key long")
+    landed = lake.read_partitioned(lake.bronze, schemas.BRONZE).groupBy("dt").agg(F.count("*").alias("readings"), F.count_distinct("_ingest_batch_id").alias("batches"))
+    return landed.join(days, "dt", "left")
+
+
+@query("SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")
+def s2_read_many(spark, sf_dir):
+    """Several files read by their keys as one frame; columns go by name."""
+    lake = Lake(spark, lakes.scratch(spark, "many"))
+    view(spark, sf_dir, "events")
+    for k in range(3):
+        part = spark.table("events").where(F.col("event_id") % 3 == k).select("event_id", "event_type")
+        (part if k else part.select("event_type", "event_id")).coalesce(1).write.parquet(lake.uri(f"part={k}"))
+    schema = spark.table("events").select("event_id", "event_type").schema
+    df = lake.read(lake.list_keys(), schema).unionByName(lake.read([], schema))
+    return df.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query(
+    """SELECT * FROM (VALUES ('a key that is not there', CAST(0 AS BIGINT)), ('cached or stored copies', 0), ('days that a literal predicate opens', 1), ('days that the newest two open', 2),
+       ('partitions built by a rerun', 0), ('partitions built after a file was added', 1), ('unreadable manifests taken for current', 0)) AS t(fact, n)"""
+)
+def w_lake_facts(spark, sf_dir):
+    """What the lake and its views promise, counted over files made from the stand-in."""
+    lake = Lake(spark, lakes.scratch(spark, "facts"))
+    dated = bronze(spark, sf_dir, dated=True).drop("event_id")
+    dated.repartition(1).write.partitionBy("dt").parquet(lake.uri(lake.bronze))  # a file a day
+    before = set(warehouse.materialised_objects(spark))
+    warehouse.register_views(spark, lake, ["bronze"])
+    facts = {"a key that is not there": int(lake.exists("raw/none")), "cached or stored copies": len(set(warehouse.materialised_objects(spark)) - before)}
+    newest = max(lakes.bronze_partitions(lake))
+    facts["days that a literal predicate opens"] = warehouse.files_read(spark.sql(f"SELECT * FROM bronze_telemetry WHERE dt = DATE '{newest}'"))[0]
+    recent = lakes.lookback(lake.read_partitioned(lake.bronze, schemas.BRONZE), 2)
+    facts["days that the newest two open"] = recent.select(F.col("_metadata.file_path")).distinct().count()
+    etl.build_silver(spark, lake, at=_AT)
+    facts["partitions built by a rerun"] = etl.build_silver(spark, lake, at=_AT)["partitions_built"]
+    dated.where(F.col("dt") == F.lit(newest)).limit(1).drop("dt").coalesce(1).write.mode("append").parquet(lake.uri(f"{lake.bronze}/dt={newest}"))
+    facts["partitions built after a file was added"] = etl.build_silver(spark, lake, at=_AT)["partitions_built"]
+    lake.write_bytes(etl.manifest_key(newest), b"{broken")
+    facts["unreadable manifests taken for current"] = int(etl.is_current(lake, newest, lakes.bronze_partitions(lake)[newest]))
+    return spark.createDataFrame(list(facts.items()), "fact string, n long")
+
+
+@query(
+    """SELECT * FROM (VALUES ('machines', CAST(500 AS BIGINT)), ('readings', 500 * 288), ('machines of a wrong type', 0), ('hour meters that fall', 0), ('fuel out of 0 to 100', 0), ('machines that leave their site', 0),
+       ('oil pressure while parked', 0), ('rows that another partitioning changes', 0), ('machines whose meter falls after a resume', 0), ('spellings of time', 4)) AS t(fact, n)"""
+)
+def g2_simulator_facts(spark, sf_dir):
+    """What the simulator promises of its clean and its dirty readings: 500 machines over a day."""
+    view(spark, sf_dir)
+    config, start = telemetry.FleetConfig(), datetime(2026, 8, 20, tzinfo=timezone.utc)
+    clean = telemetry.readings(spark, config, start, start + timedelta(hours=24)).persist()
+    by_time = W.partitionBy("equipment_id").orderBy("tick")
+    known = F.create_map(*(x for p in telemetry.PROFILES for x in (F.lit(p.prefix), F.lit(p.equipment_type))))
+    homes = F.array(*(F.struct(F.lit(s.lat).alias("lat"), F.lit(s.lon).alias("lon")) for s in telemetry.SITES))
+    reach = max(p.radius_km for p in telemetry.PROFILES) / telemetry.KM_PER_DEG + 1e-5
+    seen = clean.withColumn("falls", F.col("engine_hours") < F.lag("engine_hours").over(by_time)).withColumn("home", F.try_element_at(homes, F.col("site") + 1))
+    row = seen.agg(
+        F.count_distinct("equipment_id").alias("machines"),
+        F.count("*").alias("readings"),
+        F.count_if(known[F.split("equipment_id", "-")[0]] != F.col("equipment_type")).alias("machines of a wrong type"),
+        F.count_if("falls").alias("hour meters that fall"),
+        F.count_if(~F.col("fuel_level_pct").between(0, 100)).alias("fuel out of 0 to 100"),
+        F.count_if(F.hypot(F.col("gps_lat") - F.col("home.lat"), F.col("gps_lon") - F.col("home.lon")) > reach).alias("machines that leave their site"),
+        F.count_if((F.col("oil_pressure_psi") > 0) & (F.col("oil_pressure_psi") <= schemas.UNDER_LOAD_OIL_PSI)).alias("oil pressure while parked"),
+    ).first()
+    dirty = telemetry.dirty(clean, config)
+    other = telemetry.dirty(clean.repartition(5), config)
+    facts = row.asDict() | {"rows that another partitioning changes": dirty.exceptAll(other).count() + other.exceptAll(dirty).count()}
+    state = telemetry.final_state(clean)
+    more = telemetry.readings(spark, config, start + timedelta(hours=24), start + timedelta(hours=25), state)
+    facts["machines whose meter falls after a resume"] = more.join(state, "equipment_id").where("engine_hours < hours - 1e-9").select("equipment_id").distinct().count()
+    shape = F.when(F.col("timestamp").endswith("Z"), "z").when(F.col("timestamp").rlike(r"[+]\d\d:\d\d$"), "offset").when(F.col("timestamp").rlike(r"^\d+$"), "millis").otherwise("naive")
+    facts["spellings of time"] = dirty.select(shape.alias("s")).distinct().count()
+    clean.unpersist()
+    return spark.createDataFrame(list(facts.items()), "fact string, n long")
+
+
 @query()
 def g1_simulated_fleet(spark, sf_dir):
     """The simulator's own fleet over its own 72 hours, by type: the source has no SQL form."""
