@@ -2,37 +2,22 @@
 
 from __future__ import annotations
 
-import os
 import re
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_code
+
 #: Rows of one Arrow batch that a Python stage holds at a time.
 BATCH_ROWS = 256
 
-_PACKAGE = Path(__file__).resolve().parents[1]
-
 
 def prepare(spark: SparkSession) -> None:
-    """Make this package importable in Python workers and bound their Arrow batches.
-
-    The package is added as a zip once per application, so it works whether or not
-    the executors were started with it on their path.
-    """
-    sc = spark.sparkContext
-    if getattr(sc, "_seamline_shipped", None) != sc.applicationId:
-        fd, name = tempfile.mkstemp(prefix="seamline-", suffix=".zip")
-        os.close(fd)
-        with zipfile.ZipFile(name, "w") as z:
-            for p in sorted(_PACKAGE.rglob("*.py")):
-                z.write(p, Path(_PACKAGE.name) / p.relative_to(_PACKAGE))
-        sc.addPyFile(name)
-        sc._seamline_shipped = sc.applicationId
+    """Make this package importable in Python workers and bound their Arrow batches."""
+    ship_code(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

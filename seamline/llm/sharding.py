@@ -51,7 +51,7 @@ def by_label_propagation(rows: DataFrame, shards: int = SHARDS, rounds: int = RO
         lead = votes.groupBy("group").agg(F.max(F.when(F.col("shard").isin(open_), best)).alias("lead"))
         # a row for each group and shard that has some of it, with the shard that leads
         rated = common.materialise(votes.withColumn("tie", F.xxhash64("group", "shard")).join(lead, "group"), f"shard-rated-{k}")
-        rated = linked.join(rated, ["group", "shard"])
+        rated = linked.join(rated.hint("merge"), ["group", "shard"])
         ahead = F.struct("votes", "tie") < F.struct(F.col("lead.votes").alias("votes"), F.col("lead.tie").alias("tie"))
         asked = rated.withColumn("goal", F.when(ahead, F.col("lead.shard")).otherwise(F.col("shard"))).drop("votes", "tie", "lead")
         bucket = F.pmod(F.xxhash64(F.lit(k), "group"), F.lit(BUCKETS)).cast("int")
@@ -142,8 +142,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     counts = small.groupBy("text_key").agg(F.count("*").alias("n"))
     # written before it is joined, so that adaptive execution can split a large group of copies
     linked = common.materialise(counts.where("n > 1").select("text_key", F.xxhash64("text_key").alias("group")), "shard-linked")
-    keyed = small.join(linked, "text_key", "left").withColumn("row", F.monotonically_increasing_id())
+    keyed = small.join(linked.hint("merge"), "text_key", "left").withColumn("row", F.monotonically_increasing_id())
     keyed = common.materialise(keyed.select("row", "doc_id", "size", "text_crc32", "group"), "shard-keyed")
     placed = by_label_propagation(keyed.select("row", F.xxhash64("doc_id", "text_crc32").alias("key"), "group", "size"), shards, rounds)
     numbered = slots(placed).select("row", "shard", "slot")
-    return keyed.join(numbered, "row").select("doc_id", "size", "text_crc32", "shard", "slot")
+    return keyed.join(numbered.hint("merge"), "row").select("doc_id", "size", "text_crc32", "shard", "slot")

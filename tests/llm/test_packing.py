@@ -106,7 +106,7 @@ def test_best_fit_by_counts_is_best_fit():
 def test_items_of_far_partitions_meet_whatever_their_number(spark):
     n = 20_000  # lengths that fit only together, in partitions that no small group holds both of
     items = spark.range(2 * n).selectExpr("id AS bin", "IF(id < {0}, 600L, 400L) AS fill".format(n), "IF(id < {0}, id % 8, 8 + id % 8) AS part".format(n))
-    plan = packing.merge_tree(items, 1024, 1021)
+    plan = packing.merge_tree(items, 1024)
     by = plan.join(items, "bin").groupBy("sequence_id").agg(F.sum("fill").alias("fill"), F.count("*").alias("items"), F.max("shift").alias("shift")).collect()
     assert len(by) == n and all((r["fill"], r["items"], r["shift"]) == (1000, 2, 600) for r in by)
 
