@@ -45,6 +45,10 @@ _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+
 _PLAIN = re.compile("[\t\n\r\x20-\x7e¡-§«¬°±´¶·»¿-ʯΑ-ΡΣ-ώЀ-ҁҊ-ԯ‐-‧‰-⁞€]*")
 
 
+#: Signs that the split takes for words of their own after letters.
+_SIGNS = frozenset(".,;:!?")
+
+
 def _byte_letters() -> list[str]:
     """The letters that stand for bytes in a byte-level vocabulary: printable ones for themselves."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -70,6 +74,7 @@ class WordTokenizer:
         self.model = self.inner.model
         self.special = [t.content for t in self.inner.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
+        self.blank = self.letters[0x20]
         self.words: dict[str, bytes] = {}
         self.spans: dict[str, bytes] = {}
 
@@ -85,6 +90,19 @@ class WordTokenizer:
     def _plain(self, text: str) -> bytes:
         return b"".join(map(self._word, _SPLIT.findall(text)))
 
+    def _span(self, span: str) -> bytes:
+        """Ids of what follows a blank, the blank included; letters, perhaps with a sign at the end, need no splitting."""
+        if span.isascii():
+            if span.isalpha():  # one word, of bytes that stand for themselves
+                return array("I", [t.id for t in self.model.tokenize(self.blank + span)]).tobytes()
+            if span[-1:] in _SIGNS and span[:-1].isalpha():
+                word = span[:-1]
+                ids = self.spans.get(word)
+                if ids is None:
+                    ids = self.spans[word] = self._span(word)
+                return ids + self._word(span[-1])
+        return self._plain(" " + span)
+
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
@@ -98,7 +116,7 @@ class WordTokenizer:
         at = -1
         for _ in range(found.count(None)):
             at = found.index(None, at + 1)
-            found[at] = self.spans[rest[at]] = self._plain(" " + rest[at])
+            found[at] = self.spans[rest[at]] = self._span(rest[at])
         return self._plain(first) + b"".join(found)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
