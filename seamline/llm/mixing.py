@@ -8,7 +8,8 @@
    times, and one more copy of those that come first in a seeded order.  The order's
    cut-off is found by histograms of hash buckets, refined in the one bucket that the
    cut-off falls into, so no source is ever gathered or sorted in one task.  What the
-   cut-off leaves open goes to the largest remaining document that still fits.
+   cut-off leaves open goes to the largest remaining document that fits, or the one that
+   exceeds it least.
 
 Only patterns, quotas and histogram cut-offs (their number is that of patterns, not of
 documents: some hundreds of bytes each) reach the driver; tables made from them are
@@ -214,8 +215,9 @@ def select_seeded(base: DataFrame, plan: DataFrame) -> DataFrame:
             s[2] += (1 << (span + LEVEL_BITS)) if r["next"] is None else r["next"] << span
     cut = _small(spark, [(p, whole, low, rest) for p, (whole, rest, low) in state.items()], "pattern string, whole long, cut long, rest long")
     chosen = base.join(cut, "pattern").withColumn("copies", F.col("whole") + (F.col("h") < F.col("cut")).cast("long"))
-    # What the cut-off leaves open goes to the largest later document that fits, again and
-    # again while a pattern misses more than MISS of its share (it holds one row a pattern).
+    # What the cut-off leaves open goes to the largest later document that fits, or where none
+    # fits to the smallest that exceeds it by less than leaving it open would miss, while a
+    # pattern misses more than MISS of its share (a row a pattern).
     share = {r["pattern"]: r["rest"] for r in asked}
     extra: list[tuple] = []
     for _ in range(FILLERS):
@@ -224,10 +226,10 @@ def select_seeded(base: DataFrame, plan: DataFrame) -> DataFrame:
             break
         at = _small(spark, opened, "pattern string, cut long, rest long")
         used = _small(spark, extra, "pattern string, h long, size long")
-        free = base.join(at, "pattern").where((F.col("h") >= F.col("cut")) & (F.col("size") <= F.col("rest")) & (F.col("size") > 0))
+        free = base.join(at, "pattern").where((F.col("h") >= F.col("cut")) & (F.col("size") < 2 * F.col("rest")) & (F.col("size") > 0))
         free = free.join(used, ["pattern", "h", "size"], "left_anti")
-        best = free.groupBy("pattern", "size", "h").agg(F.sum("size").alias("all"), F.first("rest").alias("rest")).where("all <= rest")
-        found = best.groupBy("pattern").agg(F.max(F.struct("all", "size", "h")).alias("pick")).collect()
+        best = free.groupBy("pattern", "size", "h").agg(F.sum("size").alias("all"), F.first("rest").alias("rest")).where("all < 2 * rest")
+        found = best.groupBy("pattern").agg(F.min(F.struct((F.col("all") > F.col("rest")).alias("over"), F.abs(F.col("all") - F.col("rest")).alias("off"), "all", "size", "h")).alias("pick")).collect()
         if not found:
             break
         for r in found:

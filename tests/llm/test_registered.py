@@ -1,11 +1,21 @@
 """The registered corpus queries over the smallest tables."""
 
+import html
+import re
+import zlib
+from collections import Counter
 from pathlib import Path
 
 import duckdb
+import numpy as np
+import public_tokenizers
 import pytest
+from test_licenses import brute as brute_licenses
+from test_near_dedup import brute as brute_classes
+from test_neighbours import brute as brute_neighbours
+from tokenizers import Tokenizer
 
-from seamline.llm import queries
+from seamline.llm import near_dedup, queries
 
 
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
@@ -24,3 +34,124 @@ def test_query_matches_sql(spark, small, name):
 def test_all_ten_are_registered():
     numbers = {int(n[2:].split("_")[0]) for n in queries.QUERIES}
     assert numbers == set(range(1, 11))
+
+
+# The queries that SQL cannot express, over a whole table, against brute force.
+
+
+def rows_of(spark, small, name):
+    rows = queries.QUERIES[name](spark, small).collect()
+    return rows, {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+
+
+def test_op2_quality(spark, small):
+    rows, texts = rows_of(spark, small, "op2_quality")
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts) and all(r["kept"] == (r["score"] >= 0.5) for r in rows)
+    said = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
+    agree = [int(r["kept"]) == said[r["doc_id"]] for r in rows if r["doc_id"] in said]
+    assert sum(agree) >= 0.88 * len(agree)  # of 200 documents; 0.98 of 1,000, 0.997 of 10,000
+
+
+def test_op4_neighbours(spark, small):
+    held = spark.read.parquet(f"{small}/embeddings.parquet").collect()
+    want = brute_neighbours([(r["vec_id"], r["embedding"]) for r in held], lambda i: i % 50 == 0)
+    found = {}
+    for r in queries.op4_neighbours(spark, small).collect():
+        found.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    assert set(found) == set(want)
+    hits = 0
+    for q, best in want.items():
+        assert sorted(found[q]) == [1, 2, 3, 4, 5]
+        exact = dict(best)
+        hits += sum(v in exact and abs(exact[v] - s) < 1e-12 for v, s in found[q].values())
+    assert hits >= 0.9 * 5 * len(want)
+
+
+def test_op5_mixing(spark, small):
+    rows, texts = rows_of(spark, small, "op5_mixing")
+    sources = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in texts.items()}
+    order = sorted(set(sources.values()), key=lambda s: (s is None, s or ""))
+    whole = {s: sum(size[i] for i in texts if sources[i] == s) for s in order}
+    # targets by plain rounds: share by weight, stop at three times the source, share the excess again
+    weight, target, left = {s: 1 + k % 3 for k, s in enumerate(order)}, {}, float(sum(whole.values()))
+    while len(target) < len(order):
+        open_ = [s for s in order if s not in target]
+        unit = left / sum(weight[s] for s in open_)
+        full = [s for s in open_ if unit * weight[s] > 3 * whole[s]]
+        for s in full or open_:
+            target[s] = 3.0 * whole[s] if full else unit * weight[s]
+        left -= sum(target[s] for s in full)
+    taken = dict.fromkeys(order, 0)
+    for r in rows:
+        s = sources[r["doc_id"]]
+        assert r["size"] == size[r["doc_id"]] and r["source_size"] == whole[s] and r["target"] == pytest.approx(target[s])
+        assert r["taken"] % max(1, r["size"]) == 0 and r["taken"] <= 3 * r["size"]
+        taken[s] += r["taken"]
+    assert len(rows) == len(texts) and all(abs(taken[s] - target[s]) <= 0.06 * target[s] for s in order)  # ten documents a source: whole ones must fit
+
+
+def test_op6_packing(spark, small):
+    rows, texts = rows_of(spark, small, "op6_packing")
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want, sequences = {}, {}
+    for i, text in texts.items():
+        ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
+        first = len(ids) if len(ids) <= 1024 else len(ids) % 1024 or 1024
+        cuts = [0, *range(first, len(ids), 1024), len(ids)]
+        for piece, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            want[i, piece] = (a, b - a, zlib.crc32(ids[a:b].tobytes()))
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == want and len(rows) == len(want)
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for spans in sequences.values():
+        spans.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and spans[0][0] == 0 and sum(n for _, n in spans) <= 1024
+    least = -(-sum(n for _, n, _ in want.values()) // 1024)
+    assert len(sequences) <= 1.02 * least + 1
+
+
+def test_op7_sharding(spark, small):
+    rows, texts = rows_of(spark, small, "op7_sharding")
+    loads, slots, groups = [0] * 8, {}, {}
+    for r in rows:
+        body = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(body) + 1, zlib.crc32(body), "bytes", None)
+        loads[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+        groups.setdefault(body, set()).add(r["shard"])
+    assert len(rows) == len(texts) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(loads) - min(loads) <= max(len((t or "").encode()) + 1 for t in texts.values())
+    assert sum(len(s) > 1 for s in groups.values()) <= 1
+
+
+def test_op8_near_dedup(spark, small):
+    rows, texts = rows_of(spark, small, "op8_near_dedup")
+    want = brute_classes(texts)
+    assert {r["doc_id"]: r["class_id"] for r in rows} == want and len(rows) == len(texts)
+    sizes = Counter(want.values())
+    s = {i: near_dedup.shingles((t or "").encode()) for i, t in texts.items()}
+    for r in rows:
+        assert r["group_size"] == sizes[r["class_id"]] and r["kept"] == (r["doc_id"] == r["class_id"])
+    linked = {r["doc_id"] for r in rows if r["links"]}
+    for i in linked:
+        assert any(texts[i] != texts[j] and near_dedup.similarity(s[i], s[j]) for j in texts)
+
+
+def test_op9_html_text(spark, small):
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
+    rows = queries.op9_html_text(spark, small).collect()
+    assert len(rows) == len(pages)
+    for r in rows:  # the words of a page without its tags, in order: a second, plainer reading
+        bare = re.sub(r"(?s)<!--.*?-->|<(script|style|head|template|noscript)\b.*?</\1\s*>", " ", pages[r["page_id"]] or "")
+        words = html.unescape(re.sub(r"<[^>]*>", " ", bare)).split()
+        shown = Counter(r["text"].split())
+        assert sum((Counter(words) & shown).values()) >= 0.7 * sum(shown.values())
+
+
+def test_op10_license_scan(spark, small):
+    rows, texts = rows_of(spark, small, "op10_license_scan")
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == brute_licenses(texts[r["doc_id"]])
+        assert 0 <= r["score"] <= 1 and set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(",")))
