@@ -37,8 +37,8 @@ END_TOKEN = 2
 SLACK = 0.002
 #: Planned sequences are numbered from here, above the bins of any partition.
 PLANNED = 1 << 62
-#: Distinct words, and spans between blanks, whose tokens a worker remembers.
-MEMORY = 500_000
+#: Distinct words, and spans between blanks, whose tokens a worker remembers: about 150 bytes each.
+WORDS, SPANS = 100_000, 1_000_000
 
 #: The pre-tokeniser's split, for texts of the characters that ``_PLAIN`` allows: a fixed value.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -81,7 +81,7 @@ class WordTokenizer:
     def _word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
-            if len(self.words) >= MEMORY:
+            if len(self.words) >= WORDS:
                 self.words.clear()
             tokens = self.model.tokenize("".join(map(self.letters.__getitem__, word.encode())))
             ids = self.words[word] = array("I", [t.id for t in tokens]).tobytes()
@@ -111,7 +111,7 @@ class WordTokenizer:
             return self._plain(text)
         first, *rest = text.split(" ")
         found = list(map(self.spans.get, rest))
-        if len(self.spans) >= MEMORY:
+        if len(self.spans) >= SPANS:
             self.spans.clear()
         at = -1
         for _ in range(found.count(None)):
