@@ -485,6 +485,29 @@ def r8_reasons(spark, sf_dir):
     return serving.reasons(spark.table("fleet_health_flags"))
 
 
+@query(
+    "SELECT CAST(sum(machine_count) AS BIGINT) AS machines, CAST(sum(machines_flagged) AS BIGINT) AS machines_flagged, round(sum(avg_coolant_temp_c * machine_count) / sum(machine_count) FILTER (WHERE avg_coolant_temp_c IS NOT NULL), 4) AS avg_coolant_temp_c,"
+    " round(max(max_coolant_temp_c), 4) AS max_coolant_temp_c, round(100.0::DOUBLE * sum(machines_flagged) / sum(machine_count), 4) AS pct_flagged FROM (" + ORACLE_SQL["f_fleet_summary"] + ")"
+)
+def r9_cards(spark, sf_dir):
+    _views(spark, sf_dir)
+    return rounded(serving.scoped(spark.table("fleet_summary_by_type")), 4)
+
+
+@query(
+    f"""WITH {_DAILY}, {_HEALTH.replace("silver AS ({silver}), ", "", 1).replace("cycles AS", "cycles2 AS").replace("FROM cycles", "FROM cycles2").replace("settled AS (", "settled2 AS (", 1).replace("FROM settled GROUP", "FROM settled2 GROUP")}
+    SELECT strftime(day, '%Y-%m-%d') AS day, readings_count, fault_code_count, round(operating_hours, 6) AS operating_hours, f.severity AS severity, (SELECT strftime(max(day), '%Y-%m-%d') FROM daily d WHERE d.equipment_id = 'M-000007') AS last_day
+    FROM daily LEFT JOIN flags f ON f.equipment_id = daily.equipment_id WHERE daily.equipment_id = 'M-000007' AND day > (SELECT max(day) FROM daily) - 14"""
+)
+def r10_equipment_history(spark, sf_dir):
+    """The payload of one machine, as an API returns it, back in rows."""
+    _views(spark, sf_dir)
+    found = serving.equipment_history(spark, "M-000007", 14)
+    severity = found["flag"]["severity"] if found["flag"] else None
+    rows = [(h["day"], h["readings_count"], h["fault_code_count"], round(h["operating_hours"], 6), severity, found["last_day"]) for h in found["history"]]
+    return spark.createDataFrame(rows, "day string, readings_count long, fault_code_count long, operating_hours double, severity string, last_day string")
+
+
 # The lake
 
 

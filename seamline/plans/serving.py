@@ -11,47 +11,6 @@ from ..functions.conform import json_safe, split_flags
 
 SEVERITIES = ("warning", "critical")
 
-FLEET_TOTALS = """
-SELECT max(generated_at_utc) AS generated_at_utc,
-       coalesce(sum(machine_count), 0) AS fleet_size,
-       coalesce(sum(machines_flagged), 0) AS machines_flagged,
-       coalesce(sum(critical_count), 0) AS critical_count,
-       coalesce(sum(warning_count), 0) AS warning_count,
-       coalesce(max(days_covered), 0) AS days_covered
-FROM fleet_summary_by_type
-"""
-FLEET_BY_TYPE = """
-SELECT * EXCEPT (generated_at_utc, days_covered)
-FROM fleet_summary_by_type
-ORDER BY machine_count DESC, equipment_type
-"""
-HEALTH_FLAGS = """
-SELECT * FROM fleet_health_flags
-WHERE (:type IS NULL OR equipment_type = :type) AND (:severity IS NULL OR severity = :severity)
-ORDER BY (severity = 'critical') DESC, health_score, equipment_id
-LIMIT :limit
-"""
-EQUIPMENT = """
-SELECT m.equipment_id, m.equipment_type, m.last_day, f.severity, f.health_score
-FROM (
-    SELECT equipment_id, max_by(equipment_type, day) AS equipment_type, max(day) AS last_day
-    FROM daily_equipment_summary
-    GROUP BY equipment_id
-) m
-LEFT JOIN fleet_health_flags f ON f.equipment_id = m.equipment_id
-WHERE (:type IS NULL OR m.equipment_type = :type) AND (NOT :flagged OR f.equipment_id IS NOT NULL)
-ORDER BY f.health_score NULLS LAST, m.equipment_id
-LIMIT :limit
-"""
-IDENTITY = "SELECT max_by(equipment_type, day) AS equipment_type, max(day) AS last_day FROM daily_equipment_summary WHERE equipment_id = :id"
-HISTORY = """
-SELECT * FROM daily_equipment_summary
-WHERE equipment_id = :id AND day > date_sub((SELECT max(day) FROM daily_equipment_summary), :days)
-ORDER BY day
-"""
-FLAG = "SELECT * FROM fleet_health_flags WHERE equipment_id = :id"
-
-
 def canonical_filter(equipment_type: str | None) -> str | None:
     """Trimmed lower case; blank means no filter."""
     return (equipment_type or "").strip().lower() or None
@@ -64,35 +23,61 @@ def _bounded(name: str, value: int, most: int) -> int:
 
 
 def fleet_totals(spark: SparkSession) -> DataFrame:
-    return spark.sql(FLEET_TOTALS)
+    """One row: the fleet's size and flagged machines, zeros without any type."""
+    total = lambda name: F.coalesce(F.sum(name), F.lit(0))
+    return spark.table("fleet_summary_by_type").agg(
+        F.max("generated_at_utc").alias("generated_at_utc"),
+        total("machine_count").alias("fleet_size"),
+        *(total(n).alias(n) for n in ("machines_flagged", "critical_count", "warning_count")),
+        F.coalesce(F.max("days_covered"), F.lit(0)).alias("days_covered"),
+    )
 
 
 def fleet_by_type(spark: SparkSession) -> DataFrame:
-    return spark.sql(FLEET_BY_TYPE)
+    """The largest type first."""
+    return spark.table("fleet_summary_by_type").drop("generated_at_utc", "days_covered").orderBy(F.desc("machine_count"), "equipment_type")
+
+
+def _of_type(df: DataFrame, equipment_type: str | None) -> DataFrame:
+    wanted = canonical_filter(equipment_type)
+    return df if wanted is None else df.where(F.col("equipment_type") == wanted)
 
 
 def health_flags(spark: SparkSession, equipment_type: str | None = None, severity: str | None = None, limit: int = 200) -> DataFrame:
+    """Flagged machines, the most urgent first."""
     if severity is not None and severity not in SEVERITIES:
         raise ValueError(f"severity is one of {', '.join(SEVERITIES)}")
-    return spark.sql(HEALTH_FLAGS, args={"type": canonical_filter(equipment_type), "severity": severity, "limit": _bounded("limit", limit, 5000)})
+    flags = _of_type(spark.table("fleet_health_flags"), equipment_type)
+    flags = flags if severity is None else flags.where(F.col("severity") == severity)
+    return flags.orderBy(F.desc(F.col("severity") == "critical"), "health_score", "equipment_id").limit(_bounded("limit", limit, 5000))
+
+
+def _identity() -> list[Column]:
+    return [F.max_by("equipment_type", "day").alias("equipment_type"), F.max("day").alias("last_day")]
 
 
 def equipment(spark: SparkSession, equipment_type: str | None = None, flagged_only: bool = False, limit: int = 500) -> DataFrame:
-    return spark.sql(EQUIPMENT, args={"type": canonical_filter(equipment_type), "flagged": bool(flagged_only), "limit": _bounded("limit", limit, 5000)})
+    """Known machines with their flag if they have one, the lowest score first."""
+    known = _of_type(spark.table("daily_equipment_summary").groupBy("equipment_id").agg(*_identity()), equipment_type)
+    flags = spark.table("fleet_health_flags").select("equipment_id", "severity", "health_score")
+    joined = known.join(flags, "equipment_id", "inner" if flagged_only else "left")
+    return joined.orderBy(F.col("health_score").asc_nulls_last(), "equipment_id").limit(_bounded("limit", limit, 5000))
 
 
 def equipment_identity(spark: SparkSession, equipment_id: str) -> DataFrame:
     """Exactly one row; nulls for a machine that gold doesn't know."""
-    return spark.sql(IDENTITY, args={"id": equipment_id})
+    return spark.table("daily_equipment_summary").where(F.col("equipment_id") == equipment_id).agg(*_identity())
 
 
 def equipment_days(spark: SparkSession, equipment_id: str, days: int = 30) -> DataFrame:
     """The newest ``days`` days of the table, for one machine."""
-    return spark.sql(HISTORY, args={"id": equipment_id, "days": _bounded("days", days, 3650)})
+    daily = spark.table("daily_equipment_summary")
+    after = F.date_sub(daily.select(F.max("day")).scalar(), _bounded("days", days, 3650))
+    return daily.where((F.col("equipment_id") == equipment_id) & (F.col("day") > after)).orderBy("day")
 
 
 def equipment_flag(spark: SparkSession, equipment_id: str) -> DataFrame:
-    return spark.sql(FLAG, args={"id": equipment_id})
+    return spark.table("fleet_health_flags").where(F.col("equipment_id") == equipment_id)
 
 
 def rows(df: DataFrame) -> list[dict]:
@@ -126,8 +111,7 @@ def equipment_history(spark: SparkSession, equipment_id: str, days: int = 30) ->
 
 def scoped(by_type: DataFrame, equipment_type: str | None = None) -> DataFrame:
     """One row of cards: sums, machine-weighted temperature and the flagged share, for all types or one."""
-    wanted = canonical_filter(equipment_type)
-    df = by_type if wanted is None else by_type.where(F.col("equipment_type") == wanted)
+    df = _of_type(by_type, equipment_type)
     known = F.when(F.col("avg_coolant_temp_c").isNotNull(), F.col("machine_count"))
     return df.agg(
         F.coalesce(F.sum("machine_count"), F.lit(0)).alias("machines"),
