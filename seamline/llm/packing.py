@@ -77,6 +77,7 @@ class WordTokenizer:
         self.blank = self.letters[0x20]
         self.words: dict[str, bytes] = {}
         self.spans: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
         ids = self.words.get(word)
@@ -90,19 +91,34 @@ class WordTokenizer:
     def _plain(self, text: str) -> bytes:
         return b"".join(map(self._word, _SPLIT.findall(text)))
 
+    def _letters(self, word: str, before: str) -> bytes:
+        """Ids of a word of letters, after ``before`` (the blank's letter, or nothing)."""
+        spelled = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+        return array("I", [t.id for t in self.model.tokenize(before + spelled)]).tobytes()
+
     def _span(self, span: str) -> bytes:
         """Ids of what follows a blank, the blank included; letters, perhaps with a sign at the end, need no splitting."""
-        if span.isascii():
-            if span.isalpha():  # one word, of bytes that stand for themselves
-                return array("I", [t.id for t in self.model.tokenize(self.blank + span)]).tobytes()
-            if span[-1:] in _SIGNS and span[:-1].isalpha():
-                word = span[:-1]
-                ids = self.spans.get(word)
-                if ids is None:
-                    ids = self.spans[word] = self._span(word)
-                return ids + self._word(span[-1])
+        if span.isalpha():
+            return self._letters(span, self.blank)
+        if span[-1:] in _SIGNS and span[:-1].isalpha():
+            return self._remembered(span[:-1]) + self._word(span[-1])
+        if "\n" in span:  # single line breaks are words of their own
+            first, *lines = span.split("\n")
+            if first and all(lines):
+                return self._remembered(first) + b"".join([self._word("\n") + (self._word(x) if x.isalpha() else self._plain(x)) for x in lines])
         return self._plain(" " + span)
 
+    def _remembered(self, span: str) -> bytes:
+        """``_span``, kept for the next time: new spans push out, a generation at a time, those not met for long."""
+        ids = self.spans.get(span)
+        if ids is None:
+            ids = self.older.get(span) or self._span(span)
+            if len(self.spans) >= SPANS // 2:
+                self.older, self.spans = self.spans, {}
+            if "\n" not in span:  # what stands around a line break seldom comes again
+                self.spans[span] = ids
+        return ids
+
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
@@ -111,12 +127,10 @@ class WordTokenizer:
             return self._plain(text)
         first, *rest = text.split(" ")
         found = list(map(self.spans.get, rest))
-        if len(self.spans) >= SPANS:
-            self.spans.clear()
         at = -1
         for _ in range(found.count(None)):
             at = found.index(None, at + 1)
-            found[at] = self.spans[rest[at]] = self._span(rest[at])
+            found[at] = self._remembered(rest[at])
         return self._plain(first) + b"".join(found)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
