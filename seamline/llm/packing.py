@@ -37,8 +37,8 @@ END_TOKEN = 2
 SLACK = 0.002
 #: Planned sequences are numbered from here, above the bins of any partition.
 PLANNED = 1 << 62
-#: Distinct words, and spans between blanks, whose tokens a worker remembers: about 150 bytes each.
-WORDS, SPANS = 100_000, 1_000_000
+#: Distinct words, and spans between blanks, whose tokens a worker remembers: about 180 bytes each.
+WORDS, SPANS = 50_000, 600_000
 
 #: The pre-tokeniser's split, for texts of the characters that ``_PLAIN`` allows: a fixed value.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -192,11 +192,12 @@ _PIECES_DDL = "doc_id long, piece int, start long, length long, ids binary, part
 
 
 #: Pieces that a task packs at a time, and bytes of ids it holds meanwhile.
-GROUP_BYTES = 48 << 20
+GROUP_BYTES = 16 << 20
 
 
 def _pack_locally(path: str, capacity: int, end: int, least: int):
-    def emit(rows: list[tuple], part: int, first_bin: int) -> tuple[list[pa.RecordBatch], int]:
+    def emit(rows: list[tuple], part: int, first_bin: int) -> Iterator[pa.RecordBatch]:
+        """The packed pieces, a batch at a time; bins are numbered from ``first_bin``."""
         lengths = np.array([r[3] for r in rows], np.int64)
         where, place, fill = best_fit(lengths, capacity)
         # pieces of underfull bins become items: bins of their own, for the plan to pack
@@ -204,13 +205,11 @@ def _pack_locally(path: str, capacity: int, end: int, least: int):
         (loose,) = np.nonzero(filled[where] < least)
         where[loose], place[loose] = len(fill) + np.arange(len(loose)), 0
         filled = np.concatenate((filled, lengths[loose]))
-        batches = []
         for a in range(0, len(rows), 4096):
             columns = [pa.array(c, t) for c, t in zip(zip(*rows[a : a + 4096]), _PIECES.types)]
             w = where[a : a + 4096]
             more = [np.full(len(w), part), w + first_bin, place[a : a + 4096], filled[w]]
-            batches.append(pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.int64()) for x in more)], schema=_PIECES))
-        return batches, first_bin + len(filled)
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.int64()) for x in more)], schema=_PIECES)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, inner = TaskContext.get().partitionId(), tokenizer(path)
@@ -223,11 +222,11 @@ def _pack_locally(path: str, capacity: int, end: int, least: int):
                     rows.append((doc_id, piece, start, length, ids[4 * start : 4 * (start + length)]))
                 held += len(ids)
             if held > GROUP_BYTES:
-                done, next_bin = emit(rows, part, next_bin)
-                yield from done
+                yield from emit(rows, part, next_bin)
+                next_bin += 2 * len(rows)  # a bin or an item for each piece, and no more
                 rows, held = [], 0
         if rows:
-            yield from emit(rows, part, next_bin)[0]
+            yield from emit(rows, part, next_bin)
 
     return run
 
