@@ -38,7 +38,7 @@ SLACK = 0.002
 #: Planned sequences are numbered from here, above the bins of any partition.
 PLANNED = 1 << 62
 #: Distinct words, and spans between blanks, whose tokens a worker remembers: about 180 bytes each.
-WORDS, SPANS = 50_000, 600_000
+WORDS, SPANS = 50_000, 800_000
 
 #: The pre-tokeniser's split, for texts of the characters that ``_PLAIN`` allows: a fixed value.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
