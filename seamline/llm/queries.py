@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, licenses, mixing, near_dedup, neighbours, packing, quality, sharding, toxicity, vector_codes
+from . import conversations, exact_dedup, html_text, licenses, mixing, near_dedup, neighbours, packing, quality, sharding, toxicity, vector_codes
 from .common import table
 
 
@@ -62,6 +62,10 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
@@ -77,6 +81,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_html_text": op9_html_text,
     "op10_license_scan": op10_license_scan,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_vector_codes": op13_vector_codes,
 }
 
@@ -89,5 +94,6 @@ ORACLE_SQL = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents
     """,
+    "op12_conversation_repair": conversations.ORACLE_SQL,
     "op13_vector_codes": vector_codes.ORACLE_SQL,
 }
