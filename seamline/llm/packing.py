@@ -17,9 +17,6 @@ Extra columns are ignored.  An empty table gives an empty result.
 
 from __future__ import annotations
 
-import os
-import re
-from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 
@@ -30,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .tokens import grouped, tokenizer
 
 CAPACITY = 1024
 END_TOKEN = 2
@@ -37,114 +35,6 @@ END_TOKEN = 2
 SLACK = 0.002
 #: Planned sequences are numbered from here, above the bins of any partition.
 PLANNED = 1 << 62
-#: Distinct words, and spans between blanks, whose tokens a worker remembers: about 180 bytes each.
-WORDS, SPANS = 50_000, 600_000
-
-#: The pre-tokeniser's split, for texts of the characters that ``_PLAIN`` allows: a fixed value.
-_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_PLAIN = re.compile("[\t\n\r\x20-\x7e¡-§«¬°±´¶·»¿-ʯΑ-ΡΣ-ώЀ-ҁҊ-ԯ‐-‧‰-⁞€]*")
-
-
-#: Signs that the split takes for words of their own after letters.
-_SIGNS = frozenset(".,;:!?")
-
-
-def _byte_letters() -> list[str]:
-    """The letters that stand for bytes in a byte-level vocabulary: printable ones for themselves."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    spare = iter(range(0x100, 0x200))
-    return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
-
-
-class WordTokenizer:
-    """A byte-level BPE tokenizer with its words remembered.
-
-    Merges never cross the pre-tokeniser's words, so a text's ids are its words' ids in a
-    row.  Words are remembered singly, and so is what stands between two blanks: where no
-    blank is doubled or ends the text, every blank begins a word.  Texts with characters
-    outside of the plain set, or with the tokenizer's special strings, go to the tokenizer
-    whole.
-    """
-
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.inner = Tokenizer.from_file(path)
-        self.model = self.inner.model
-        self.special = [t.content for t in self.inner.get_added_tokens_decoder().values()]
-        self.letters = _byte_letters()
-        self.blank = self.letters[0x20]
-        self.words: dict[str, bytes] = {}
-        self.spans: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            if len(self.words) >= WORDS:
-                self.words.clear()
-            tokens = self.model.tokenize("".join(map(self.letters.__getitem__, word.encode())))
-            ids = self.words[word] = array("I", [t.id for t in tokens]).tobytes()
-        return ids
-
-    def _plain(self, text: str) -> bytes:
-        return b"".join(map(self._word, _SPLIT.findall(text)))
-
-    def _letters(self, word: str, before: str) -> bytes:
-        """Ids of a word of letters, after ``before`` (the blank's letter, or nothing)."""
-        spelled = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-        return array("I", [t.id for t in self.model.tokenize(before + spelled)]).tobytes()
-
-    def _span(self, span: str) -> bytes:
-        """Ids of what follows a blank, the blank included; letters, perhaps with a sign at the end, need no splitting."""
-        if span.isalpha():
-            return self._letters(span, self.blank)
-        if span[-1:] in _SIGNS and span[:-1].isalpha():
-            return self._remembered(span[:-1]) + self._word(span[-1])
-        if "\n" in span:  # single line breaks are words of their own
-            first, *lines = span.split("\n")
-            if first and all(lines):
-                return self._remembered(first) + b"".join([self._word("\n") + (self._word(x) if x.isalpha() else self._plain(x)) for x in lines])
-        return self._plain(" " + span)
-
-    def _remembered(self, span: str) -> bytes:
-        """``_span``, kept for the next time: new spans push out, a generation at a time, those not met for long."""
-        ids = self.spans.get(span)
-        if ids is None:
-            ids = self.older.get(span) or self._span(span)
-            if len(self.spans) >= SPANS // 2:
-                self.older, self.spans = self.spans, {}
-            if "\n" not in span:  # what stands around a line break seldom comes again
-                self.spans[span] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
-        if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return np.array(self.inner.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if "  " in text or text.endswith(" "):
-            return self._plain(text)
-        first, *rest = text.split(" ")
-        found = list(map(self.spans.get, rest))
-        at = -1
-        for _ in range(found.count(None)):
-            at = found.index(None, at + 1)
-            found[at] = self._remembered(rest[at])
-        return self._plain(first) + b"".join(found)
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        return [self.encode(t) for t in texts]
-
-
-_TOKENIZERS: dict[str, WordTokenizer] = {}
-
-
-def tokenizer(path: str) -> WordTokenizer:
-    """The tokenizer of a file, kept while the worker lives."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
 
 
 def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -191,10 +81,6 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 _PIECES_DDL = "doc_id long, piece int, start long, length long, ids binary, part long, bin long, place long, fill long"
 
 
-#: Pieces that a task packs at a time, and bytes of ids it holds meanwhile.
-GROUP_BYTES = 16 << 20
-
-
 def _pack_locally(path: str, capacity: int, end: int, least: int):
     def emit(rows: list[tuple], part: int, first_bin: int) -> Iterator[pa.RecordBatch]:
         """The packed pieces, a batch at a time; bins are numbered from ``first_bin``."""
@@ -213,20 +99,17 @@ def _pack_locally(path: str, capacity: int, end: int, least: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, inner = TaskContext.get().partitionId(), tokenizer(path)
-        next_bin, held, rows = part << 40, 0, []
-        tail = np.array([end], "<u4").tobytes()
-        for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), inner.encode_batch(batch.column(1).to_pylist())):
-                ids += tail
-                for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                    rows.append((doc_id, piece, start, length, ids[4 * start : 4 * (start + length)]))
-                held += len(ids)
-            if held > GROUP_BYTES:
-                yield from emit(rows, part, next_bin)
-                next_bin += 2 * len(rows)  # a bin or an item for each piece, and no more
-                rows, held = [], 0
-        if rows:
+        next_bin = part << 40
+        for doc_ids, texts in grouped(batches):
+            ids, ends = inner.encode_many(texts, end)
+            rows, begin = [], 0
+            for doc_id, until in zip(doc_ids, ends.tolist()):
+                whole = ids[begin:until].tobytes()
+                for piece, (start, length) in enumerate(cut(until - begin, capacity)):
+                    rows.append((doc_id, piece, start, length, whole[4 * start : 4 * (start + length)]))
+                begin = until
             yield from emit(rows, part, next_bin)
+            next_bin += 2 * len(rows)  # a bin or an item for each piece, and no more
 
     return run
 

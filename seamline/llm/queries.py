@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, exact_dedup, html_text, licenses, mixing, near_dedup, neighbours, packing, quality, sharding, toxicity, vector_codes
+from . import conversations, exact_dedup, html_text, licenses, mixing, near_dedup, neighbours, packing, quality, sharding, toxicity, vector_codes, window_packing
 from .common import table
 
 
@@ -62,6 +62,11 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return window_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), digest={"ids_crc32": F.crc32("ids")})
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_damaged(table(spark, sf_dir, "conversations"))
 
@@ -81,6 +86,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_html_text": op9_html_text,
     "op10_license_scan": op10_license_scan,
+    "op11_window_packing": op11_window_packing,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_vector_codes": op13_vector_codes,
 }

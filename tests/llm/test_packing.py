@@ -8,7 +8,7 @@ from conftest_llm import ODD, prose
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from seamline.llm import packing
+from seamline.llm import packing, tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -22,9 +22,13 @@ def test_remembered_words_give_the_same_ids(plain):
     texts = ["", " ", "  ", "a  b", "a   b ", "x\n\n y\tz", "don't we'll ''ll 's", "<|endoftext|> x", "漢字 ½ ² _a__ b", "é à\r\n, b ", "12ab 3.4", "\x1c x", "“q” – €5", "Ωμέγα Ёж"]
     rng = random.Random(0)
     texts += ["".join(rng.choice("ab '\n.,1éЖ_st") for _ in range(60)) for _ in range(300)]
-    mine = packing.WordTokenizer(PATH)
+    mine = tokens.WordTokenizer(PATH)
     for t in texts:
         assert mine.encode(t) == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+    for many in (texts, texts[:1], texts[30:90], []):
+        ids, ends = mine.encode_many(many, 2)
+        want = [plain.encode(t, add_special_tokens=False).ids + [2] for t in many]
+        assert ids.tolist() == [i for w in want for i in w] and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
 
 
 def check(rows, docs, plain, capacity=1024):
