@@ -1,9 +1,12 @@
 """License scan: exact phrases, and short notices found with a bounded number of errors.
 
 A notice that may carry k errors is cut into k + 1 pieces: by the pigeonhole principle one
-of them survives unchanged wherever the notice occurs with at most k edits.  Pieces are
-searched as plain byte strings; each hit opens a window in which the regex library's
-bounded-error matching verifies the whole notice and yields its span and edit count.
+of them survives unchanged wherever the notice occurs with at most k edits.  The pieces of
+all notices are searched at once by an Aho-Corasick automaton; around each hit
+the regex library's bounded-error matching verifies the whole notice, from every word where
+it may start, and yields its span and edit count.  A notice may ask for more after its phrase, without errors, such as a
+version, so that versions and variants a single letter apart are not taken for each other;
+families (plain, lesser, affero) are further apart than the edits allowed.
 
 Texts are read whole, as words: A-Z lower-cased, every other ASCII character but letters
 and digits separates, and everything beyond ASCII belongs to words.
@@ -18,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -34,16 +38,65 @@ BASE = (
     ("mit license", "mit"),
 )
 
-#: Notices searched with errors: (phrase, label, edits allowed).
+
+def _version(*numbers: str) -> str:
+    """What follows a name, as words: a version, and the end of its number."""
+    return r" (?:version |v |v)?(?:" + "|".join(numbers) + r")(?! \d)"
+
+
+#: What an SPDX identifier says, as words, and its label.
+SPDX = (
+    ("mit", "mit"), ("isc", "isc"), ("unlicense", "unlicense"), ("zlib", "zlib"), ("cc0 1 0", "cc0-1.0"), ("bsl 1 0", "bsl-1.0"),
+    ("apache 2 0", "apache-2.0"), ("bsd 2 clause", "bsd-2-clause"), ("bsd 3 clause", "bsd-3-clause"), ("mpl 2 0", "mpl-2.0"), ("epl 2 0", "epl-2.0"),
+    ("gpl 2 0", "gpl-2.0"), ("gpl 3 0", "gpl-3.0"), ("lgpl 2 1", "lgpl-2.1"), ("lgpl 3 0", "lgpl-3.0"), ("agpl 3 0", "agpl-3.0"),
+)
+
+#: Notices searched with errors: (phrase, label, edits allowed in the phrase, pattern of what must follow).
 NOTICES = (
-    ("gnu general public license", "gpl", 2),
-    ("apache license", "apache", 1),
-    ("mit license", "mit", 1),
-    ("gnu lesser general public license", "lgpl", 2),
-    ("mozilla public license", "mpl", 2),
-    ("creative commons attribution", "cc-by", 2),
-    ("permission is hereby granted free of charge to any person obtaining a copy", "mit", 4),
-    ("redistribution and use in source and binary forms with or without modification", "bsd", 4),
+    ("gnu general public license", "gpl", 2, ""),
+    ("gnu general public license", "gpl-2.0", 2, _version("2", "2 0")),
+    ("gnu general public license", "gpl-3.0", 2, _version("3", "3 0")),
+    ("gnu lesser general public license", "lgpl", 3, ""),
+    ("gnu library general public license", "lgpl", 3, ""),
+    ("gnu lesser general public license", "lgpl-2.1", 3, _version("2 1")),
+    ("gnu lesser general public license", "lgpl-3.0", 3, _version("3", "3 0")),
+    ("gnu affero general public license", "agpl", 3, ""),
+    ("gnu affero general public license", "agpl-3.0", 3, _version("3", "3 0")),
+    ("apache license", "apache", 1, ""),
+    ("apache license", "apache-2.0", 1, _version("2", "2 0")),
+    ("mozilla public license", "mpl", 2, ""),
+    ("mozilla public license", "mpl-2.0", 2, _version("2", "2 0")),
+    ("eclipse public license", "epl", 2, ""),
+    ("eclipse public license", "epl-2.0", 2, _version("2", "2 0")),
+    ("common development and distribution license", "cddl", 3, ""),
+    ("boost software license", "bsl-1.0", 2, ""),
+    ("artistic license", "artistic", 1, ""),
+    ("python software foundation license", "psf", 2, ""),
+    ("european union public licence", "eupl", 2, ""),
+    ("mit license", "mit", 1, ""),
+    ("permission is hereby granted free of charge to any person obtaining a copy", "mit", 4, ""),
+    ("isc license", "isc", 1, ""),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc", 5, ""),
+    ("zlib license", "zlib", 1, ""),
+    ("bsd license", "bsd", 1, ""),
+    ("bsd 2 clause", "bsd-2-clause", 0, ""),
+    ("bsd 3 clause", "bsd-3-clause", 0, ""),
+    ("redistribution and use in source and binary forms with or without modification", "bsd", 4, ""),
+    ("the names of its contributors may be used to endorse or promote products", "bsd-3-clause", 4, ""),
+    ("the unlicense", "unlicense", 1, ""),
+    ("this is free and unencumbered software released into the public domain", "unlicense", 4, ""),
+    ("creative commons attribution", "cc-by", 2, ""),
+    ("creative commons attribution share alike", "cc-by-sa", 3, ""),
+    ("creative commons attribution non commercial", "cc-by-nc", 3, r"(?! (?:sharealike|share alike|noderiv|no deriv))"),
+    ("cc by sa", "cc-by-sa", 0, ""),
+    ("cc by nd", "cc-by-nd", 0, ""),
+    ("cc by nc", "cc-by-nc", 0, r"(?! (?:sa|nd)(?![^ ]))"),
+    ("cc by nc sa", "cc-by-nc-sa", 0, ""),
+    ("cc by nc nd", "cc-by-nc-nd", 0, ""),
+    ("creative commons zero", "cc0-1.0", 2, ""),
+    ("cc0 1 0", "cc0-1.0", 0, ""),
+    ("all rights reserved", "all-rights-reserved", 1, ""),
+    *(("spdx license identifier", label, 2, f" {words}") for words, label in SPDX),
 )
 
 #: Bytes to words: lower case, separators to blanks.
@@ -58,18 +111,28 @@ def pieces(phrase: bytes, edits: int) -> list[tuple[int, bytes]]:
     return [(a, phrase[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+#: Most bytes that a pattern after a phrase can take.
+AFTER = 64
+
+
 @lru_cache(maxsize=8)
-def _compiled(notices: tuple) -> list:
-    return [
-        (
-            label,
-            len(phrase),
-            edits,
-            pieces(phrase.encode(), edits),
-            regex.compile(b"(?<![^ ])(?:" + regex.escape(phrase.encode(), literal_spaces=True) + b"){e<=%d}(?![^ ])" % edits, regex.BESTMATCH),
-        )
-        for phrase, label, edits in notices
-    ]
+def _compiled(notices: tuple):
+    """An automaton of all pieces, which gives (phrase, offset), and each phrase's length, edits and (label, pattern)."""
+    phrases: dict[tuple[str, int], list] = {}
+    for phrase, label, edits, after in notices:
+        # the blank before it is matched too: the library takes no insertion at a match's very start
+        fuzzy = b" (?:" + regex.escape(phrase.encode(), literal_spaces=True) + b"){e<=%d}" % edits
+        phrases.setdefault((phrase, edits), []).append((label, regex.compile(fuzzy + after.encode() + b"(?![^ ])", regex.BESTMATCH)))
+    of_piece: dict[str, list[tuple[int, int]]] = {}
+    for at, (phrase, edits) in enumerate(phrases):
+        for offset, part in pieces(phrase.encode(), edits):
+            of_piece.setdefault(part.decode("latin-1"), []).append((at, offset))
+    automaton = ahocorasick.Automaton()
+    for part, places in of_piece.items():
+        automaton.add_word(part, (len(part), places))
+    if of_piece:
+        automaton.make_automaton()
+    return automaton, [(len(phrase.encode()), edits, patterns) for (phrase, edits), patterns in phrases.items()]
 
 
 def scan_words(words: bytes, base=BASE, notices=NOTICES) -> list[tuple[str, int, int, int, bool]]:
@@ -88,23 +151,30 @@ def scan_words(words: bytes, base=BASE, notices=NOTICES) -> list[tuple[str, int,
         while (at := padded.find(wanted, at + 1)) >= 0:
             found.append((label, word_at(at), phrase.count(" ") + 1, 0, True))
     exact = {(label, start) for label, start, *_ in found}
-    for label, length, edits, parts, pattern in _compiled(notices):
-        windows = set()
-        for offset, part in parts:
-            at = -1
-            while (at := words.find(part, at + 1)) >= 0:
-                windows.add((max(0, at - offset - edits), at - offset + length + edits + 1))
-        spans = set()
-        for low, high in sorted(windows):
-            # widened to whole words, so that the word-boundary conditions see real neighbours
-            low = words.rfind(b" ", 0, low) + 1
-            high = words.find(b" ", high)
-            for match in pattern.finditer(words, low, len(words) if high < 0 else high, overlapped=True):
-                spans.add((match.start(), match.end(), sum(match.fuzzy_counts)))
-        for start, end, errors in sorted(spans):
-            first = word_at(start)
-            if (label, first) not in exact:
-                found.append((label, first, word_at(end) - first + 1, errors, False))
+    automaton, phrases = _compiled(notices)
+    # where a notice may start: blanks of ``padded`` at most its edits away from where a piece puts it
+    starts: dict[int, set[int]] = {}
+    for last, (size, places) in automaton.iter(words.decode("latin-1")) if len(automaton) else ():
+        begin = last + 1 - size
+        for at, offset in places:
+            edits = phrases[at][1]
+            blank = padded.find(b" ", max(0, begin - offset - edits))
+            while 0 <= blank <= begin - offset + edits:
+                starts.setdefault(at, set()).add(blank)
+                blank = padded.find(b" ", blank + 1)
+    spans = set()
+    for at, opened in starts.items():
+        length, edits, patterns = phrases[at]
+        for start in opened:
+            high = padded.find(b" ", start + 1 + length + edits + AFTER)
+            for label, pattern in patterns:
+                match = pattern.match(padded, start, len(padded) if high < 0 else high + 1)
+                if match:
+                    spans.add((label, start, match.end() - 1, sum(match.fuzzy_counts)))
+    for label, start, end, errors in sorted(spans):
+        first = word_at(start)
+        if (label, first) not in exact:
+            found.append((label, first, word_at(end) - first + 1, errors, False))
     return found
 
 

@@ -1,3 +1,4 @@
+import random
 import re
 import time
 
@@ -17,6 +18,87 @@ def brute(text):
     return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places}))
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def brute_labels(text, notices=licenses.NOTICES):
+    """Labels and score by comparing every run of words with every notice."""
+    words = [w.encode() for w in WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))]
+    longest = {}
+    for phrase, label, *_ in [*((p, x, 0, "") for p, x in PHRASES.items()), *notices]:
+        longest[label] = max(longest.get(label, 1), len(phrase))
+    *_, base = brute(text)
+    labels, score = set(filter(None, base.split(","))), float(bool(base))
+    known = {}
+    for i in range(len(words)):
+        for phrase, label, edits, after in notices:
+            for j in range(i + 1, min(len(words), i + len(phrase.split()) + edits) + 1):
+                run = b" ".join(words[i:j])
+                if abs(len(run) - len(phrase)) <= edits and re.match(after.encode() + b"(?![^ ])", b"".join(b" " + w for w in words[j:])):
+                    if (phrase, run) not in known:
+                        known[phrase, run] = distance(phrase.encode(), run)
+                    if known[phrase, run] <= edits:
+                        labels.add(label)
+                        score = max(score, 1 - known[phrase, run] / longest[label])
+    return ",".join(sorted(labels)), score
+
+
+NOTED = {
+    "SPDX-License-Identifier: MIT": "mit",
+    "spdx-licence-identifier: Apache-2.0 OR x": "apache-2.0",
+    "under the ISC License": "isc",
+    "BSD 3-Clause": "bsd-3-clause",
+    "the BSD 2-Clause licence": "bsd-2-clause",
+    "GNU Affero General Public License v3": "agpl,agpl-3.0",
+    "GNU Lesser General Public License, version 2.1": "lgpl,lgpl-2.1",
+    "the GNU General Public License, version 2.0": "gpl,gpl-2.0",
+    "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-3.0",
+    "Licensed under the Apache License, Version 2.0.": "apache,apache-2.0",
+    "Boost Software License": "bsl-1.0",
+    "see the UNLICENSE": "unlicense",
+    "Apche Lisense": "",
+    "Apache Lisense": "apache",
+    "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc",
+    "CC BY-NC-SA": "cc-by,cc-by-nc-sa",
+    "CC BY-ND": "cc-by,cc-by-nd",
+    "Mozila Public License 2.0": "mpl,mpl-2.0",
+    "Creative Commons Attribution-ShareAlike": "cc-by,cc-by-sa",
+    "All rights reserved": "all-rights-reserved",
+    "a general public licence plate": "",
+    "bsd 4 clause": "",
+    "this is free and unencumbered sofware released in to the public domain": "unlicense",
+}
+
+
+def test_short_notices(make):
+    texts = [prose(1, 9) + " " + t + " " + prose(2, 9) for t in NOTED]
+    rows = licenses.digest(licenses.license_spans(make([(i, t, "s") for i, t in enumerate(texts)]))).collect()
+    assert {texts[r["doc_id"]]: r["labels"] for r in rows} == dict(zip(texts, NOTED.values()))
+    for r in rows:
+        assert (r["labels"], r["score"]) == brute_labels(texts[r["doc_id"]])
+
+
+def test_errors_match_a_plain_edit_search(make):
+    rng, texts = random.Random(11), []
+    for _ in range(150):
+        phrase, _, edits, _ = rng.choice(licenses.NOTICES)
+        t = list(phrase + rng.choice(["", " 2", " version 3 0", " v2 1", " nc", " mit"]))
+        for _ in range(rng.randrange(edits + 3)):
+            at = rng.randrange(len(t))
+            t[at : at + rng.choice([0, 1])] = rng.choice(["", "q", " ", "e"])
+        texts.append(" ".join(["some", "words", "".join(t), "mit", "licence", "end"][rng.randrange(2) :]))
+    rows = licenses.digest(licenses.license_spans(make([(i, t, "s") for i, t in enumerate(texts)]))).collect()
+    for r in rows:
+        assert (r["labels"], r["score"]) == brute_labels(texts[r["doc_id"]]), texts[r["doc_id"]]
+    assert sum(r["labels"] != r["base_labels"] for r in rows) > 100
+
+
 def test_base_matches_brute_force(spark, make):
     texts = [None, "", "CC BY CC-BY cc by-sa", "The MIT License; mit license, Apache  License", "xmit license mit licenses", "GNU general Public LICENSE é mit license",
              prose(1, 5000) + " apache license " + prose(2, 10), "cc\nby", "ccby cc  9 by"]
@@ -38,7 +120,7 @@ def test_notices_with_errors(make):
         5: "mad licence of generic public interest " + prose(3, 30),
     }
     rows = {r["doc_id"]: r for r in licenses.digest(licenses.license_spans(make([(i, t, "s") for i, t in texts.items()]))).collect()}
-    assert {i: r["labels"] for i, r in rows.items()} == {1: "gpl", 2: "mit", 3: "bsd", 4: "apache", 5: ""}
+    assert {i: r["labels"] for i, r in rows.items()} == {1: "gpl,gpl-3.0", 2: "mit", 3: "bsd", 4: "apache", 5: ""}
     assert all(r["n_base"] == 0 for r in rows.values()) and 0.8 < rows[1]["score"] < 1
 
 

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from test_licenses import brute as brute_licenses
+from test_licenses import brute_labels
 from test_near_dedup import brute as brute_classes
 from test_neighbours import brute as brute_neighbours
 from tokenizers import Tokenizer
@@ -154,4 +155,7 @@ def test_op10_license_scan(spark, small):
     assert len(rows) == len(texts)
     for r in rows:
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == brute_licenses(texts[r["doc_id"]])
-        assert 0 <= r["score"] <= 1 and set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(",")))
+        text = texts[r["doc_id"]] or ""
+        if len(text) < 3_000 and (r["labels"] or r["doc_id"] % 20 == 0):  # a plain search is slow
+            assert (r["labels"], r["score"]) == brute_labels(text)
+    assert sum(r["labels"] != r["base_labels"] for r in rows) >= sum(bool(r["base_labels"]) for r in rows) / 2
