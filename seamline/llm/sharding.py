@@ -11,8 +11,8 @@ it.  Admission and balancing work on histograms of hash buckets: shards times bu
 reach the driver, whatever the input.
 
 Cases.  Null text has no bytes and counts 1; null texts are one group, empty texts too.
-Repeated rows are rows of one group, each with a slot of its own.  A null doc_id is placed
-like others.  Very long texts weigh what they have; a shard may exceed its share by one
+Repeated rows are rows of one group, each with a place and slot of its own, so that they
+too can fill several shards evenly.  A null doc_id is placed like others.  Very long texts weigh what they have; a shard may exceed its share by one
 document at most if nothing smaller fits.  Extra columns are ignored.  An empty table gives
 an empty result.
 """
@@ -81,33 +81,34 @@ def by_label_propagation(rows: DataFrame, shards: int = SHARDS, rounds: int = RO
 
 
 def balance(state: DataFrame, shards: int) -> DataFrame:
-    """Even out bytes: buckets of unlinked, then of linked documents leave shards over their share."""
+    """Even out bytes: buckets of unlinked documents leave shards over their share, then whole groups, then parts of groups."""
     spark = state.sparkSession
-    for only_free in (True, False):
-        for width in (BUCKETS, 4 * BUCKETS) if only_free else (BUCKETS,):
-            free = F.col("group").isNull() if only_free else F.lit(True)
-            bucketed = state.withColumn("bucket", F.when(free, F.pmod(F.xxhash64(F.lit(width), "key"), F.lit(width)).cast("int")))
-            cells = bucketed.groupBy("shard", "bucket").agg(F.sum("size").alias("size")).collect()  # shards * (width + 1) rows at most
-            loads = dict.fromkeys(range(shards), 0)
-            for r in cells:
-                loads[r["shard"]] += r["size"]
-            share = sum(loads.values()) / shards
-            moves: list[tuple] = []
-            for r in sorted((r for r in cells if r["bucket"] is not None), key=lambda r: (-r["size"], r["shard"], r["bucket"])):
-                over = loads[r["shard"]] - share
-                goal = min(loads, key=lambda s: (loads[s], s))
-                # a bucket moves if that leaves the two shards nearer to each other than before
-                if over > 0 and loads[goal] < share and r["size"] <= min(over, share - loads[goal]) * 1.02 + 1:
-                    loads[r["shard"]] -= r["size"]
-                    loads[goal] += r["size"]
-                    moves.append((r["shard"], r["bucket"], goal))
-            if moves:
-                plan = common.local_frame(spark, moves, "shard int, bucket int, goal int")
-                moved = bucketed.join(F.broadcast(plan), ["shard", "bucket"], "left")
-                state = common.materialise(moved.select("row", "key", "group", "size", F.coalesce("goal", "shard").alias("shard")), "shard-balanced")
-            # links are cut for balance only where unlinked documents leave shards over a percent apart
-            if max(abs(x - share) for x in loads.values()) <= max(1.0, (0.001 if width == BUCKETS else 0.01) * share):
-                return state
+    by_key, by_group = F.xxhash64(F.lit(1), "key"), F.xxhash64(F.lit(2), "group")
+    free = F.col("group").isNull()
+    passes = ((F.when(free, by_key), BUCKETS), (F.when(free, by_key), 4 * BUCKETS), (F.when(~free, by_group), BUCKETS), (by_key, BUCKETS))
+    for k, (dealt, width) in enumerate(passes):
+        bucketed = state.withColumn("bucket", F.pmod(dealt, F.lit(width)).cast("int"))
+        cells = bucketed.groupBy("shard", "bucket").agg(F.sum("size").alias("size")).collect()  # shards * (width + 1) rows at most
+        loads = dict.fromkeys(range(shards), 0)
+        for r in cells:
+            loads[r["shard"]] += r["size"]
+        share = sum(loads.values()) / shards
+        moves: list[tuple] = []
+        for r in sorted((r for r in cells if r["bucket"] is not None), key=lambda r: (-r["size"], r["shard"], r["bucket"])):
+            over = loads[r["shard"]] - share
+            goal = min(loads, key=lambda s: (loads[s], s))
+            # a bucket moves if that leaves the two shards nearer to each other than before
+            if over > 0 and loads[goal] < share and r["size"] <= min(over, share - loads[goal]) * 1.02 + 1:
+                loads[r["shard"]] -= r["size"]
+                loads[goal] += r["size"]
+                moves.append((r["shard"], r["bucket"], goal))
+        if moves:
+            plan = common.local_frame(spark, moves, "shard int, bucket int, goal int")
+            moved = bucketed.join(F.broadcast(plan), ["shard", "bucket"], "left")
+            state = common.materialise(moved.select("row", "key", "group", "size", F.coalesce("goal", "shard").alias("shard")), "shard-balanced")
+        # links are cut for balance only where unlinked documents and whole groups leave shards over a percent apart
+        if max(abs(x - share) for x in loads.values()) <= max(1.0, (0.001 if k == 0 else 0.01) * share):
+            return state
     return state
 
 
@@ -125,6 +126,25 @@ def slots(state: DataFrame) -> DataFrame:
     return numbered.join(F.broadcast(at), ["shard", "bucket"]).withColumn("slot", (F.col("before") + F.col("nth")).cast("long")).drop("bucket", "nth", "before")
 
 
+def told_apart(rows: DataFrame) -> DataFrame:
+    """``rows`` (row, key, ...) with keys of their own for rows that share one.
+
+    Rows of one key are numbered within blocks of row numbers, after the rows of the blocks before: no
+    task holds all rows of a key.  Which of them gets which number is open, the set of new keys is not.
+    """
+    shared = common.materialise(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shard-shared")
+    if shared.isEmpty():
+        return rows
+    joined = common.materialise(rows.join(shared.withColumn("shared", F.lit(True)).hint("merge"), "key", "left"), "shard-alike")
+    alike = joined.where("shared").withColumn("block", F.shiftright("row", 16))
+    counts = common.materialise(alike.groupBy("key", "block").agg(F.count("*").alias("n")), "shard-blocks")
+    before = counts.select("key", "block", (F.sum("n").over(W.partitionBy("key").orderBy("block")) - F.col("n")).alias("before"))
+    nth = F.row_number().over(W.partitionBy("key", "block").orderBy("row")) - 1
+    numbered = alike.withColumn("nth", nth).join(before.hint("merge"), ["key", "block"])
+    apart = numbered.withColumn("key", F.xxhash64("key", F.col("before") + F.col("nth")))
+    return joined.where("shared IS NULL").select(*rows.columns).unionByName(apart.select(*rows.columns))
+
+
 def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """Shards of ``docs`` (doc_id, text), equal texts linked, bytes even.
 
@@ -137,13 +157,13 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
         F.crc32(F.coalesce(body, F.lit(b""))).alias("text_crc32"),
         F.coalesce(F.unhex(F.sha2(body, 256)), F.lit(b"")).alias("text_key"),
     )
-    # Placement hashes doc_id and text, which a rerun repeats; row numbers only tell rows apart.
+    # Placement hashes doc_id and text, which a rerun repeats, and the number of a row among rows alike in both.
     small = common.materialise(small, "shard-rows")
     counts = small.groupBy("text_key").agg(F.count("*").alias("n"))
     # written before it is joined, so that adaptive execution can split a large group of copies
     linked = common.materialise(counts.where("n > 1").select("text_key", F.xxhash64("text_key").alias("group")), "shard-linked")
     keyed = small.join(linked.hint("merge"), "text_key", "left").withColumn("row", F.monotonically_increasing_id())
     keyed = common.materialise(keyed.select("row", "doc_id", "size", "text_crc32", "group"), "shard-keyed")
-    placed = by_label_propagation(keyed.select("row", F.xxhash64("doc_id", "text_crc32").alias("key"), "group", "size"), shards, rounds)
+    placed = by_label_propagation(told_apart(keyed.select("row", F.xxhash64("doc_id", "text_crc32").alias("key"), "group", "size")), shards, rounds)
     numbered = slots(placed).select("row", "shard", "slot")
     return keyed.join(numbered.hint("merge"), "row").select("doc_id", "size", "text_crc32", "shard", "slot")

@@ -62,6 +62,41 @@ def test_links_cut_against_brute_force(make):
     assert sorted(sharding.shard_documents(docs.repartition(5)).select("doc_id", "shard").collect()) == sorted((i, s) for i, s in shard.items())
 
 
+def spread(rows):
+    loads = Counter()
+    for r in rows:
+        loads[r["shard"]] += r["size"]
+    return loads
+
+
+def test_rows_alike_are_placed_apart(spark, make):
+    alike = make([(7, "same words", "s")]).crossJoin(spark.range(2000)).drop("id")
+    docs = alike.unionByName(make([(1000 + i, prose(i, 12), "s") for i in range(2000)])).repartition(5)
+    rows = sharding.shard_documents(docs).collect()
+    check(rows, 4000)
+    loads = spread(rows)
+    even = sum(loads.values()) / 8
+    assert max(abs(loads[k] - even) for k in range(8)) <= 0.01 * even
+    again = sharding.shard_documents(docs.repartition(3)).collect()
+    assert Counter((r["doc_id"], r["shard"]) for r in again) == Counter((r["doc_id"], r["shard"]) for r in rows)
+
+
+def test_a_table_of_nulls_is_even(make, spark):
+    rows = sharding.shard_documents(make([(None, None, None)]).crossJoin(spark.range(400)).drop("id")).collect()
+    check(rows, 400)
+    assert sorted(spread(rows).values()) >= [49] * 8
+
+
+def test_pairs_of_alike_rows_stay_together(make):
+    docs = [(i, prose(i, 30), "s") for i in range(600) for _ in range(2)] + [(1000 + i, prose(700 + i, 30), "s") for i in range(800)]
+    rows = sharding.shard_documents(make(docs)).collect()
+    check(rows, 2000)
+    where = defaultdict(set)
+    for r in rows:
+        where[r["doc_id"]].add(r["shard"])
+    assert sum(len(v) > 1 for v in where.values()) <= 3
+
+
 def test_odd_rows(odd, make):
     rows = sharding.shard_documents(odd).collect()
     check(rows, len(ODD))
