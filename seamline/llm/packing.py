@@ -2,13 +2,17 @@
 
 Every input partition tokenises its documents, cuts only those longer than a sequence
 (into full pieces; the first piece takes the remainder) and packs its pieces best-fit,
-longest first.  Bins that are nearly full are final.  What lies in underfull bins stays
-as items.  Partitions pass up how many items of each length they have, at most
-``CAPACITY`` numbers each; the root packs all items at once by their counts, best-fit
-again, and its plan deals the places of a length to the items of that length by rank.
-Nothing but counts goes up, so the root's work is bounded and no item is left out.
-
-Pieces are written once to the shared folder; dealing moves only (item, length) rows.
+longest first.  Bins that are nearly full are final.  Underfull bins go up a tree, eight
+nodes to a parent: a parent opens its children's underfull bins and packs what they held
+best-fit again; its nearly full bins are final, its underfull ones go up.  Rounds end at the
+root, where every bin is final.
+
+What goes up are counts of items by length, at most ``CAPACITY`` numbers a node, so a node's
+work is bounded whatever the items' number, and none is left out; nodes of a round are packed
+side by side.  Of a length, the items of least rank (children in order) are the final ones,
+so a few intervals of ranks by partition and length say where its items end; items meet these,
+then the runs of their node's bins, in joins on (node, length, chunk of ranks).  Pieces are
+written once to the shared folder; only (item, length) rows are dealt.
 
 Cases.  Null text is packed as empty text: the end token alone.  Very long texts are cut
 as said, losing no token.  Repeated rows are packed row by row; a null doc_id stays null.
@@ -152,30 +156,41 @@ def best_fit_counts(counts: dict[int, int], capacity: int = CAPACITY) -> list[tu
     return [entry for entries in waiting.values() for entry in entries]
 
 
-#: Bits of an item's rank among the items of its length.
-_RANK = 48
+#: Children of a node of the tree.
+FAN = 8
+#: Ranks of a length are met with the plan in chunks of so many.
+CHUNK = 256
 
+_MERGED = "kind string, node long, child long, fill long, n long, start long, each long, first long, shift long"
 
-def _deal(plan: list[tuple[int, dict[int, int]]]):
-    """(bin, fill, rank) to (bin, sequence_id, shift) by the plan."""
-    taken: dict[int, int] = {}
-    runs, first = [], PLANNED
-    for bins, held in plan:
-        shift = 0
-        for n, each in held.items():
-            runs.append(((n << _RANK) + taken.get(n, 0), each, first, shift))
-            taken[n] = taken.get(n, 0) + bins * each
-            shift += n * each
-        first += bins
-    start, each, sequence, shift = np.array(sorted(runs), np.int64).reshape(-1, 4).T
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fill, rank = (batch.column(i).to_numpy() for i in (1, 2))
-            key = (fill << _RANK) + rank
-            at = np.searchsorted(start, key, "right") - 1
-            nth, place = np.divmod(key - start[at], each[at])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sequence[at] + nth), pa.array(shift[at] + place * fill)], names=["bin", "sequence_id", "shift"])
+def _merge(capacity: int, least: int):
+    """One node: its children's items packed by counts; what becomes of them.
+
+    Rows ``final``: a run of items of one length, by rank in the node, and the bins it fills;
+    ``child``: rank of a child's first item of a length, and how many of that length are final;
+    ``up``: items of underfull bins.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(group[c].to_pylist() for c in ("node", "child", "fill", "n"))))
+        node, total, first, out = rows[0][0], {}, {}, []
+        for _, child, fill, n in rows:
+            first[child, fill] = total.get(fill, 0)
+            total[fill] = total.get(fill, 0) + n
+        final, bin_ = dict.fromkeys(total, 0), 0
+        for bins, held in best_fit_counts(total, capacity):
+            shift = 0
+            if sum(n * each for n, each in held.items()) >= least:
+                for n, each in held.items():
+                    out.append(("final", node, None, n, bins * each, final[n], each, bin_, shift))
+                    final[n] += bins * each
+                    shift += n * each
+                bin_ += bins
+        out += [("child", node, child, fill, final[fill], start, None, None, None) for (child, fill), start in first.items()]
+        out += [("up", node, None, n, total[n] - final[n], None, None, None, None) for n in total if total[n] > final[n]]
+        types = [pa.string(), *[pa.int64()] * 8]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[c.split()[0] for c in _MERGED.split(", ")])
 
     return run
 
@@ -197,7 +212,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: in
         pieces = pieces.select("*", *(c.alias(n) for n, c in digest.items())).drop("ids")
     pieces = common.materialise(pieces, "pack-pieces")
     loose = F.col("fill") < least
-    plan = merge_tree(pieces.where(loose).select("bin", "fill", "part"), capacity)
+    plan = merge_tree(pieces.where(loose).select("bin", "fill", "part"), capacity, least)
     names = ["doc_id", "piece", "start", "length", *output]
     # Only items need the plan: the rest, most pieces, stay where they were packed.
     packed = pieces.where(~loose).select(*names, F.col("bin").alias("sequence_id"), F.col("place").alias("offset"))
@@ -205,16 +220,40 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: in
     return packed.unionByName(placed)
 
 
-def merge_tree(items: DataFrame, capacity: int) -> DataFrame:
-    """All items (bin, fill, part) packed best-fit at once: bin, sequence_id, shift."""
-    spark = items.sparkSession
-    counts = common.materialise(items.groupBy("part", "fill").agg(F.count("*").alias("n")), "pack-counts")
-    total = {r["fill"]: r["n"] for r in counts.groupBy("fill").agg(F.sum("n").alias("n")).collect()}
-    if not total:
-        return common.local_frame(spark, [], "bin long, sequence_id long, shift long")
-    before = F.sum("n").over(Window.partitionBy("fill").orderBy("part")) - F.col("n")
+def merge_tree(items: DataFrame, capacity: int, least: int | None = None) -> DataFrame:
+    """All items (bin, fill, part) packed up the tree: bin, sequence_id, shift.
+
+    A bin with ``least`` tokens is final at any node, at the root every bin is.
+    """
+    least = capacity if least is None else least
     nth = F.row_number().over(Window.partitionBy("part", "fill").orderBy("bin")) - 1
-    ranked = items.select("bin", "fill", "part", nth.alias("nth")).join(counts.select("part", "fill", before.alias("before")), ["part", "fill"])
-    ranked = ranked.select("bin", F.col("fill").cast("long").alias("fill"), (F.col("before") + F.col("nth")).alias("rank"))
-    plan = best_fit_counts(total, capacity)
-    return common.materialise(ranked.mapInArrow(_deal(plan), "bin long, sequence_id long, shift long"), "pack-plan")
+    counts = common.materialise(items.groupBy("part", F.col("fill").cast("long").alias("fill")).agg(F.count("*").alias("n")), "pack-counts")
+    top = counts.agg(F.max("part")).first()[0]
+    if top is None:
+        return items.select("bin", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("shift"))
+    # items of a part and length by rank: those from ``low`` on are not final yet, and have ``rank + moved`` in the node
+    open_ = counts.select("part", "fill", "n", F.col("part").cast("long").alias("node"), F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("moved"))
+    level, below, routes, finals = 0, counts.select(F.col("part").cast("long").alias("node"), "fill", "n"), None, None
+    while level == 0 or top > 0:
+        level, top = level + 1, top // FAN
+        grouped_ = below.select(F.floor(F.col("node") / FAN).alias("node"), F.col("node").alias("child"), "fill", "n")
+        merged = common.materialise(grouped_.groupBy("node").applyInArrow(_merge(capacity, least if top else 0), _MERGED), f"pack-level-{level}")
+        below = merged.where("kind = 'up'").select("node", "fill", "n")
+        # by the numbers of nodes: a bin's number is unlike those of other nodes and of partitions
+        bins = (F.lit(PLANNED) + F.shiftleft(F.lit(level).cast("long"), 56) + F.shiftleft("node", 32) + F.col("first")).alias("first")
+        final = merged.where("kind = 'final'").select(F.lit(level).alias("level"), "node", "fill", "start", "n", "each", bins, "shift")
+        to = merged.where("kind = 'child'").select(F.col("child").alias("node"), "fill", F.col("node").alias("parent"), "start", F.col("n").alias("final"))
+        moved = F.col("moved") + F.col("start")
+        met = open_.join(to, ["node", "fill"]).select("part", "fill", "n", F.col("parent").alias("node"), "low", moved.alias("moved"), "final", F.least("n", F.col("final") - moved).alias("until"))
+        met = common.materialise(met, f"pack-met-{level}")
+        route = met.where("until > low").select("part", "fill", F.lit(level).alias("level"), "node", "low", "until", "moved")
+        open_ = met.where("until < n").select("part", "fill", "n", "node", F.greatest("low", "until").alias("low"), (F.col("moved") - F.col("final")).alias("moved"))
+        routes, finals = (route, final) if routes is None else (routes.unionByName(route), finals.unionByName(final))
+    ranked = items.select("bin", "part", F.col("fill").cast("long").alias("fill"), nth.cast("long").alias("nth"))
+    routed = ranked.join(routes, ["part", "fill"]).where("nth >= low AND nth < until")
+    routed = routed.select("bin", "fill", "level", "node", (F.col("nth") + F.col("moved")).alias("rank")).withColumn("chunk", F.floor(F.col("rank") / CHUNK))
+    chunks = F.explode(F.sequence(F.floor(F.col("start") / CHUNK), F.floor((F.col("start") + F.col("n") - 1) / CHUNK))).alias("chunk")
+    placed = routed.join(finals.select("*", chunks), ["level", "node", "fill", "chunk"]).where("rank >= start AND rank < start + n")
+    at = F.col("rank") - F.col("start")
+    sequence = (F.col("first") + F.floor(at / F.col("each"))).cast("long").alias("sequence_id")
+    return common.materialise(placed.select("bin", sequence, (F.col("shift") + at % F.col("each") * F.col("fill")).cast("long").alias("shift")), "pack-plan")

@@ -115,6 +115,28 @@ def test_items_of_far_partitions_meet_whatever_their_number(spark):
     assert len(by) == n and all((r["fill"], r["items"], r["shift"]) == (1000, 2, 600) for r in by)
 
 
+def test_nearly_full_bins_are_final_below_the_root(spark):
+    # partitions 0 to 7 hold what fills bins together, far ones what does not: the first stay in their node
+    rows = [(i, 60 if i % 2 else 40, i % 8) for i in range(400)] + [(1000 + i, 70, 64 + i % 9) for i in range(50)] + [(2000 + i, 30, 130) for i in range(40)]
+    plan = {r["bin"]: r for r in packing.merge_tree(spark.createDataFrame(rows, "bin long, fill long, part long"), 100, 100).collect()}
+    level = {b: (r["sequence_id"] - packing.PLANNED) >> 56 for b, r in plan.items()}
+    assert len(plan) == len(rows) and {level[i] for i in range(400)} == {1} and {level[1000 + i] for i in range(50)} == {3}
+    fill = dict((b, f) for b, f, _ in rows)
+    by = {}
+    for b, r in plan.items():
+        by.setdefault(r["sequence_id"], []).append((r["shift"], fill[b]))
+    for parts in by.values():
+        parts.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and sum(n for _, n in parts) <= 100 and parts[0][0] == 0
+    assert len(by) == 200 + 50  # 40 of the 50 hold a 30
+
+
+def test_clustered_lengths_need_few_sequences(spark):
+    n = 100_000
+    items = spark.range(2 * n).selectExpr("id AS bin", f"IF(id < {n}, 600L, 400L) AS fill", f"IF(id < {n}, id % 8, 8 + id % 8) AS part")
+    assert packing.merge_tree(items, 1024, 1021).select("sequence_id").distinct().count() <= 102_000
+
+
 def fewest(lengths, capacity):
     """Bins that the best of all placements needs."""
     best = len(lengths)
