@@ -70,15 +70,39 @@ def _rules(temp_ok: Column, oil_ok: Column) -> dict[str, Column]:
     return {n: F.coalesce(conditions[n], F.lit(False)) for n in s.RULE_ORDER}
 
 
-def machine_health(silver: DataFrame, window_hours: int = s.DEFAULT_WINDOW_HOURS, at: datetime | None = None) -> DataFrame:
-    """Every machine with its window's statistics, fired rules, severity and score."""
-    anchor = silver.agg(F.max("event_time").alias("_anchor"))  # one row
-    start = F.col("_anchor") - F.expr(f"INTERVAL {int(window_hours)} HOURS")
-    universe = silver.groupBy("equipment_id").agg(
-        F.max_by("equipment_type", F.when(F.col("equipment_type").isNotNull(), F.col("event_time"))).alias("equipment_type"),
-        F.max("event_time").alias("last_seen_utc"),
+def machine_presence(silver: DataFrame) -> DataFrame:
+    """When each machine was last read, and last under load, as which type: a few rows a machine.
+
+    One pass over four columns; anchors, the universe of machines and the fleet's spine come from it.
+    """
+    loaded = F.max(F.when(F.col("is_under_load"), F.col("event_time"))).alias("last_loaded_utc")
+    return silver.groupBy("equipment_id", "equipment_type").agg(F.max("event_time").alias("last_seen_utc"), loaded)
+
+
+def _anchor(presence: DataFrame) -> Column:
+    """The newest time of all readings, as a scalar subquery."""
+    return presence.select(F.max("last_seen_utc")).scalar()
+
+
+def in_window(silver: DataFrame, start: Column) -> DataFrame:
+    """Readings from ``start`` on.  On a frame by days the days are a predicate too, which opens only theirs."""
+    rows = silver.where(F.col("event_time") >= start)
+    return rows.where(F.col("dt") >= F.to_date(start)) if "dt" in silver.columns else rows
+
+
+def machine_health(silver: DataFrame, window_hours: int = s.DEFAULT_WINDOW_HOURS, at: datetime | None = None, presence: DataFrame | None = None) -> DataFrame:
+    """Every machine with its window's statistics, fired rules, severity and score.
+
+    With a written ``presence`` only the window's days of ``silver`` are read.
+    """
+    presence = machine_presence(silver) if presence is None else presence
+    anchor = _anchor(presence)
+    start = anchor - F.expr(f"INTERVAL {int(window_hours)} HOURS")
+    universe = presence.groupBy("equipment_id").agg(
+        F.max_by("equipment_type", F.when(F.col("equipment_type").isNotNull(), F.col("last_seen_utc"))).alias("equipment_type"),
+        F.max("last_seen_utc").alias("last_seen_utc"),
     )
-    recent = silver.join(F.broadcast(anchor), how="cross").where(F.col("event_time") >= start)
+    recent = in_window(silver, start)
     recent = w.settled(recent)  # spells begin with the window
     hours = F.timestamp_diff("MICROSECOND", start, F.col("event_time")).cast("double") / 3.6e9
     temp = F.when(F.col("settled"), F.col("coolant_temp_c"))
@@ -99,8 +123,8 @@ def machine_health(silver: DataFrame, window_hours: int = s.DEFAULT_WINDOW_HOURS
     )
     top = w.top_by_frequency(recent.withColumn("_code", code), ["equipment_id"], "_code").select("equipment_id", F.col("top_value").alias("top_fault_code"), F.col("top_count").alias("_top_count"))
     zero = {n: F.coalesce(F.col(n), F.lit(0)) for n in ("readings_in_window", "_settled", "_loaded", "recent_fault_count", "distinct_fault_codes", "_top_count")}
-    df = universe.join(stats, "equipment_id", "left").join(top, "equipment_id", "left").join(F.broadcast(anchor), how="cross").withColumns(zero)
-    since = F.timestamp_diff("MICROSECOND", F.col("last_seen_utc"), F.col("_anchor")).cast("double") / 3.6e9
+    df = universe.join(stats, "equipment_id", "left").join(top, "equipment_id", "left").withColumns(zero)
+    since = F.timestamp_diff("MICROSECOND", F.col("last_seen_utc"), anchor).cast("double") / 3.6e9
     df = df.withColumns({"hours_since_last_reading": since, "last_gps_lat": F.col("_gps.lat"), "last_gps_lon": F.col("_gps.lon")})
     fired = _rules(F.col("_settled") >= s.MIN_UNDER_LOAD_READINGS, F.col("_loaded") >= s.MIN_UNDER_LOAD_READINGS)
     df = df.withColumns({f"_rule_{n}": rule for n, rule in fired.items()})
@@ -120,19 +144,18 @@ def machine_health(silver: DataFrame, window_hours: int = s.DEFAULT_WINDOW_HOURS
     )
 
 
-def fleet_health_flags(silver: DataFrame, window_hours: int = s.DEFAULT_WINDOW_HOURS, at: datetime | None = None) -> DataFrame:
+def fleet_health_flags(silver: DataFrame, window_hours: int = s.DEFAULT_WINDOW_HOURS, at: datetime | None = None, presence: DataFrame | None = None) -> DataFrame:
     """One row per machine that some rule flags, the most urgent first."""
-    flagged = machine_health(silver, window_hours, at).where(F.col("flag_reasons") != "")
+    flagged = machine_health(silver, window_hours, at, presence).where(F.col("flag_reasons") != "")
     return s.conform(flagged, s.FLAGS).orderBy(F.desc(F.col("severity") == "critical"), "health_score", "equipment_id")
 
 
-def fleet_summary_by_type(silver: DataFrame, daily: DataFrame, flags: DataFrame, at: datetime | None = None) -> DataFrame:
+def fleet_summary_by_type(silver: DataFrame, daily: DataFrame, flags: DataFrame, at: datetime | None = None, presence: DataFrame | None = None) -> DataFrame:
     """One row per equipment type; types without daily rows or flags keep zeros and nulls."""
-    anchor = silver.agg(F.max("event_time").alias("_anchor"))
-    active = (F.col("event_time") >= F.col("_anchor") - F.expr(f"INTERVAL {s.ACTIVE_WINDOW_HOURS} HOURS")) & F.col("is_under_load")
-    machines = silver.where(F.col("equipment_type").isNotNull()).join(F.broadcast(anchor), how="cross")
-    # one row per machine and type first, so that the distinct counts are plain sums
-    spine = machines.groupBy("equipment_type", "equipment_id").agg(F.max(active).alias("_active")).groupBy("equipment_type")
+    presence = machine_presence(silver) if presence is None else presence
+    active = F.col("last_loaded_utc") >= _anchor(presence) - F.expr(f"INTERVAL {s.ACTIVE_WINDOW_HOURS} HOURS")
+    # a row per machine and type, so that the distinct counts are plain sums
+    spine = presence.where(F.col("equipment_type").isNotNull()).withColumn("_active", active).groupBy("equipment_type")
     spine = spine.agg(F.count("equipment_id").alias("machine_count"), F.count_if("_active").alias("active_machines_24h"))
     load, hours = F.col("under_load_readings").cast("double"), F.col("operating_hours")
     by_day = daily.groupBy("equipment_type").agg(

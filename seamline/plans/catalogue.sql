@@ -145,6 +145,6 @@ SELECT dt AS partition_date,
        min(_ingested_at_utc) AS first_ingest_utc,
        max(_ingested_at_utc) AS last_ingest_utc
 FROM bronze_telemetry
-WHERE dt >= date_sub((SELECT max(dt) FROM bronze_telemetry), 1)
+WHERE dt >= date_sub((SELECT max(dt) FROM bronze_days), 1)
 GROUP BY dt
 ORDER BY dt;

@@ -6,21 +6,23 @@ import argparse
 import hashlib
 import json
 import sys
-import uuid
 from collections.abc import Iterable
-from datetime import date, datetime, timezone
+from datetime import date, datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..config import get_settings
 from ..operators import cleaning, gold
 from ..session import get_session
 from ..sources import lake as lakes
+from ..sources import snapshots
 from ..sources.lake import Lake
+from ..sources.snapshots import Snapshot
 
-MANIFEST = "_manifest.json"
 MANIFEST_VERSION = 1
 GOLD_TABLES = {"daily_equipment_summary": schemas.DAILY, "fleet_health_flags": schemas.FLAGS, "fleet_summary_by_type": schemas.FLEET}
 
@@ -30,127 +32,163 @@ def fingerprint(keys: Iterable[str]) -> str:
     return hashlib.sha256("\n".join(sorted(keys)).encode()).hexdigest()
 
 
-def manifest_key(day: date, silver: str = lakes.SILVER) -> str:
-    return f"{silver}/dt={day}/{MANIFEST}"
+def manifest_key(version: str, day: date, silver: str = lakes.SILVER) -> str:
+    """A manifest lies with the version it describes and never changes."""
+    return f"{silver}/v={version}/dt={day}.json"
 
 
-def is_current(lake: Lake, day: date, keys: list[str]) -> bool:
-    """Whether silver was built from exactly these files; an unreadable manifest means no."""
-    key = manifest_key(day, lake.silver)
-    if not lake.exists(key):
+def is_current(lake: Lake, day: date, keys: list[str], snapshot: Snapshot | None = None) -> bool:
+    """Whether readers see a silver built from exactly these files; an unreadable manifest means no."""
+    entry = (snapshot or snapshots.latest(lake, lake.silver)).days.get(day)
+    if entry is None or entry.get("fingerprint") != fingerprint(keys):
         return False
     try:
-        found = json.loads(lake.read_bytes(key))
-        whole = found["version"] == MANIFEST_VERSION and found["bronze_fingerprint"] == fingerprint(keys)
-    except (ValueError, KeyError, TypeError):
+        found = json.loads(lake.read_bytes(manifest_key(entry["version"], day, lake.silver)))
+        return found["version"] == MANIFEST_VERSION and found["bronze_fingerprint"] == entry["fingerprint"]
+    except (ValueError, KeyError, TypeError, Py4JJavaError):
         return False
-    return whole and bool(lake.list_keys(f"{lake.silver}/dt={day}"))
-
-
-def _counts(conformed: DataFrame) -> dict[date, dict]:
-    """Per-partition audit counters: one aggregation, a row per rebuilt date."""
-    verdict, reason = F.col("_verdict"), F.col("reject_reason")
-    rows = conformed.groupBy("dt").agg(
-        F.count("*").alias("rows_in"),
-        F.count_if(verdict == "kept").alias("rows_out"),
-        F.count_if(reason.isNotNull()).alias("rows_quarantined"),
-        F.count_if(verdict == "exact_resend").alias("exact_resends"),
-        F.count_if(verdict == "cross_batch_resend").alias("cross_batch_resends"),
-    )
-    found = {}
-    for r in rows.collect():
-        d = r.asDict()
-        found[d.pop("dt")] = d | {"duplicates_removed": d["exact_resends"] + d["cross_batch_resends"]}
+
+
+_EPOCH = date(1970, 1, 1)
+
+
+def _observed(conformed: DataFrame, days: int) -> tuple[DataFrame, Observation]:
+    """The frame, and what is counted while it is written.
+
+    A histogram with a bin for every value it meets is exact: it counts rows by day.
+    """
+    seen = Observation()
+    kept = F.col("_verdict") == "kept"
+    nulls = [F.count_if(kept & F.col(f.name).isNull()).alias(f"null_{f.name}") for f in schemas.SILVER if not f.nullable]
+    flags = [F.count_if(kept & F.col(f"_flag_{n}")).alias(f"flag_{n}") for n in schemas.FLAG_ORDER]
+    reasons = [F.count_if(F.col("reject_reason") == r).alias(f"reject_{r}") for r in schemas.REJECT_REASONS]
+    by_day = F.histogram_numeric(F.date_diff("dt", F.lit(_EPOCH)), F.lit(days + 1)).alias("rows_in")
+    return conformed.observe(seen, by_day, *nulls, *flags, *reasons), seen
+
+
+def _write_version(result: cleaning.CleaningResult, lake: Lake, version: str, days: int) -> dict:
+    """Every conformed row in one pass over bronze, by layer and day; returns what was counted on the way.
+
+    Kept and refused rows become their layers, resends leave a row each in layers that nobody
+    reads: a day's counts are then those of its files, without reading one of their columns.
+    """
+    conformed, seen = _observed(result.conformed, days)
+    refused = F.col("reject_reason").isNotNull()
+    layer = F.when(refused, "quarantine").when(F.col("_verdict") == "kept", "silver").otherwise(F.col("_verdict"))
+    fields = {f.name: f for f in (*schemas.SILVER, *schemas.QUARANTINE)}
+    value = lambda f: F.when(refused, F.col("_raw_type")).otherwise(F.col(f.name)) if f.name == "equipment_type" else F.col(f.name)
+    shown = F.col("layer").isin("silver", "quarantine")
+    rows = conformed.withColumn("layer", layer).select(*(F.when(shown, value(f).cast(f.dataType)).alias(f.name) for f in fields.values()), "layer", "dt")
+    dealt = lakes.dealt_for_writing(rows, "layer", "dt").sortWithinPartitions("layer", "dt", "event_time", "equipment_id")
+    dealt.write.partitionBy("layer", "dt").option("compression", "zstd").parquet(lake.uri(f"{lake.silver}/v={version}"))
+    return seen.get
+
+
+LAYERS = {"rows_out": "silver", "rows_quarantined": "quarantine", "exact_resends": "exact_resend", "cross_batch_resends": "cross_batch_resend"}
+
+
+def _written(lake: Lake, version: str) -> dict[date, dict]:
+    """Rows of a version by day and layer: the files' own counts, no column is read."""
+    shape = StructType().add("layer", "string").add("dt", "date")
+    written = lake.spark.read.schema(shape).parquet(lake.uri(f"{lake.silver}/v={version}"))
+    found: dict[date, dict] = {}
+    for r in written.groupBy("dt", "layer").count().collect():  # at most four rows a day
+        found.setdefault(r["dt"], {})[r["layer"]] = r["count"]
     return found
 
 
-def _check_written(lake: Lake, folder: str, counts: dict[date, dict]) -> None:
-    """Raise unless the written silver holds the audited rows and no null where none may be."""
-    if not any(c["rows_out"] for c in counts.values()):
-        return
-    written = lake.read_partitioned(folder, schemas.SILVER)
-    refused = schemas.null_violations(written, schemas.SILVER)
+def _audited(lake: Lake, version: str, seen: dict, bronze: DataFrame) -> dict[date, dict]:
+    """Counts by day of a written version, reconciled with the rows that came in."""
+    refused = {n.removeprefix("null_"): v for n, v in seen.items() if n.startswith("null_") and v}
     if refused:
         raise ValueError(f"silver would hold nulls where none may be: {refused}")
-    rows = {r["dt"]: r["count"] for r in written.groupBy("dt").count().collect()}  # a row a day
-    for day, c in counts.items():
-        if rows.get(day, 0) != c["rows_out"]:
-            raise ValueError(f"dt={day}: {rows.get(day, 0)} rows written, {c['rows_out']} audited")
+    came = {_EPOCH + timedelta(days=round(b["x"])): round(b["y"]) for b in seen["rows_in"] or () if b["y"]}
+    written = _written(lake, version)
+    # a task that ran again after an executor was lost counts its rows again: then bronze is counted by itself
+    if came != {d: sum(w.values()) for d, w in written.items()}:
+        came = {r["dt"]: r["count"] for r in bronze.groupBy("dt").count().collect()}
+    counts = {}
+    for day, rows in came.items():
+        c = {"rows_in": rows} | {name: written.get(day, {}).get(layer, 0) for name, layer in LAYERS.items()}
+        counts[day] = c | {"duplicates_removed": c["exact_resends"] + c["cross_batch_resends"]}
+        cleaning.reconcile(counts[day])
+    return counts
 
 
 def build_silver(spark: SparkSession, root: str | Lake, dates: Iterable[date] | None = None, full_refresh: bool = False, at: datetime | None = None) -> dict:
-    """Rebuild the silver partitions whose bronze files changed, all in one job; returns a summary."""
+    """Rebuild the silver days whose bronze files changed, all in one pass; returns a summary.
+
+    Readers see the days as they were until the new version is written, reconciled and
+    committed, and then all of them new.  A stop at any step leaves the old snapshot.
+    """
     lake, stamp = lakes.as_lake(spark, root), at or datetime.now(timezone.utc)
     found = lakes.bronze_partitions(lake)
+    base = snapshots.latest(lake, lake.silver)
     wanted = {d: k for d, k in found.items() if dates is None or d in set(dates)}
-    stale = {d: k for d, k in wanted.items() if full_refresh or not is_current(lake, d, k)}
+    stale = {d: k for d, k in wanted.items() if full_refresh or not is_current(lake, d, k, base)}
     summary = {"partitions_found": len(wanted), "partitions_built": len(stale), "partitions_skipped": len(wanted) - len(stale), "partitions": {}}
     if not stale:
         return summary
     bronze = lake.with_source(lake.read_partitioned(lake.bronze, schemas.BRONZE)).where(F.col("dt").isin(sorted(stale)))
-    result = cleaning.clean(bronze, stamp)
-    # Rows are written aside and checked whole before anything of the lake is touched: a day
-    # that doesn't reconcile, or a null where none may be, leaves every day as it was.
-    aside = f"_tmp/{uuid.uuid4().hex}"
-    result.conformed.persist()
+    version = snapshots.new_version(base)
     try:
-        counts = _counts(result.conformed)
-        for day in stale:
-            cleaning.reconcile(counts[day])
-        ordered = lakes.dealt_for_writing(result.silver, "dt").sortWithinPartitions("dt", "event_time", "equipment_id")
-        ordered.write.partitionBy("dt").option("compression", "zstd").parquet(lake.uri(f"{aside}/silver"))
-        if any(c["rows_quarantined"] for c in counts.values()):
-            lakes.dealt_for_writing(result.quarantine, "dt").write.partitionBy("dt").option("compression", "zstd").parquet(lake.uri(f"{aside}/quarantine"))
-        _check_written(lake, f"{aside}/silver", counts)
-        # From here on a stop leaves days without a manifest, which the next run builds again.
-        for day in stale:
-            for folder, written in ((lake.silver, "silver"), (lake.quarantine, "quarantine")):
-                lake.delete_prefix(f"{folder}/dt={day}")
-                if lake.exists(f"{aside}/{written}/dt={day}"):
-                    lake.rename(f"{aside}/{written}/dt={day}", f"{folder}/dt={day}")
-    finally:
-        result.conformed.unpersist()
-        lake.delete_prefix(aside)
-    for day, keys in stale.items():
-        c = counts[day]
-        manifest = {
-            "version": MANIFEST_VERSION,
-            "partition_date": str(day),
-            "silver_key": f"{lake.silver}/dt={day}",
-            "quarantine_key": f"{lake.quarantine}/dt={day}" if c["rows_quarantined"] else None,
-            "rows_in": c["rows_in"],
-            "rows_out": c["rows_out"],
-            "rows_quarantined": c["rows_quarantined"],
-            "duplicates_removed": c["duplicates_removed"],
-            "bronze_file_count": len(keys),
-            "bronze_fingerprint": fingerprint(keys),
-            "bronze_keys": sorted(keys),
-            "processed_at_utc": stamp.isoformat(),
-        }
-        lake.write_bytes(manifest_key(day, lake.silver), json.dumps(manifest, indent=2).encode())
-        summary["partitions"][str(day)] = c
+        seen = _write_version(cleaning.clean(bronze, stamp), lake, version, len(stale))
+        counts = _audited(lake, version, seen, bronze)
+        changed = {}
+        for day, keys in stale.items():
+            c = counts.get(day, dict.fromkeys(("rows_in", *LAYERS, "duplicates_removed"), 0))  # files without rows
+            manifest = {
+                "version": MANIFEST_VERSION,
+                "partition_date": str(day),
+                "silver_key": snapshots.folder_of(lake.silver, {"version": version}, day),
+                "quarantine_key": snapshots.folder_of(lake.silver, {"version": version}, day, "quarantine") if c["rows_quarantined"] else None,
+                "rows_in": c["rows_in"],
+                "rows_out": c["rows_out"],
+                "rows_quarantined": c["rows_quarantined"],
+                "duplicates_removed": c["duplicates_removed"],
+                "bronze_file_count": len(keys),
+                "bronze_fingerprint": fingerprint(keys),
+                "bronze_keys": sorted(keys),
+                "processed_at_utc": stamp.isoformat(),
+            }
+            lake.write_bytes(manifest_key(version, day, lake.silver), json.dumps(manifest, indent=2).encode())
+            changed[day] = {"version": version, "fingerprint": manifest["bronze_fingerprint"], "rows": {layer: c[name] for name, layer in LAYERS.items()}}
+            summary["partitions"][str(day)] = c
+        snapshots.commit(lake, lake.silver, base, changed)
+    except BaseException:
+        lake.delete_prefix(f"{lake.silver}/v={version}")
+        raise
+    snapshots.vacuum(lake, lake.silver)
     for name in ("rows_in", "rows_out", "rows_quarantined", "duplicates_removed"):
-        summary[name] = sum(c[name] for c in counts.values())
+        summary[name] = sum(c[name] for c in summary["partitions"].values())
+    summary["flags"] = {n: seen[f"flag_{n}"] for n in schemas.FLAG_ORDER}
+    summary["reject_reasons"] = {r: seen[f"reject_{r}"] for r in schemas.REJECT_REASONS}
     return summary
 
 
+def read_silver(lake: Lake, layer: str = "silver") -> DataFrame:
+    """Silver, or its quarantine, as the latest snapshot has it."""
+    return snapshots.read(lake, lake.silver, schemas.QUARANTINE if layer == "quarantine" else schemas.SILVER, layer=layer)
+
+
 def build_gold(spark: SparkSession, root: str | Lake, window_hours: int = schemas.DEFAULT_WINDOW_HOURS, lookback_days: int = schemas.DEFAULT_LOOKBACK_DAYS, at: datetime | None = None) -> dict:
     """Rebuild the three marts from the lookback of silver; each is swapped in whole."""
     lake, stamp = lakes.as_lake(spark, root), at or datetime.now(timezone.utc)
-    if not lake.list_keys(lake.silver):
+    base = snapshots.latest(lake, lake.silver)
+    if not base.newest():
         raise FileNotFoundError(f"no silver under {lake.uri(lake.silver)}: build silver first")
-    silver = lakes.lookback(lake.read_partitioned(lake.silver, schemas.SILVER), lookback_days)
-    silver = silver.persist()
-    try:
-        read = lambda name: lake.read([gold_key(name, lake.gold)], GOLD_TABLES[name])
-        rows = {"daily_equipment_summary": lake.swap_single(gold.daily_equipment_summary(silver), gold_key("daily_equipment_summary", lake.gold), schemas.DAILY)}
-        rows["fleet_health_flags"] = lake.swap_single(gold.fleet_health_flags(silver, window_hours, stamp), gold_key("fleet_health_flags", lake.gold), schemas.FLAGS)
-        fleet = gold.fleet_summary_by_type(silver, read("daily_equipment_summary"), read("fleet_health_flags"), stamp)
-        rows["fleet_summary_by_type"] = lake.swap_single(fleet, gold_key("fleet_summary_by_type", lake.gold), schemas.FLEET)
-        reasons = read("fleet_health_flags").select(F.explode(F.split("flag_reasons", ",")).alias("reason")).groupBy("reason").count()
-        return {"silver_rows": silver.count(), "rows": rows, "reasons": {r["reason"]: r["count"] for r in reasons.orderBy("reason").collect()}, "generated_at_utc": stamp.isoformat()}
-    finally:
-        silver.unpersist()
+    silver = snapshots.recent(lake, lake.silver, schemas.SILVER, lookback_days, base)
+    read = lambda name: lake.read([gold_key(name, lake.gold)], GOLD_TABLES[name])
+    # one narrow pass gives what flags and fleet need of days before the window; it stays beside the marts
+    rows = {"machine_presence": lake.swap_single(gold.machine_presence(silver), gold_key("machine_presence", lake.gold), schemas.PRESENCE)}
+    presence = lake.read([gold_key("machine_presence", lake.gold)], schemas.PRESENCE)
+    rows["daily_equipment_summary"] = lake.swap_single(gold.daily_equipment_summary(silver), gold_key("daily_equipment_summary", lake.gold), schemas.DAILY)
+    rows["fleet_health_flags"] = lake.swap_single(gold.fleet_health_flags(silver, window_hours, stamp, presence), gold_key("fleet_health_flags", lake.gold), schemas.FLAGS)
+    fleet = gold.fleet_summary_by_type(silver, read("daily_equipment_summary"), read("fleet_health_flags"), stamp, presence)
+    rows["fleet_summary_by_type"] = lake.swap_single(fleet, gold_key("fleet_summary_by_type", lake.gold), schemas.FLEET)
+    reasons = read("fleet_health_flags").select(F.explode(F.split("flag_reasons", ",")).alias("reason")).groupBy("reason").count()
+    read_days = base.newest(lookback_days)
+    return {"silver_rows": sum(base.days[d]["rows"]["silver"] for d in read_days), "rows": rows, "reasons": {r["reason"]: r["count"] for r in reasons.orderBy("reason").collect()}, "generated_at_utc": stamp.isoformat()}
 
 
 def gold_key(name: str, folder: str = lakes.GOLD) -> str:

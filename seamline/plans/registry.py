@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -13,7 +13,7 @@ from .. import schemas
 from ..functions import conform as c
 from ..operators import cleaning, gold, windows
 from ..sources import lake as lakes
-from ..sources import telemetry
+from ..sources import snapshots
 from ..sources.lake import Lake
 from . import etl, serving, warehouse
 from .standins import SILVER_SQL, bronze, rounded, silver, view
@@ -329,7 +329,9 @@ def _views(spark, sf_dir):
     gold.fleet_summary_by_type(s, daily, flags, _AT).createOrReplaceTempView("fleet_summary_by_type")
     s.createOrReplaceTempView("silver_telemetry")
     b = bronze(spark, sf_dir)
-    b.withColumn("dt", F.to_date(c.event_time(F.col("timestamp"))["at"])).createOrReplaceTempView("bronze_telemetry")
+    dated = b.withColumn("dt", F.to_date(c.event_time(F.col("timestamp"))["at"]))
+    dated.createOrReplaceTempView("bronze_telemetry")
+    dated.select("dt").distinct().createOrReplaceTempView("bronze_days")
 
 
 def _catalogue(spark, sf_dir, name):
@@ -510,6 +512,9 @@ def r10_equipment_history(spark, sf_dir):
 
 # The lake
 
+#: Silver of the stand-in by day, of all events or of some.
+_BY_DAY = f"(WITH {_COPIES} SELECT CAST(ts AS DATE) AS dt, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM keyed WHERE reject_reason IS NULL AND nth = 1 GROUP BY 1)"
+
 
 @query(
     f"""WITH {_COPIES} SELECT CAST(ts AS DATE) AS dt, count(*) AS rows_in, count(*) FILTER (WHERE reject_reason IS NULL AND nth = 1) AS rows_out,
@@ -521,11 +526,11 @@ def k2_bronze_to_silver(spark, sf_dir):
     lake = Lake(spark, lakes.scratch(spark, "etl"))
     dated = bronze(spark, sf_dir, dated=True)
     lakes.dealt_for_writing(dated.drop("event_id"), "dt").write.partitionBy("dt").parquet(lake.uri(lakes.BRONZE))
-    summary = etl.build_silver(spark, lake.root, at=_AT)
+    etl.build_silver(spark, lake.root, at=_AT)
     landed = lake.read_partitioned(lakes.BRONZE, schemas.BRONZE).groupBy("dt").agg(F.count("*").alias("rows_in"))
-    kept = lake.read_partitioned(lakes.SILVER, schemas.SILVER).groupBy("dt").agg(F.count("*").alias("rows_out"))
-    refused = lake.read_partitioned(lakes.QUARANTINE, schemas.QUARANTINE) if summary["rows_quarantined"] else lake.read([], schemas.QUARANTINE).withColumn("dt", F.lit(None).cast("date"))
-    df = landed.join(kept, "dt", "left").join(refused.groupBy("dt").agg(F.count("*").alias("rows_quarantined")), "dt", "left").na.fill(0)
+    kept = etl.read_silver(lake).groupBy("dt").agg(F.count("*").alias("rows_out"))
+    refused = etl.read_silver(lake, "quarantine").groupBy("dt").agg(F.count("*").alias("rows_quarantined"))
+    df = landed.join(kept, "dt", "left").join(refused, "dt", "left").na.fill(0)
     return df.withColumn("duplicates_removed", F.col("rows_in") - F.col("rows_out") - F.col("rows_quarantined"))
 
 
@@ -537,8 +542,12 @@ def s6_lookback_scan(spark, sf_dir):
     """A dt-partitioned copy read over its newest seven partitions, pruned by directory."""
     lake = Lake(spark, lakes.scratch(spark, "lookback"))
     s = silver(spark, sf_dir).withColumns({"dt": F.col("event_date"), "_ingest_batch_id": F.lit("b"), "_ingested_at_utc": F.col("event_time"), "_silver_processed_at_utc": F.col("event_time")})
-    s.select(*(f.name for f in schemas.SILVER), "dt").hint("rebalance", "dt").write.partitionBy("dt").parquet(lake.uri(lakes.SILVER))
-    recent = lakes.lookback(lake.read_partitioned(lakes.SILVER, schemas.SILVER), 7)
+    version = snapshots.new_version(snapshots.Snapshot())
+    layered = s.select(*(f.name for f in schemas.SILVER), F.lit("silver").alias("layer"), "dt")
+    layered.hint("rebalance", "dt").write.partitionBy("layer", "dt").parquet(lake.uri(f"{lake.silver}/v={version}"))
+    rows = {r["dt"]: r["count"] for r in s.groupBy("dt").count().collect()}  # a row a day
+    snapshots.commit(lake, lake.silver, snapshots.Snapshot(), {d: {"version": version, "rows": {"silver": n}} for d, n in rows.items()})
+    recent = snapshots.recent(lake, lake.silver, schemas.SILVER, 7)
     return recent.groupBy("dt").agg(F.count("*").alias("readings"), F.count_distinct("equipment_id").alias("machines"))
 
 
@@ -561,12 +570,47 @@ def k5_landed_bronze(spark, sf_dir):
     """Readings landed under the date of their own event, and found again by the dates of their files."""
     lake = Lake(spark, lakes.scratch(spark, "land"))
     b = bronze(spark, sf_dir).drop("event_id").withColumn("at", c.event_time(F.col("timestamp"))["at"]).where("at IS NOT NULL")
-    lakes.land(b, lake, "at")
+    lakes.land(b, lake, "batch_0000_a", "at")
     days = spark.createDataFrame([(d, len({lakes.partition_date(k) for k in keys})) for d, keys in lakes.bronze_partitions(lake).items()], "dt date, dates_in_key long")
     landed = lake.read_partitioned(lake.bronze, schemas.BRONZE).groupBy("dt").agg(F.count("*").alias("readings"), F.count_distinct("_ingest_batch_id").alias("batches"))
     return landed.join(days, "dt", "left")
 
 
+@query(
+    f"""SELECT n.dt, CAST(coalesce(o.n, 0) AS BIGINT) AS rows_before, CAST(coalesce(o.n, 0) AS BIGINT) AS rows_held, n.n AS rows_after
+        FROM {_BY_DAY} n LEFT JOIN {_BY_DAY.replace("FROM events", "FROM (SELECT * FROM events WHERE event_id % 3 > 0)")} o ON o.dt = n.dt"""
+)
+def k2_snapshots(spark, sf_dir):
+    """Silver before a rebuild, the same snapshot read after it, and the new one: days change all at once."""
+    lake = Lake(spark, lakes.scratch(spark, "snapshots"))
+    dated = bronze(spark, sf_dir, dated=True)
+    by_day = lambda df, name: df.groupBy("dt").agg(F.count("*").alias(name))
+    for batch, part in (("batch_0000_a", "event_id % 3 > 0"), ("batch_0100_b", "event_id % 3 = 0")):
+        lakes.land(dated.where(part).drop("event_id").withColumn("at", F.col("dt").cast("timestamp")).drop("dt"), lake, batch, "at")
+        if batch == "batch_0000_a":
+            etl.build_silver(spark, lake, at=_AT)
+            held = snapshots.latest(lake, lake.silver)
+            counted = [(r["dt"], r["count"]) for r in etl.read_silver(lake).groupBy("dt").count().collect()]  # a row a day
+            before = spark.createDataFrame(counted, "dt date, rows_before long")
+    etl.build_silver(spark, lake, at=_AT)
+    old = by_day(snapshots.read(lake, lake.silver, schemas.SILVER, held), "rows_held")
+    new = by_day(etl.read_silver(lake), "rows_after")
+    return new.join(before, "dt", "left").join(old, "dt", "left").na.fill(0)
+
+
+@query(
+    f"""WITH {_COPIES} SELECT CAST(ts AS DATE) AS dt, count(*) AS readings, CAST(1 AS BIGINT) AS folders FROM keyed WHERE event_id % 50 <> 49 GROUP BY 1"""
+)
+def k5_landed_again(spark, sf_dir):
+    """A batch landed, landed with other rows and landed once more as it was: as if it had landed once."""
+    lake = Lake(spark, lakes.scratch(spark, "again"))
+    b = bronze(spark, sf_dir).drop("event_id").withColumn("at", c.event_time(F.col("timestamp"))["at"]).where("at IS NOT NULL")
+    for rows in (b, b.withColumn("at", F.col("at") + F.expr("INTERVAL 40 DAYS")), b):
+        lakes.land(rows, lake, "batch_0600_a", "at")
+    landed = lake.read_partitioned(lake.bronze, schemas.BRONZE).withColumn("_folder", F.regexp_extract(F.input_file_name(), "/dt=[^/]*/([^/]*)/", 1))
+    return landed.groupBy("dt").agg(F.count("*").alias("readings"), F.count_distinct("_folder").alias("folders"))
+
+
 @query("SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")
 def s2_read_many(spark, sf_dir):
     """Several files read by their keys as one frame; columns go by name."""
@@ -581,75 +625,54 @@ def s2_read_many(spark, sf_dir):
 
 
 @query(
-    """SELECT * FROM (VALUES ('a key that is not there', CAST(0 AS BIGINT)), ('cached or stored copies', 0), ('days that a literal predicate opens', 1), ('days that the newest two open', 2),
-       ('partitions built by a rerun', 0), ('partitions built after a file was added', 1), ('unreadable manifests taken for current', 0)) AS t(fact, n)"""
+    """WITH days AS (SELECT CAST(ts AS DATE) AS dt, max(date_trunc('second', ts)) AS last FROM events GROUP BY 1), silver AS ({silver}),
+       window_days AS (SELECT count(*) AS n FROM days WHERE dt >= CAST((SELECT max(event_time) FROM silver) - INTERVAL 24 HOUR AS DATE))
+       SELECT 'a key that is not there' AS fact, CAST(0 AS BIGINT) AS n
+       UNION ALL SELECT 'cached or stored copies', 0
+       UNION ALL SELECT 'days in bronze', count(*) FROM days
+       UNION ALL SELECT 'files that a literal predicate opens', count(*) FROM days WHERE dt = (SELECT max(dt) FROM days)
+       UNION ALL SELECT 'files that an anchored predicate opens, its anchor included', count(*) FROM days WHERE dt >= (SELECT max(dt) FROM days) - 1
+       UNION ALL SELECT 'days in silver', count(*) FROM days
+       UNION ALL SELECT 'silver files that the newest two days open', count(*) FROM days WHERE dt >= (SELECT max(dt) FROM days) - 1
+       UNION ALL SELECT 'silver files that health over 24 hours opens in a scan', n FROM window_days
+       UNION ALL SELECT 'partitions built by a rerun', 0
+       UNION ALL SELECT 'partitions built after a file was added', count(*) FROM days WHERE dt = (SELECT max(dt) FROM days)
+       UNION ALL SELECT 'unreadable manifests taken for current', 0"""
 )
 def w_lake_facts(spark, sf_dir):
-    """What the lake and its views promise, counted over files made from the stand-in."""
+    """What the lake and its views promise, counted over files made from the stand-in, a file a day.
+
+    The facts are a row each, made at the driver from what plans opened when they ran.
+    """
     lake = Lake(spark, lakes.scratch(spark, "facts"))
     dated = bronze(spark, sf_dir, dated=True).drop("event_id")
-    dated.repartition(1).write.partitionBy("dt").parquet(lake.uri(lake.bronze))  # a file a day
+    dated.repartition(1).write.partitionBy("dt").parquet(lake.uri(lake.bronze))
     before = set(warehouse.materialised_objects(spark))
     warehouse.register_views(spark, lake, ["bronze"])
-    facts = {"a key that is not there": int(lake.exists("raw/none")), "cached or stored copies": len(set(warehouse.materialised_objects(spark)) - before)}
-    newest = max(lakes.bronze_partitions(lake))
-    facts["days that a literal predicate opens"] = warehouse.files_read(spark.sql(f"SELECT * FROM bronze_telemetry WHERE dt = DATE '{newest}'"))[0]
-    recent = lakes.lookback(lake.read_partitioned(lake.bronze, schemas.BRONZE), 2)
-    facts["days that the newest two open"] = recent.select(F.col("_metadata.file_path")).distinct().count()
+    days = lakes.bronze_partitions(lake)
+    newest = max(days)
+    facts = {"a key that is not there": int(lake.exists("raw/none")), "cached or stored copies": len(set(warehouse.materialised_objects(spark)) - before), "days in bronze": len(days)}
+    opened = lambda df: warehouse.files_read(df)[0]
+    facts["files that a literal predicate opens"] = opened(spark.sql(f"SELECT * FROM bronze_telemetry WHERE dt = DATE '{newest}'"))
+    facts["files that an anchored predicate opens, its anchor included"] = opened(warehouse.statement(spark, warehouse.load_queries()["partition_pruning_demo"]))
     etl.build_silver(spark, lake, at=_AT)
+    held = snapshots.latest(lake, lake.silver)
+    facts["days in silver"] = len(held.newest())
+    facts["silver files that the newest two days open"] = opened(snapshots.recent(lake, lake.silver, schemas.SILVER, 2, held))
+    whole = etl.read_silver(lake)
+    presence = gold.machine_presence(whole).coalesce(1)
+    presence.write.parquet(lake.uri("presence"))
+    flags = gold.fleet_health_flags(whole, 24, _AT, spark.read.parquet(lake.uri("presence")))
+    facts["silver files that health over 24 hours opens in a scan"] = max(x.files for x in warehouse.scans_read(flags)[0] if x.known == len(held.newest()))
     facts["partitions built by a rerun"] = etl.build_silver(spark, lake, at=_AT)["partitions_built"]
     dated.where(F.col("dt") == F.lit(newest)).limit(1).drop("dt").coalesce(1).write.mode("append").parquet(lake.uri(f"{lake.bronze}/dt={newest}"))
     facts["partitions built after a file was added"] = etl.build_silver(spark, lake, at=_AT)["partitions_built"]
-    lake.write_bytes(etl.manifest_key(newest), b"{broken")
+    now = snapshots.latest(lake, lake.silver)
+    lake.write_bytes(etl.manifest_key(now.days[newest]["version"], newest), b"{broken")
     facts["unreadable manifests taken for current"] = int(etl.is_current(lake, newest, lakes.bronze_partitions(lake)[newest]))
     return spark.createDataFrame(list(facts.items()), "fact string, n long")
 
 
-@query(
-    """SELECT * FROM (VALUES ('machines', CAST(500 AS BIGINT)), ('readings', 500 * 288), ('machines of a wrong type', 0), ('hour meters that fall', 0), ('fuel out of 0 to 100', 0), ('machines that leave their site', 0),
-       ('oil pressure while parked', 0), ('rows that another partitioning changes', 0), ('machines whose meter falls after a resume', 0), ('spellings of time', 4)) AS t(fact, n)"""
-)
-def g2_simulator_facts(spark, sf_dir):
-    """What the simulator promises of its clean and its dirty readings: 500 machines over a day."""
-    view(spark, sf_dir)
-    config, start = telemetry.FleetConfig(), datetime(2026, 8, 20, tzinfo=timezone.utc)
-    clean = telemetry.readings(spark, config, start, start + timedelta(hours=24)).persist()
-    by_time = W.partitionBy("equipment_id").orderBy("tick")
-    known = F.create_map(*(x for p in telemetry.PROFILES for x in (F.lit(p.prefix), F.lit(p.equipment_type))))
-    homes = F.array(*(F.struct(F.lit(s.lat).alias("lat"), F.lit(s.lon).alias("lon")) for s in telemetry.SITES))
-    reach = max(p.radius_km for p in telemetry.PROFILES) / telemetry.KM_PER_DEG + 1e-5
-    seen = clean.withColumn("falls", F.col("engine_hours") < F.lag("engine_hours").over(by_time)).withColumn("home", F.try_element_at(homes, F.col("site") + 1))
-    row = seen.agg(
-        F.count_distinct("equipment_id").alias("machines"),
-        F.count("*").alias("readings"),
-        F.count_if(known[F.split("equipment_id", "-")[0]] != F.col("equipment_type")).alias("machines of a wrong type"),
-        F.count_if("falls").alias("hour meters that fall"),
-        F.count_if(~F.col("fuel_level_pct").between(0, 100)).alias("fuel out of 0 to 100"),
-        F.count_if(F.hypot(F.col("gps_lat") - F.col("home.lat"), F.col("gps_lon") - F.col("home.lon")) > reach).alias("machines that leave their site"),
-        F.count_if((F.col("oil_pressure_psi") > 0) & (F.col("oil_pressure_psi") <= schemas.UNDER_LOAD_OIL_PSI)).alias("oil pressure while parked"),
-    ).first()
-    dirty = telemetry.dirty(clean, config)
-    other = telemetry.dirty(clean.repartition(5), config)
-    facts = row.asDict() | {"rows that another partitioning changes": dirty.exceptAll(other).count() + other.exceptAll(dirty).count()}
-    state = telemetry.final_state(clean)
-    more = telemetry.readings(spark, config, start + timedelta(hours=24), start + timedelta(hours=25), state)
-    facts["machines whose meter falls after a resume"] = more.join(state, "equipment_id").where("engine_hours < hours - 1e-9").select("equipment_id").distinct().count()
-    shape = F.when(F.col("timestamp").endswith("Z"), "z").when(F.col("timestamp").rlike(r"[+]\d\d:\d\d$"), "offset").when(F.col("timestamp").rlike(r"^\d+$"), "millis").otherwise("naive")
-    facts["spellings of time"] = dirty.select(shape.alias("s")).distinct().count()
-    clean.unpersist()
-    return spark.createDataFrame(list(facts.items()), "fact string, n long")
-
-
-@query()
-def g1_simulated_fleet(spark, sf_dir):
-    """The simulator's own fleet over its own 72 hours, by type: the source has no SQL form."""
-    view(spark, sf_dir)
-    start = datetime(2026, 8, 20, tzinfo=timezone.utc)
-    raw = telemetry.simulate(spark, telemetry.FleetConfig(), start, start + timedelta(hours=72))
-    clean = cleaning.clean(raw.drop("event_time"), _AT).silver
-    return clean.groupBy("equipment_type").agg(F.count_distinct("equipment_id").alias("machines"), F.count("*").alias("readings"), F.round(F.avg("coolant_temp_c"), 6).alias("avg_coolant_temp_c"))
-
-
 # Other operators on the star schema
 
 

@@ -16,12 +16,13 @@ from .. import schemas
 from ..config import get_settings
 from ..session import get_session
 from ..sources import lake as lakes
+from ..sources import snapshots
 from ..sources.lake import Lake
 from .etl import GOLD_TABLES, gold_key
 
 CATALOGUE = Path(__file__).with_name("catalogue.sql")
 LAYERS = ("bronze", "silver", "gold")
-BUILD_COMMAND = {"bronze": "python -m seamline.sources.telemetry ROOT", "silver": "python -m seamline.plans.etl ROOT", "gold": "python -m seamline.plans.etl ROOT"}
+BUILD_COMMAND = {"bronze": "seamline.sources.lake.land", "silver": "python -m seamline.plans.etl ROOT", "gold": "python -m seamline.plans.etl ROOT"}
 MAX_ROWS, MAX_CELL = 50, 44
 #: Columns that a pivot may have.
 MAX_TYPES = 1_000
@@ -59,18 +60,28 @@ def register_views(spark: SparkSession, root: str | Lake, layers=LAYERS) -> list
     """Temporary views of the chosen layers; raises MissingLayerError for one without files."""
     lake, made = lakes.as_lake(spark, root), []
 
-    def need(layer: str, prefix: str) -> None:
-        if not lake.list_keys(prefix):
+    def need(layer: str, prefix: str, found) -> None:
+        if not found:
             raise MissingLayerError(f"the {layer} layer has no data at {lake.uri(prefix)}; build it with: {BUILD_COMMAND[layer]}")
 
-    for layer, folder, view, schema in (("bronze", lake.bronze, "bronze_telemetry", schemas.BRONZE), ("silver", lake.silver, "silver_telemetry", schemas.SILVER)):
-        if layer in layers:
-            need(layer, folder)
-            lake.read_partitioned(folder, schema).createOrReplaceTempView(view)
-            made.append(view)
+    def add(view: str, df: DataFrame) -> None:
+        df.createOrReplaceTempView(view)
+        made.append(view)
+
+    # beside each layer its days, from names alone: an anchored predicate opens no file to find its anchor
+    if "bronze" in layers:
+        days = list(lakes.bronze_partitions(lake))
+        need("bronze", lake.bronze, days)
+        add("bronze_telemetry", lake.read_partitioned(lake.bronze, schemas.BRONZE))
+        add("bronze_days", _days(spark, days))
+    if "silver" in layers:
+        base = snapshots.latest(lake, lake.silver)
+        need("silver", lake.silver, base.newest())
+        add("silver_telemetry", snapshots.read(lake, lake.silver, schemas.SILVER, base))
+        add("silver_days", _days(spark, base.newest()))
     if "gold" in layers:
         for name, schema in GOLD_TABLES.items():
-            need("gold", gold_key(name, lake.gold))
+            need("gold", gold_key(name, lake.gold), lake.list_keys(gold_key(name, lake.gold)))
             lake.read([gold_key(name, lake.gold)], schema).createOrReplaceTempView(name)
             made.append(name)
         fleet_hours_by_type(spark.table("daily_equipment_summary")).createOrReplaceTempView("fleet_hours_by_type")
@@ -78,6 +89,10 @@ def register_views(spark: SparkSession, root: str | Lake, layers=LAYERS) -> list
     return made
 
 
+def _days(spark: SparkSession, days: list) -> DataFrame:
+    return spark.createDataFrame([(d,) for d in days], "dt date")
+
+
 def fleet_hours_by_type(daily: DataFrame) -> DataFrame:
     """Operating hours by day, a column for each equipment type that the table holds."""
     known = daily.where(F.col("equipment_type").isNotNull()).select("equipment_type").distinct()
@@ -107,36 +122,65 @@ def explain(spark: SparkSession, query: Query) -> str:
     return "\n".join(r[0] for r in spark.sql(f"EXPLAIN FORMATTED {query.sql}").collect())
 
 
-def files_read(df: DataFrame) -> tuple[int, int]:
-    """Run a frame and sum the files its scans opened (the scans' ``numFiles`` metric): files, rows.
+@dataclass(frozen=True)
+class Scan:
+    """What one scan of an executed plan opened: ``files`` of the ``known`` ones, and rows it gave."""
+
+    role: str  # main, or subquery: an anchor or a list that another scan's predicate asks for
+    files: int
+    known: int
+    rows: int
+
 
-    The plan is executed and its rows are counted where they are: no result comes to the driver.
+def _items(found) -> list:
+    return [found.apply(i) for i in range(found.size())]
+
+
+def scans_read(df: DataFrame) -> tuple[list[Scan], int]:
+    """Run a frame; what each of its scans opened, those of subqueries included, and how many rows it has.
+
+    The plan is executed and its rows are counted where they are: no result comes to the
+    driver.  A subquery or exchange that the plan uses twice runs, and counts, once.
     """
-    execution = df._jdf.queryExecution()
-    rows = execution.toRdd().count()
-    plan, total = execution.executedPlan(), 0
-    stack = [plan]
+    execution, identity = df._jdf.queryExecution(), df.sparkSession.sparkContext._jvm.java.lang.System.identityHashCode
+    rows, scans, seen = execution.toRdd().count(), [], set()
+    stack = [(execution.executedPlan(), "main")]
     while stack:
-        node = stack.pop()
-        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
-            stack.append(node.executedPlan())
+        node, role = stack.pop()
+        # by identity: the numbers of query stages repeat
+        kind, this = node.getClass().getSimpleName(), identity(node)
+        if kind.startswith("Reused") or this in seen:
             continue
+        seen.add(this)
+        stack += [(x, "subquery") for x in _items(node.subqueries())]
+        if kind == "AdaptiveSparkPlanExec":
+            stack.append((node.executedPlan(), role))
+        elif kind.endswith("QueryStageExec"):
+            stack.append((node.plan(), role))
+        elif kind == "InMemoryTableScanExec":
+            stack.append((node.relation().cachedPlan(), role))
+        else:
+            stack += [(x, role) for x in _items(node.children())]
         metrics = node.metrics()
         if metrics.contains("numFiles"):
-            total += metrics.apply("numFiles").value()
-        children = node.children()
-        stack.extend(children.apply(i) for i in range(children.size()))
-        if node.getClass().getSimpleName().endswith("QueryStageExec"):
-            stack.append(node.plan())
-    return total, rows
+            known = len(node.relation().location().inputFiles()) if kind == "FileSourceScanExec" else 0
+            scans.append(Scan(role, metrics.apply("numFiles").value(), known, metrics.apply("numOutputRows").value()))
+    return scans, rows
+
+
+def files_read(df: DataFrame) -> tuple[int, int]:
+    """Files that a frame opens when it runs, in all its scans and subqueries, and its rows."""
+    scans, rows = scans_read(df)
+    return sum(x.files for x in scans), rows
 
 
 def analyze(spark: SparkSession, query: Query) -> str:
-    """The query's executed plan, and what running it read and returned."""
+    """The query's executed plan, and what running it read and returned: each scan by itself, then all."""
     df, began = statement(spark, query), time.perf_counter()
-    files, rows = files_read(df)
+    scans, rows = scans_read(df)
     took = time.perf_counter() - began
-    return f"{df._jdf.queryExecution().executedPlan().toString()}\nfiles read: {files}  rows: {rows}  seconds: {took:.3f}"
+    lines = [f"{x.role} scan: {x.files} of {x.known} files, {x.rows} rows" for x in scans]
+    return "\n".join([df._jdf.queryExecution().executedPlan().toString(), *lines, f"files read: {sum(x.files for x in scans)}  rows: {rows}  seconds: {took:.3f}"])
 
 
 def render_table(df: DataFrame) -> str:

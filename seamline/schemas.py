@@ -122,6 +122,14 @@ FLEET = _schema("""
     generated_at_utc TIMESTAMP NOT NULL
 """)
 
+#: Beside the marts: when machines were last read, by the types they were read as.
+PRESENCE = _schema("""
+    equipment_id STRING NOT NULL,
+    equipment_type STRING,
+    last_seen_utc TIMESTAMP NOT NULL,
+    last_loaded_utc TIMESTAMP
+""")
+
 EQUIPMENT_TYPES = ("excavator", "dozer", "loader", "generator_engine")
 #: Slugs of other spellings and the type they mean.
 TYPE_SYNONYMS = {

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterable
 from datetime import date
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -17,7 +18,7 @@ from ..schemas import conform, null_violations
 
 _LOG = logging.getLogger(__name__)
 _PARTITION = re.compile(r"(?:^|/)dt=(\d{4}-\d{2}-\d{2})(?:/|$)")
-BRONZE, SILVER, QUARANTINE, GOLD = "raw", "silver", "silver/_quarantine", "gold"
+BRONZE, SILVER, GOLD = "raw", "silver", "gold"
 
 
 def partition_date(key: str) -> date | None:
@@ -34,7 +35,7 @@ class Lake:
 
     def __init__(self, spark: SparkSession, root: str, bronze: str = BRONZE, silver: str = SILVER, gold: str = GOLD):
         self.spark, self.root = spark, root.rstrip("/")
-        self.bronze, self.silver, self.gold, self.quarantine = bronze, silver, gold, f"{silver}/_quarantine"
+        self.bronze, self.silver, self.gold = bronze, silver, gold
         self._jvm = spark.sparkContext._jvm
         self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -57,6 +58,35 @@ class Lake:
                 found.append(key)
         return sorted(found)
 
+    def list_names(self, prefix: str = "") -> list[str]:
+        """Names of what a folder holds, folders included; a missing folder holds nothing."""
+        top = self._path(prefix)
+        return sorted(x.getPath().getName() for x in self._fs.listStatus(top)) if self._fs.exists(top) else []
+
+    def create_once(self, key: str, data: bytes) -> bool:
+        """Write an object that appears whole, unless its key is taken: then nothing changes and the result is false."""
+        aside = f"_tmp/{uuid.uuid4().hex}"
+        self.write_bytes(aside, data)
+        self._fs.mkdirs(self._path(key).getParent())
+        taken = self._jvm.org.apache.hadoop.fs.FileAlreadyExistsException
+        try:
+            self._renamed(aside, key)
+            return True
+        except Py4JJavaError as problem:
+            if not self.spark.sparkContext._jvm.java.lang.Class.forName(taken._fqn).isInstance(problem.java_exception):
+                raise
+            return False
+        finally:
+            self._fs.delete(self._path(aside), False)
+
+    def _renamed(self, source: str, key: str, overwrite: bool = False) -> None:
+        """An atomic rename of a file."""
+        kinds = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(kinds, 1)
+        how[0] = kinds.OVERWRITE if overwrite else kinds.NONE
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(self._fs.makeQualified(self._path(source)), self._fs.makeQualified(self._path(key)), how)
+
     def exists(self, key: str) -> bool:
         return bool(self._fs.exists(self._path(key)))
 
@@ -113,13 +143,8 @@ class Lake:
             self.delete_prefix(aside)
             raise ValueError(f"{key} would hold nulls where none may be: {refused}")
         part = next(k for k in self.list_keys(aside) if k.rsplit("/", 1)[1].startswith("part-"))
-        target = self._path(key)
-        self._fs.mkdirs(target.getParent())
-        rename = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
-        how = self.spark.sparkContext._gateway.new_array(rename, 1)
-        how[0] = rename.OVERWRITE
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        context.rename(self._fs.makeQualified(self._path(part)), self._fs.makeQualified(target), how)
+        self._fs.mkdirs(self._path(key).getParent())
+        self._renamed(part, key, overwrite=True)
         self.delete_prefix(aside)
         return self.spark.read.schema(schema).parquet(self.uri(key)).count()
 
@@ -162,12 +187,6 @@ def bronze_partitions(lake: Lake) -> dict[date, list[str]]:
     return dict(sorted(found.items()))
 
 
-def lookback(silver: DataFrame, days: int) -> DataFrame:
-    """The newest ``days`` partitions' dates of silver, by a pruning predicate on dt."""
-    newest = silver.select(F.max("dt")).scalar()
-    return silver.where(F.col("dt") >= F.date_sub(newest, int(days) - 1))
-
-
 def dealt_for_writing(df: DataFrame, *keys: str) -> DataFrame:
     """Rows of one partition together, but for those of a large one: adaptive execution splits it by size.
 
@@ -176,7 +195,25 @@ def dealt_for_writing(df: DataFrame, *keys: str) -> DataFrame:
     return df.hint("rebalance", *keys)
 
 
-def land(df: DataFrame, lake: Lake, time: str = "event_time") -> None:
-    """Append bronze readings under the date of their own event."""
+def land(df: DataFrame, lake: Lake, batch: str, time: str = "event_time") -> int:
+    """Land a batch of bronze readings, each under the date of its own event; returns the number of days.
+
+    The batch is written aside and each day's folder, ``dt=<day>/<batch>``, appears by one
+    rename.  Landing a batch again replaces what it landed, days that it no longer has
+    included, so a repeat after a stop at any step ends like a single landing.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_.-]*", batch):
+        raise ValueError(f"not a batch name: {batch!r}")
+    aside = f"_tmp/{uuid.uuid4().hex}"
     dated = df.withColumn("dt", F.to_date(time)).drop(time)
-    dealt_for_writing(dated, "dt").write.mode("append").partitionBy("dt").option("compression", "zstd").parquet(lake.uri(lake.bronze))
+    dealt_for_writing(dated, "dt").write.partitionBy("dt").option("compression", "zstd").parquet(lake.uri(aside))
+    try:
+        landed = {n for n in lake.list_names(aside) if partition_date(n)}
+        before = [n for n in lake.list_names(lake.bronze) if partition_date(n) and lake.exists(f"{lake.bronze}/{n}/{batch}")]
+        for name in before:
+            lake.delete_prefix(f"{lake.bronze}/{name}/{batch}")
+        for name in sorted(landed):
+            lake.rename(f"{aside}/{name}", f"{lake.bronze}/{name}/{batch}")
+    finally:
+        lake.delete_prefix(aside)
+    return len(landed)
