@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,18 +43,41 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+#: Folders made within ``freed``, innermost last.
+_MADE: list[list[str]] = []
+
+
+def _folder(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, the tables that were materialised inside: for work whose result has been written elsewhere."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for path in _MADE.pop():
+            files, target = _folder(spark, path)
+            files.delete(target, True)
+
+
+def materialise(df: DataFrame, tag: str, stays: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet under the shared folder and return a scan of it.
 
     Cuts lineage: a lost executor rereads the table instead of redoing its inputs, and
-    every later reader prunes columns.  The folder goes when the application ends.
+    every later reader prunes columns.  The folder goes when the application ends, or with
+    the enclosing ``freed`` unless it ``stays``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    files, target = _folder(spark, path)
+    files.deleteOnExit(target)
+    if _MADE and not stays:
+        _MADE[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -61,6 +86,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it unlike every column of ``df``."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        found.append(name)
+    return found
+
+
+def own_columns(df: DataFrame) -> list:
+    """The columns of ``df`` by name, whatever characters the names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def text_bytes(col: str = "text"):
     """UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(F.encode(F.col(col).cast("string"), "UTF-8"), F.lit(b""))

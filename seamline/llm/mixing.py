@@ -264,8 +264,10 @@ def take(docs: DataFrame, **options) -> DataFrame:
 
     Rows are told by doc_id, text and source; rows alike in these are taken alike.
     """
-    copies = by_weight(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_from"))
-    copies = common.materialise(copies.agg(F.max("copies").cast("int").alias("_copies")), "mix-copies")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_hash() == F.col("_hash")) & F.col("source").cast("string").eqNullSafe(F.col("_from"))
+    names = common.free_names(docs, "_id", "_hash", "_from", "_copies", "_nth")
+    of_id, of_hash, of_source, number, nth = names
+    copies = by_weight(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_hash), F.col("source").alias(of_source))
+    copies = common.materialise(copies.agg(F.max("copies").cast("int").alias(number)), "mix-copies")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(of_id)) & (text_hash() == F.col(of_hash)) & F.col("source").cast("string").eqNullSafe(F.col(of_source))
     joined = docs.join(copies.hint("merge"), same)
-    return joined.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    return joined.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(number)))).select(common.own_columns(docs))

@@ -354,11 +354,12 @@ def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
     Rows are told by doc_id and text, so an identifier that comes with several texts is
     several documents; of rows alike in both one stays.
     """
-    kept = NearDuplicates(docs, least).representatives()
-    kept = common.materialise(kept.select(F.col("doc_id").alias("_kept_id"), F.col("key").alias("_kept_key")), "near-kept")
-    key = F.unhex(F.sha2(common.text_bytes(), 256))
-    here = docs.withColumn("_key", key).join(kept, (F.col("_key") == F.col("_kept_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")))
-    return here.dropDuplicates(["_kept_key"]).select(docs.columns)
+    kept_id, kept_key, key = common.free_names(docs, "_kept_id", "_kept_key", "_key")
+    kept = NearDuplicates(docs.select("doc_id", "text"), least).representatives()
+    kept = common.materialise(kept.select(F.col("doc_id").alias(kept_id), F.col("key").alias(kept_key)), "near-kept")
+    keyed = docs.withColumn(key, F.unhex(F.sha2(common.text_bytes(), 256)))
+    here = keyed.join(kept, (F.col(key) == F.col(kept_key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)))
+    return here.dropDuplicates([kept_key]).select(common.own_columns(docs))
 
 
 def near_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:

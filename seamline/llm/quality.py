@@ -269,14 +269,17 @@ def keep_good(docs: DataFrame, threshold: float = 0.5, **bounds) -> DataFrame:
     model = train(docs, **bounds)
     shared = spark.sparkContext.broadcast((model.weights, model.bias))
 
+    at = docs.columns.index("text")
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
         for batch in batches:
-            at = batch.schema.get_field_index("text")
             good = []
             for text in batch.column(at):
                 data = (text.as_py() or "").encode("utf-8", "replace")
                 good.append(bool(data.strip()) and float(features(data) @ weights) + bias >= np.log(threshold / (1 - threshold)))
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    # by place: mapInArrow takes no names with dots
+    placed = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return placed.mapInArrow(run, placed.schema).toDF(*docs.columns)

@@ -72,6 +72,36 @@ def test_odd_rows_through_every_stage(spark, make):
     assert sorted({r["doc_id"] or 0 for r in pieces}) == sorted({i for i, _ in texts["mixing"]})
 
 
+def test_extra_columns_may_have_any_name(spark, make):
+    from pyspark.sql import functions as F
+
+    docs = make([(i, good(i * 13), f"s{i % 2}") for i in range(30)] + [(40, good(0), "s1")])
+    for n in ("_key", "_kept_id", "_kept_key", "_kept_sha", "_id", "_hash", "_from", "_copies", "_nth", "__key", "a.b"):
+        docs = docs.withColumn(n, F.concat(F.lit(n), F.col("doc_id").cast("string")))
+    step = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        step = stage(spark, step, "")
+        assert step.columns == docs.columns, name
+        for r in step.collect():
+            assert r["_key"] == f"_key{r['doc_id']}" and r["_kept_id"] == f"_kept_id{r['doc_id']}" and r["_nth"] == f"_nth{r['doc_id']}" and r["a.b"] == f"a.b{r['doc_id']}", name
+    assert 0 < step.count() and not corpus_pipeline.STAGES[-1][1](spark, step, "").isEmpty()
+
+
+def test_tables_are_freed(spark, make, tmp_path):
+    from seamline.llm import common
+
+    def made():
+        top = common.shared_dir(spark).removeprefix("file:") + "/" + spark.sparkContext.applicationId
+        return {p.name for p in __import__("pathlib").Path(top).glob("*")}
+
+    common.materialise(spark.range(1), "first")
+    before = made()
+    with common.freed(spark):
+        inner = common.materialise(make([(1, good(1), "s")]), "inner")
+        kept = common.materialise(inner, "kept", stays=True)
+    assert {n.split("-")[0] for n in made() - before} == {"kept"} and kept.count() == 1
+
+
 def test_run_is_its_stages(spark, small):
     """The pipeline over the smallest table, against its stages applied one after the other and packed anew."""
     pieces = corpus_pipeline.run(spark, small).collect()
