@@ -9,8 +9,7 @@ Rows are told by doc_id and text, so a null doc_id, and an identifier that comes
 several texts, pass like others; of rows alike in both, and of equal texts, one passes the
 exact stage, and later stages see each text once.  Ties go to the largest doc_id in the exact
 stage, to the smallest in the near one.  Very long texts pass whole.  Extra columns stay until
-packing, whatever their names (but for names that begin with an underscore, which the stages
-use).  An empty table passes every stage as an empty table.
+packing, whatever their names.  An empty table passes every stage as an empty table.
 """
 
 from __future__ import annotations
@@ -31,9 +30,10 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays: the one with the largest doc_id."""
     groups = common.materialise(exact_dedup.exact_groups(docs, keep="largest").select("doc_id", "kept", "text_sha256"), "exact-groups")
     # An id may be repeated with other texts: the row to keep is told by id and text.
-    kept = groups.where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
+    kept_id, kept_sha = common.free_names(docs, "_kept_id", "_kept_sha")
+    kept = groups.where("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha)).distinct()
     sha = F.sha2(common.text_bytes(), 256)
-    here = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (sha == F.col("_kept_sha"))
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (sha == F.col(kept_sha))
     one = docs.join(kept, here, "left_semi")
     return one.dropDuplicates(["doc_id", "text"]) if _repeats(groups) else one
 
@@ -76,6 +76,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table."""
     docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = common.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
-    return common.materialise(STAGES[-1][1](spark, docs, sf_dir), f"stage-{STAGES[-1][0]}")
+    for name, stage in STAGES:
+        with common.freed(spark):  # a stage's own tables go once its output is written
+            docs = common.materialise(stage(spark, docs, sf_dir), f"stage-{name}", stays=True)
+    return docs
