@@ -23,10 +23,10 @@ def _non_negative(c: Column) -> Column:
 def daily_equipment_summary(silver: DataFrame) -> DataFrame:
     """One row per machine and day.
 
-    Windows are dealt by machine, and the final grouping by (machine, day) needs no other
-    shuffle than theirs.
+    Windows are dealt by (machine, day), and so is the final grouping: one shuffle serves all,
+    and a machine with many readings is as many tasks' work as it has days.
     """
-    df = w.settled(silver)
+    df = w.settled(silver, segment="event_date")
     df = w.level_change(df, "fuel_level_pct", within="event_date", out="_fuel_change")
     temp = F.when(F.col("settled"), F.col("coolant_temp_c"))
     oil = F.when(F.col("is_under_load"), F.col("oil_pressure_psi"))
@@ -103,7 +103,7 @@ def machine_health(silver: DataFrame, window_hours: int = s.DEFAULT_WINDOW_HOURS
         F.max("last_seen_utc").alias("last_seen_utc"),
     )
     recent = in_window(silver, start)
-    recent = w.settled(recent)  # spells begin with the window
+    recent = w.settled(recent, segment="event_date")  # spells begin with the window
     hours = F.timestamp_diff("MICROSECOND", start, F.col("event_time")).cast("double") / 3.6e9
     temp = F.when(F.col("settled"), F.col("coolant_temp_c"))
     oil = F.when(F.col("is_under_load"), F.col("oil_pressure_psi"))

@@ -1,4 +1,10 @@
-"""Time-series building blocks over (machine, time); each adds columns, none joins."""
+"""Time-series building blocks over (machine, time).
+
+What depends on a machine's whole past is found in segments: rows are dealt by (machine,
+segment), by default a day, so that no task holds a machine's history.  A narrow pass sums up
+each segment, a scan over these sums, a row a segment, gives what comes into each segment
+from those before it, and a local pass over the rows starts from that carry.
+"""
 
 from __future__ import annotations
 
@@ -9,30 +15,60 @@ from pyspark.sql import functions as F
 from ..schemas import REFUEL_DELTA_PCT, WARMUP_READINGS
 
 
-def settled(df: DataFrame, key: str = "equipment_id", time: str = "event_time", running: str = "is_under_load", warmup: int = WARMUP_READINGS, out: str = "settled") -> DataFrame:
-    """Mark rows after ``warmup`` readings of an uninterrupted running spell.
+def _segmented(df: DataFrame, time: str, segment: str | None) -> tuple[DataFrame, str]:
+    """The frame and its segment column: the given one, or the date of ``time``, rows without a time first."""
+    if segment:
+        return df, segment
+    return df.withColumn("_segment", F.coalesce(F.to_date(time), F.lit("0001-01-01").cast("date"))), "_segment"
 
-    Every window has one partitioning and order, so one shuffle and one sort serve all.
-    Filter first where the spell should begin with the filter's window.
-    """
-    on = F.coalesce(F.col(running), F.lit(False))
-    upto = W.partitionBy(key).orderBy(time).rowsBetween(W.unboundedPreceding, W.currentRow)
-    counted = df.withColumn("_on", F.sum(F.when(on, 1).otherwise(0)).over(upto))
-    before = F.coalesce(F.max(F.when(~on, F.col("_on"))).over(upto), F.lit(0))  # readings of earlier spells
-    return counted.withColumn(out, on & (F.col("_on") - before > warmup)).drop("_on")
 
+def settled(df: DataFrame, key: str = "equipment_id", time: str = "event_time", running: str = "is_under_load", warmup: int = WARMUP_READINGS, out: str = "settled", segment: str | None = None) -> DataFrame:
+    """Mark rows after ``warmup`` readings of an uninterrupted running spell, which may span segments.
 
-def level_change(df: DataFrame, level: str, key: str = "equipment_id", time: str = "event_time", within: str | None = None, out: str = "level_change") -> DataFrame:
+    ``segment`` names a column, never null, that follows the time.  Rows come out dealt by
+    (key, segment), so a grouping by these needs no other shuffle.  Filter first where the
+    spell should begin with the filter's window.
+    """
+    columns = df.columns
+    df, seg = _segmented(df, time, segment)
+    on = F.coalesce(F.col(running), F.lit(False))
+    upto = W.partitionBy(key, seg).orderBy(time).rowsBetween(W.unboundedPreceding, W.currentRow)
+
+    def counted(frame: DataFrame) -> DataFrame:
+        """``_on``: running rows of the segment so far; ``_before``: those up to its last stop, null before its first."""
+        frame = frame.withColumn("_on", F.sum(F.when(on, 1).otherwise(0)).over(upto))
+        return frame.withColumn("_before", F.max(F.when(~on, F.col("_on"))).over(upto))
+
+    ends = counted(df.select(key, seg, time, running)).groupBy(key, seg).agg(F.max("_on").alias("_on"), F.max("_before").alias("_before"))
+    # a segment without a stop goes on with the spell that comes in; another ends with one of its own
+    so_far = W.partitionBy(key).orderBy(seg).rowsBetween(W.unboundedPreceding, W.currentRow)
+    whole = F.coalesce(F.sum(F.when(F.col("_before").isNull(), F.col("_on"))).over(so_far), F.lit(0))
+    ends = ends.withColumn("_whole", whole)
+    own = F.when(F.col("_before").isNotNull(), F.struct((F.col("_on") - F.col("_before")).alias("tail"), F.col("_whole").alias("whole")))
+    ends = ends.withColumn("_own", F.last(own, ignorenulls=True).over(so_far))
+    running_on = F.col("_whole") + F.coalesce(F.col("_own.tail") - F.col("_own.whole"), F.lit(0))
+    carry = ends.select(key, seg, F.lag(running_on, 1, 0).over(W.partitionBy(key).orderBy(seg)).alias("_carry"))
+    joined = counted(df).join(carry, [key, seg], "left")
+    spell = F.col("_on") - F.coalesce("_before", F.lit(0)) + F.when(F.col("_before").isNull(), F.coalesce("_carry", F.lit(0))).otherwise(0)
+    return joined.withColumn(out, on & (spell > warmup)).select(*(c for c in columns if c != out), out)
+
+
+def level_change(df: DataFrame, level: str, key: str = "equipment_id", time: str = "event_time", within: str | None = None, out: str = "level_change", segment: str | None = None) -> DataFrame:
     """Difference to the machine's last known level; null for unknown levels and the first.
 
-    ``within`` (a column that follows the time, as its date does) forgets the level where it
-    changes; it is compared rather than partitioned by, which spares a sort.
+    ``within`` (a column, never null, that follows the time, as its date does) forgets the
+    level where it changes: it is the segment then, and nothing is carried into it.
     """
-    known = F.when(F.col(level).isNotNull(), F.struct(F.col(level).alias("level"), (F.col(within) if within else F.lit(None)).alias("within")))
-    before = F.last(known, ignorenulls=True).over(W.partitionBy(key).orderBy(time).rowsBetween(W.unboundedPreceding, -1))
-    df = df.withColumn("_before", before)
-    same = F.col("_before.within").eqNullSafe(F.col(within)) if within else F.lit(True)
-    return df.withColumn(out, F.when(same, F.col(level) - F.col("_before.level"))).drop("_before")
+    columns = df.columns
+    df, seg = _segmented(df, time, within or segment)
+    known = F.last(level, ignorenulls=True).over(W.partitionBy(key, seg).orderBy(time).rowsBetween(W.unboundedPreceding, -1))
+    df = df.withColumn("_before", known)
+    if within is None:
+        last = df.groupBy(key, seg).agg(F.max_by(level, F.when(F.col(level).isNotNull(), F.col(time))).alias("_last"))
+        earlier = W.partitionBy(key).orderBy(seg).rowsBetween(W.unboundedPreceding, -1)
+        carry = last.select(key, seg, F.last("_last", ignorenulls=True).over(earlier).alias("_carry"))
+        df = df.join(carry, [key, seg], "left").withColumn("_before", F.coalesce("_before", "_carry"))
+    return df.withColumn(out, F.col(level) - F.col("_before")).select(*(c for c in columns if c != out), out)
 
 
 def consumed(change: Column) -> Column:

@@ -96,7 +96,72 @@ def test_fleet_summary_zero_fills_and_rounds_half_even(spark):
     assert all(r["avg_coolant_temp_c"] is None and r["total_fault_codes"] == 0 for r in empty)
 
 
+def shuffled(df):
+    """Columns of each hash exchange of a plan."""
+    found, stack = [], [df._jdf.queryExecution().executedPlan()]
+    while stack:
+        node = stack.pop()
+        kind = node.getClass().getSimpleName()
+        children = node.initialPlan().children() if kind == "AdaptiveSparkPlanExec" else node.children()
+        if kind == "AdaptiveSparkPlanExec":
+            stack.append(node.initialPlan())
+            continue
+        if kind == "ShuffleExchangeExec" and "hashpartitioning" in node.outputPartitioning().toString():
+            found.append({node.output().apply(i).name() for i in range(node.output().size())})
+        stack.extend(children.apply(i) for i in range(children.size()))
+    return found
+
+
 def test_one_shuffle_for_daily(spark):
+    """Rows with their sensors are shuffled once; times and running states once more, then a row a machine and day."""
     df = silver(spark, [{"m": 0}])
-    plan = gold.daily_equipment_summary(df)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(equipment_id") <= 2 and "PythonUDF" not in plan and "ArrowEval" not in plan
+    daily = gold.daily_equipment_summary(df)
+    plan = daily._jdf.queryExecution().executedPlan().toString()
+    found = shuffled(daily)
+    assert sum("coolant_temp_c" in c for c in found) == 1 and len(found) <= 4 and "PythonUDF" not in plan and "ArrowEval" not in plan
+    others = [c for c in found if "coolant_temp_c" not in c]
+    assert all({n for n in c if not n.startswith("_")} <= {"equipment_id", "event_date", "event_time", "is_under_load"} for c in others), others
+
+
+def spells(rows, warmup):
+    """Plain pass over (machine, time, running, level): {(machine, time): (settled, change to the last known level)}."""
+    found, run, last = {}, {}, {}
+    for m, t, on, level in sorted(rows):
+        run[m] = run.get(m, 0) + 1 if on else 0
+        found[m, t] = (run[m] > warmup, None if level is None or last.get(m) is None else level - last[m])
+        last[m] = level if level is not None else last.get(m)
+    return found
+
+
+def test_segments_carry_spells_and_levels(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    r, rows = random.Random(2), []
+    for m in ("a", "b", "c"):
+        at = datetime(2024, 1, 1)
+        for _ in range(400):
+            at += timedelta(hours=r.choice([0.5, 1, 2, 30]))
+            rows.append((m, at, r.random() < (0.97 if m != "c" else 0.6), r.choice([None, None, r.randint(0, 9)])))
+    rows += [("all on", datetime(2024, 1, 1) + timedelta(hours=9 * k), True, None) for k in range(60)]
+    rows += [("unknown", datetime(2024, 1, 1) + timedelta(hours=9 * k), None, 5) for k in range(9)]
+    df = spark.createDataFrame(rows, "equipment_id string, event_time timestamp, is_under_load boolean, level int").repartition(5)
+    got = windows.level_change(windows.settled(df, warmup=7), "level")
+    assert got.columns == ["equipment_id", "event_time", "is_under_load", "level", "settled", "level_change"]
+    assert {(x["equipment_id"], x["event_time"]): (x["settled"], x["level_change"]) for x in got.collect()} == spells(rows, 7)
+
+
+def test_a_machine_with_most_rows_is_many_tasks(spark):
+    """Half of all rows are one machine's: no task of the windows holds more than a few of its days."""
+    rows = spark.range(40_000).selectExpr(
+        "IF(id % 2 = 0, 'hot', concat('m', id % 97)) AS equipment_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id * 60) AS event_time", "id % 50 > 3 AS is_under_load"
+    )
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        tasks = windows.settled(rows).where("equipment_id = 'hot'").groupBy(F.spark_partition_id()).agg(F.count("*").alias("count"), F.count_if("settled")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(r["count"] for r in tasks) == 20_000 and len(tasks) >= 15 and max(r["count"] for r in tasks) < 5_000
