@@ -178,21 +178,22 @@ def build_gold(spark: SparkSession, root: str | Lake, window_hours: int = schema
     if not base.newest():
         raise FileNotFoundError(f"no silver under {lake.uri(lake.silver)}: build silver first")
     silver = snapshots.recent(lake, lake.silver, schemas.SILVER, lookback_days, base)
-    read = lambda name: lake.read([gold_key(name, lake.gold)], GOLD_TABLES[name])
     # one narrow pass gives what flags and fleet need of days before the window; it stays beside the marts
-    rows = {"machine_presence": lake.swap_single(gold.machine_presence(silver), gold_key("machine_presence", lake.gold), schemas.PRESENCE)}
-    presence = lake.read([gold_key("machine_presence", lake.gold)], schemas.PRESENCE)
-    rows["daily_equipment_summary"] = lake.swap_single(gold.daily_equipment_summary(silver), gold_key("daily_equipment_summary", lake.gold), schemas.DAILY)
-    rows["fleet_health_flags"] = lake.swap_single(gold.fleet_health_flags(silver, window_hours, stamp, presence), gold_key("fleet_health_flags", lake.gold), schemas.FLAGS)
-    fleet = gold.fleet_summary_by_type(silver, read("daily_equipment_summary"), read("fleet_health_flags"), stamp, presence)
-    rows["fleet_summary_by_type"] = lake.swap_single(fleet, gold_key("fleet_summary_by_type", lake.gold), schemas.FLEET)
-    reasons = read("fleet_health_flags").select(F.explode(F.split("flag_reasons", ",")).alias("reason")).groupBy("reason").count()
+    rows = {"machine_presence": mart(lake, "machine_presence").swap(gold.machine_presence(silver))}
+    presence = mart(lake, "machine_presence").read()
+    rows["daily_equipment_summary"] = mart(lake, "daily_equipment_summary").swap(gold.daily_equipment_summary(silver), ["day"], newest_day=F.max("day"))
+    rows["fleet_health_flags"] = mart(lake, "fleet_health_flags").swap(gold.fleet_health_flags(silver, window_hours, stamp, presence))
+    daily, flags = mart(lake, "daily_equipment_summary").read(), mart(lake, "fleet_health_flags").read()
+    rows["fleet_summary_by_type"] = mart(lake, "fleet_summary_by_type").swap(gold.fleet_summary_by_type(silver, daily, flags, stamp, presence))
+    reasons = flags.select(F.explode(F.split("flag_reasons", ",")).alias("reason")).groupBy("reason").count()
     read_days = base.newest(lookback_days)
     return {"silver_rows": sum(base.days[d]["rows"]["silver"] for d in read_days), "rows": rows, "reasons": {r["reason"]: r["count"] for r in reasons.orderBy("reason").collect()}, "generated_at_utc": stamp.isoformat()}
 
 
-def gold_key(name: str, folder: str = lakes.GOLD) -> str:
-    return f"{folder}/{name}.parquet"
+def mart(lake: Lake, name: str) -> lakes.Mart:
+    """A gold table, or the presence table beside them; those by machine are sliced by it."""
+    schema = (GOLD_TABLES | {"machine_presence": schemas.PRESENCE})[name]
+    return lakes.Mart(lake, f"{lake.gold}/{name}", schema, "equipment_id" if "equipment_id" in schema.names else None)
 
 
 def run_etl(spark: SparkSession, root: str | Lake, **options) -> dict:

@@ -324,6 +324,7 @@ def _views(spark, sf_dir):
     s = silver(spark, sf_dir)
     daily = gold.daily_equipment_summary(s)
     daily.createOrReplaceTempView("daily_equipment_summary")
+    s.select(F.max("event_date").alias("day")).createOrReplaceTempView("daily_newest")
     flags = gold.fleet_health_flags(s, _WINDOW, _AT)
     flags.createOrReplaceTempView("fleet_health_flags")
     gold.fleet_summary_by_type(s, daily, flags, _AT).createOrReplaceTempView("fleet_summary_by_type")
@@ -553,13 +554,30 @@ def s6_lookback_scan(spark, sf_dir):
 
 @query(f"WITH {_DAILY} SELECT {_DAILY_LIST} FROM daily")
 def k3_swapped_gold(spark, sf_dir):
-    """A mart swapped in twice, first with other rows: readers see the second whole, through one file."""
+    """A mart swapped in twice, first with other rows: readers see the second whole, in slices by machine."""
     lake = Lake(spark, lakes.scratch(spark, "swap"))
     daily = gold.daily_equipment_summary(silver(spark, sf_dir))
-    key = etl.gold_key("daily_equipment_summary")
-    lake.swap_single(daily.where("day = (SELECT max(CAST(ts AS DATE)) FROM events)"), key, schemas.DAILY)
-    lake.swap_single(daily, key, schemas.DAILY)
-    return rounded(lake.read(lake.list_keys(lake.gold), schemas.DAILY))
+    mart = etl.mart(lake, "daily_equipment_summary")
+    mart.swap(daily.where("day = (SELECT max(CAST(ts AS DATE)) FROM events)"), ["day"])
+    mart.swap(daily, ["day"])
+    return rounded(mart.read().drop("slice"))
+
+
+@query(
+    f"""WITH {_DAILY} SELECT {_DAILY_LIST}, CAST(1 AS BIGINT) AS slices_opened FROM daily
+        WHERE equipment_id = (SELECT max(equipment_id) FROM daily) AND day > (SELECT max(day) FROM daily) - 14"""
+)
+def k3_pruned_lookup(spark, sf_dir):
+    """A machine's last fourteen days out of a sliced mart, and how many of its slices the plan opened when it ran."""
+    lake = Lake(spark, lakes.scratch(spark, "lookup"))
+    mart = etl.mart(lake, "daily_equipment_summary")
+    mart.swap(gold.daily_equipment_summary(silver(spark, sf_dir)), ["day"], newest_day=F.max("day"), last_machine=F.max("equipment_id"))
+    mart.read().createOrReplaceTempView("daily_equipment_summary")
+    spark.createDataFrame([(mart.facts()["newest_day"],)], "day string").select(F.col("day").cast("date")).createOrReplaceTempView("daily_newest")
+    found = serving.equipment_days(spark, mart.facts()["last_machine"], 14)
+    scans, _ = warehouse.scans_read(found)
+    opened, known = sum(x.files for x in scans), max(x.known for x in scans)
+    return rounded(found).withColumn("slices_opened", F.lit(opened if known > 1 else 0).cast("long"))
 
 
 @query(

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.conform import json_safe, split_flags
+from ..sources.lake import slice_of
 
 SEVERITIES = ("warning", "critical")
 
+
 def canonical_filter(equipment_type: str | None) -> str | None:
     """Trimmed lower case; blank means no filter."""
     return (equipment_type or "").strip().lower() or None
@@ -47,11 +49,18 @@ def health_flags(spark: SparkSession, equipment_type: str | None = None, severit
     """Flagged machines, the most urgent first."""
     if severity is not None and severity not in SEVERITIES:
         raise ValueError(f"severity is one of {', '.join(SEVERITIES)}")
-    flags = _of_type(spark.table("fleet_health_flags"), equipment_type)
+    flags = _of_type(spark.table("fleet_health_flags").drop("slice"), equipment_type)
     flags = flags if severity is None else flags.where(F.col("severity") == severity)
     return flags.orderBy(F.desc(F.col("severity") == "critical"), "health_score", "equipment_id").limit(_bounded("limit", limit, 5000))
 
 
+def _of_machine(df: DataFrame, equipment_id: str) -> DataFrame:
+    """A machine's rows; where the table is sliced by machine only its slice is opened."""
+    wanted = F.lit(equipment_id)
+    rows = df.where(F.col("equipment_id") == wanted)
+    return rows.where(F.col("slice") == slice_of(wanted)).drop("slice") if "slice" in df.columns else rows
+
+
 def _identity() -> list[Column]:
     return [F.max_by("equipment_type", "day").alias("equipment_type"), F.max("day").alias("last_day")]
 
@@ -66,18 +75,17 @@ def equipment(spark: SparkSession, equipment_type: str | None = None, flagged_on
 
 def equipment_identity(spark: SparkSession, equipment_id: str) -> DataFrame:
     """Exactly one row; nulls for a machine that gold doesn't know."""
-    return spark.table("daily_equipment_summary").where(F.col("equipment_id") == equipment_id).agg(*_identity())
+    return _of_machine(spark.table("daily_equipment_summary"), equipment_id).agg(*_identity())
 
 
 def equipment_days(spark: SparkSession, equipment_id: str, days: int = 30) -> DataFrame:
     """The newest ``days`` days of the table, for one machine."""
-    daily = spark.table("daily_equipment_summary")
-    after = F.date_sub(daily.select(F.max("day")).scalar(), _bounded("days", days, 3650))
-    return daily.where((F.col("equipment_id") == equipment_id) & (F.col("day") > after)).orderBy("day")
+    after = F.date_sub(spark.table("daily_newest").select(F.max("day")).scalar(), _bounded("days", days, 3650))
+    return _of_machine(spark.table("daily_equipment_summary"), equipment_id).where(F.col("day") > after).orderBy("day")
 
 
 def equipment_flag(spark: SparkSession, equipment_id: str) -> DataFrame:
-    return spark.table("fleet_health_flags").where(F.col("equipment_id") == equipment_id)
+    return _of_machine(spark.table("fleet_health_flags"), equipment_id)
 
 
 def rows(df: DataFrame) -> list[dict]:

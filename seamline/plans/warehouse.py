@@ -18,7 +18,7 @@ from ..session import get_session
 from ..sources import lake as lakes
 from ..sources import snapshots
 from ..sources.lake import Lake
-from .etl import GOLD_TABLES, gold_key
+from .etl import GOLD_TABLES, mart
 
 CATALOGUE = Path(__file__).with_name("catalogue.sql")
 LAYERS = ("bronze", "silver", "gold")
@@ -80,12 +80,14 @@ def register_views(spark: SparkSession, root: str | Lake, layers=LAYERS) -> list
         add("silver_telemetry", snapshots.read(lake, lake.silver, schemas.SILVER, base))
         add("silver_days", _days(spark, base.newest()))
     if "gold" in layers:
-        for name, schema in GOLD_TABLES.items():
-            need("gold", gold_key(name, lake.gold), lake.list_keys(gold_key(name, lake.gold)))
-            lake.read([gold_key(name, lake.gold)], schema).createOrReplaceTempView(name)
-            made.append(name)
-        fleet_hours_by_type(spark.table("daily_equipment_summary")).createOrReplaceTempView("fleet_hours_by_type")
-        made.append("fleet_hours_by_type")
+        for name in GOLD_TABLES:
+            table = mart(lake, name)
+            need("gold", table.key, table.exists())
+            add(name, table.read())
+        # the newest day as the mart's pointer states it: a lookup of one machine opens no other's files to find it
+        newest = mart(lake, "daily_equipment_summary").facts()["newest_day"]
+        add("daily_newest", spark.createDataFrame([(newest,)], "day string").select(F.col("day").cast("date")))
+        add("fleet_hours_by_type", fleet_hours_by_type(spark.table("daily_equipment_summary")))
     return made
 
 

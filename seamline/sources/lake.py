@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import re
 import tempfile
 import uuid
 from collections.abc import Iterable
+from dataclasses import dataclass
 from datetime import date
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -149,6 +151,84 @@ class Lake:
         return self.spark.read.schema(schema).parquet(self.uri(key)).count()
 
 
+#: Slices of a mart by machine: a lookup of one machine opens the files of one.
+SLICES = 64
+
+
+def slice_of(machine) -> Column:
+    """The slice of a machine's rows; of a literal, a literal that prunes folders."""
+    return (F.crc32(machine.cast("binary")) % SLICES).cast("int")
+
+
+@dataclass(frozen=True)
+class Mart:
+    """A table kept as a folder of versions, ``<key>/v=<id>``, and a pointer, ``<key>/_current.json``, that names one.
+
+    A version is written whole by as many tasks as it asks for, checked, and becomes the
+    table by the atomic rename of the pointer; the version before it stays for readers that
+    have begun.  With ``sliced`` (a column) rows lie in ``slice=<n>`` folders by its hash and
+    sorted by it, so a predicate on the slice opens only one folder's files.
+    """
+
+    lake: Lake
+    key: str
+    schema: StructType
+    sliced: str | None = None
+
+    def _pointer(self) -> dict | None:
+        key = f"{self.key}/_current.json"
+        return json.loads(self.lake.read_bytes(key)) if self.lake.exists(key) else None
+
+    def exists(self) -> bool:
+        return self._pointer() is not None
+
+    def facts(self) -> dict:
+        """What was stated of the current version when it was swapped in."""
+        return self._pointer()["facts"]
+
+    def read(self) -> DataFrame:
+        """The current version; a sliced one has ``slice`` as its last column."""
+        found = self._pointer()
+        if found is None:
+            return self.lake.spark.createDataFrame([], self.schema)
+        schema = StructType([*self.schema.fields])
+        if self.sliced:
+            schema = schema.add("slice", "integer")
+        folder = f"{self.key}/v={found['version']}"
+        return self.lake.spark.read.schema(schema).option("basePath", self.lake.uri(folder)).parquet(self.lake.uri(folder))
+
+    def swap(self, df: DataFrame, order: Iterable[str] = (), **facts: Column) -> int:
+        """Write a version and make it the table; ``facts`` are aggregates over it.  Returns its rows.
+
+        Nulls in columns that the schema says are never null refuse it; the old version stays.
+        """
+        before, version = self._pointer(), uuid.uuid4().hex
+        folder = f"{self.key}/v={version}"
+        rows = conform(df, self.schema)
+        if self.sliced:
+            rows = dealt_for_writing(rows.withColumn("slice", slice_of(F.col(self.sliced))), "slice")
+            rows.sortWithinPartitions("slice", self.sliced, *order).write.partitionBy("slice").option("compression", "zstd").parquet(self.lake.uri(folder))
+        else:
+            dealt_for_writing(rows).sortWithinPartitions(*order or self.schema.names[:1]).write.option("compression", "zstd").parquet(self.lake.uri(folder))
+        try:
+            written = self.lake.spark.read.schema(self.schema).parquet(self.lake.uri(folder))
+            needed = [f.name for f in self.schema if not f.nullable]
+            row = written.agg(F.count("*").alias("rows"), *(F.count_if(F.col(n).isNull()).alias(f"null_{n}") for n in needed), *(c.cast("string").alias(f"fact_{n}") for n, c in facts.items())).first()
+            refused = {n: row[f"null_{n}"] for n in needed if row[f"null_{n}"]}
+            if refused:
+                raise ValueError(f"{self.key} would hold nulls where none may be: {refused}")
+            aside = f"_tmp/{uuid.uuid4().hex}"
+            self.lake.write_bytes(aside, json.dumps({"version": version, "rows": row["rows"], "facts": {n: row[f"fact_{n}"] for n in facts}}).encode())
+            self.lake._renamed(aside, f"{self.key}/_current.json", overwrite=True)
+        except BaseException:
+            self.lake.delete_prefix(folder)
+            raise
+        for name in self.lake.list_names(self.key):
+            if name.startswith("v=") and name.removeprefix("v=") not in (version, (before or {}).get("version")):
+                self.lake.delete_prefix(f"{self.key}/{name}")
+        return row["rows"]
+
+
 def as_lake(spark: SparkSession, place: str | Lake) -> Lake:
     """A lake, given as one or by its root."""
     return place if isinstance(place, Lake) else Lake(spark, place)

@@ -80,9 +80,7 @@ def test_summary_counts_what_cleaning_counts(spark, root, built):
 
 def test_gold(spark, root, built):
     lake = Lake(spark, root)
-    daily = lake.read([etl.gold_key("daily_equipment_summary")], schemas.DAILY)
-    flags = lake.read([etl.gold_key("fleet_health_flags")], schemas.FLAGS)
-    fleet = lake.read([etl.gold_key("fleet_summary_by_type")], schemas.FLEET)
+    daily, flags, fleet = (etl.mart(lake, n).read() for n in ("daily_equipment_summary", "fleet_health_flags", "fleet_summary_by_type"))
     assert daily.groupBy("equipment_id", "day").count().where("count > 1").isEmpty()
     assert daily.where("operating_hours < 0 OR fuel_consumed_pct < 0").isEmpty()
     assert flags.where("health_score < 0 OR health_score > 100").isEmpty()
@@ -92,7 +90,7 @@ def test_gold(spark, root, built):
 def test_flags_are_the_same_with_a_written_presence(spark, root, built):
     lake = Lake(spark, root)
     silver = etl.read_silver(lake)
-    presence = lake.read([etl.gold_key("machine_presence")], schemas.PRESENCE)
+    presence = etl.mart(lake, "machine_presence").read()
     for hours in (1, 24, 480):
         a, b = gold.fleet_health_flags(silver, hours, AT), gold.fleet_health_flags(silver, hours, AT, presence)
         assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
@@ -101,7 +99,7 @@ def test_flags_are_the_same_with_a_written_presence(spark, root, built):
 def test_health_opens_only_its_window(spark, root, built):
     lake = Lake(spark, root)
     base = snapshots.latest(lake, lake.silver)
-    presence = lake.read([etl.gold_key("machine_presence")], schemas.PRESENCE)
+    presence = etl.mart(lake, "machine_presence").read()
     scans, _ = warehouse.scans_read(gold.fleet_health_flags(etl.read_silver(lake), 24, AT, presence))
     of_silver = [x for x in scans if x.known >= len(base.newest())]
     assert len(base.newest()) > 20 and of_silver and max(x.files for x in of_silver) <= 2
@@ -326,6 +324,35 @@ def test_gold_with_nulls_is_refused(spark, tmp_path):
     assert lake.read(["gold/x.parquet"], schemas.FLEET).first()["machine_count"] == 3
 
 
+def test_a_mart_is_swapped_whole(spark, tmp_path, monkeypatch):
+    lake = Lake(spark, "file://" + str(tmp_path))
+    mart = lakes.Mart(lake, "gold/x", schemas.PRESENCE, "equipment_id")
+    rows = lambda n: spark.range(n).selectExpr("concat('m', id % 40) AS equipment_id", "'dozer' AS equipment_type", "timestamp'2024-01-01' AS last_seen_utc", "timestamp'2024-01-01' AS last_loaded_utc")
+    assert not mart.exists() and mart.read().isEmpty()
+    assert mart.swap(rows(100)) == 100
+    old = mart.read()
+    with pytest.raises(ValueError, match="last_seen_utc"):
+        mart.swap(rows(50).withColumn("last_seen_utc", F.lit(None).cast("timestamp")))
+    monkeypatch.setattr(Lake, "_renamed", lambda *a, **b: (_ for _ in ()).throw(Stop))
+    with pytest.raises(Stop):
+        mart.swap(rows(60))
+    monkeypatch.undo()
+    assert mart.read().count() == 100 and len(lake.list_names("gold/x")) == 2
+    assert mart.swap(rows(70), seen=F.max("last_seen_utc")) == 70 and mart.facts() == {"seen": "2024-01-01 00:00:00"}
+    assert old.count() == 100 and mart.read().count() == 70  # a reader that had begun goes on
+    mart.swap(rows(80))
+    assert len([n for n in lake.list_names("gold/x") if n.startswith("v=")]) == 2
+
+
+def test_a_lookup_opens_one_slice(spark, root, built):
+    warehouse.register_views(spark, root)
+    who = spark.table("daily_equipment_summary").first()["equipment_id"]
+    every = warehouse.files_read(spark.table("daily_equipment_summary"))[0]
+    for df in (serving.equipment_days(spark, who, 30), serving.equipment_flag(spark, who), serving.equipment_identity(spark, who)):
+        assert "slice" not in df.columns and warehouse.files_read(df)[0] <= 1 < every
+    assert serving.equipment_days(spark, who, 30).count() == spark.table("daily_equipment_summary").where((F.col("equipment_id") == who) & (F.col("day") > F.lit("2024-01-30").cast("date") - F.expr("INTERVAL 30 DAYS"))).count()
+
+
 def test_a_large_day_takes_several_files(spark, tmp_path):
     lake = Lake(spark, "file://" + str(tmp_path))
     before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
