@@ -323,10 +323,11 @@ def f10_empty_branches(spark, sf_dir):
 def _views(spark, sf_dir):
     s = silver(spark, sf_dir)
     daily = gold.daily_equipment_summary(s)
-    daily.createOrReplaceTempView("daily_equipment_summary")
+    sliced = lambda df: df.withColumn("slice", lakes.slice_of(F.col("equipment_id")))
+    sliced(daily).createOrReplaceTempView("daily_equipment_summary")
     s.select(F.max("event_date").alias("day")).createOrReplaceTempView("daily_newest")
     flags = gold.fleet_health_flags(s, _WINDOW, _AT)
-    flags.createOrReplaceTempView("fleet_health_flags")
+    sliced(flags).createOrReplaceTempView("fleet_health_flags")
     gold.fleet_summary_by_type(s, daily, flags, _AT).createOrReplaceTempView("fleet_summary_by_type")
     s.createOrReplaceTempView("silver_telemetry")
     b = bronze(spark, sf_dir)

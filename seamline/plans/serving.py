@@ -1,16 +1,20 @@
-"""Parameterised serving queries over the gold views, as DataFrames and JSON-safe rows."""
+"""Serving queries over the gold views: bound statements of ``serving.sql``, and JSON-safe rows."""
 
 from __future__ import annotations
 
 import json
+import zlib
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.conform import json_safe, split_flags
-from ..sources.lake import slice_of
+from ..sources.lake import SLICES
+from .warehouse import load_queries
 
 SEVERITIES = ("warning", "critical")
+_STATEMENTS = load_queries(Path(__file__).with_name("serving.sql"))
 
 
 def canonical_filter(equipment_type: str | None) -> str | None:
@@ -24,68 +28,49 @@ def _bounded(name: str, value: int, most: int) -> int:
     return int(value)
 
 
+def statement(spark: SparkSession, name: str, **values) -> DataFrame:
+    """A statement of ``serving.sql`` with its parameters bound."""
+    return spark.sql(_STATEMENTS[name].sql, args=values)
+
+
 def fleet_totals(spark: SparkSession) -> DataFrame:
     """One row: the fleet's size and flagged machines, zeros without any type."""
-    total = lambda name: F.coalesce(F.sum(name), F.lit(0))
-    return spark.table("fleet_summary_by_type").agg(
-        F.max("generated_at_utc").alias("generated_at_utc"),
-        total("machine_count").alias("fleet_size"),
-        *(total(n).alias(n) for n in ("machines_flagged", "critical_count", "warning_count")),
-        F.coalesce(F.max("days_covered"), F.lit(0)).alias("days_covered"),
-    )
+    return statement(spark, "fleet_totals")
 
 
 def fleet_by_type(spark: SparkSession) -> DataFrame:
     """The largest type first."""
-    return spark.table("fleet_summary_by_type").drop("generated_at_utc", "days_covered").orderBy(F.desc("machine_count"), "equipment_type")
-
-
-def _of_type(df: DataFrame, equipment_type: str | None) -> DataFrame:
-    wanted = canonical_filter(equipment_type)
-    return df if wanted is None else df.where(F.col("equipment_type") == wanted)
+    return statement(spark, "fleet_by_type")
 
 
 def health_flags(spark: SparkSession, equipment_type: str | None = None, severity: str | None = None, limit: int = 200) -> DataFrame:
     """Flagged machines, the most urgent first."""
     if severity is not None and severity not in SEVERITIES:
         raise ValueError(f"severity is one of {', '.join(SEVERITIES)}")
-    flags = _of_type(spark.table("fleet_health_flags").drop("slice"), equipment_type)
-    flags = flags if severity is None else flags.where(F.col("severity") == severity)
-    return flags.orderBy(F.desc(F.col("severity") == "critical"), "health_score", "equipment_id").limit(_bounded("limit", limit, 5000))
-
-
-def _of_machine(df: DataFrame, equipment_id: str) -> DataFrame:
-    """A machine's rows; where the table is sliced by machine only its slice is opened."""
-    wanted = F.lit(equipment_id)
-    rows = df.where(F.col("equipment_id") == wanted)
-    return rows.where(F.col("slice") == slice_of(wanted)).drop("slice") if "slice" in df.columns else rows
-
-
-def _identity() -> list[Column]:
-    return [F.max_by("equipment_type", "day").alias("equipment_type"), F.max("day").alias("last_day")]
+    return statement(spark, "health_flags", equipment_type=canonical_filter(equipment_type), severity=severity, limit=_bounded("limit", limit, 5000))
 
 
 def equipment(spark: SparkSession, equipment_type: str | None = None, flagged_only: bool = False, limit: int = 500) -> DataFrame:
     """Known machines with their flag if they have one, the lowest score first."""
-    known = _of_type(spark.table("daily_equipment_summary").groupBy("equipment_id").agg(*_identity()), equipment_type)
-    flags = spark.table("fleet_health_flags").select("equipment_id", "severity", "health_score")
-    joined = known.join(flags, "equipment_id", "inner" if flagged_only else "left")
-    return joined.orderBy(F.col("health_score").asc_nulls_last(), "equipment_id").limit(_bounded("limit", limit, 5000))
+    return statement(spark, "equipment", equipment_type=canonical_filter(equipment_type), flagged_only=bool(flagged_only), limit=_bounded("limit", limit, 5000))
+
+
+def _machine(equipment_id: str) -> dict:
+    return {"equipment_id": equipment_id, "slice": zlib.crc32(equipment_id.encode()) % SLICES}
 
 
 def equipment_identity(spark: SparkSession, equipment_id: str) -> DataFrame:
     """Exactly one row; nulls for a machine that gold doesn't know."""
-    return _of_machine(spark.table("daily_equipment_summary"), equipment_id).agg(*_identity())
+    return statement(spark, "equipment_identity", **_machine(equipment_id))
 
 
 def equipment_days(spark: SparkSession, equipment_id: str, days: int = 30) -> DataFrame:
     """The newest ``days`` days of the table, for one machine."""
-    after = F.date_sub(spark.table("daily_newest").select(F.max("day")).scalar(), _bounded("days", days, 3650))
-    return _of_machine(spark.table("daily_equipment_summary"), equipment_id).where(F.col("day") > after).orderBy("day")
+    return statement(spark, "equipment_days", **_machine(equipment_id), days=_bounded("days", days, 3650))
 
 
 def equipment_flag(spark: SparkSession, equipment_id: str) -> DataFrame:
-    return _of_machine(spark.table("fleet_health_flags"), equipment_id)
+    return statement(spark, "equipment_flag", **_machine(equipment_id))
 
 
 def rows(df: DataFrame) -> list[dict]:
@@ -117,6 +102,11 @@ def equipment_history(spark: SparkSession, equipment_id: str, days: int = 30) ->
 # Derivations of the dashboard, as functions over the by-type summary and the flags.
 
 
+def _of_type(df: DataFrame, equipment_type: str | None) -> DataFrame:
+    wanted = canonical_filter(equipment_type)
+    return df if wanted is None else df.where(F.col("equipment_type") == wanted)
+
+
 def scoped(by_type: DataFrame, equipment_type: str | None = None) -> DataFrame:
     """One row of cards: sums, machine-weighted temperature and the flagged share, for all types or one."""
     df = _of_type(by_type, equipment_type)

@@ -353,6 +353,16 @@ def test_a_lookup_opens_one_slice(spark, root, built):
     assert serving.equipment_days(spark, who, 30).count() == spark.table("daily_equipment_summary").where((F.col("equipment_id") == who) & (F.col("day") > F.lit("2024-01-30").cast("date") - F.expr("INTERVAL 30 DAYS"))).count()
 
 
+def test_values_are_bound_not_spelled(spark, root, built):
+    warehouse.register_views(spark, root)
+    assert serving.equipment_days(spark, "x' OR '1' = '1", 3).isEmpty()
+    assert serving.equipment(spark, "dozer' OR 'a' = 'a").isEmpty()
+    every, dozers = serving.health_flags(spark, limit=5000), serving.health_flags(spark, "dozer", "critical", 5000)
+    assert every.count() == spark.table("fleet_health_flags").count()
+    assert dozers.count() == spark.table("fleet_health_flags").where("equipment_type = 'dozer' AND severity = 'critical'").count()
+    assert serving.health_flags(spark, limit=1).count() == 1
+
+
 def test_a_large_day_takes_several_files(spark, tmp_path):
     lake = Lake(spark, "file://" + str(tmp_path))
     before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
