@@ -46,7 +46,7 @@ SHORTLIST, LEAST_SHORTLIST = 0.08, 384
 LEAST_PIVOTS, MAX_PIVOTS = 16, 16_384
 #: Bytes of the sample that pivots are chosen from, and the cosine that two of them stay below.
 SAMPLE_BYTES, APART = 32 << 20, 0.9
-BLOCK_BYTES, QUERY_BLOCK = 8 << 20, 4096
+BLOCK_BYTES, QUERY_BLOCK = 8 << 20, 32_768
 
 
 def pivot_count(n: int) -> int:
