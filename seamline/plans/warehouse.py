@@ -132,6 +132,7 @@ class Scan:
     files: int
     known: int
     rows: int
+    folders: int  # that the files opened lie in: one a partition, however many files it takes; a table without partitions is one
 
 
 def _items(found) -> list:
@@ -166,7 +167,9 @@ def scans_read(df: DataFrame) -> tuple[list[Scan], int]:
         metrics = node.metrics()
         if metrics.contains("numFiles"):
             known = len(node.relation().location().inputFiles()) if kind == "FileSourceScanExec" else 0
-            scans.append(Scan(role, metrics.apply("numFiles").value(), known, metrics.apply("numOutputRows").value()))
+            files = metrics.apply("numFiles").value()
+            folders = metrics.apply("numPartitions").value() if metrics.contains("numPartitions") else min(files, 1)
+            scans.append(Scan(role, files, known, metrics.apply("numOutputRows").value(), folders))
     return scans, rows
 
 

@@ -8,6 +8,8 @@ import duckdb
 import pytest
 
 from seamline.plans import registry
+from seamline.sources import lake as lakes
+from seamline.sources.lake import Lake
 
 
 def _rows(rows, columns):
@@ -26,6 +28,25 @@ def test_query_matches_sql(spark, small, name):
     assert _rows([tuple(r) for r in df.collect()], df.columns) == _rows(want.fetchall(), want.columns)
 
 
+def test_lake_facts_hold_for_days_of_several_files(spark, small, tmp_path, monkeypatch):
+    lake = Lake(spark, f"file://{tmp_path}/facts")
+    monkeypatch.setattr(lakes, "scratch", lambda spark, tag: lake.root)
+    parts = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "256", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in parts}
+    for k, v in parts.items():
+        spark.conf.set(k, v)
+    try:
+        got = dict(registry.w_lake_facts(spark, small).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{small}/events.parquet'")
+    assert got == dict(con.sql(registry.ORACLE_SQL["w_lake_facts"]).fetchall())
+    silver = [k for k in lake.list_keys("silver") if "/layer=silver/" in k]
+    assert len(silver) > 2 * got["days in silver"] and len(lake.list_keys("raw")) > 1 + got["days in bronze"]
+
+
 def test_entry_without_corpus_operators():
     """In a process where the folder and the pipeline cannot be imported: all other queries are there, and other failures are errors."""
     code = """
